@@ -101,3 +101,92 @@ def q_type_census(spark, sf_dir):
 @query("table_profile")
 def q_table_profile(spark, sf_dir):
     return si.table_profile(report(spark, sf_dir, "events", "event_id"))
+
+
+# ---- P1-P5 ---------------------------------------------------------------
+from quarry.operators import report as rp  # noqa: E402
+from quarry.operators import results as rs  # noqa: E402
+from quarry.plans.fixtures import report_runs, result_documents  # noqa: E402
+from quarry.sources.results_json import parse_result_documents  # noqa: E402
+
+RUN_DATE = "2024-01-21"
+EVENT_TYPES = ("view", "click", "purchase", "signup", "error")
+
+
+@query("add_report_date")
+def q_add_report_date(spark, sf_dir):
+    ev = load_table(spark, sf_dir, "events").select("event_id", "event_type")
+    return rp.add_report_date(ev, RUN_DATE)
+
+
+@query("date_range")
+def q_date_range(spark, sf_dir):
+    ev = load_table(spark, sf_dir, "events")
+    return rp.date_range(ev, "ts", RUN_DATE, start="2024-01-10", end="2024-01-20").select(
+        "event_id", "event_type")
+
+
+@query("date_range_yesterday")
+def q_date_range_yesterday(spark, sf_dir):
+    ev = load_table(spark, sf_dir, "events")
+    return rp.date_range(ev, "ts", RUN_DATE, yesterday=True).select("event_id", "user_id")
+
+
+@query("traffic_filter")
+def q_traffic_filter(spark, sf_dir):
+    ev = load_table(spark, sf_dir, "events")
+    return rp.traffic_filter(ev, "event_type", "click", known=EVENT_TYPES).select("event_id", "value")
+
+
+@query("preview")
+def q_preview(spark, sf_dir):
+    return rp.preview(report(spark, sf_dir, "events", "event_id"), "rn", 5)
+
+
+@query("report_dispatch")
+def q_report_dispatch(spark, sf_dir):
+    runs = report_runs(load_table(spark, sf_dir, "events"))
+    return rp.report_dispatch(runs, "cv_attribute").select("event_id", "report_type", "success")
+
+
+# ---- S4, A1-A6 -----------------------------------------------------------
+
+def _results(spark, sf_dir):
+    docs = result_documents(load_table(spark, sf_dir, "events"))
+    return rs.normalize_results(parse_result_documents(docs))
+
+
+@query("results_load")
+def q_results_load(spark, sf_dir):
+    return _results(spark, sf_dir)
+
+
+@query("result_status")
+def q_result_status(spark, sf_dir):
+    docs = result_documents(load_table(spark, sf_dir, "events"))
+    return rs.result_status(parse_result_documents(docs)).select("test_key", "kind", "passed", "status")
+
+
+@query("pass_stats")
+def q_pass_stats(spark, sf_dir):
+    return rs.pass_stats(_results(spark, sf_dir))
+
+
+@query("category_rollup")
+def q_category_rollup(spark, sf_dir):
+    return rs.category_rollup(_results(spark, sf_dir))
+
+
+@query("summary_listing")
+def q_summary_listing(spark, sf_dir):
+    return rs.summary_listing(_results(spark, sf_dir))
+
+
+@query("timing_stats")
+def q_timing_stats(spark, sf_dir):
+    return rs.timing_stats(_results(spark, sf_dir))
+
+
+@query("outcome_summary")
+def q_outcome_summary(spark, sf_dir):
+    return rs.outcome_summary(report_runs(load_table(spark, sf_dir, "events")), "success", "batch")

@@ -32,3 +32,53 @@ def report_text(df: DataFrame, key: str, rn: str = "rn") -> DataFrame:
     """(rn, col1, col2, ...) all strings; rn = key + 1 (keys are dense from 0)."""
     return df.select((F.col(key).cast("long") + 1).alias(rn),
                      *[text_column(df, c) for c in df.columns])
+
+
+def result_documents(events: DataFrame) -> DataFrame:
+    """Result JSON documents derived from ``events``, one per event.
+
+    Even events use the nested layout (with ``test_file``), odd ones the flat
+    layout. The test key repeats every 4000 events so later documents
+    override earlier ones. Value kinds by event type: error -> failed
+    record, click -> passed record with its own category, view -> ``true``,
+    purchase -> the event value (a number), signup -> the string ``"x"``.
+    """
+    suite = F.pmod(F.col("user_id"), F.lit(7)).cast("string")
+    cat_n = F.pmod(F.col("user_id"), F.lit(10))
+    key = F.concat(F.lit("suite"), suite, F.lit("_test_results::test_event_"),
+                   F.pmod(F.col("event_id"), F.lit(4000)).cast("string"))
+    desc = F.concat(F.col("event_type"), F.lit(" check "), F.col("event_id").cast("string"))
+    record = F.to_json(F.struct(
+        (F.col("event_type") == "click").alias("passed"),
+        desc.alias("description"),
+        F.col("value").alias("execution_time"),
+        F.when(F.col("event_type") == "click", F.lit("clicks")).alias("category")))
+    value = (F.when(F.col("event_type").isin("error", "click"), record)
+             .when(F.col("event_type") == "view", F.lit("true"))
+             .when(F.col("event_type") == "purchase", F.to_json(F.array(F.col("value"))).substr(F.lit(2), F.length(F.to_json(F.array(F.col("value")))) - 2))
+             .otherwise(F.lit('"x"')))
+    entry = F.concat(F.to_json(F.array(key)).substr(F.lit(2), F.length(F.to_json(F.array(key))) - 2),
+                     F.lit(": "), value)
+    head = F.concat(
+        F.lit('{"test_timestamp": "'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('"'),
+        F.when(cat_n != 0, F.concat(F.lit(', "category": "cat'), cat_n.cast("string"), F.lit('"')))
+         .otherwise(F.lit("")))
+    nested = F.concat(head, F.lit(', "test_file": "tests/test_file/suite/test_suite'), suite,
+                      F.lit('.py", "results": {'), entry, F.lit("}}"))
+    flat = F.concat(head, F.lit(", "), entry, F.lit("}"))
+    return events.select(
+        F.concat(F.lit("results/doc"), F.col("event_id").cast("string"), F.lit(".json")).alias("path"),
+        F.col("event_id").alias("file_order"),
+        F.when(F.pmod(F.col("event_id"), F.lit(2)) == 0, nested).otherwise(flat).alias("content"))
+
+
+def report_runs(events: DataFrame) -> DataFrame:
+    """Report download runs derived from ``events``: type by event type
+    (``conversion_attribute`` is the alias spelling), success unless the
+    event is an error."""
+    rtype = (F.when(F.col("event_type").isin("view", "click"), F.lit("detailed_analysis"))
+             .when(F.col("event_type") == "purchase", F.lit("cv_attribute"))
+             .when(F.col("event_type") == "signup", F.lit("conversion_attribute"))
+             .otherwise(F.lit("unknown")))
+    return events.select("event_id", rtype.alias("report_type"),
+                         (F.col("event_type") != "error").alias("success"))

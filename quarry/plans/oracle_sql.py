@@ -150,3 +150,112 @@ WITH {profile_ctes('events', 'event_id')}
 SELECT CAST(6 AS BIGINT) AS header_count, CAST(max(n_cells) AS BIGINT) AS record_count,
        count(*) FILTER (WHERE consistency_rate < 0.9) AS low_consistency_columns
 FROM stats""")
+
+
+# ---- P1-P5 ----------------------------------------------------------------
+register("add_report_date", """
+SELECT '2024-01-20' AS "日付", event_id, event_type FROM events""")
+
+register("date_range", """
+SELECT event_id, event_type FROM events
+WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'""")
+
+register("date_range_yesterday", """
+SELECT event_id, user_id FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-20'""")
+
+register("traffic_filter", """
+SELECT event_id, value FROM events WHERE event_type = 'click'""")
+
+register("preview", """
+SELECT event_id + 1 AS rn, CAST(event_id AS VARCHAR) AS event_id,
+       strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, CAST(user_id AS VARCHAR) AS user_id, event_type,
+       printf('%.2f', value) AS value, props
+FROM events ORDER BY rn LIMIT 5""")
+
+REPORT_RUNS = """
+runs AS (
+  SELECT event_id,
+         CASE WHEN event_type IN ('view','click') THEN 'detailed_analysis'
+              WHEN event_type = 'purchase' THEN 'cv_attribute'
+              WHEN event_type = 'signup' THEN 'conversion_attribute'
+              ELSE 'unknown' END AS report_type,
+         event_type <> 'error' AS success
+  FROM events)"""
+
+register("report_dispatch", f"""
+WITH {REPORT_RUNS}
+SELECT event_id, CASE WHEN report_type = 'conversion_attribute' THEN 'cv_attribute' ELSE report_type END AS report_type,
+       success
+FROM runs WHERE report_type IN ('cv_attribute', 'conversion_attribute')""")
+
+# ---- S4, A1-A6 ----------------------------------------------------------------
+RESULTS = """
+ev AS (
+  SELECT *, 'suite' || (user_id % 7) || '_test_results::test_event_' || (event_id % 4000) AS test_key
+  FROM events),
+latest AS (
+  SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY test_key ORDER BY event_id DESC) = 1),
+res AS (
+  SELECT test_key,
+    CASE WHEN event_type IN ('error','click') THEN 'object' WHEN event_type = 'view' THEN 'boolean'
+         WHEN event_type = 'purchase' THEN 'number' ELSE 'other' END AS kind,
+    CASE WHEN event_type IN ('click','view') THEN true WHEN event_type = 'purchase' THEN value <> 0
+         ELSE false END AS passed,
+    CASE WHEN event_type = 'signup' THEN 'ERROR'
+         WHEN event_type IN ('click','view') OR (event_type = 'purchase' AND value <> 0) THEN 'PASS'
+         ELSE 'FAIL' END AS status,
+    CASE WHEN event_type IN ('error','click') THEN event_type || ' check ' || event_id
+         WHEN event_type IN ('view','purchase') THEN 'No description available'
+         ELSE 'Invalid data type: <class ''str''>' END AS description,
+    CASE WHEN event_type = 'click' THEN 'clicks'
+         WHEN event_type = 'error' AND user_id % 10 <> 0 THEN 'cat' || (user_id % 10)
+         ELSE 'その他' END AS category,
+    CASE WHEN event_type IN ('error','click') AND event_id % 2 = 0 THEN 'src/suite/suite' || (user_id % 7) || '.py'
+         ELSE '不明' END AS source_file,
+    CASE WHEN event_type IN ('error','click') THEN test_key ELSE '不明' END AS method,
+    CASE WHEN event_type IN ('error','click') THEN value ELSE 0.0 END AS execution_time,
+    '不明' AS execution_timestamp
+  FROM latest)"""
+
+register("results_load", f"WITH {RESULTS} SELECT * FROM res")
+
+register("result_status", f"WITH {RESULTS} SELECT test_key, kind, passed, status FROM res")
+
+register("pass_stats", f"""
+WITH {RESULTS}
+SELECT count(*) AS total, count(*) FILTER (WHERE passed) AS passed,
+       count(*) - count(*) FILTER (WHERE passed) AS failed,
+       CASE WHEN count(*) > 0 THEN CAST(count(*) FILTER (WHERE passed) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100.0
+            ELSE 0.0 END AS pass_rate
+FROM res""")
+
+register("category_rollup", f"""
+WITH {RESULTS}
+SELECT category, count(*) FILTER (WHERE passed) AS n_passed, count(*) AS n_total FROM res GROUP BY category""")
+
+register("summary_listing", f"""
+WITH {RESULTS},
+named AS (
+  SELECT *, string_split(test_key, '::') AS parts FROM res),
+disp AS (
+  SELECT *, CASE WHEN len(parts) > 1
+                 THEN replace(replace(parts[1], '_test_results', ''), '_', ' ') || ' > ' || parts[-1]
+                 ELSE parts[-1] END AS dn
+  FROM named)
+SELECT test_key, CASE WHEN length(dn) > 57 THEN substr(dn, 1, 54) || '...' ELSE dn END AS display_name,
+       status, description
+FROM disp""")
+
+register("timing_stats", f"""
+WITH {RESULTS}
+SELECT coalesce(sum(execution_time), 0.0) AS total_time, coalesce(avg(execution_time), 0.0) AS avg_time,
+       coalesce(max(execution_time), 0.0) AS max_time,
+       (SELECT test_key FROM res ORDER BY execution_time DESC, test_key LIMIT 1) AS longest_test
+FROM res""")
+
+register("outcome_summary", f"""
+WITH {REPORT_RUNS}
+SELECT count(*) AS total, count(*) FILTER (WHERE success) AS success,
+       count(*) - count(*) FILTER (WHERE success) AS failure,
+       (count(*) - count(*) FILTER (WHERE success)) = 0 AND count(*) > 0 AS ok
+FROM runs""")
