@@ -190,3 +190,88 @@ def q_timing_stats(spark, sf_dir):
 @query("outcome_summary")
 def q_outcome_summary(spark, sf_dir):
     return rs.outcome_summary(report_runs(load_table(spark, sf_dir, "events")), "success", "batch")
+
+
+# ---- S3, R1-R3 -------------------------------------------------------------
+from quarry.operators import registry as rg  # noqa: E402
+from quarry.operators import text_structure as ts  # noqa: E402
+from quarry.plans import fixtures as fx  # noqa: E402
+
+
+@query("registry_load")
+def q_registry_load(spark, sf_dir):
+    return rg.registry_load(fx.registry_rows(load_table(spark, sf_dir, "part")))
+
+
+@query("registry_lookup")
+def q_registry_lookup(spark, sf_dir):
+    part = load_table(spark, sf_dir, "part")
+    registry = rg.registry_load(fx.registry_rows(part))
+    return rg.registry_lookup(fx.registry_requests(part), registry).select(
+        "request_id", "group", "name", "status", "selector_type", "selector_value", "description")
+
+
+@query("registry_repair")
+def q_registry_repair(spark, sf_dir):
+    return rg.registry_repair(fx.registry_rows(load_table(spark, sf_dir, "part")))
+
+
+@query("registry_report")
+def q_registry_report(spark, sf_dir):
+    return rg.registry_report(fx.selector_records(load_table(spark, sf_dir, "part")))
+
+
+# ---- D3-D11 -----------------------------------------------------------------
+CONV_KEYS = ("conv_id", "turn")
+
+
+@query("list_items")
+def q_list_items(spark, sf_dir):
+    return ts.list_items(load_table(spark, sf_dir, "conversations"), CONV_KEYS)
+
+
+@query("sections")
+def q_sections(spark, sf_dir):
+    out = ts.sections(fx.analysis_text(load_table(spark, sf_dir, "conversations")), CONV_KEYS)
+    return out.select(*CONV_KEYS, "summary", F.array_join("risks", "\n").alias("risks"),
+                      F.array_join("suggestions", "\n").alias("suggestions"))
+
+
+@query("code_blocks")
+def q_code_blocks(spark, sf_dir):
+    return ts.code_blocks(fx.fenced_text(load_table(spark, sf_dir, "conversations")), CONV_KEYS)
+
+
+@query("review_url")
+def q_review_url(spark, sf_dir):
+    return ts.review_urls(fx.review_urls(load_table(spark, sf_dir, "pages")), ["page_id"])
+
+
+@query("language_of")
+def q_language_of(spark, sf_dir):
+    return ts.languages(fx.document_files(load_table(spark, sf_dir, "documents")), ["doc_id"])
+
+
+@query("main_language")
+def q_main_language(spark, sf_dir):
+    files = fx.document_files(load_table(spark, sf_dir, "documents")).withColumnRenamed("doc_id", "pos")
+    return ts.main_language(files, ["source"])
+
+
+@query("file_slug")
+def q_file_slug(spark, sf_dir):
+    conv = load_table(spark, sf_dir, "conversations")
+    lang = F.element_at(F.array(F.lit("Python"), F.lit("Go"), F.lit("Cobol")),
+                        (F.pmod(F.col("turn"), F.lit(3)) + 1).cast("int"))
+    return ts.file_slugs(conv.withColumn("language", lang), CONV_KEYS)
+
+
+@query("truncate_text")
+def q_truncate_text(spark, sf_dir):
+    out = ts.truncate_texts(load_table(spark, sf_dir, "documents"), ["doc_id"], n=4000)
+    return out.select("doc_id", "truncated", F.length("truncated").alias("n"))
+
+
+@query("clean_message")
+def q_clean_message(spark, sf_dir):
+    return ts.clean_messages(fx.quoted_messages(load_table(spark, sf_dir, "conversations")), CONV_KEYS)

@@ -82,3 +82,105 @@ def report_runs(events: DataFrame) -> DataFrame:
              .otherwise(F.lit("unknown")))
     return events.select("event_id", rtype.alias("report_type"),
                          (F.col("event_type") != "error").alias("success"))
+
+
+def registry_rows(part: DataFrame) -> DataFrame:
+    """Selector registry rows derived from ``part`` (row order = part key).
+
+    Names repeat inside a group (later row wins); every tenth part is named
+    ``navbar`` and the next ``apply_button`` so the repair map applies; some
+    rows lack a description or a selector value.
+    """
+    k = F.col("p_partkey")
+    name = (F.when(F.pmod(k, F.lit(10)) == 0, F.lit("navbar"))
+            .when(F.pmod(k, F.lit(10)) == 1, F.lit("apply_button"))
+            .otherwise(F.regexp_replace(F.col("p_name"), " ", "_")))
+    stype = (F.when(F.pmod(F.col("p_size"), F.lit(3)) == 0, F.lit("id"))
+             .when(F.pmod(F.col("p_size"), F.lit(3)) == 1, F.lit("css"))
+             .otherwise(F.lit("xpath")))
+    return part.select(
+        F.lower(F.col("p_type")).alias("group"), name.alias("name"), stype.alias("selector_type"),
+        F.when(F.pmod(k, F.lit(17)) != 0, F.concat(F.lit("#part-"), k.cast("string"))).alias("selector_value"),
+        F.when(F.pmod(F.col("p_size"), F.lit(5)) != 0, F.col("p_brand")).alias("description"),
+        k.alias("pos"))
+
+
+def registry_requests(part: DataFrame) -> DataFrame:
+    """Look-up requests derived from ``part``: some groups and names that the
+    registry does not have."""
+    k = F.col("p_partkey")
+    name = F.regexp_replace(F.col("p_name"), " ", "_")
+    return part.select(
+        k.alias("request_id"),
+        F.when(F.pmod(k, F.lit(13)) == 0, F.lit("nogroup")).otherwise(F.lower(F.col("p_type"))).alias("group"),
+        F.when(F.pmod(k, F.lit(7)) == 0, F.concat(name, F.lit("_v2"))).otherwise(name).alias("name"))
+
+
+def selector_records(part: DataFrame) -> DataFrame:
+    """Selector records (group, name, element_type, css, category, pos)
+    derived from ``part``."""
+    k = F.col("p_partkey")
+    etype = F.element_at(F.array(*[F.lit(x) for x in ("button", "a", "input", "select")]),
+                         (F.pmod(F.col("p_size"), F.lit(4)) + 1).cast("int"))
+    return part.select(
+        F.lower(F.col("p_type")).alias("group"),
+        F.concat(F.regexp_replace(F.col("p_name"), " ", "_"), F.lit("_"), k.cast("string")).alias("name"),
+        etype.alias("element_type"),
+        F.concat(F.lit("#part-"), k.cast("string")).alias("css"),
+        F.when(F.pmod(k, F.lit(3)) != 0, F.col("p_brand")).alias("category"),
+        k.alias("pos"))
+
+
+# Fixed list used to derive file extensions from a key (all 24 mapped
+# extensions plus two unmapped ones).
+DERIVED_EXTENSIONS = (".py", ".js", ".ts", ".html", ".css", ".java", ".c", ".cpp", ".cs", ".php",
+                      ".rb", ".go", ".rs", ".swift", ".kt", ".sh", ".bat", ".ps1", ".sql", ".md",
+                      ".json", ".yml", ".yaml", ".xml", ".txt", ".PY")
+
+
+def document_files(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, path) with an extension picked by the key."""
+    n = len(DERIVED_EXTENSIONS)
+    ext = F.element_at(F.array(*[F.lit(x) for x in DERIVED_EXTENSIONS]),
+                       (F.pmod(F.col("doc_id") * 7 + F.col("n_chars"), F.lit(n)) + 1).cast("int"))
+    return documents.select("doc_id", "source",
+                            F.concat(F.col("source"), F.lit("/file"), F.col("doc_id").cast("string"), ext).alias("path"))
+
+
+def analysis_text(conv: DataFrame) -> DataFrame:
+    """Review-style text around each conversation turn: a summary section
+    holding the turn, a risk list and a suggestion section."""
+    t = F.concat(F.lit("## Summary\n"), F.col("text"), F.lit("\n## Risks\n- role "), F.col("role"),
+                 F.lit("\n* turn "), F.col("turn").cast("string"), F.lit("\n## Suggestions\n"), F.col("text"))
+    return conv.select("conv_id", "turn", t.alias("text"))
+
+
+def fenced_text(conv: DataFrame) -> DataFrame:
+    """Every other turn wrapped in a fenced code block with text around it."""
+    t = F.when(F.pmod(F.col("turn"), F.lit(2)) == 0,
+               F.concat(F.col("role"), F.lit(":\n```python\n"), F.col("text"), F.lit("\n```\nend of "),
+                        F.col("role"))).otherwise(F.col("text"))
+    return conv.select("conv_id", "turn", t.alias("text"))
+
+
+def quoted_messages(conv: DataFrame) -> DataFrame:
+    """Every third turn quoted and labelled like a generated message."""
+    t = (F.when(F.pmod(F.col("turn"), F.lit(3)) == 0,
+                F.concat(F.lit("\"コミットメッセージ: "), F.col("text"), F.lit("`")))
+         .when(F.pmod(F.col("turn"), F.lit(3)) == 1, F.concat(F.lit("'"), F.col("text"), F.lit("'")))
+         .otherwise(F.col("text")))
+    return conv.select("conv_id", "turn", t.alias("text"))
+
+
+def review_urls(pages: DataFrame) -> DataFrame:
+    """Review URLs derived from page URLs: a valid pull-request URL, a
+    malformed one, or the page URL itself."""
+    host = F.regexp_extract(F.col("url"), r"^https?://([^/]+)", 1)
+    k = F.col("page_id")
+    u = (F.when(F.pmod(k, F.lit(3)) == 0,
+                F.concat(F.lit("https://github.com/"), host, F.lit("/repo"), k.cast("string"),
+                         F.lit("/pull/"), k.cast("string")))
+         .when(F.pmod(k, F.lit(3)) == 1, F.concat(F.lit("https://github.com/"), host, F.lit("/pull/x"),
+                                                  k.cast("string")))
+         .otherwise(F.col("url")))
+    return pages.select("page_id", u.alias("url"))

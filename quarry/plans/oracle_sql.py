@@ -259,3 +259,177 @@ SELECT count(*) AS total, count(*) FILTER (WHERE success) AS success,
        count(*) - count(*) FILTER (WHERE success) AS failure,
        (count(*) - count(*) FILTER (WHERE success)) = 0 AND count(*) > 0 AS ok
 FROM runs""")
+
+
+# ---- S3, R1-R3 ---------------------------------------------------------------
+REGISTRY_ROWS = """
+rrows AS (
+  SELECT lower(p_type) AS "group",
+         CASE WHEN p_partkey % 10 = 0 THEN 'navbar' WHEN p_partkey % 10 = 1 THEN 'apply_button'
+              ELSE replace(p_name, ' ', '_') END AS name,
+         CASE p_size % 3 WHEN 0 THEN 'id' WHEN 1 THEN 'css' ELSE 'xpath' END AS selector_type,
+         CASE WHEN p_partkey % 17 <> 0 THEN '#part-' || p_partkey END AS selector_value,
+         CASE WHEN p_size % 5 <> 0 THEN p_brand END AS description,
+         p_partkey AS pos
+  FROM part),
+registry AS (
+  SELECT "group", name, selector_type, selector_value, coalesce(description, '') AS description
+  FROM rrows QUALIFY row_number() OVER (PARTITION BY "group", name ORDER BY pos DESC) = 1)"""
+
+register("registry_load", f"WITH {REGISTRY_ROWS} SELECT * FROM registry")
+
+register("registry_lookup", f"""
+WITH {REGISTRY_ROWS},
+req AS (
+  SELECT p_partkey AS request_id,
+         CASE WHEN p_partkey % 13 = 0 THEN 'nogroup' ELSE lower(p_type) END AS "group",
+         CASE WHEN p_partkey % 7 = 0 THEN replace(p_name, ' ', '_') || '_v2' ELSE replace(p_name, ' ', '_') END AS name
+  FROM part)
+SELECT q.request_id, q."group", q.name,
+       CASE WHEN r.name IS NOT NULL THEN 'found'
+            WHEN q."group" IN (SELECT "group" FROM registry) THEN 'no_name' ELSE 'no_group' END AS status,
+       r.selector_type, r.selector_value, r.description
+FROM req q LEFT JOIN registry r ON q."group" = r."group" AND q.name = r.name""")
+
+register("registry_repair", f"""
+WITH {REGISTRY_ROWS}
+SELECT "group", name, selector_type, selector_value,
+       CASE name WHEN 'navbar' THEN 'ナビゲーションバー' WHEN 'apply_button' THEN '適用ボタン'
+                 ELSE coalesce(description, '') END AS description
+FROM rrows
+WHERE "group" IS NOT NULL AND name IS NOT NULL AND selector_type IS NOT NULL AND selector_value IS NOT NULL""")
+
+register("registry_report", """
+WITH sel AS (
+  SELECT lower(p_type) AS "group", replace(p_name, ' ', '_') || '_' || p_partkey AS name,
+         CASE p_size % 4 WHEN 0 THEN 'button' WHEN 1 THEN 'a' WHEN 2 THEN 'input' ELSE 'select' END AS element_type,
+         '#part-' || p_partkey AS css, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS category,
+         p_partkey AS pos
+  FROM part)
+SELECT min(pos) OVER (PARTITION BY "group") AS group_first_pos, "group", pos,
+       "group" || ',' || name || ',' || element_type || ',' || css || ',' || coalesce(category, '') AS line
+FROM sel""")
+
+# ---- D3-D11 -------------------------------------------------------------------
+WS = r"\t\n\x{0B}\f\r\x{1C}-\x{1F}\x{85}\p{Z}"
+NL = "chr(10)"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[{WS}]+|[{WS}]+$', '', 'g')"
+
+
+def _list_items(x: str) -> str:
+    items = f"regexp_extract_all({x}, '(?m)^(?:[-*•]|[\\p{{Nd}}]+\\.)[{WS}]*(.+)$', 1)"
+    paras = f"list_filter(list_transform(string_split({x}, {NL} || {NL}), lambda p: {_strip('p')}), lambda p: p <> '')"
+    return f"(CASE WHEN len({items}) > 0 THEN {items} ELSE {paras} END)"
+
+
+register("list_items", f"""
+WITH l AS (SELECT conv_id, turn, {_list_items('text')} AS items FROM conversations)
+SELECT conv_id, turn, CAST(unnest(generate_series(1, len(items))) AS INTEGER) AS item_pos, unnest(items) AS item
+FROM l WHERE len(items) > 0""")
+
+ANALYSIS = f"""
+a AS (
+  SELECT conv_id, turn,
+         '## Summary' || {NL} || text || {NL} || '## Risks' || {NL} || '- role ' || role || {NL} || '* turn ' || turn
+         || {NL} || '## Suggestions' || {NL} || text AS text
+  FROM conversations),
+s AS (
+  SELECT conv_id, turn,
+         list_filter(list_transform(regexp_split_to_array(text, '(?m)#+[{WS}]*|^[\\p{{Nd}}]+\\.[{WS}]+'),
+                                    lambda x: {_strip('x')}), lambda x: x <> '') AS secs
+  FROM a)"""
+
+register("sections", f"""
+WITH {ANALYSIS}
+SELECT conv_id, turn, coalesce(secs[1], '分析結果なし') AS summary,
+       CASE WHEN len(secs) > 1 THEN array_to_string({_list_items('secs[2]')}, {NL}) ELSE '' END AS risks,
+       CASE WHEN len(secs) > 2 THEN array_to_string({_list_items('secs[3]')}, {NL}) ELSE '' END AS suggestions
+FROM s""")
+
+register("code_blocks", f"""
+WITH f AS (
+  SELECT conv_id, turn,
+         CASE WHEN turn % 2 = 0 THEN role || ':' || {NL} || '```python' || {NL} || text || {NL} || '```' || {NL}
+                                     || 'end of ' || role
+              ELSE text END AS text
+  FROM conversations)
+SELECT conv_id, turn,
+       CASE WHEN regexp_matches(text, '(?s)```(?:[\\p{{L}}\\p{{N}}_]+)?\\n(.*?)```')
+            THEN regexp_extract(text, '(?s)```(?:[\\p{{L}}\\p{{N}}_]+)?\\n(.*?)```', 1) ELSE text END AS code,
+       {_strip("regexp_replace(text, '(?s)```.*?```', '', 'g')")} AS explanation
+FROM f""")
+
+register("review_url", """
+WITH u AS (
+  SELECT page_id,
+         CASE WHEN page_id % 3 = 0
+              THEN 'https://github.com/' || regexp_extract(url, '^https?://([^/]+)', 1) || '/repo' || page_id || '/pull/' || page_id
+              WHEN page_id % 3 = 1
+              THEN 'https://github.com/' || regexp_extract(url, '^https?://([^/]+)', 1) || '/pull/x' || page_id
+              ELSE url END AS url
+  FROM pages),
+c AS (
+  SELECT *, starts_with(url, 'https://github.com/') AND contains(url, '/pull/') AS is_pr,
+         regexp_matches(url, '^https://github\\.com/([^/]+)/([^/]+)/pull/(\\p{Nd}+)') AS ok
+  FROM u)
+SELECT page_id, url,
+       CASE WHEN is_pr AND ok THEN regexp_extract(url, '^https://github\\.com/([^/]+)/([^/]+)/pull/(\\p{Nd}+)', 1) END AS owner,
+       CASE WHEN is_pr AND ok THEN regexp_extract(url, '^https://github\\.com/([^/]+)/([^/]+)/pull/(\\p{Nd}+)', 2) END AS repo,
+       CASE WHEN is_pr AND ok THEN regexp_extract(url, '^https://github\\.com/([^/]+)/([^/]+)/pull/(\\p{Nd}+)', 3) END AS number,
+       CASE WHEN NOT is_pr THEN 'URLはGitHubのプルリクエストURLである必要があります。'
+            WHEN NOT ok THEN 'PRのURL形式が正しくありません。' END AS error
+FROM c""")
+
+EXT_LIST = ("'.py','.js','.ts','.html','.css','.java','.c','.cpp','.cs','.php','.rb','.go','.rs','.swift',"
+            "'.kt','.sh','.bat','.ps1','.sql','.md','.json','.yml','.yaml','.xml','.txt','.PY'")
+LANG_CASE = """CASE ext WHEN '.py' THEN 'Python' WHEN '.js' THEN 'JavaScript' WHEN '.ts' THEN 'TypeScript'
+  WHEN '.html' THEN 'HTML' WHEN '.css' THEN 'CSS' WHEN '.java' THEN 'Java' WHEN '.c' THEN 'C' WHEN '.cpp' THEN 'C++'
+  WHEN '.cs' THEN 'C#' WHEN '.php' THEN 'PHP' WHEN '.rb' THEN 'Ruby' WHEN '.go' THEN 'Go' WHEN '.rs' THEN 'Rust'
+  WHEN '.swift' THEN 'Swift' WHEN '.kt' THEN 'Kotlin' WHEN '.sh' THEN 'Shell' WHEN '.bat' THEN 'Batch'
+  WHEN '.ps1' THEN 'PowerShell' WHEN '.sql' THEN 'SQL' WHEN '.md' THEN 'Markdown' WHEN '.json' THEN 'JSON'
+  WHEN '.yml' THEN 'YAML' WHEN '.yaml' THEN 'YAML' WHEN '.xml' THEN 'XML' ELSE 'プログラミング' END"""
+FILES = f"""
+files AS (
+  SELECT doc_id, source,
+         source || '/file' || doc_id || ([{EXT_LIST}])[CAST((doc_id * 7 + n_chars) % 26 AS BIGINT) + 1] AS path
+  FROM documents),
+fx AS (SELECT *, lower(regexp_extract(path, '^\\.*[^.].*(\\.[^.]*)$', 1)) AS ext FROM files)"""
+
+register("language_of", f"""
+WITH {FILES}
+SELECT doc_id, path, ext, {LANG_CASE} AS language FROM fx""")
+
+register("main_language", f"""
+WITH {FILES},
+c AS (SELECT source, ext, count(*) AS n, min(doc_id) AS first_pos FROM fx GROUP BY source, ext),
+b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, first_pos) AS r,
+             sum(n) OVER (PARTITION BY source) AS n_files FROM c)
+SELECT source, ext AS main_ext, n_files, {LANG_CASE} AS language FROM b WHERE r = 1""")
+
+register("file_slug", f"""
+WITH n AS (
+  SELECT conv_id, turn,
+         regexp_replace(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_{WS}]', '', 'g'), '[{WS}]+', '_', 'g') AS name,
+         CASE turn % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.go' ELSE '.txt' END AS ext
+  FROM conversations)
+SELECT conv_id, turn,
+       CASE WHEN length(name) > 30 AND len(string_split(name, '_')) > 3
+            THEN array_to_string(string_split(name, '_')[1:3], '_') ELSE name END || ext AS file_name
+FROM n""")
+
+register("truncate_text", """
+SELECT doc_id, CASE WHEN length(text) > 4000 THEN substr(text, 1, 4000) || '...(以下省略)' ELSE text END AS truncated,
+       length(CASE WHEN length(text) > 4000 THEN substr(text, 1, 4000) || '...(以下省略)' ELSE text END) AS n
+FROM documents""")
+
+register("clean_message", """
+WITH q AS (
+  SELECT conv_id, turn,
+         CASE turn % 3 WHEN 0 THEN '"コミットメッセージ: ' || text || '`' WHEN 1 THEN '''' || text || '''' ELSE text END AS text
+  FROM conversations)
+SELECT conv_id, turn,
+       regexp_replace(regexp_replace(text, '^["''`]+|["''`]+$', '', 'g'), '^コミットメッセージ[:：][\\s]*', '') AS message
+FROM q""")
