@@ -275,3 +275,29 @@ def q_truncate_text(spark, sf_dir):
 @query("clean_message")
 def q_clean_message(spark, sf_dir):
     return ts.clean_messages(fx.quoted_messages(load_table(spark, sf_dir, "conversations")), CONV_KEYS)
+
+
+# ---- D1-D2 -------------------------------------------------------------------
+from quarry.operators import textscan as sc  # noqa: E402
+
+
+@query("sensitive_scan")
+def q_sensitive_scan(spark, sf_dir):
+    return sc.sensitive_scan(load_table(spark, sf_dir, "documents"))
+
+
+@query("sensitive_scan_rt")
+def q_sensitive_scan_rt(spark, sf_dir):
+    return sc.sensitive_scan(fx.secret_documents(load_table(spark, sf_dir, "customer")))
+
+
+@query("sensitive_summary")
+def q_sensitive_summary(spark, sf_dir):
+    docs = load_table(spark, sf_dir, "documents")
+    return sc.sensitive_summary(docs, sc.sensitive_scan(docs))
+
+
+@query("sensitive_summary_rt")
+def q_sensitive_summary_rt(spark, sf_dir):
+    docs = fx.secret_documents(load_table(spark, sf_dir, "customer"))
+    return sc.sensitive_summary(docs, sc.sensitive_scan(docs))

@@ -184,3 +184,30 @@ def review_urls(pages: DataFrame) -> DataFrame:
                                                   k.cast("string")))
          .otherwise(F.col("url")))
     return pages.select("page_id", u.alias("url"))
+
+
+def secret_documents(customer: DataFrame) -> DataFrame:
+    """Config-like documents derived from ``customer`` that contain every
+    kind of finding (values are hashes of the customer name, not real
+    secrets). One of them spans two lines."""
+    k = F.col("c_custkey")
+    h = F.md5(F.col("c_name"))
+    h2 = F.md5(F.concat(F.col("c_name"), F.lit("x")))
+    email = F.concat(F.lower(F.regexp_replace(F.col("c_name"), "#", ".")), F.lit("@example.com"))
+    ssn = F.format_string("%03d-%02d-%04d", F.pmod(k, F.lit(1000)), F.pmod(k, F.lit(100)), F.pmod(k * 7, F.lit(10000)))
+    card = F.format_string("%04d-%04d-%04d-%04d", F.pmod(k, F.lit(10000)), F.pmod(k * 3, F.lit(10000)),
+                           F.pmod(k * 7, F.lit(10000)), F.pmod(k * 11, F.lit(10000)))
+    body = (
+        F.when(F.pmod(k, F.lit(6)) == 0, F.concat(F.lit("api_key =\n  \""), h, F.lit("\"\nmode = 1")))
+        .when(F.pmod(k, F.lit(6)) == 1, F.concat(F.lit("password: \""), F.substring(h, 1, 8), F.lit("\"\npwd='"),
+                                               F.substring(h2, 1, 6), F.lit("'")))
+        .when(F.pmod(k, F.lit(6)) == 2, F.concat(F.lit("Authorization: \"Bearer "), h, F.lit("\"\nauth_token=\""),
+                                               h2, F.lit("\"")))
+        .when(F.pmod(k, F.lit(6)) == 3, F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\nprivate_key = '"), h,
+                                               F.lit("'\nOPENAI_API_KEY=\""), h2, F.lit("\"")))
+        .when(F.pmod(k, F.lit(6)) == 4, F.concat(F.lit("-----BEGIN CERTIFICATE-----\nssn "), ssn,
+                                               F.lit("\naccess_key: '"), h2, F.lit("'")))
+        .otherwise(F.concat(F.lit("card "), card, F.lit("\ncontact "), email, F.lit("\nkey sk-"), h,
+                            F.substring(h2, 1, 16), F.lit("\napi-secret=\""), h, F.lit("\""))))
+    text = F.concat(F.lit("# settings for "), F.col("c_name"), F.lit("\n"), body, F.lit("\n# end\n"))
+    return customer.select(k.alias("doc_id"), text.alias("text"))

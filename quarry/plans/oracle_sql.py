@@ -433,3 +433,81 @@ WITH q AS (
 SELECT conv_id, turn,
        regexp_replace(regexp_replace(text, '^["''`]+|["''`]+$', '', 'g'), '^コミットメッセージ[:：][\\s]*', '') AS message
 FROM q""")
+
+
+# ---- D1-D2 --------------------------------------------------------------------
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _scan_sql(docs_cte: str) -> str:
+    from quarry.operators.textscan import PATTERNS
+    branches = "\nUNION ALL\n".join(
+        f"SELECT doc_id, text, {i} AS pattern_id, {_sql_str(cat)} AS type, "
+        f"regexp_split_to_array(text, {_sql_str('(?i)' + p)}) AS pieces, "
+        f"regexp_extract_all(text, {_sql_str('(?i)' + p)}) AS matches FROM docs"
+        for i, (cat, p) in enumerate(PATTERNS))
+    nl = "(length({0}) - length(replace({0}, chr(10), '')))"
+    return f"""
+docs AS ({docs_cte}),
+per AS ({branches}),
+ex AS (SELECT doc_id, text, pattern_id, type, pieces, matches,
+              unnest(generate_series(1, len(matches))) AS k FROM per WHERE len(matches) > 0),
+loc AS (
+  SELECT doc_id, text, pattern_id, type, matches[k] AS match,
+         sum({nl.format('pieces[k]')} + {nl.format('matches[k]')}) OVER
+           (PARTITION BY doc_id, pattern_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+         - {nl.format('matches[k]')} + 1 AS line
+  FROM ex),
+found AS (
+  SELECT doc_id, pattern_id, type, CAST(line AS BIGINT) AS line, match,
+         string_split(text, chr(10))[CAST(line AS BIGINT)] AS context
+  FROM loc)"""
+
+
+SECRET_DOCS = """
+SELECT c_custkey AS doc_id,
+  '# settings for ' || c_name || chr(10) ||
+  CASE c_custkey % 6
+    WHEN 0 THEN 'api_key =' || chr(10) || '  "' || md5(c_name) || '"' || chr(10) || 'mode = 1'
+    WHEN 1 THEN 'password: "' || substr(md5(c_name), 1, 8) || '"' || chr(10) || 'pwd=''' || substr(md5(c_name || 'x'), 1, 6) || ''''
+    WHEN 2 THEN 'Authorization: "Bearer ' || md5(c_name) || '"' || chr(10) || 'auth_token="' || md5(c_name || 'x') || '"'
+    WHEN 3 THEN '-----BEGIN RSA PRIVATE KEY-----' || chr(10) || 'private_key = ''' || md5(c_name) || '''' || chr(10)
+                || 'OPENAI_API_KEY="' || md5(c_name || 'x') || '"'
+    WHEN 4 THEN '-----BEGIN CERTIFICATE-----' || chr(10) || 'ssn '
+                || printf('%03d-%02d-%04d', c_custkey % 1000, c_custkey % 100, (c_custkey * 7) % 10000)
+                || chr(10) || 'access_key: ''' || md5(c_name || 'x') || ''''
+    ELSE 'card ' || printf('%04d-%04d-%04d-%04d', c_custkey % 10000, (c_custkey * 3) % 10000, (c_custkey * 7) % 10000,
+                           (c_custkey * 11) % 10000)
+         || chr(10) || 'contact ' || lower(replace(c_name, '#', '.')) || '@example.com' || chr(10) || 'key sk-'
+         || md5(c_name) || substr(md5(c_name || 'x'), 1, 16) || chr(10) || 'api-secret="' || md5(c_name) || '"'
+  END || chr(10) || '# end' || chr(10) AS text
+FROM customer"""
+
+register("sensitive_scan", f"WITH {_scan_sql('SELECT doc_id, text FROM documents')} SELECT * FROM found")
+register("sensitive_scan_rt", f"WITH {_scan_sql(SECRET_DOCS)} SELECT * FROM found")
+
+
+def _summary_sql(docs_cte: str) -> str:
+    return f"""WITH {_scan_sql(docs_cte)},
+per_doc AS (
+  SELECT doc_id,
+         count(*) FILTER (WHERE type = 'APIキー') AS api_key, count(*) FILTER (WHERE type = 'パスワード') AS password,
+         count(*) FILTER (WHERE type = '認証情報') AS auth, count(*) FILTER (WHERE type = '秘密鍵') AS private_key,
+         count(*) FILTER (WHERE type = '証明書') AS certificate, count(*) FILTER (WHERE type = '個人識別情報') AS pii
+  FROM found GROUP BY doc_id),
+j AS (
+  SELECT d.doc_id, coalesce(api_key, 0) AS api_key, coalesce(password, 0) AS password, coalesce(auth, 0) AS auth,
+         coalesce(private_key, 0) AS private_key, coalesce(certificate, 0) AS certificate, coalesce(pii, 0) AS pii
+  FROM docs d LEFT JOIN per_doc p USING (doc_id))
+SELECT doc_id, api_key + password + auth + private_key + certificate + pii AS n_issues,
+       api_key, password, auth, private_key, certificate, pii,
+       (api_key + password + auth + private_key + certificate + pii) = 0 AS safe,
+       CASE WHEN (api_key + password + auth + private_key + certificate + pii) > 0
+            THEN (api_key + password + auth + private_key + certificate + pii) || '件の機密情報の漏洩リスクが検出されました。'
+            ELSE '機密情報の漏洩リスクは検出されませんでした。' END AS message
+FROM j"""
+
+
+register("sensitive_summary", _summary_sql("SELECT doc_id, text FROM documents"))
+register("sensitive_summary_rt", _summary_sql(SECRET_DOCS))
