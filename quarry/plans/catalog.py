@@ -301,3 +301,206 @@ def q_sensitive_summary(spark, sf_dir):
 def q_sensitive_summary_rt(spark, sf_dir):
     docs = fx.secret_documents(load_table(spark, sf_dir, "customer"))
     return sc.sensitive_summary(docs, sc.sensitive_scan(docs))
+
+
+# ---- H1-H31 -------------------------------------------------------------------
+from quarry.operators import page_elements as pe  # noqa: E402
+from quarry.operators import selectors as sl  # noqa: E402
+from quarry.sources.pages import extract_elements  # noqa: E402
+
+
+def _elements(spark, sf_dir):
+    return extract_elements(load_table(spark, sf_dir, "pages"))
+
+
+def _rt_elements(spark, sf_dir):
+    return extract_elements(fx.customer_pages(load_table(spark, sf_dir, "customer")))
+
+
+@query("elements")
+def q_elements(spark, sf_dir):
+    return _elements(spark, sf_dir).select("page_id", "idx", "parent_idx", "depth", "tag", "id", "class")
+
+
+@query("page_summary")
+def q_page_summary(spark, sf_dir):
+    return pe.page_summary(_elements(spark, sf_dir), ["links", "headings", "forms", "images", "tables"])
+
+
+@query("page_summary_rt")
+def q_page_summary_rt(spark, sf_dir):
+    return pe.page_summary(_rt_elements(spark, sf_dir))
+
+
+@query("headings")
+def q_headings(spark, sf_dir):
+    return pe.headings(_elements(spark, sf_dir)).select("page_id", "level", "ordinal", "text")
+
+
+@query("forms")
+def q_forms(spark, sf_dir):
+    return pe.forms(_rt_elements(spark, sf_dir)).select("page_id", "form_id", "action", "method")
+
+
+@query("form_inputs")
+def q_form_inputs(spark, sf_dir):
+    return pe.form_inputs(_rt_elements(spark, sf_dir)).select(
+        "page_id", "form_id", "type", "name", "id", "placeholder", "required")
+
+
+@query("inputs")
+def q_inputs(spark, sf_dir):
+    return pe.inputs(_rt_elements(spark, sf_dir)).select(
+        "page_id", "tag", "type", "name", "value", "placeholder", "required", "n_options")
+
+
+@query("buttons")
+def q_buttons(spark, sf_dir):
+    return pe.buttons(_rt_elements(spark, sf_dir)).select("page_id", "tag", "id", "text", "type")
+
+
+@query("links")
+def q_links(spark, sf_dir):
+    return pe.links(_elements(spark, sf_dir)).select(
+        "page_id", "ordinal", "text", "href", "is_external", "is_external_page")
+
+
+@query("links_rt")
+def q_links_rt(spark, sf_dir):
+    return pe.links(_rt_elements(spark, sf_dir)).select(
+        "page_id", "ordinal", "text", "href", "title", "target", "is_external", "is_external_page")
+
+
+@query("images")
+def q_images(spark, sf_dir):
+    return pe.images(_rt_elements(spark, sf_dir)).select("page_id", "src", "alt", "title", "width", "height")
+
+
+@query("meta_tags")
+def q_meta_tags(spark, sf_dir):
+    return pe.meta_tags(_rt_elements(spark, sf_dir))
+
+
+@query("html_tables")
+def q_html_tables(spark, sf_dir):
+    return pe.html_tables(_rt_elements(spark, sf_dir)).select(
+        "page_id", "table_id", F.array_join("headers", "|").alias("headers"), "n_rows", "n_columns")
+
+
+@query("error_messages")
+def q_error_messages(spark, sf_dir):
+    return pe.error_messages(_rt_elements(spark, sf_dir)).select("page_id", "selector", "text")
+
+
+@query("login_error_message")
+def q_login_error_message(spark, sf_dir):
+    return pe.login_error_message(_rt_elements(spark, sf_dir))
+
+
+@query("interactive")
+def q_interactive(spark, sf_dir):
+    return pe.interactive(_rt_elements(spark, sf_dir)).select("page_id", "kind", "selector", "tag", "text", "type")
+
+
+@query("text_search")
+def q_text_search(spark, sf_dir):
+    return pe.text_search(_elements(spark, sf_dir), "th", tags=["a", "h1", "title", "div"]).select(
+        "page_id", "tag", "own_text")
+
+
+@query("text_search_best")
+def q_text_search_best(spark, sf_dir):
+    return pe.text_search_best(_rt_elements(spark, sf_dir), "Save", tags=["button", "form", "main"]).select(
+        "page_id", "stage", "tag", "own_text")
+
+
+@query("css_selector")
+def q_css_selector(spark, sf_dir):
+    return (sl.css_selector(_rt_elements(spark, sf_dir)).filter(F.col("tag").isin("a", "button", "input", "img"))
+            .select("page_id", "tag", "css"))
+
+
+@query("xpath")
+def q_xpath(spark, sf_dir):
+    return (sl.add_xpaths(_elements(spark, sf_dir)).filter(F.col("tag") == "a")
+            .select("page_id", "tag", "xpath", "xpath_soup", "full_xpath"))
+
+
+@query("element_selectors")
+def q_element_selectors(spark, sf_dir):
+    el = sl.add_xpaths(sl.css_selector(_rt_elements(spark, sf_dir)))
+    return sl.element_selectors(el).select(
+        "page_id", "tag", "css_simple", "css", "xpath", "full_xpath",
+        F.size("reliable_selectors").alias("n_reliable"))
+
+
+@query("reliable_selectors")
+def q_reliable_selectors(spark, sf_dir):
+    el = _rt_elements(spark, sf_dir)
+    rel = sl.reliable_selectors(F.col("tag"), F.col("text"), F.col("id"), F.col("class"),
+                                F.map_filter(F.col("attrs"), lambda k, v: k.startswith("data-")))
+    return el.filter(F.col("tag") == "a").select(
+        "page_id", F.posexplode(rel).alias("pos", "sel")).select("page_id", "pos", "sel.type", "sel.value")
+
+
+@query("best_selector")
+def q_best_selector(spark, sf_dir):
+    el = sl.add_xpaths(sl.css_selector(_rt_elements(spark, sf_dir))).filter(F.col("tag").isin("a", "button", "input"))
+    return sl.best_selector(el).select("page_id", "best.kind", "best.type", "best.value",
+                                       F.size("selector_list").alias("n_candidates"))
+
+
+@query("element_category")
+def q_element_category(spark, sf_dir):
+    return sl.element_category(_rt_elements(spark, sf_dir)).select("page_id", "tag", "category", "category_detailed")
+
+
+@query("page_structure")
+def q_page_structure(spark, sf_dir):
+    return pe.page_structure(_rt_elements(spark, sf_dir)).select("page_id", "region", "tag")
+
+
+@query("dedup_elements")
+def q_dedup_elements(spark, sf_dir):
+    el = sl.add_xpaths(_elements(spark, sf_dir))
+    cand = (pe.interactive(el, ("clickable",)).join(el.select("page_id", "idx", "xpath"), ["page_id", "idx"])
+            .withColumn("order", F.col("selector") * 1000000 + F.col("idx")))
+    return pe.dedup_elements(cand).select("page_id", "xpath", "tag", "text")
+
+
+@query("category_summary")
+def q_category_summary(spark, sf_dir):
+    return pe.category_summary(sl.element_category(_rt_elements(spark, sf_dir)))
+
+
+@query("selector_table")
+def q_selector_table(spark, sf_dir):
+    return sl.selector_table(_rt_elements(spark, sf_dir)).select(
+        "page_id", "name", "text_value", "id", "class", "css", "xpath", "element_type", "category",
+        F.to_json("data").alias("data"))
+
+
+@query("data_attributes")
+def q_data_attributes(spark, sf_dir):
+    el = _rt_elements(spark, sf_dir)
+    return el.select("page_id", "idx", F.explode(sl.data_attributes(F.col("attrs"))).alias("key", "value")).select(
+        "page_id", "key", "value")
+
+
+@query("page_slug")
+def q_page_slug(spark, sf_dir):
+    return load_table(spark, sf_dir, "pages").select("page_id", pe.page_slug(F.col("url")).alias("slug"))
+
+
+@query("page_changes")
+def q_page_changes(spark, sf_dir):
+    pages = load_table(spark, sf_dir, "pages")
+    after = fx.changed_pages(pages)
+    return pe.page_changes(pe.page_metrics(pages, extract_elements(pages)),
+                           pe.page_metrics(after, extract_elements(after)))
+
+
+@query("alert_kind")
+def q_alert_kind(spark, sf_dir):
+    return load_table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", pe.alert_kind(F.col("text")).alias("kind"))

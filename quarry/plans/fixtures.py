@@ -211,3 +211,59 @@ def secret_documents(customer: DataFrame) -> DataFrame:
                             F.substring(h2, 1, 16), F.lit("\napi-secret=\""), h, F.lit("\""))))
     text = F.concat(F.lit("# settings for "), F.col("c_name"), F.lit("\n"), body, F.lit("\n# end\n"))
     return customer.select(k.alias("doc_id"), text.alias("text"))
+
+
+def customer_pages(customer: DataFrame) -> DataFrame:
+    """One rendered page per customer, holding every element kind the page
+    operators look for: meta tags, a header bar, a sidebar link with data
+    attributes, a form (named on even keys) with inputs / select / textarea /
+    buttons, a table with headers (id on keys divisible by 3) and one
+    without, an image, an error box for negative balances, link buttons.
+    Option and cell end tags are left implied on purpose."""
+    k = F.col("c_custkey").cast("string")
+    even = F.pmod(F.col("c_custkey"), F.lit(2)) == 0
+    by3 = F.pmod(F.col("c_custkey"), F.lit(3)) == 0
+    bal = F.format_string("%.2f", F.col("c_acctbal"))
+    form_open = F.when(even, F.concat(F.lit('<form id="f'), k, F.lit('" action="/save/'), k, F.lit('" method="post">'))) \
+        .otherwise(F.concat(F.lit('<form action="/save/'), k, F.lit('">')))
+    table_open = F.when(by3, F.concat(F.lit('<table id="t'), k, F.lit('">'))).otherwise(F.lit("<table>"))
+    error = F.when(F.col("c_acctbal") < 0, F.concat(
+        F.lit('<div class="alert alert-danger" role="alert">Error '), k,
+        F.lit(': invalid balance</div><p class="error-message">failed to save '), k, F.lit("</p>"))).otherwise(F.lit(""))
+    html = F.concat(
+        F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"><title>'), F.col("c_name"),
+        F.lit('</title><meta name="segment" content="'), F.col("c_mktsegment"),
+        F.lit('"><meta property="og:id" content="'), k, F.lit('"><meta content="none"></head><body>'),
+        F.lit('<header class="navbar top"><a class="btn nav-link" href="/home">Home</a></header>'),
+        F.lit('<div id="sidebar" class="sidebar menu"><a href="https://ext.example.com/c/'), k,
+        F.lit('" data-track-id="'), k, F.lit('" data-empty="">Ext '), k, F.lit("</a></div>"),
+        F.lit('<main class="content"><h2>'), F.col("c_name"), F.lit("</h2>"),
+        form_open,
+        F.lit('<input type="text" name="name" id="name'), k, F.lit('" placeholder="Name" required>'),
+        F.lit('<input type="hidden" name="k" value="'), k, F.lit('">'),
+        F.lit('<input name="bal" value="'), bal, F.lit('">'),
+        F.lit('<select name="seg"><option>A<option>B<option>'), F.col("c_mktsegment"), F.lit("</select>"),
+        F.lit('<textarea name="note"></textarea>'),
+        F.lit('<button type="submit" id="submit'), k, F.lit('">Save</button>'),
+        F.lit('<input type="button" value="Cancel"></form>'),
+        table_open, F.lit("<tr><th>Key<th>Balance</tr><tr><td>"), k, F.lit("<td>"), bal, F.lit("</tr></table>"),
+        F.lit("<table><tr><td>a<td>b<td>c</tr><tr><td>d</tr></table>"),
+        F.lit('<img src="/img/'), k, F.lit('.png" alt="'), F.col("c_name"), F.lit('" width="'),
+        F.col("c_nationkey").cast("string"), F.lit('">'),
+        error,
+        F.lit('<a class="btn" href="#">Go</a><a role="button">Act</a></main></body></html>'))
+    return customer.select(F.col("c_custkey").alias("page_id"),
+                           F.concat(F.lit("https://shop.example.com/c/"), k).alias("url"), html.alias("html"))
+
+
+def changed_pages(pages: DataFrame) -> DataFrame:
+    """A second snapshot of ``pages``: unchanged, one added paragraph, or a
+    block of seven added elements, by page key."""
+    k = F.pmod(F.col("page_id"), F.lit(3))
+    html = (F.when(k == 0, F.col("html"))
+            .when(k == 1, F.replace(F.col("html"), F.lit("</article>"),
+                                    F.lit("<p>An added paragraph that is long enough.</p></article>")))
+            .otherwise(F.replace(F.col("html"), F.lit("<footer>"),
+                                 F.lit("<div><span>a</span><span>b</span><span>c</span><span>d</span>"
+                                       "<span>e</span><span>f</span></div><footer>"))))
+    return pages.select("page_id", "url", html.alias("html"))

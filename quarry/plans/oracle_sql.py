@@ -511,3 +511,240 @@ FROM j"""
 
 register("sensitive_summary", _summary_sql("SELECT doc_id, text FROM documents"))
 register("sensitive_summary_rt", _summary_sql(SECRET_DOCS))
+
+
+# ---- H1-H31 --------------------------------------------------------------------
+def _unescape(x: str) -> str:
+    out = x
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"),
+                    ("&middot;", "·"), ("&nbsp;", "' || chr(160) || '"), ("&amp;", "&")):
+        out = f"replace({out}, '{ent}', '{ch}')"
+    return out
+
+
+def _count(html: str, pat: str) -> str:
+    return f"CAST(len(regexp_extract_all({html}, '{pat}')) AS BIGINT)"
+
+
+CLEAN_HTML = ("regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), "
+              "'(?s)<script([^>]*)>.*?</script>', '<script\\1></script>', 'g'), "
+              "'(?s)<style([^>]*)>.*?</style>', '<style\\1></style>', 'g')")
+
+register("page_summary", f"""
+WITH p AS (SELECT page_id, url, {CLEAN_HTML} AS h FROM pages)
+SELECT page_id, url, {_strip(_unescape("regexp_extract(h, '(?s)<title[^>]*>(.*?)</title>', 1)"))} AS title,
+       {_count('h', '<[a-zA-Z][a-zA-Z0-9]*')} AS n_elements,
+       {_count('h', '<a[\\s>]')} AS n_links, {_count('h', '<h[1-6][\\s>]')} AS n_headings,
+       {_count('h', '<form[\\s>]')} AS n_forms, {_count('h', '<img[\\s>/]')} AS n_images,
+       {_count('h', '<table[\\s>]')} AS n_tables
+FROM p""")
+
+CUSTOMER_PAGE = """
+c AS (SELECT c_custkey AS page_id, CAST(c_custkey AS VARCHAR) AS k, c_custkey % 2 = 0 AS even,
+             c_custkey % 3 = 0 AS by3, printf('%.2f', c_acctbal) AS bal, c_acctbal < 0 AS neg, *
+      FROM customer)"""
+
+register("page_summary_rt", f"""
+WITH {CUSTOMER_PAGE}
+SELECT page_id, 'https://shop.example.com/c/' || k AS url, c_name AS title,
+       CAST(CASE WHEN neg THEN 44 ELSE 42 END AS BIGINT) AS n_elements, CAST(1 AS BIGINT) AS n_forms,
+       CAST(2 AS BIGINT) AS n_buttons, CAST(4 AS BIGINT) AS n_links, CAST(5 AS BIGINT) AS n_inputs,
+       CAST(CASE WHEN neg THEN 5 ELSE 0 END AS BIGINT) AS n_errors, CAST(1 AS BIGINT) AS n_headings,
+       CAST(1 AS BIGINT) AS n_images, CAST(2 AS BIGINT) AS n_tables
+FROM c""")
+
+register("headings", f"""
+WITH p AS (SELECT page_id, {CLEAN_HTML} AS h FROM pages),
+x AS (SELECT page_id, regexp_extract_all(h, '(?s)<h([1-6])[^>]*>.*?</h[1-6]>', 1) AS lv,
+             regexp_extract_all(h, '(?s)<h[1-6][^>]*>(.*?)</h[1-6]>', 1) AS tx FROM p),
+u AS (SELECT page_id, unnest(lv) AS level, unnest(tx) AS t FROM x)
+SELECT page_id, CAST(level AS INTEGER) AS level,
+       CAST(row_number() OVER (PARTITION BY page_id, level ORDER BY 1) AS INTEGER) AS ordinal,
+       {_strip(_unescape("regexp_replace(t, '<[^>]*>', '', 'g')"))} AS text
+FROM u""")
+
+register("forms", f"""
+WITH {CUSTOMER_PAGE}
+SELECT page_id, CASE WHEN even THEN 'f' || k ELSE 'unnamed_form_0' END AS form_id, '/save/' || k AS action,
+       CASE WHEN even THEN 'POST' ELSE 'GET' END AS method
+FROM c""")
+
+register("form_inputs", f"""
+WITH {CUSTOMER_PAGE},
+f AS (SELECT page_id, k, CASE WHEN even THEN 'f' || k ELSE 'unnamed_form_0' END AS form_id FROM c)
+SELECT page_id, form_id, 'text' AS type, 'name' AS name, 'name' || k AS id, 'Name' AS placeholder, true AS required FROM f
+UNION ALL SELECT page_id, form_id, 'hidden', 'k', '', '', false FROM f
+UNION ALL SELECT page_id, form_id, 'text', 'bal', '', '', false FROM f
+UNION ALL SELECT page_id, form_id, 'select', 'seg', '', '', false FROM f
+UNION ALL SELECT page_id, form_id, 'textarea', 'note', '', '', false FROM f
+UNION ALL SELECT page_id, form_id, 'button', '', '', '', false FROM f""")
+
+register("inputs", f"""
+WITH {CUSTOMER_PAGE}
+SELECT page_id, 'input' AS tag, 'text' AS type, 'name' AS name, '' AS value, 'Name' AS placeholder, true AS required,
+       CAST(NULL AS BIGINT) AS n_options FROM c
+UNION ALL SELECT page_id, 'input', 'text', 'bal', bal, '', false, NULL FROM c
+UNION ALL SELECT page_id, 'select', 'select-one', 'seg', '', '', false, 3 FROM c
+UNION ALL SELECT page_id, 'textarea', 'textarea', 'note', '', '', false, NULL FROM c
+UNION ALL SELECT page_id, 'input', 'button', '', 'Cancel', '', false, NULL FROM c""")
+
+register("buttons", f"""
+WITH {CUSTOMER_PAGE}
+SELECT page_id, 'a' AS tag, '' AS id, 'Home' AS text, 'link-button' AS type FROM c
+UNION ALL SELECT page_id, 'button', 'submit' || k, 'Save', 'submit' FROM c
+UNION ALL SELECT page_id, 'input', '', 'Cancel', 'button' FROM c
+UNION ALL SELECT page_id, 'a', '', 'Go', 'link-button' FROM c
+UNION ALL SELECT page_id, 'a', '', 'Act', 'link-button' FROM c""")
+
+register("links", f"""
+WITH p AS (SELECT page_id, url, {CLEAN_HTML} AS h FROM pages),
+x AS (SELECT page_id, url, regexp_extract_all(h, '(?s)<a\\s[^>]*href="([^"]*)"[^>]*>.*?</a>', 1) AS hr,
+             regexp_extract_all(h, '(?s)<a\\s[^>]*href="[^"]*"[^>]*>(.*?)</a>', 1) AS tx FROM p),
+u AS (SELECT page_id, url, unnest(generate_series(1, len(hr))) AS ordinal, unnest(hr) AS href0, unnest(tx) AS t FROM x),
+v AS (SELECT page_id, url, ordinal, {_unescape('href0')} AS href, t FROM u)
+SELECT page_id, CAST(ordinal AS INTEGER) AS ordinal,
+       {_strip(_unescape("regexp_replace(t, '<[^>]*>', '', 'g')"))} AS text, href,
+       starts_with(href, 'http') OR starts_with(href, '//') AS is_external,
+       (starts_with(href, 'http') OR starts_with(href, '//')) AND NOT starts_with(href, url) AS is_external_page
+FROM v""")
+
+register("links_rt", f"""
+WITH {CUSTOMER_PAGE}
+SELECT page_id, 1 AS ordinal, 'Home' AS text, '/home' AS href, '' AS title, '' AS target, false AS is_external,
+       false AS is_external_page FROM c
+UNION ALL SELECT page_id, 2, 'Ext ' || k, 'https://ext.example.com/c/' || k, '', '', true, true FROM c
+UNION ALL SELECT page_id, 3, 'Go', '#', '', '', false, false FROM c""")
+
+register("images", f"""
+WITH {CUSTOMER_PAGE}
+SELECT page_id, '/img/' || k || '.png' AS src, c_name AS alt, '' AS title, CAST(c_nationkey AS VARCHAR) AS width,
+       '' AS height FROM c""")
+
+register("meta_tags", f"""
+WITH {CUSTOMER_PAGE}
+SELECT page_id, 'segment' AS name, c_mktsegment AS content FROM c
+UNION ALL SELECT page_id, 'og:id', k FROM c""")
+
+register("html_tables", f"""
+WITH {CUSTOMER_PAGE}
+SELECT page_id, CASE WHEN by3 THEN 't' || k ELSE 'unnamed_table_0' END AS table_id, 'Key|Balance' AS headers,
+       CAST(2 AS BIGINT) AS n_rows, CAST(2 AS BIGINT) AS n_columns FROM c
+UNION ALL SELECT page_id, 'unnamed_table_1', '', 2, 3 FROM c""")
+
+register("error_messages", f"""
+WITH {CUSTOMER_PAGE}, s AS (SELECT unnest([1, 2, 4, 6]) AS selector)
+SELECT page_id, selector, 'Error ' || k || ': invalid balance' AS text FROM c, s WHERE neg
+UNION ALL SELECT page_id, 5, 'failed to save ' || k FROM c WHERE neg""")
+
+register("login_error_message", f"""
+WITH {CUSTOMER_PAGE}
+SELECT page_id, 'failed to save ' || k AS message FROM c WHERE neg""")
+
+register("interactive", f"""
+WITH {CUSTOMER_PAGE}
+SELECT page_id, 'clickable' AS kind, 0 AS selector, 'a' AS tag, 'Home' AS text, 'a' AS type FROM c
+UNION ALL SELECT page_id, 'clickable', 0, 'a', 'Ext ' || k, 'a' FROM c
+UNION ALL SELECT page_id, 'clickable', 0, 'a', 'Go', 'a' FROM c
+UNION ALL SELECT page_id, 'clickable', 0, 'a', 'Act', 'a' FROM c
+UNION ALL SELECT page_id, 'clickable', 1, 'button', 'Save', 'submit' FROM c
+UNION ALL SELECT page_id, 'clickable', 2, 'input', 'Cancel', 'button' FROM c
+UNION ALL SELECT page_id, 'clickable', 5, 'a', 'Act', 'a' FROM c
+UNION ALL SELECT page_id, 'clickable', 6, 'a', 'Home', 'a' FROM c
+UNION ALL SELECT page_id, 'clickable', 6, 'a', 'Go', 'a' FROM c
+UNION ALL SELECT page_id, 'input', 0, 'input', '', 'text' FROM c
+UNION ALL SELECT page_id, 'input', 0, 'input', bal, 'text' FROM c
+UNION ALL SELECT page_id, 'input', 0, 'input', 'Cancel', 'button' FROM c
+UNION ALL SELECT page_id, 'input', 1, 'textarea', '', 'textarea' FROM c
+UNION ALL SELECT page_id, 'input', 2, 'select', 'AB' || c_mktsegment, 'select-one' FROM c""")
+
+register("text_search", f"""
+WITH p AS (SELECT page_id, {CLEAN_HTML} AS h FROM pages),
+x AS (
+  SELECT page_id, 'a' AS tag, unnest(regexp_extract_all(h, '<a\\s[^>]*>([^<]*)</a>', 1)) AS t FROM p
+  UNION ALL SELECT page_id, 'h1', unnest(regexp_extract_all(h, '<h1[^>]*>([^<]*)</h1>', 1)) FROM p
+  UNION ALL SELECT page_id, 'title', unnest(regexp_extract_all(h, '<title[^>]*>([^<]*)</title>', 1)) FROM p
+  UNION ALL SELECT page_id, 'div', unnest(regexp_extract_all(h, '<div[^>]*>([^<]*)</div>', 1)) FROM p)
+SELECT page_id, tag, {_unescape('t')} AS own_text FROM x WHERE contains(lower({_unescape('t')}), 'th')""")
+
+register("text_search_best", f"""
+WITH {CUSTOMER_PAGE}
+SELECT page_id, 1 AS stage, 'button' AS tag, 'Save' AS own_text FROM c""")
+
+register("css_selector", f"""
+WITH {CUSTOMER_PAGE}, f AS (SELECT *, CASE WHEN even THEN '#f' || k ELSE 'body > main > form' END AS fp FROM c)
+SELECT page_id, 'a' AS tag, '.btn.nav-link' AS css FROM f
+UNION ALL SELECT page_id, 'a', '#sidebar > a' FROM f
+UNION ALL SELECT page_id, 'a', 'html > body > main > a' FROM f
+UNION ALL SELECT page_id, 'a', 'html > body > main > a:nth-child(2)' FROM f
+UNION ALL SELECT page_id, 'button', '#submit' || k FROM f
+UNION ALL SELECT page_id, 'input', '#name' || k FROM f
+UNION ALL SELECT page_id, 'input', fp || ' > input:nth-child(2)' FROM f
+UNION ALL SELECT page_id, 'input', fp || ' > input:nth-child(3)' FROM f
+UNION ALL SELECT page_id, 'input', fp || ' > input:nth-child(4)' FROM f
+UNION ALL SELECT page_id, 'img', 'html > body > main > img' FROM f""")
+
+NAV_LINKS = f"""
+p AS (SELECT page_id, {CLEAN_HTML} AS h FROM pages),
+x AS (SELECT page_id, regexp_extract_all(h, '<a\\s[^>]*>([^<]*)</a>', 1) AS tx FROM p),
+u AS (SELECT page_id, unnest(generate_series(1, len(tx))) AS k, unnest(tx) AS t FROM x),
+n AS (SELECT page_id, k, {_unescape('t')} AS t,
+             'html/body/nav/ul/li' || CASE WHEN k > 1 THEN '[' || k || ']' ELSE '' END || '/a' AS steps FROM u)"""
+
+register("xpath", f"""
+WITH {NAV_LINKS}
+SELECT page_id, 'a' AS tag, '/' || steps AS xpath, '//' || steps AS xpath_soup, '//*/' || steps AS full_xpath FROM n""")
+
+register("dedup_elements", f"""
+WITH {NAV_LINKS}
+SELECT page_id, '/' || steps AS xpath, 'a' AS tag, {_strip('t')} AS text FROM n""")
+
+register("data_attributes", f"""
+WITH {CUSTOMER_PAGE} SELECT page_id, 'track_id' AS key, k AS value FROM c""")
+
+register("page_structure", f"""
+WITH {CUSTOMER_PAGE}
+SELECT page_id, 'top_bar' AS region, 'header' AS tag FROM c
+UNION ALL SELECT page_id, 'side_bar', 'div' FROM c
+UNION ALL SELECT page_id, 'main_content', 'main' FROM c""")
+
+register("page_slug", """
+WITH u AS (
+  SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS netloc,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+v AS (SELECT *, regexp_replace(replace(regexp_replace(path, '^/+|/+$', '', 'g'), '/', '_'), '[^\\p{L}\\p{N}_.-]', '', 'g') AS part
+      FROM u)
+SELECT page_id, CASE WHEN path <> '' AND path <> '/' AND part <> '' THEN netloc || '_' || substr(part, 1, 30)
+                     ELSE netloc END AS slug
+FROM v""")
+
+
+def _text_len(h: str) -> str:
+    body = f"regexp_replace(regexp_extract({h}, '(?s)<body[^>]*>(.*)', 1), '(?s)</body>.*', '')"
+    stripped = (f"regexp_replace(regexp_replace(regexp_replace({body}, '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), "
+                f"'(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g')")
+    return f"CAST(length({_unescape(stripped)}) AS BIGINT)"
+
+
+register("page_changes", f"""
+WITH a AS (SELECT url, html, {CLEAN_HTML} AS h FROM pages),
+b0 AS (SELECT page_id, url,
+              CASE page_id % 3 WHEN 0 THEN html
+                   WHEN 1 THEN replace(html, '</article>', '<p>An added paragraph that is long enough.</p></article>')
+                   ELSE replace(html, '<footer>', '<div><span>a</span><span>b</span><span>c</span><span>d</span><span>e</span><span>f</span></div><footer>')
+              END AS html FROM pages),
+b AS (SELECT url, html, {CLEAN_HTML} AS h FROM b0),
+m AS (
+  SELECT a.url, a.html <> b.html AS source_changed,
+         {_count('b.h', '<[a-zA-Z][a-zA-Z0-9]*')} - {_count('a.h', '<[a-zA-Z][a-zA-Z0-9]*')} AS d_elements,
+         {_text_len('b.h')} - {_text_len('a.h')} AS d_text
+  FROM a JOIN b USING (url))
+SELECT url, source_changed, d_elements, d_text,
+       source_changed OR abs(d_elements) > 5 OR abs(d_text) > 20 AS changed
+FROM m""")
+
+register("alert_kind", """
+SELECT conv_id, turn,
+       CASE WHEN contains(text, '?') OR contains(text, '確認') OR contains(lower(text), 'confirm') THEN 'confirm'
+            WHEN contains(text, '入力') OR contains(text, 'プロンプト') OR contains(lower(text), 'prompt') THEN 'prompt'
+            ELSE 'alert' END AS kind
+FROM conversations""")
