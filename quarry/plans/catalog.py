@@ -504,3 +504,115 @@ def q_page_changes(spark, sf_dir):
 def q_alert_kind(spark, sf_dir):
     return load_table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", pe.alert_kind(F.col("text")).alias("kind"))
+
+
+# ---- S1-S9, ST1-ST2 -------------------------------------------------------------
+from quarry.sources import reports as rpt  # noqa: E402
+from quarry.sources import sinks as sk  # noqa: E402
+
+ORDER_COLS = fx.ORDER_REPORT_HEADER
+
+
+@query("read_report_csv")
+def q_read_report_csv(spark, sf_dir):
+    path = fx.write_order_report(spark, load_table(spark, sf_dir, "orders"), "cp932", junk_line=True)
+    df = rpt.read_report_csv(spark, path, encoding="cp932", header_row=2)
+    return df.select("rn", F.regexp_extract("source_file", r"part=(\d+)", 1).cast("int").alias("part"),
+                     *[F.col(f"`{c}`") for c in ORDER_COLS])
+
+
+@query("report_schema_table")
+def q_report_schema_table(spark, sf_dir):
+    """S1 -> T7 on the landed file (row order = file order within a file)."""
+    path = fx.write_order_report(spark, load_table(spark, sf_dir, "orders"), "utf-8", junk_line=False, files=1)
+    df = rpt.read_report_csv(spark, path, encoding="utf-8", header_row=1).drop("source_file")
+    return _flat_schema(si.schema_table(df))
+
+
+@query("file_encoding")
+def q_file_encoding(spark, sf_dir):
+    orders = load_table(spark, sf_dir, "orders")
+    out = None
+    for enc in ("utf-8", "cp932", "euc_jp"):
+        path = fx.write_order_report(spark, orders, enc, junk_line=True)
+        e = rpt.file_encoding(spark, path, "*.csv").select(F.lit(enc).alias("written"), "encoding")
+        out = e if out is None else out.unionByName(e)
+    return out
+
+
+@query("registry_csv")
+def q_registry_csv(spark, sf_dir):
+    path = fx.scratch_dir(spark, "registry")
+    rows = fx.registry_rows(load_table(spark, sf_dir, "part"))
+    rows.write.option("header", True).csv(path)
+    loaded = spark.read.option("header", True).csv(path).withColumn("pos", F.col("pos").cast("long"))
+    return rg.registry_load(loaded)
+
+
+@query("latest_file")
+def q_latest_file(spark, sf_dir):
+    path = fx.write_order_report(spark, load_table(spark, sf_dir, "orders"), "utf-8", junk_line=False)
+    listing = rpt.list_files(spark, path)
+    return rpt.latest_file(listing, extensions=[".csv"]).select(
+        F.regexp_extract("dir", r"part=(\d+)$", 1).cast("int").alias("part"), (F.col("length") > 0).alias("non_empty"))
+
+
+@query("new_files")
+def q_new_files(spark, sf_dir):
+    orders = load_table(spark, sf_dir, "orders")
+    first = rpt.list_files(spark, fx.write_order_report(spark, orders, "utf-8", junk_line=False))
+    second_path = fx.write_order_report(spark, orders, "utf-8", junk_line=True)
+    after = first.unionByName(rpt.list_files(spark, second_path))
+    return rpt.new_files(first, after, pattern=".CSV").select(
+        F.regexp_extract("dir", r"part=(\d+)$", 1).cast("int").alias("part"))
+
+
+@query("schema_document")
+def q_schema_document(spark, sf_dir):
+    doc = sk.schema_document(si.schema_table(report(spark, sf_dir, "orders", "o_orderkey")))
+    entry = "struct<COLUMN_ORIGIN_NAME:string,DATA_TYPE:string,COLUMN_AFTER_NAME:string,DESCRIPTION:string," \
+            "SAMPLE_DATA:string,CONSISTENCY_RATE:double,INCONSISTENT_COUNT:bigint,INCONSISTENT_SAMPLES:array<string>>"
+    parsed = doc.select(F.explode(F.from_json(F.get_json_object("document", "$.schema"), f"array<{entry}>")).alias("s"))
+    return _flat_schema(parsed.select("s.*"))
+
+
+@query("selector_export")
+def q_selector_export(spark, sf_dir):
+    return sk.selector_csv_frame(sl.selector_table(_rt_elements(spark, sf_dir)))
+
+
+@query("report_target")
+def q_report_target(spark, sf_dir):
+    runs = fx.report_runs(load_table(spark, sf_dir, "events"))
+    norm = rp.normalize_report_type(F.col("report_type"))
+    return runs.select("event_id", rpt.report_target_name(norm, RUN_DATE).alias("target"))
+
+
+@query("stream_arrivals")
+def q_stream_arrivals(spark, sf_dir):
+    from quarry.streaming.arrivals import arrivals, land_arrivals
+    from pyspark.sql import types as T
+    src = fx.write_order_report(spark, load_table(spark, sf_dir, "orders"), "utf-8", junk_line=False)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ORDER_COLS])
+    sink = fx.scratch_dir(spark, "arrivals-sink")
+    q = land_arrivals(arrivals(spark, src + "/*", schema, glob="*.csv", run_date=RUN_DATE), sink, sink + "-ckpt")
+    q.awaitTermination()
+    return spark.read.parquet(sink).drop("source_file")
+
+
+@query("stream_page_changes")
+def q_stream_page_changes(spark, sf_dir):
+    from quarry.streaming.page_changes import page_change_stream
+    pages = load_table(spark, sf_dir, "pages")
+    src = fx.scratch_dir(spark, "snapshots")
+    pages.withColumn("snapshot", F.lit(1)).write.parquet(src + "/s1")
+    fx.changed_pages(pages).withColumn("snapshot", F.lit(2)).write.parquet(src + "/s2")
+    schema = spark.read.parquet(src + "/s1").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(src + "/*")
+    from quarry.streaming.page_changes import stream_metrics
+    changes = page_change_stream(stream_metrics(stream))
+    sink = fx.scratch_dir(spark, "changes-sink")
+    q = (changes.writeStream.format("parquet").option("path", sink).option("checkpointLocation", sink + "-ckpt")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(sink)

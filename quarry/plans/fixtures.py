@@ -267,3 +267,45 @@ def changed_pages(pages: DataFrame) -> DataFrame:
                                  F.lit("<div><span>a</span><span>b</span><span>c</span><span>d</span>"
                                        "<span>e</span><span>f</span></div><footer>"))))
     return pages.select("page_id", "url", html.alias("html"))
+
+
+def scratch_dir(spark, name: str) -> str:
+    """A fresh folder under the session's checkpoint folder (shared storage
+    on a cluster) for files a registered query lands and reads back."""
+    import uuid
+
+    from quarry.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/quarry-rt/{name}-{uuid.uuid4().hex[:12]}"
+
+
+# Header names of the landed orders report (Japanese headers
+# exercise the cp932 path).
+ORDER_REPORT_HEADER = ("注文番号", "顧客番号", "状態", "金額", "注文日", "優先度")
+ORDER_REPORT_FILES = 4
+
+
+def write_order_report(spark, orders: DataFrame, encoding: str = "cp932", junk_line: bool = True,
+                       files: int = ORDER_REPORT_FILES) -> str:
+    """Land ``orders`` as report CSV files (one folder per file group
+    ``part=k`` with k = key mod ``files``): an optional junk first line,
+    a header line, then the rows in key order. Returns the folder."""
+    path = scratch_dir(spark, "orders-report")
+    k = F.pmod(F.col("o_orderkey"), F.lit(files))
+    fields = [F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.col("o_orderstatus"),
+              F.format_string("%.2f", F.col("o_totalprice")), F.date_format("o_orderdate", "yyyy-MM-dd"),
+              F.col("o_orderpriority")]
+    data = orders.select(k.alias("part"), F.lit(2).alias("seq"), F.col("o_orderkey").alias("key"),
+                         F.concat_ws(",", *fields).alias("line"))
+    parts = orders.select(k.alias("part")).distinct()
+    head = parts.select("part", F.lit(1).alias("seq"), F.lit(-1).cast("long").alias("key"),
+                        F.lit(",".join(ORDER_REPORT_HEADER)).alias("line"))
+    lines = data.unionByName(head)
+    if junk_line:
+        lines = lines.unionByName(parts.select("part", F.lit(0).alias("seq"), F.lit(-2).cast("long").alias("key"),
+                                               F.lit("ダミー1,ダミー2,ダミー3").alias("line")))
+    from quarry.sources.reports import _ensure_charsets
+    _ensure_charsets(spark, encoding)
+    (lines.repartition(files, "part").sortWithinPartitions("part", "seq", "key").select("part", "line")
+     .write.mode("overwrite").partitionBy("part").option("encoding", encoding).option("quote", "")
+     .option("sep", "\u0001").option("header", False).csv(path))
+    return path

@@ -24,7 +24,18 @@ TABLE_COLUMNS = {
 }
 
 
+# Report layout of orders as landed by ``write_order_report`` (dates
+# without time, Japanese headers).
+REPORT_LAYOUTS = {
+    "orders_report": ("orders", [("o_orderkey", "int", "注文番号"), ("o_custkey", "int", "顧客番号"),
+                                 ("o_orderstatus", "str", "状態"), ("o_totalprice", "double", "金額"),
+                                 ("o_orderdate", "date", "注文日"), ("o_orderpriority", "str", "優先度")]),
+}
+
+
 def _render(name: str, kind: str) -> str:
+    if kind == "date":
+        return f"strftime({name}, '%Y-%m-%d')"
     if kind == "double":
         return f"printf('%.2f', {name})"
     if kind == "ts":
@@ -34,9 +45,13 @@ def _render(name: str, kind: str) -> str:
 
 def cells_sql(table: str, key: str) -> str:
     """Long table (col_pos, column_name, rn, value) of a table's report text."""
+    if table in REPORT_LAYOUTS:
+        src, cols = REPORT_LAYOUTS[table]
+    else:
+        src, cols = table, [(c, k, c) for c, k in TABLE_COLUMNS[table]]
     parts = [
-        f"SELECT {i} AS col_pos, '{c}' AS column_name, {key} + 1 AS rn, {_render(c, k)} AS value FROM {table}"
-        for i, (c, k) in enumerate(TABLE_COLUMNS[table])
+        f"SELECT {i} AS col_pos, '{label}' AS column_name, {key} + 1 AS rn, {_render(c, k)} AS value FROM {src}"
+        for i, (c, k, label) in enumerate(cols)
     ]
     return "\nUNION ALL\n".join(parts)
 
@@ -748,3 +763,33 @@ SELECT conv_id, turn,
             WHEN contains(text, '入力') OR contains(text, 'プロンプト') OR contains(lower(text), 'prompt') THEN 'prompt'
             ELSE 'alert' END AS kind
 FROM conversations""")
+
+
+# ---- S1-S9, ST1 -------------------------------------------------------------------
+register("read_report_csv", """
+SELECT CAST(row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) AS BIGINT) AS rn,
+       CAST(o_orderkey % 4 AS INTEGER) AS part,
+       CAST(o_orderkey AS VARCHAR) AS "注文番号", CAST(o_custkey AS VARCHAR) AS "顧客番号", o_orderstatus AS "状態",
+       printf('%.2f', o_totalprice) AS "金額", strftime(o_orderdate, '%Y-%m-%d') AS "注文日",
+       o_orderpriority AS "優先度"
+FROM orders""")
+
+register("report_target", f"""
+WITH {REPORT_RUNS}
+SELECT event_id, '20240121_ebis_' ||
+       CASE WHEN report_type = 'detailed_analysis' THEN 'detailed_report'
+            WHEN report_type IN ('cv_attribute', 'conversion_attribute') THEN 'conversion_attribute'
+            ELSE report_type || '_report' END || '.csv' AS target
+FROM runs""")
+
+register("registry_csv", ORACLE["registry_load"])
+
+register("schema_document", ORACLE["schema_table"])
+
+register("report_schema_table", schema_table_sql("orders_report", "o_orderkey"))
+
+register("stream_arrivals", """
+SELECT '2024-01-20' AS "日付", CAST(o_orderkey AS VARCHAR) AS "注文番号", CAST(o_custkey AS VARCHAR) AS "顧客番号",
+       o_orderstatus AS "状態", printf('%.2f', o_totalprice) AS "金額", strftime(o_orderdate, '%Y-%m-%d') AS "注文日",
+       o_orderpriority AS "優先度"
+FROM orders""")
