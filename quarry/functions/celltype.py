@@ -66,29 +66,39 @@ def strip_py(col: Column) -> Column:
 
 
 def numeric_value(stripped: Column) -> Column:
-    """Double value of a cell already known to match ``NUMBER_RE``."""
+    """Double value of a cell already known to match ``NUMBER_RE``.
+    Non-ASCII digits are translated only when the cell has any non-ASCII
+    character."""
     src, dst = _decimal_digit_map()
-    cleaned = F.regexp_replace(F.translate(stripped, src, dst), r"(?U)[,_\s\x{1C}-\x{1F}]", "")
+    ascii_only = ~stripped.rlike(r"[^\x00-\x7F]")
+    digits = F.when(ascii_only, stripped).otherwise(F.translate(stripped, src, dst))
+    cleaned = F.regexp_replace(digits, r"(?U)[,_\s\x{1C}-\x{1F}]", "")
     return cleaned.try_cast("double")
 
 
-def cell_type(value: Column) -> Column:
-    """Label one cell. ``value`` must be a string column."""
-    s = strip_py(value)
-    no_commas = F.regexp_replace(s, ",", "")
+def cell_type_of(value: Column, stripped: Column) -> Column:
+    """Label one cell from its raw value and its stripped form (computed
+    once by the caller, so the regex strip is not repeated per branch)."""
+    no_commas = F.replace(stripped, F.lit(","), F.lit(""))
     is_number = no_commas.rlike(NUMBER_RE) | no_commas.rlike(SPECIAL_FLOAT_RE)
     d = numeric_value(no_commas)
     whole = d.isNotNull() & ~F.isnan(d) & (F.abs(d) != F.lit(float("inf"))) & ((d % 1) == 0)
     return (
         F.when(value.isNull() | (value == ""), F.lit(STR))
-        .when(F.lower(s).isin(*BOOLEAN_WORDS), F.lit(BOOLEAN))
-        .when(is_number, F.when(whole & ~s.contains("."), F.lit(INT)).otherwise(F.lit(FLOAT)))
-        .when(s.rlike(DATE_RE), F.lit(DATE))
-        .when(s.rlike(TIMESTAMP_RE), F.lit(TIMESTAMP))
+        .when((F.length(stripped) <= 5) & F.lower(stripped).isin(*BOOLEAN_WORDS), F.lit(BOOLEAN))
+        .when(is_number, F.when(whole & ~stripped.contains("."), F.lit(INT)).otherwise(F.lit(FLOAT)))
+        .when(stripped.rlike(DATE_RE), F.lit(DATE))
+        .when(stripped.rlike(TIMESTAMP_RE), F.lit(TIMESTAMP))
         .otherwise(F.lit(STR))
     )
 
 
+def cell_type(value: Column) -> Column:
+    """Label one cell. ``value`` must be a string column. (Prefer
+    :func:`cell_type_of` with a precomputed stripped column in wide plans.)"""
+    return cell_type_of(value, strip_py(value))
+
+
 def is_blank_cell(value: Column) -> Column:
     """Cells the consistency check skips: null or exactly ''."""
     return value.isNull() | (value == "")

@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.celltype import STR, cell_type, is_blank_cell, strip_py
+from quarry.session import spread
+from quarry.functions.celltype import STR, cell_type_of, is_blank_cell, strip_py
 
 LOW_CONSISTENCY = 0.9
 SAMPLE_CAP = 10
@@ -56,13 +57,16 @@ def unpivot_cells(df: DataFrame, rn: str = "rn", columns: Sequence[str] | None =
                  F.col(_q(c)).cast("string").alias("value"))
         for i, c in enumerate(cols)
     ])
-    return df.select(F.col(rn).cast("long").alias("rn"), F.inline(cells)).select(
-        "col_pos", "column_name", "rn", "value")
+    rows = spread(df.select(F.col(rn).cast("long").alias("rn"), *[F.col(_q(c)) for c in cols]), "rn")
+    return rows.select("rn", F.inline(cells)).select("col_pos", "column_name", "rn", "value")
 
 
-def cell_types(df: DataFrame, rn: str = "rn", columns: Sequence[str] | None = None) -> DataFrame:
+def cell_types(df: DataFrame, rn: str = "rn", columns: Sequence[str] | None = None,
+               keep_stripped: bool = False) -> DataFrame:
     """T1 applied to every cell: (col_pos, column_name, rn, value, data_type)."""
-    return unpivot_cells(df, rn, columns).withColumn("data_type", cell_type(F.col("value")))
+    cells = unpivot_cells(df, rn, columns).withColumn("_s", strip_py(F.col("value")))
+    out = cells.withColumn("data_type", cell_type_of(F.col("value"), F.col("_s")))
+    return out if keep_stripped else out.drop("_s")
 
 
 def type_votes(df: DataFrame, rn: str = "rn", columns: Sequence[str] | None = None) -> DataFrame:
@@ -71,8 +75,8 @@ def type_votes(df: DataFrame, rn: str = "rn", columns: Sequence[str] | None = No
     Also carries what later steps need from the same pass: blank cells
     (null or '') inside the vote and the first non-blank value.
     """
-    typed = cell_types(df, rn, columns)
-    nonblank = F.col("value").isNotNull() & (strip_py(F.col("value")) != "")
+    typed = cell_types(df, rn, columns, keep_stripped=True)
+    nonblank = F.col("value").isNotNull() & (F.col("_s") != "")
     return (
         typed.groupBy("col_pos", "column_name", "data_type")
         .agg(F.count(F.lit(1)).alias("votes"),

@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import spread
+
 # Finding categories and their patterns, in scan order.
 # Matching is case-insensitive.
 PATTERNS: list[tuple[str, str]] = [
@@ -72,7 +74,8 @@ def sensitive_scan(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     t = F.col(text)
     any_re = FLAGS + "|".join(f"(?:{p})" for _, p in patterns)
-    hits = docs.select(F.col(key).alias("_key"), t.alias("_text")).filter(F.col("_text").rlike(any_re))
+    hits = spread(docs.select(F.col(key).alias("_key"), t.alias("_text")), "_key").filter(
+        F.col("_text").rlike(any_re))
     per_pattern = F.array(*[
         F.struct(F.lit(i).alias("pattern_id"), F.lit(cat).alias("type"),
                  F.split(F.col("_text"), java_pattern(p), -1).alias("pieces"),

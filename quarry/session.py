@@ -65,3 +65,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-spread a CPU-heavy input over the cluster's cores when it
+    arrives in fewer partitions than there are cores (small files hold a
+    single row group and cannot be split by the scan). Large inputs already
+    have more splits than cores and are left as they are (no shuffle).
+    """
+    sc = df.sparkSession.sparkContext
+    cores = sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys) if keys else df.repartition(cores)

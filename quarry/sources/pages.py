@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from quarry.functions.html import parse_elements
+from quarry.session import spread
 
 ANC = T.StructType([
     T.StructField("tag", T.StringType()), T.StructField("id", T.StringType()),
@@ -81,4 +82,4 @@ def extract_elements(pages: DataFrame, page_id: str = "page_id", url: str = "url
     """H1: element table (schema ``ELEMENT_SCHEMA``)."""
     src = pages.select(pages[page_id].cast("long").alias("page_id"), pages[url].alias("url"),
                        pages[html].alias("html"))
-    return src.mapInArrow(_extract, ELEMENT_SCHEMA)
+    return spread(src, "page_id").mapInArrow(_extract, ELEMENT_SCHEMA)
