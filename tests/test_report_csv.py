@@ -59,6 +59,7 @@ def test_latest_and_new_files(spark, tmp_dir):
     listing = rpt.list_files(spark, f"{tmp_dir}/d")
     latest = rpt.latest_file(listing, extensions=[".csv"]).collect()
     assert [r.name for r in latest] == ["old.csv"]  # newest is empty -> second newest
-    before = listing.filter(F.col("name") == "old.csv")
-    fresh = rpt.new_files(before, listing, pattern="NEW").collect()
-    assert [r.name for r in fresh] == ["new.csv"]
+    _write(f"{tmp_dir}/d/NEW_report.csv", "x\n2\n", "utf-8")
+    after = rpt.list_files(spark, f"{tmp_dir}/d")
+    fresh = rpt.new_files(listing, after, pattern="new").collect()
+    assert [r.name for r in fresh] == ["NEW_report.csv"]
