@@ -74,8 +74,13 @@ def sensitive_scan(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     t = F.col(text)
     any_re = FLAGS + "|".join(f"(?:{p})" for _, p in patterns)
-    hits = spread(docs.select(F.col(key).alias("_key"), t.alias("_text")), "_key").filter(
-        F.col("_text").rlike(any_re))
+    # Documents with any hit are shuffled once by key; both consumers below
+    # (match offsets and line texts) read that one exchange (Spark reuses
+    # an identical exchange), so the union regex scans the corpus once.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hits = (spread(docs.select(F.col(key).alias("_key"), t.alias("_text")), "_key")
+            .filter(F.col("_key").isNotNull() & F.col("_text").rlike(any_re))
+            .repartition(n, "_key"))
     per_pattern = F.array(*[
         F.struct(F.lit(i).alias("pattern_id"), F.lit(cat).alias("type"),
                  F.split(F.col("_text"), java_pattern(p), -1).alias("pieces"),
