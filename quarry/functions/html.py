@@ -113,8 +113,8 @@ def parse_elements(html: str | None) -> list[tuple]:
     """Element rows of one page:
     (idx, parent_idx, depth, tag, id, class, attrs, own_text, text,
      nth_child, n_child, nth_tag, n_same, anc)
-    ``anc`` lists (tag, id, class, nth_tag, n_same, nth_child, n_child) from
-    the root down to the element itself.
+    ``anc`` lists (tag, id, class, nth_tag, n_same, nth_child, n_child, role,
+    name, data-* attributes) from the root down to the element itself.
     """
     if not html:
         return []
@@ -157,7 +157,9 @@ def parse_elements(html: str | None) -> list[tuple]:
         par = p.parent[i]
         depth[i] = depth[par] + 1 if par >= 0 else 0
         a = p.attrs[i]
-        me = (p.tags[i], a.get("id"), a.get("class"), nth_tag[i], n_same[i], nth_child[i], n_child[i])
+        data = {k: v for k, v in a.items() if k.startswith("data-")}
+        me = (p.tags[i], a.get("id"), a.get("class"), nth_tag[i], n_same[i], nth_child[i], n_child[i],
+              a.get("role"), a.get("name"), data)
         anc[i] = (anc[par] if par >= 0 else []) + [me]
         rows.append((i, par if par >= 0 else None, depth[i], p.tags[i], a.get("id"), a.get("class"), a,
                      "".join(p.own[i]), "".join(text_parts[i]),

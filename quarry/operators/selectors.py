@@ -298,3 +298,106 @@ def selector_table(elements: DataFrame, group: str = GROUP_DEFAULT) -> DataFrame
                                             F.map_filter(F.col("attrs"), lambda k, v: k.startswith("data-"))))
          .alias("reliable_selectors"),
     )
+
+
+# ---- H17, H19 ------------------------------------------------------------------------
+
+# Patterns and lists of the structural selectors.
+SIGNIFICANT_CLASS_RE = r"^(nav|menu|btn|button|tab|header|footer|main|content|row|container|active|selected|primary|navbar)"
+KEY_ATTRS = ("data-rb-event-key", "data-testid", "data-id", "role", "name")
+CSS_CHILD_TAGS = ("div", "span", "img", "i", "em", "strong")
+XPATH_CHILD_TAGS = ("div", "span")
+XPATH_HINT_TAGS = ("div", "span", "img")
+CSS_PATH_LEVELS = 5
+
+
+def child_hints(elements: DataFrame) -> DataFrame:
+    """Per element (page_id, idx): the tag of its first child that has text
+    or is one of the CSS child tags, the same for the XPath child tags, and
+    whether any child has text or is a div/span/img."""
+    has_text = strip_ws(F.coalesce(F.col("text"), F.lit(""))) != ""
+    kids = elements.filter(F.col("parent_idx").isNotNull())
+    return kids.groupBy("page_id", F.col("parent_idx").alias("idx")).agg(
+        F.min_by("tag", F.when(has_text | tag_is(*CSS_CHILD_TAGS), F.col("idx"))).alias("css_child"),
+        F.min_by("tag", F.when(has_text | tag_is(*XPATH_CHILD_TAGS), F.col("idx"))).alias("xpath_child"),
+        F.max(has_text | tag_is(*XPATH_HINT_TAGS)).alias("xpath_hint"))
+
+
+def _key_attr(a: Column) -> Column:
+    """First non-empty of the key attributes as ``[attr='value']``."""
+    vals = [F.element_at(a["data"], F.lit(k)) if k.startswith("data-") else a[k] for k in KEY_ATTRS]
+    out = F.lit(None).cast("string")
+    for k, v in reversed(list(zip(KEY_ATTRS, vals))):
+        out = F.when(strip_ws(F.coalesce(v, F.lit(""))) != "",
+                     F.concat(F.lit(f"[{k}='"), F.replace(v, F.lit("'"), F.lit("\\'")), F.lit("']"))).otherwise(out)
+    return F.coalesce(out, F.lit(""))
+
+
+def _css_piece(a: Column) -> Column:
+    cls = classes(a["class"])
+    sig = F.filter(cls, lambda c: c.rlike(SIGNIFICANT_CLASS_RE))
+    cls_part = (F.when(F.size(sig) > 0, F.concat(F.lit("."), sig[0]))
+                .when((F.size(F.map_keys(a["data"])) == 0) & (F.size(cls) > 0), F.concat(F.lit("."), cls[0]))
+                .otherwise(F.lit("")))
+    nth = F.when(a["n_child"] > 1, F.concat(F.lit(":nth-child("), a["nth_child"].cast("string"), F.lit(")"))) \
+        .otherwise(F.lit(""))
+    return F.concat(a["tag"], nth, cls_part, _key_attr(a))
+
+
+def css_path(elements: DataFrame) -> DataFrame:
+    """``#id``; else up to 5 levels of ``tag:nth-child(i)`` (position
+    among all element siblings, when there are several) with one
+    significant class (else the first class when the element has no data
+    attributes) and one key attribute, joined by `` > ``; the first
+    important child is appended to the element's own level; a parent with
+    an id ends the path as ``#id``. Adds column ``css_path``."""
+    el = elements.join(child_hints(elements).select("page_id", "idx", "css_child"), ["page_id", "idx"], "left")
+    n = F.size("anc")
+    lo = F.greatest(n - (CSS_PATH_LEVELS - 1), F.lit(1))
+    id_lo = F.greatest(n - CSS_PATH_LEVELS, F.lit(1))
+    idp = F.array_max(F.filter(F.sequence(id_lo, F.greatest(n - 1, id_lo)),
+                               lambda p: (p < n) & (F.coalesce(F.col("anc")[p - 1]["id"], F.lit("")) != "")))
+    first = F.coalesce(idp + 1, lo)
+    child = F.when(F.col("css_child").isNotNull(), F.concat(F.lit(" > "), F.col("css_child"))).otherwise(F.lit(""))
+
+    def piece(p):
+        base = _css_piece(F.col("anc")[p - 1])
+        return F.when(p == n, F.concat(base, child)).otherwise(base)
+
+    body = F.array_join(F.transform(F.sequence(first, n), piece), " > ")
+    path = F.when(idp.isNotNull(), F.concat(F.lit("#"), F.col("anc")[idp - 1]["id"], F.lit(" > "), body)) \
+        .otherwise(body)
+    has_id = strip_ws(F.coalesce(F.col("id"), F.lit(""))) != ""
+    return el.withColumn("css_path", F.when(has_id, F.concat(F.lit("#"), F.col("id"))).otherwise(path)) \
+        .drop("css_child")
+
+
+def xpath_unified(elements: DataFrame) -> DataFrame:
+    """``//*[@id="x"]`` for an element with an id; else the steps up
+    to (not including) body/html, stopping at an ancestor with an id
+    (``//*[@id="a"]/div/a``); an index only when several same-tag
+    siblings exist; a hint child step appended to the element's own step.
+    Paths without an id anchor start with ``//``. Adds ``xpath_unified``."""
+    el = elements.join(child_hints(elements).select("page_id", "idx", "xpath_child", "xpath_hint"),
+                       ["page_id", "idx"], "left")
+    n = F.size("anc")
+    stop = F.array_max(F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
+                                lambda p: (p < n) & (F.col("anc")[p - 1]["tag"].isin("body", "html")
+                                                     | (F.coalesce(F.col("anc")[p - 1]["id"], F.lit("")) != ""))))
+    stop_is_id = F.coalesce(~F.col("anc")[stop - 1]["tag"].isin("body", "html"), F.lit(False))
+    first = F.coalesce(stop + 1, F.lit(1))
+
+    def step(p):
+        a = F.col("anc")[p - 1]
+        s = F.concat(F.lit("/"), a["tag"], F.when(a["n_same"] > 1, F.concat(F.lit("["), a["nth_tag"].cast("string"),
+                                                                            F.lit("]"))).otherwise(F.lit("")))
+        extra = F.when((p == n) & F.coalesce(F.col("xpath_hint"), F.lit(False)) & F.col("xpath_child").isNotNull(),
+                       F.concat(F.lit("/"), F.col("xpath_child"))).otherwise(F.lit(""))
+        return F.concat(s, extra)
+
+    steps = F.array_join(F.transform(F.sequence(first, n), step), "")
+    anchored = F.concat(F.lit('//*[@id="'), F.col("anc")[stop - 1]["id"], F.lit('"]'), steps)
+    path = F.when(stop_is_id, anchored).otherwise(F.concat(F.lit("/"), steps))
+    has_id = F.coalesce(F.col("id"), F.lit("")) != ""
+    return el.withColumn("xpath_unified", F.when(has_id, F.concat(F.lit('//*[@id="'), F.col("id"), F.lit('"]')))
+                         .otherwise(path)).drop("xpath_child", "xpath_hint")

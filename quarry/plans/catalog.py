@@ -452,7 +452,9 @@ def q_best_selector(spark, sf_dir):
 
 @query("element_category")
 def q_element_category(spark, sf_dir):
-    return sl.element_category(_rt_elements(spark, sf_dir)).select("page_id", "tag", "category", "category_detailed")
+    tags = ("header", "a", "div", "main", "form", "input", "select", "button", "table", "td")
+    return sl.element_category(_rt_elements(spark, sf_dir)).filter(F.col("tag").isin(*tags)).select(
+        "page_id", "tag", "category", "category_detailed")
 
 
 @query("page_structure")
@@ -616,3 +618,15 @@ def q_stream_page_changes(spark, sf_dir):
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(sink)
+
+
+@query("css_path")
+def q_css_path(spark, sf_dir):
+    return sl.css_path(_rt_elements(spark, sf_dir)).filter(F.col("tag").isin("a", "button", "input", "img", "td")) \
+        .select("page_id", "tag", "css_path")
+
+
+@query("xpath_unified")
+def q_xpath_unified(spark, sf_dir):
+    return sl.xpath_unified(_rt_elements(spark, sf_dir)).filter(
+        F.col("tag").isin("a", "button", "input", "img", "td", "select")).select("page_id", "tag", "xpath_unified")

@@ -793,3 +793,100 @@ SELECT '2024-01-20' AS "日付", CAST(o_orderkey AS VARCHAR) AS "注文番号",
        o_orderstatus AS "状態", printf('%.2f', o_totalprice) AS "金額", strftime(o_orderdate, '%Y-%m-%d') AS "注文日",
        o_orderpriority AS "優先度"
 FROM orders""")
+
+# ---- selector oracles on the rendered customer pages -----------------------------------
+register("reliable_selectors", f"""
+WITH {CUSTOMER_PAGE}
+SELECT page_id, 0 AS pos, 'css' AS type, '.btn.nav-link' AS value FROM c
+UNION ALL SELECT page_id, 1, 'xpath', '//a[text()=''Home'']' FROM c
+UNION ALL SELECT page_id, 0, 'css', 'a[data-track-id=''' || k || ''']' FROM c
+UNION ALL SELECT page_id, 1, 'xpath', '//a[text()=''Ext ' || k || ''']' FROM c
+UNION ALL SELECT page_id, 0, 'css', '.btn' FROM c
+UNION ALL SELECT page_id, 1, 'xpath', '//a[text()=''Go'']' FROM c
+UNION ALL SELECT page_id, 0, 'xpath', '//a[text()=''Act'']' FROM c""")
+
+register("best_selector", f"""
+WITH {CUSTOMER_PAGE}
+SELECT page_id, 'by_xpath' AS kind, 'xpath' AS type, '/html/body/header/a' AS value, 3 AS n_candidates FROM c
+UNION ALL SELECT page_id, 'by_data_attr', 'css', 'a[data-track-id=''' || k || ''']', 4 FROM c
+UNION ALL SELECT page_id, 'by_xpath', 'xpath', '/html/body/main/a', 3 FROM c
+UNION ALL SELECT page_id, 'by_xpath', 'xpath', '/html/body/main/a[2]', 3 FROM c
+UNION ALL SELECT page_id, 'by_id', 'id', 'submit' || k, 4 FROM c
+UNION ALL SELECT page_id, 'by_id', 'id', 'name' || k, 3 FROM c
+UNION ALL SELECT page_id, 'by_xpath', 'xpath', '/html/body/main/form/input[2]', 2 FROM c
+UNION ALL SELECT page_id, 'by_xpath', 'xpath', '/html/body/main/form/input[3]', 2 FROM c
+UNION ALL SELECT page_id, 'by_xpath', 'xpath', '/html/body/main/form/input[4]', 2 FROM c""")
+
+register("element_category", f"""
+WITH {CUSTOMER_PAGE}
+SELECT page_id, 'header' AS tag, 'ナビゲーションバー' AS category, 'トップバー' AS category_detailed FROM c
+UNION ALL SELECT page_id, 'a', 'ナビゲーションバー', 'ナビゲーションバー' FROM c
+UNION ALL SELECT page_id, 'div', 'サイドバー', 'サイドバー' FROM c
+UNION ALL SELECT page_id, 'a', 'リンク', 'サイドバー' FROM c
+UNION ALL SELECT page_id, 'main', 'その他', 'コンテンツ本体' FROM c
+UNION ALL SELECT page_id, 'form', 'その他', 'フォーム' FROM c
+UNION ALL SELECT page_id, 'input', 'その他', 'フォーム' FROM c
+UNION ALL SELECT page_id, 'input', 'その他', 'フォーム' FROM c
+UNION ALL SELECT page_id, 'input', 'その他', 'フォーム' FROM c
+UNION ALL SELECT page_id, 'input', 'その他', 'フォーム' FROM c
+UNION ALL SELECT page_id, 'select', 'その他', 'フォーム' FROM c
+UNION ALL SELECT page_id, 'button', 'ボタン', 'ボタン' FROM c
+UNION ALL SELECT page_id, 'table', 'その他', 'テーブル' FROM c
+UNION ALL SELECT page_id, 'table', 'その他', 'テーブル' FROM c
+UNION ALL SELECT page_id, 'td', 'その他', 'テーブル' FROM (SELECT * FROM c, range(6))
+UNION ALL SELECT page_id, 'a', 'ボタン', 'ボタン' FROM c
+UNION ALL SELECT page_id, 'a', 'リンク', 'リンク' FROM c
+UNION ALL SELECT page_id, 'div', 'その他', 'その他' FROM c WHERE neg""")
+
+register("category_summary", f"""
+WITH {CUSTOMER_PAGE},
+labels AS (SELECT * FROM (VALUES (0, 'トップバー'), (1, 'サイドバー'), (2, 'ナビゲーションバー'), (3, 'サブメニュー'),
+                                 (4, 'テーブル'), (5, 'フォーム'), (6, 'ボタン'), (7, 'リンク'), (8, 'コンテンツ本体'),
+                                 (9, 'その他')) t(pos, category)),
+counts AS (
+  SELECT 'ナビゲーションバー' AS category, 2 * count(*) AS n FROM c
+  UNION ALL SELECT 'サイドバー', count(*) FROM c
+  UNION ALL SELECT 'リンク', 2 * count(*) FROM c
+  UNION ALL SELECT 'ボタン', 2 * count(*) FROM c
+  UNION ALL SELECT 'その他', sum(CASE WHEN neg THEN 37 ELSE 35 END) FROM c)
+SELECT CAST(l.pos AS INTEGER) AS pos, l.category, CAST(coalesce(n, 0) AS BIGINT) AS n
+FROM labels l LEFT JOIN counts USING (category)""")
+
+register("selector_table", f"""
+WITH {CUSTOMER_PAGE}, f AS (SELECT *, CASE WHEN even THEN '#f' || k ELSE 'body > main > form' END AS fp FROM c)
+SELECT page_id, 'clickable_1' AS name, 'Home' AS text_value, '' AS id, 'btn nav-link' AS class, '.btn.nav-link' AS css,
+       '/html/body/header/a' AS xpath, 'クリック可能' AS element_type, 'ナビゲーションバー' AS category, '{{}}' AS data FROM f
+UNION ALL SELECT page_id, 'clickable_2', 'Ext ' || k, '', '', '#sidebar > a', '/html/body/div/a', 'クリック可能', 'リンク',
+       '{{"track_id":"' || k || '"}}' FROM f
+UNION ALL SELECT page_id, 'clickable_3', 'Go', '', 'btn', 'html > body > main > a', '/html/body/main/a', 'クリック可能', 'ボタン', '{{}}' FROM f
+UNION ALL SELECT page_id, 'clickable_4', 'Act', '', '', 'html > body > main > a:nth-child(2)', '/html/body/main/a[2]',
+       'クリック可能', 'リンク', '{{}}' FROM f
+UNION ALL SELECT page_id, 'clickable_5', 'Save', 'submit' || k, '', '#submit' || k, '//*[@id=''submit' || k || ''']',
+       'クリック可能', 'ボタン', '{{}}' FROM f
+UNION ALL SELECT page_id, 'clickable_6', 'Cancel', '', '', fp || ' > input:nth-child(4)', '/html/body/main/form/input[4]',
+       'クリック可能', 'その他', '{{}}' FROM f
+UNION ALL SELECT page_id, 'clickable_7', 'Act', '', '', 'html > body > main > a:nth-child(2)', '/html/body/main/a[2]',
+       'クリック可能', 'リンク', '{{}}' FROM f
+UNION ALL SELECT page_id, 'clickable_8', 'Home', '', 'btn nav-link', '.btn.nav-link', '/html/body/header/a', 'クリック可能',
+       'ナビゲーションバー', '{{}}' FROM f
+UNION ALL SELECT page_id, 'clickable_9', 'Go', '', 'btn', 'html > body > main > a', '/html/body/main/a', 'クリック可能', 'ボタン', '{{}}' FROM f
+UNION ALL SELECT page_id, 'input_1', 'Name', 'name' || k, '', '#name' || k, '//*[@id=''name' || k || ''']', '入力フィールド', 'フォーム', '{{}}' FROM f
+UNION ALL SELECT page_id, 'input_2', bal, '', '', fp || ' > input:nth-child(3)', '/html/body/main/form/input[3]', '入力フィールド', 'フォーム', '{{}}' FROM f
+UNION ALL SELECT page_id, 'input_3', 'Cancel', '', '', fp || ' > input:nth-child(4)', '/html/body/main/form/input[4]', '入力フィールド', 'フォーム', '{{}}' FROM f
+UNION ALL SELECT page_id, 'input_4', '', '', '', fp || ' > textarea', '/html/body/main/form/textarea', '入力フィールド', 'フォーム', '{{}}' FROM f
+UNION ALL SELECT page_id, 'input_5', '', '', '', fp || ' > select', '/html/body/main/form/select', '入力フィールド', 'フォーム', '{{}}' FROM f""")
+
+ORDER_PARTS = "(SELECT DISTINCT CAST(o_orderkey % 4 AS INTEGER) AS part FROM orders)"
+
+register("file_encoding", f"""
+SELECT e.written, e.written AS encoding FROM {ORDER_PARTS} p, (VALUES ('utf-8'), ('cp932'), ('euc_jp')) e(written)""")
+
+register("latest_file", f"SELECT part, true AS non_empty FROM {ORDER_PARTS}")
+
+register("new_files", f"SELECT part FROM {ORDER_PARTS}")
+
+register("stream_page_changes", """
+SELECT url, CAST(1 AS BIGINT) AS snapshot, false AS source_changed, CAST(0 AS BIGINT) AS d_elements,
+       CAST(0 AS BIGINT) AS d_text, true AS changed, true AS first_seen FROM pages
+UNION ALL
+SELECT url, 2, source_changed, d_elements, d_text, changed, false FROM (""" + ORACLE["page_changes"] + """) WHERE changed""")

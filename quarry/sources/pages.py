@@ -20,7 +20,8 @@ ANC = T.StructType([
     T.StructField("tag", T.StringType()), T.StructField("id", T.StringType()),
     T.StructField("class", T.StringType()), T.StructField("nth_tag", T.IntegerType()),
     T.StructField("n_same", T.IntegerType()), T.StructField("nth_child", T.IntegerType()),
-    T.StructField("n_child", T.IntegerType()),
+    T.StructField("n_child", T.IntegerType()), T.StructField("role", T.StringType()),
+    T.StructField("name", T.StringType()), T.StructField("data", T.MapType(T.StringType(), T.StringType())),
 ])
 ELEMENT_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()),
@@ -36,7 +37,8 @@ ELEMENT_SCHEMA = T.StructType([
 
 _ANC_ARROW = pa.struct([("tag", pa.string()), ("id", pa.string()), ("class", pa.string()),
                         ("nth_tag", pa.int32()), ("n_same", pa.int32()), ("nth_child", pa.int32()),
-                        ("n_child", pa.int32())])
+                        ("n_child", pa.int32()), ("role", pa.string()), ("name", pa.string()),
+                        ("data", pa.map_(pa.string(), pa.string()))])
 _ARROW = pa.schema([
     ("page_id", pa.int64()), ("url", pa.string()), ("idx", pa.int32()), ("parent_idx", pa.int32()),
     ("depth", pa.int32()), ("tag", pa.string()), ("id", pa.string()), ("class", pa.string()),
@@ -45,6 +47,7 @@ _ARROW = pa.schema([
     ("anc", pa.list_(_ANC_ARROW)),
 ])
 FLUSH_PAGES = 256
+_ANC_FIELDS = ("tag", "id", "class", "nth_tag", "n_same", "nth_child", "n_child", "role", "name")
 
 
 def _to_batch(cols: list[list]) -> pa.RecordBatch:
@@ -64,8 +67,7 @@ def _extract(batches):
             for r in parse_elements(html):
                 (idx, par, depth, tag, eid, cls, attrs, own, text, nc, ncs, nt, ns, anc) = r
                 row = (pid, url, idx, par, depth, tag, eid, cls, list(attrs.items()), own, text,
-                       nc, ncs, nt, ns, [dict(zip(("tag", "id", "class", "nth_tag", "n_same", "nth_child",
-                                                   "n_child"), a)) for a in anc])
+                       nc, ncs, nt, ns, [dict(zip(_ANC_FIELDS, a[:9]), data=list(a[9].items())) for a in anc])
                 for c, v in zip(cols, row):
                     c.append(v)
             pending += 1
