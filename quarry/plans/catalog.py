@@ -429,7 +429,7 @@ def q_xpath(spark, sf_dir):
 @query("element_selectors")
 def q_element_selectors(spark, sf_dir):
     el = sl.add_xpaths(sl.css_selector(_rt_elements(spark, sf_dir)))
-    return sl.element_selectors(el).select(
+    return sl.element_selectors(el).filter(F.col("tag").isin("a", "button", "input")).select(
         "page_id", "tag", "css_simple", "css", "xpath", "full_xpath",
         F.size("reliable_selectors").alias("n_reliable"))
 
@@ -630,3 +630,9 @@ def q_css_path(spark, sf_dir):
 def q_xpath_unified(spark, sf_dir):
     return sl.xpath_unified(_rt_elements(spark, sf_dir)).filter(
         F.col("tag").isin("a", "button", "input", "img", "td", "select")).select("page_id", "tag", "xpath_unified")
+
+
+@query("element_counts")
+def q_element_counts(spark, sf_dir):
+    """H1 on the real pages: elements per (page, tag)."""
+    return _elements(spark, sf_dir).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))

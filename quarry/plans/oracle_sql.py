@@ -890,3 +890,108 @@ SELECT url, CAST(1 AS BIGINT) AS snapshot, false AS source_changed, CAST(0 AS BI
        CAST(0 AS BIGINT) AS d_text, true AS changed, true AS first_seen FROM pages
 UNION ALL
 SELECT url, 2, source_changed, d_elements, d_text, changed, false FROM (""" + ORACLE["page_changes"] + """) WHERE changed""")
+
+MAIN = "html > body:nth-child(2) > main:nth-child(3).content"
+register("css_path", f"""
+WITH {CUSTOMER_PAGE},
+f AS (SELECT *, CASE WHEN even THEN '#f' || k ELSE '{MAIN} > form:nth-child(2)' END AS fp,
+             CASE WHEN by3 THEN '#t' || k ELSE 'body:nth-child(2) > main:nth-child(3).content > table:nth-child(3) > tr:nth-child(2)' END AS t1,
+             'body:nth-child(2) > main:nth-child(3).content > table:nth-child(4)' AS t2,
+             CASE WHEN neg THEN 2 ELSE 0 END AS shift FROM c)
+SELECT page_id, 'a' AS tag, 'html > body:nth-child(2) > header:nth-child(1).navbar > a.btn' AS css_path FROM f
+UNION ALL SELECT page_id, 'a', '#sidebar > a' FROM f
+UNION ALL SELECT page_id, 'input', '#name' || k FROM f
+UNION ALL SELECT page_id, 'input', fp || ' > input:nth-child(2)[name=''k'']' FROM f
+UNION ALL SELECT page_id, 'input', fp || ' > input:nth-child(3)[name=''bal'']' FROM f
+UNION ALL SELECT page_id, 'button', '#submit' || k FROM f
+UNION ALL SELECT page_id, 'input', fp || ' > input:nth-child(7)' FROM f
+UNION ALL SELECT page_id, 'td', CASE WHEN by3 THEN t1 || ' > tr:nth-child(2)' ELSE t1 END || ' > td:nth-child(1)' FROM f
+UNION ALL SELECT page_id, 'td', CASE WHEN by3 THEN t1 || ' > tr:nth-child(2)' ELSE t1 END || ' > td:nth-child(2)' FROM f
+UNION ALL SELECT page_id, 'td', t2 || ' > tr:nth-child(1) > td:nth-child(1)' FROM f
+UNION ALL SELECT page_id, 'td', t2 || ' > tr:nth-child(1) > td:nth-child(2)' FROM f
+UNION ALL SELECT page_id, 'td', t2 || ' > tr:nth-child(1) > td:nth-child(3)' FROM f
+UNION ALL SELECT page_id, 'td', t2 || ' > tr:nth-child(2) > td' FROM f
+UNION ALL SELECT page_id, 'img', '{MAIN} > img:nth-child(5)' FROM f
+UNION ALL SELECT page_id, 'a', '{MAIN} > a:nth-child(' || (6 + shift) || ').btn' FROM f
+UNION ALL SELECT page_id, 'a', '{MAIN} > a:nth-child(' || (7 + shift) || ')[role=''button'']' FROM f""")
+
+register("xpath_unified", f"""
+WITH {CUSTOMER_PAGE},
+f AS (SELECT *, CASE WHEN even THEN '//*[@id="f' || k || '"]' ELSE '//main/form' END AS fp,
+             CASE WHEN by3 THEN '//*[@id="t' || k || '"]' ELSE '//main/table[1]' END AS t1 FROM c)
+SELECT page_id, 'a' AS tag, '//header/a' AS xpath_unified FROM f
+UNION ALL SELECT page_id, 'a', '//*[@id="sidebar"]/a' FROM f
+UNION ALL SELECT page_id, 'input', '//*[@id="name' || k || '"]' FROM f
+UNION ALL SELECT page_id, 'input', fp || '/input[2]' FROM f
+UNION ALL SELECT page_id, 'input', fp || '/input[3]' FROM f
+UNION ALL SELECT page_id, 'select', fp || '/select/option' FROM f
+UNION ALL SELECT page_id, 'button', '//*[@id="submit' || k || '"]' FROM f
+UNION ALL SELECT page_id, 'input', fp || '/input[4]' FROM f
+UNION ALL SELECT page_id, 'td', t1 || '/tr[2]/td[1]' FROM f
+UNION ALL SELECT page_id, 'td', t1 || '/tr[2]/td[2]' FROM f
+UNION ALL SELECT page_id, 'td', '//main/table[2]/tr[1]/td[1]' FROM f
+UNION ALL SELECT page_id, 'td', '//main/table[2]/tr[1]/td[2]' FROM f
+UNION ALL SELECT page_id, 'td', '//main/table[2]/tr[1]/td[3]' FROM f
+UNION ALL SELECT page_id, 'td', '//main/table[2]/tr[2]/td' FROM f
+UNION ALL SELECT page_id, 'img', '//main/img' FROM f
+UNION ALL SELECT page_id, 'a', '//main/a[1]' FROM f
+UNION ALL SELECT page_id, 'a', '//main/a[2]' FROM f""")
+
+register("element_selectors", f"""
+WITH {CUSTOMER_PAGE},
+f AS (SELECT *, CASE WHEN even THEN '#f' || k ELSE 'body > main > form' END AS fp FROM c)
+SELECT page_id, 'a' AS tag, '.btn.nav-link' AS css_simple, '.btn.nav-link' AS css, '/html/body/header/a' AS xpath,
+       '//*/html/body/header/a' AS full_xpath, 4 AS n_reliable FROM f
+UNION ALL SELECT page_id, 'a', 'a', '#sidebar > a', '/html/body/div/a', '//*/html/body/div/a', 4 FROM f
+UNION ALL SELECT page_id, 'input', 'input', '#name' || k, '//*[@id=''name' || k || ''']', '//*/html/body/main/form/input', 1 FROM f
+UNION ALL SELECT page_id, 'input', 'input', fp || ' > input:nth-child(2)', '/html/body/main/form/input[2]',
+       '//*/html/body/main/form/input[2]', 3 FROM f
+UNION ALL SELECT page_id, 'input', 'input', fp || ' > input:nth-child(3)', '/html/body/main/form/input[3]',
+       '//*/html/body/main/form/input[3]', 3 FROM f
+UNION ALL SELECT page_id, 'button', 'button', '#submit' || k, '//*[@id=''submit' || k || ''']',
+       '//*/html/body/main/form/button', 1 FROM f
+UNION ALL SELECT page_id, 'input', 'input', fp || ' > input:nth-child(4)', '/html/body/main/form/input[4]',
+       '//*/html/body/main/form/input[4]', 3 FROM f
+UNION ALL SELECT page_id, 'a', '.btn', 'html > body > main > a', '/html/body/main/a', '//*/html/body/main/a', 4 FROM f
+UNION ALL SELECT page_id, 'a', 'a', 'html > body > main > a:nth-child(2)', '/html/body/main/a[2]',
+       '//*/html/body/main/a[2]', 4 FROM f""")
+
+register("element_counts", f"""
+WITH p AS (SELECT page_id, {CLEAN_HTML} AS h FROM pages),
+t AS (SELECT page_id, lower(unnest(regexp_extract_all(h, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM p)
+SELECT page_id, tag, count(*) AS n FROM t GROUP BY page_id, tag""")
+
+register("selector_export", f"""
+WITH {CUSTOMER_PAGE}, f AS (SELECT *, CASE WHEN even THEN '#f' || k ELSE 'body > main > form' END AS fp FROM c),
+r AS (
+SELECT page_id, 'clickable_1' AS name, 'Home' AS text_value, '' AS id, 'btn nav-link' AS class, '.btn.nav-link' AS css,
+       '/html/body/header/a' AS xpath, '//*/html/body/header/a' AS full_xpath, 'クリック可能' AS element_type,
+       'ナビゲーションバー' AS category, '' AS track_id FROM f
+UNION ALL SELECT page_id, 'clickable_2', 'Ext ' || k, '', '', '#sidebar > a', '/html/body/div/a', '//*/html/body/div/a',
+       'クリック可能', 'リンク', k FROM f
+UNION ALL SELECT page_id, 'clickable_3', 'Go', '', 'btn', 'html > body > main > a', '/html/body/main/a', '//*/html/body/main/a',
+       'クリック可能', 'ボタン', '' FROM f
+UNION ALL SELECT page_id, 'clickable_4', 'Act', '', '', 'html > body > main > a:nth-child(2)', '/html/body/main/a[2]',
+       '//*/html/body/main/a[2]', 'クリック可能', 'リンク', '' FROM f
+UNION ALL SELECT page_id, 'clickable_5', 'Save', 'submit' || k, '', '#submit' || k, '//*[@id=''submit' || k || ''']',
+       '//*/html/body/main/form/button', 'クリック可能', 'ボタン', '' FROM f
+UNION ALL SELECT page_id, 'clickable_6', 'Cancel', '', '', fp || ' > input:nth-child(4)', '/html/body/main/form/input[4]',
+       '//*/html/body/main/form/input[4]', 'クリック可能', 'その他', '' FROM f
+UNION ALL SELECT page_id, 'clickable_7', 'Act', '', '', 'html > body > main > a:nth-child(2)', '/html/body/main/a[2]',
+       '//*/html/body/main/a[2]', 'クリック可能', 'リンク', '' FROM f
+UNION ALL SELECT page_id, 'clickable_8', 'Home', '', 'btn nav-link', '.btn.nav-link', '/html/body/header/a',
+       '//*/html/body/header/a', 'クリック可能', 'ナビゲーションバー', '' FROM f
+UNION ALL SELECT page_id, 'clickable_9', 'Go', '', 'btn', 'html > body > main > a', '/html/body/main/a', '//*/html/body/main/a',
+       'クリック可能', 'ボタン', '' FROM f
+UNION ALL SELECT page_id, 'input_1', 'Name', 'name' || k, '', '#name' || k, '//*[@id=''name' || k || ''']',
+       '//*/html/body/main/form/input', '入力フィールド', 'フォーム', '' FROM f
+UNION ALL SELECT page_id, 'input_2', bal, '', '', fp || ' > input:nth-child(3)', '/html/body/main/form/input[3]',
+       '//*/html/body/main/form/input[3]', '入力フィールド', 'フォーム', '' FROM f
+UNION ALL SELECT page_id, 'input_3', 'Cancel', '', '', fp || ' > input:nth-child(4)', '/html/body/main/form/input[4]',
+       '//*/html/body/main/form/input[4]', '入力フィールド', 'フォーム', '' FROM f
+UNION ALL SELECT page_id, 'input_4', '', '', '', fp || ' > textarea', '/html/body/main/form/textarea',
+       '//*/html/body/main/form/textarea', '入力フィールド', 'フォーム', '' FROM f
+UNION ALL SELECT page_id, 'input_5', '', '', '', fp || ' > select', '/html/body/main/form/select',
+       '//*/html/body/main/form/select', '入力フィールド', 'フォーム', '' FROM f)
+SELECT 'detailed_analysis' AS "group", name, text_value, id, class, css, xpath, full_xpath, element_type, category, track_id
+FROM r""")
