@@ -422,7 +422,7 @@ WITH {FILES},
 c AS (SELECT source, ext, count(*) AS n, min(doc_id) AS first_pos FROM fx GROUP BY source, ext),
 b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, first_pos) AS r,
              sum(n) OVER (PARTITION BY source) AS n_files FROM c)
-SELECT source, ext AS main_ext, n_files, {LANG_CASE} AS language FROM b WHERE r = 1""")
+SELECT source, ext AS main_ext, CAST(n_files AS BIGINT) AS n_files, {LANG_CASE} AS language FROM b WHERE r = 1""")
 
 register("file_slug", f"""
 WITH n AS (
@@ -437,7 +437,7 @@ FROM n""")
 
 register("truncate_text", """
 SELECT doc_id, CASE WHEN length(text) > 4000 THEN substr(text, 1, 4000) || '...(以下省略)' ELSE text END AS truncated,
-       length(CASE WHEN length(text) > 4000 THEN substr(text, 1, 4000) || '...(以下省略)' ELSE text END) AS n
+       CAST(length(CASE WHEN length(text) > 4000 THEN substr(text, 1, 4000) || '...(以下省略)' ELSE text END) AS INTEGER) AS n
 FROM documents""")
 
 register("clean_message", """
