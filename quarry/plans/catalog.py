@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import schema_infer as si
 from quarry.plans.fixtures import report_text
-from quarry.session import load_table
+from quarry.session import load_table, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -309,12 +309,16 @@ from quarry.operators import selectors as sl  # noqa: E402
 from quarry.sources.pages import extract_elements  # noqa: E402
 
 
-def _elements(spark, sf_dir):
-    return extract_elements(load_table(spark, sf_dir, "pages"))
+def _elements(spark, sf_dir, shared: bool = False):
+    """Element table of the real pages; ``shared`` writes it once for plans
+    that read it in several branches."""
+    el = extract_elements(load_table(spark, sf_dir, "pages"))
+    return materialize(el) if shared else el
 
 
-def _rt_elements(spark, sf_dir):
-    return extract_elements(fx.customer_pages(load_table(spark, sf_dir, "customer")))
+def _rt_elements(spark, sf_dir, shared: bool = False):
+    el = extract_elements(fx.customer_pages(load_table(spark, sf_dir, "customer")))
+    return materialize(el) if shared else el
 
 
 @query("elements")
@@ -344,13 +348,13 @@ def q_forms(spark, sf_dir):
 
 @query("form_inputs")
 def q_form_inputs(spark, sf_dir):
-    return pe.form_inputs(_rt_elements(spark, sf_dir)).select(
+    return pe.form_inputs(_rt_elements(spark, sf_dir, shared=True)).select(
         "page_id", "form_id", "type", "name", "id", "placeholder", "required")
 
 
 @query("inputs")
 def q_inputs(spark, sf_dir):
-    return pe.inputs(_rt_elements(spark, sf_dir)).select(
+    return pe.inputs(_rt_elements(spark, sf_dir, shared=True)).select(
         "page_id", "tag", "type", "name", "value", "placeholder", "required", "n_options")
 
 
@@ -383,7 +387,7 @@ def q_meta_tags(spark, sf_dir):
 
 @query("html_tables")
 def q_html_tables(spark, sf_dir):
-    return pe.html_tables(_rt_elements(spark, sf_dir)).select(
+    return pe.html_tables(_rt_elements(spark, sf_dir, shared=True)).select(
         "page_id", "table_id", F.array_join("headers", "|").alias("headers"), "n_rows", "n_columns")
 
 
@@ -394,7 +398,7 @@ def q_error_messages(spark, sf_dir):
 
 @query("login_error_message")
 def q_login_error_message(spark, sf_dir):
-    return pe.login_error_message(_rt_elements(spark, sf_dir))
+    return pe.login_error_message(_rt_elements(spark, sf_dir, shared=True))
 
 
 @query("interactive")
@@ -410,13 +414,13 @@ def q_text_search(spark, sf_dir):
 
 @query("text_search_best")
 def q_text_search_best(spark, sf_dir):
-    return pe.text_search_best(_rt_elements(spark, sf_dir), "Save", tags=["button", "form", "main"]).select(
+    return pe.text_search_best(_rt_elements(spark, sf_dir, shared=True), "Save", tags=["button", "form", "main"]).select(
         "page_id", "stage", "tag", "own_text")
 
 
 @query("css_selector")
 def q_css_selector(spark, sf_dir):
-    return (sl.css_selector(_rt_elements(spark, sf_dir)).filter(F.col("tag").isin("a", "button", "input", "img"))
+    return (sl.css_selector(_rt_elements(spark, sf_dir, shared=True)).filter(F.col("tag").isin("a", "button", "input", "img"))
             .select("page_id", "tag", "css"))
 
 
@@ -428,7 +432,7 @@ def q_xpath(spark, sf_dir):
 
 @query("element_selectors")
 def q_element_selectors(spark, sf_dir):
-    el = sl.add_xpaths(sl.css_selector(_rt_elements(spark, sf_dir)))
+    el = sl.add_xpaths(sl.css_selector(_rt_elements(spark, sf_dir, shared=True)))
     return sl.element_selectors(el).filter(F.col("tag").isin("a", "button", "input")).select(
         "page_id", "tag", "css_simple", "css", "xpath", "full_xpath",
         F.size("reliable_selectors").alias("n_reliable"))
@@ -445,7 +449,7 @@ def q_reliable_selectors(spark, sf_dir):
 
 @query("best_selector")
 def q_best_selector(spark, sf_dir):
-    el = sl.add_xpaths(sl.css_selector(_rt_elements(spark, sf_dir))).filter(F.col("tag").isin("a", "button", "input"))
+    el = sl.add_xpaths(sl.css_selector(_rt_elements(spark, sf_dir, shared=True))).filter(F.col("tag").isin("a", "button", "input"))
     return sl.best_selector(el).select("page_id", "best.kind", "best.type", "best.value",
                                        F.size("selector_list").alias("n_candidates"))
 
@@ -464,7 +468,7 @@ def q_page_structure(spark, sf_dir):
 
 @query("dedup_elements")
 def q_dedup_elements(spark, sf_dir):
-    el = sl.add_xpaths(_elements(spark, sf_dir))
+    el = sl.add_xpaths(_elements(spark, sf_dir, shared=True))
     cand = (pe.interactive(el, ("clickable",)).join(el.select("page_id", "idx", "xpath"), ["page_id", "idx"])
             .withColumn("order", F.col("selector") * 1000000 + F.col("idx")))
     return pe.dedup_elements(cand).select("page_id", "xpath", "tag", "text")
@@ -477,7 +481,7 @@ def q_category_summary(spark, sf_dir):
 
 @query("selector_table")
 def q_selector_table(spark, sf_dir):
-    return sl.selector_table(_rt_elements(spark, sf_dir)).select(
+    return sl.selector_table(_rt_elements(spark, sf_dir, shared=True)).select(
         "page_id", "name", "text_value", "id", "class", "css", "xpath", "element_type", "category",
         F.to_json("data").alias("data"))
 
@@ -580,7 +584,7 @@ def q_schema_document(spark, sf_dir):
 
 @query("selector_export")
 def q_selector_export(spark, sf_dir):
-    return sk.selector_csv_frame(sl.selector_table(_rt_elements(spark, sf_dir)))
+    return sk.selector_csv_frame(sl.selector_table(_rt_elements(spark, sf_dir, shared=True)))
 
 
 @query("report_target")
@@ -622,13 +626,13 @@ def q_stream_page_changes(spark, sf_dir):
 
 @query("css_path")
 def q_css_path(spark, sf_dir):
-    return sl.css_path(_rt_elements(spark, sf_dir)).filter(F.col("tag").isin("a", "button", "input", "img", "td")) \
+    return sl.css_path(_rt_elements(spark, sf_dir, shared=True)).filter(F.col("tag").isin("a", "button", "input", "img", "td")) \
         .select("page_id", "tag", "css_path")
 
 
 @query("xpath_unified")
 def q_xpath_unified(spark, sf_dir):
-    return sl.xpath_unified(_rt_elements(spark, sf_dir)).filter(
+    return sl.xpath_unified(_rt_elements(spark, sf_dir, shared=True)).filter(
         F.col("tag").isin("a", "button", "input", "img", "td", "select")).select("page_id", "tag", "xpath_unified")
 
 

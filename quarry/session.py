@@ -78,3 +78,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys) if keys else df.repartition(cores)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and continue from
+    the written copy: expensive stages (Python parsing) that several
+    branches of a plan consume run once, and the lineage is cut so a lost
+    executor does not send the job back to the raw input."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
