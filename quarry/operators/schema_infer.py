@@ -137,7 +137,7 @@ def consistency(df: DataFrame, rn: str = "rn") -> DataFrame:
 
 
 def inconsistent_cells(df: DataFrame, rn: str = "rn", stats: DataFrame | None = None,
-                       cap: int | None = None, salt_buckets: int = 64) -> DataFrame:
+                       cap: int | None = None, salt_buckets: int | None = None) -> DataFrame:
     """Non-blank cells whose type differs from their column's dominant
     type, as a long table (col_pos, column_name, rn, value); ``rn`` is the
     1-based row of the cell.
@@ -145,8 +145,12 @@ def inconsistent_cells(df: DataFrame, rn: str = "rn", stats: DataFrame | None =
     ``cap`` keeps the first ``cap`` per column. A column may hold most of the
     table, so the top-k runs in two steps: first within (column, salt) so no
     task sees a whole hot column, then over at most cap*salt_buckets
-    survivors per column.
+    survivors per column. The salt count follows
+    ``spark.sql.shuffle.partitions``, which is sized to the data on a
+    cluster, so the per-task share of a hot column stays bounded.
     """
+    if salt_buckets is None:
+        salt_buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     stats = stats if stats is not None else profile_columns(df, rn)
     dom = F.broadcast(stats.select("col_pos", F.col("data_type").alias("dominant_type")))
     bad = (
