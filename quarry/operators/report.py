@@ -62,8 +62,10 @@ def date_range(df: DataFrame, column: str, run_date, start=None, end=None,
     if isinstance(dt, T.DateType):
         return df.filter((c >= F.lit(s)) & (c <= F.lit(e)))
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        lo = _dt.datetime.combine(s, _dt.time())
-        hi = _dt.datetime.combine(e + _dt.timedelta(days=1), _dt.time())
+        # bounds as text cast in the session's zone: the same zone the
+        # column's dates are read in, whatever the Python process uses
+        lo = f"{s.isoformat()} 00:00:00"
+        hi = f"{(e + _dt.timedelta(days=1)).isoformat()} 00:00:00"
         cast = "timestamp_ntz" if isinstance(dt, T.TimestampNTZType) else "timestamp"
         return df.filter((c >= F.lit(lo).cast(cast)) & (c < F.lit(hi).cast(cast)))
     d = F.to_date(c)
