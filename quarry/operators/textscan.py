@@ -77,9 +77,13 @@ def sensitive_scan(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # Documents with any hit are shuffled once by key; both consumers below
     # (match offsets and line texts) read that one exchange (Spark reuses
     # an identical exchange), so the union regex scans the corpus once.
+    # The union test is evaluated as a generator output after the spread:
+    # a plain filter would be pushed below the exchange into the scan, where
+    # a small corpus sits in one split.
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hits = (spread(docs.select(F.col(key).alias("_key"), t.alias("_text")), "_key")
-            .filter(F.col("_key").isNotNull() & F.col("_text").rlike(any_re))
+    hits = (spread(docs.select(F.col(key).alias("_key"), t.alias("_text")).filter(F.col("_key").isNotNull()), "_key")
+            .select("_key", "_text", F.explode(F.array(F.col("_text").rlike(any_re))).alias("_hit"))
+            .filter(F.col("_hit")).drop("_hit")
             .repartition(n, "_key"))
     per_pattern = F.array(*[
         F.struct(F.lit(i).alias("pattern_id"), F.lit(cat).alias("type"),
