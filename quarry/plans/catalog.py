@@ -523,15 +523,18 @@ ORDER_COLS = fx.ORDER_REPORT_HEADER
 def q_read_report_csv(spark, sf_dir):
     path = fx.write_order_report(spark, load_table(spark, sf_dir, "orders"), "cp932", junk_line=True)
     df = rpt.read_report_csv(spark, path, encoding="cp932", header_row=2)
-    return df.select("rn", F.regexp_extract("source_file", r"part=(\d+)", 1).cast("int").alias("part"),
+    return df.select("rn", F.regexp_extract("source_file", r"part=(\d+)", 1).cast("long").alias("part"),
                      *[F.col(f"`{c}`") for c in ORDER_COLS])
 
 
 @query("report_schema_table")
 def q_report_schema_table(spark, sf_dir):
-    """S1 -> T7 on the landed file (row order = file order within a file)."""
-    path = fx.write_order_report(spark, load_table(spark, sf_dir, "orders"), "utf-8", junk_line=False, files=1)
-    df = rpt.read_report_csv(spark, path, encoding="utf-8", header_row=1).drop("source_file")
+    """S1 -> T7 over the landed files; row order = (file, row in file),
+    i.e. block * file_rows + rn."""
+    path = fx.write_order_report(spark, load_table(spark, sf_dir, "orders"), "utf-8", junk_line=False)
+    df = rpt.read_report_csv(spark, path, encoding="utf-8", header_row=1)
+    block = F.regexp_extract("source_file", r"part=(\d+)", 1).cast("long")
+    df = df.withColumn("rn", block * fx.ORDER_REPORT_FILE_ROWS + F.col("rn")).drop("source_file")
     return _flat_schema(si.schema_table(df))
 
 
@@ -560,7 +563,7 @@ def q_latest_file(spark, sf_dir):
     path = fx.write_order_report(spark, load_table(spark, sf_dir, "orders"), "utf-8", junk_line=False)
     listing = rpt.list_files(spark, path)
     return rpt.latest_file(listing, extensions=[".csv"]).select(
-        F.regexp_extract("dir", r"part=(\d+)$", 1).cast("int").alias("part"), (F.col("length") > 0).alias("non_empty"))
+        F.regexp_extract("dir", r"part=(\d+)$", 1).cast("long").alias("part"), (F.col("length") > 0).alias("non_empty"))
 
 
 @query("new_files")
@@ -570,7 +573,7 @@ def q_new_files(spark, sf_dir):
     second_path = fx.write_order_report(spark, orders, "utf-8", junk_line=True)
     after = first.unionByName(rpt.list_files(spark, second_path))
     return rpt.new_files(first, after, pattern=".CSV").select(
-        F.regexp_extract("dir", r"part=(\d+)$", 1).cast("int").alias("part"))
+        F.regexp_extract("dir", r"part=(\d+)$", 1).cast("long").alias("part"))
 
 
 @query("schema_document")

@@ -281,16 +281,18 @@ def scratch_dir(spark, name: str) -> str:
 # Header names of the landed orders report (Japanese headers
 # exercise the cp932 path).
 ORDER_REPORT_HEADER = ("注文番号", "顧客番号", "状態", "金額", "注文日", "優先度")
-ORDER_REPORT_FILES = 4
+ORDER_REPORT_FILE_ROWS = 4096
 
 
 def write_order_report(spark, orders: DataFrame, encoding: str = "cp932", junk_line: bool = True,
-                       files: int = ORDER_REPORT_FILES) -> str:
-    """Land ``orders`` as report CSV files (one folder per file group
-    ``part=k`` with k = key mod ``files``): an optional junk first line,
-    a header line, then the rows in key order. Returns the folder."""
+                       file_rows: int = ORDER_REPORT_FILE_ROWS) -> str:
+    """Land ``orders`` as report CSV files, one per block of ``file_rows``
+    consecutive keys (folder ``part=k``, k = key div file_rows), so the
+    number of files grows with the table and no task writes more than one
+    block: an optional junk first line, a header line, then the rows in
+    key order. Returns the folder."""
     path = scratch_dir(spark, "orders-report")
-    k = F.pmod(F.col("o_orderkey"), F.lit(files))
+    k = F.floor(F.col("o_orderkey") / F.lit(file_rows)).cast("long")
     fields = [F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.col("o_orderstatus"),
               F.format_string("%.2f", F.col("o_totalprice")), F.date_format("o_orderdate", "yyyy-MM-dd"),
               F.col("o_orderpriority")]
@@ -305,7 +307,8 @@ def write_order_report(spark, orders: DataFrame, encoding: str = "cp932", junk_l
                                                F.lit("ダミー1,ダミー2,ダミー3").alias("line")))
     from quarry.sources.reports import _ensure_charsets
     _ensure_charsets(spark, encoding)
-    (lines.repartition(files, "part").sortWithinPartitions("part", "seq", "key").select("part", "line")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (lines.repartition(n, "part").sortWithinPartitions("part", "seq", "key").select("part", "line")
      .write.mode("overwrite").partitionBy("part").option("encoding", encoding).option("quote", "")
      .option("sep", "\u0001").option("header", False).csv(path))
     return path

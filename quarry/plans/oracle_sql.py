@@ -767,8 +767,8 @@ FROM conversations""")
 
 # ---- S1-S9, ST1 -------------------------------------------------------------------
 register("read_report_csv", """
-SELECT CAST(row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) AS BIGINT) AS rn,
-       CAST(o_orderkey % 4 AS INTEGER) AS part,
+SELECT CAST(row_number() OVER (PARTITION BY o_orderkey // 4096 ORDER BY o_orderkey) AS BIGINT) AS rn,
+       CAST(o_orderkey // 4096 AS BIGINT) AS part,
        CAST(o_orderkey AS VARCHAR) AS "注文番号", CAST(o_custkey AS VARCHAR) AS "顧客番号", o_orderstatus AS "状態",
        printf('%.2f', o_totalprice) AS "金額", strftime(o_orderdate, '%Y-%m-%d') AS "注文日",
        o_orderpriority AS "優先度"
@@ -876,7 +876,7 @@ UNION ALL SELECT page_id, 'input_3', 'Cancel', '', '', fp || ' > input:nth-child
 UNION ALL SELECT page_id, 'input_4', '', '', '', fp || ' > textarea', '/html/body/main/form/textarea', '入力フィールド', 'フォーム', '{{}}' FROM f
 UNION ALL SELECT page_id, 'input_5', '', '', '', fp || ' > select', '/html/body/main/form/select', '入力フィールド', 'フォーム', '{{}}' FROM f""")
 
-ORDER_PARTS = "(SELECT DISTINCT CAST(o_orderkey % 4 AS INTEGER) AS part FROM orders)"
+ORDER_PARTS = "(SELECT DISTINCT CAST(o_orderkey // 4096 AS BIGINT) AS part FROM orders)"
 
 register("file_encoding", f"""
 SELECT e.written, e.written AS encoding FROM {ORDER_PARTS} p, (VALUES ('utf-8'), ('cp932'), ('euc_jp')) e(written)""")
