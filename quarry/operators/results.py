@@ -169,10 +169,14 @@ def summary_listing(results: DataFrame) -> DataFrame:
 
 
 def timing_stats(results: DataFrame) -> DataFrame:
-    """A5: total, mean and max execution time and the slowest test."""
+    """A5: total, mean and max execution time and the slowest test.
+
+    Sums run in decimal (to the nanosecond) so the result does not depend
+    on the order in which partial sums are combined across tasks."""
+    t = F.col("execution_time").cast("decimal(38,9)")
     return results.agg(
-        F.coalesce(F.sum("execution_time"), F.lit(0.0)).alias("total_time"),
-        F.coalesce(F.avg("execution_time"), F.lit(0.0)).alias("avg_time"),
+        F.coalesce(F.sum(t).cast("double"), F.lit(0.0)).alias("total_time"),
+        F.coalesce(F.avg(t).cast("double"), F.lit(0.0)).alias("avg_time"),
         F.coalesce(F.max("execution_time"), F.lit(0.0)).alias("max_time"),
         F.min_by("test_key", F.struct(-F.col("execution_time"), F.col("test_key"))).alias("longest_test"),
     )

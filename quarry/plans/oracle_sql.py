@@ -263,7 +263,8 @@ FROM disp""")
 
 register("timing_stats", f"""
 WITH {RESULTS}
-SELECT coalesce(sum(execution_time), 0.0) AS total_time, coalesce(avg(execution_time), 0.0) AS avg_time,
+SELECT coalesce(CAST(sum(CAST(execution_time AS DECIMAL(38,9))) AS DOUBLE), 0.0) AS total_time,
+       coalesce(CAST(avg(CAST(execution_time AS DECIMAL(38,9))) AS DOUBLE), 0.0) AS avg_time,
        coalesce(max(execution_time), 0.0) AS max_time,
        (SELECT test_key FROM res ORDER BY execution_time DESC, test_key LIMIT 1) AS longest_test
 FROM res""")
@@ -530,10 +531,12 @@ register("sensitive_summary_rt", _summary_sql(SECRET_DOCS))
 
 # ---- H1-H31 --------------------------------------------------------------------
 def _unescape(x: str) -> str:
+    """Decode the entities the pages use. Legacy entities (amp, lt, gt,
+    quot, copy) may lack the semicolon, as HTML5 parsers accept."""
     out = x
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"),
-                    ("&middot;", "·"), ("&nbsp;", "' || chr(160) || '"), ("&amp;", "&")):
-        out = f"replace({out}, '{ent}', '{ch}')"
+    for ent, ch in (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;", "''"), ("&copy;?", "©"),
+                    ("&middot;", "·"), ("&nbsp;?", "' || chr(160) || '"), ("&amp;?", "&")):
+        out = f"regexp_replace({out}, '{ent}', '{ch}', 'g')"
     return out
 
 
