@@ -221,8 +221,20 @@ def element_selectors(el: DataFrame) -> DataFrame:
     cls = F.coalesce(F.col("class"), F.lit(""))
     has_cls = strip_ws(cls) != ""
     css_simple = F.when(has_cls, F.concat(F.lit("."), F.replace(cls, F.lit(" "), F.lit(".")))).otherwise(F.col("tag"))
+    # Without a generated path: first data attribute, else up to two
+    # important classes, else the first class, else the simple form.
+    data = F.map_entries(F.map_filter(F.col("attrs"), lambda k, v: k.startswith("data-") & (strip_ws(v) != "")))
+    first_data = F.try_element_at(data, F.lit(1))
+    data_sel = F.concat(F.col("tag"), F.lit("["), first_data["key"], F.lit("='"),
+                        F.replace(first_data["value"], F.lit("'"), F.lit("\\'")), F.lit("']"))
+    cls_list = F.filter(F.split(cls, r"[ \t\n\f\r]+"), lambda c: c != "")
+    important = F.filter(cls_list, lambda c: c.rlike(IMPORTANT_CLASS_RE) | c.isin(*IMPORTANT_CLASSES))
+    by_class = (F.when(F.size(important) > 0,
+                       F.concat(F.col("tag"), F.lit("."), F.array_join(F.slice(important, 1, 2), ".")))
+                .when(F.size(cls_list) > 0, F.concat(F.col("tag"), F.lit("."), cls_list[0])))
+    fallback = F.coalesce(F.when(first_data.isNotNull(), data_sel), F.when(has_cls, by_class), css_simple)
     css = F.when(F.coalesce(F.col("css"), F.lit("")) != "", F.col("css")) \
-        .when(has_id, F.concat(F.lit("#"), eid)).otherwise(css_simple)
+        .when(has_id, F.concat(F.lit("#"), eid)).otherwise(fallback)
     xp = F.coalesce(F.nullif(F.col("xpath"), F.lit("")), F.concat(F.lit("//"), F.col("tag")))
     full = F.coalesce(F.nullif(F.col("full_xpath"), F.lit("")), xp)
     text = strip_ws(F.coalesce(F.col("text"), F.lit("")))

@@ -59,7 +59,7 @@ def with_file_row_number(df: DataFrame, name: str = "rn") -> DataFrame:
             .drop("_block", "_mid", "_min", "_off"))
 
 
-def read_report_csv(spark: SparkSession, path: str, encoding: str = "utf-8", header_row: int = 1,
+def read_report_csv(spark: SparkSession, path, encoding: str | None = "utf-8", header_row: int = 1,
                     pandas_na: bool = True, sep: str = ",") -> DataFrame:
     """All columns as text plus ``rn`` (1-based data row in file order)
     and ``source_file``. ``header_row`` = the line holding the header;
@@ -73,6 +73,8 @@ def read_report_csv(spark: SparkSession, path: str, encoding: str = "utf-8", hea
     """
     import csv as _csv
 
+    if encoding in (None, "auto"):
+        return _read_report_csv_auto(spark, path, header_row, pandas_na, sep)
     _ensure_charsets(spark, encoding)
     lines = (spark.read.schema("line string").option("header", False).option("encoding", encoding)
              .option("sep", "\u0001").option("quote", "").option("escape", "")
@@ -96,6 +98,22 @@ def read_report_csv(spark: SparkSession, path: str, encoding: str = "utf-8", hea
                        *[clean(f"c{i}").alias(n) for i, n in enumerate(names)])
 
 
+def _read_report_csv_auto(spark: SparkSession, path, header_row: int, pandas_na: bool, sep: str) -> DataFrame:
+    """Files of one folder may come in different encodings: label each file
+    (S2) and read each encoding group with its charset. The driver sees the
+    file listing grouped by encoding (what a file scan lists anyway), not
+    the data."""
+    enc = file_encoding(spark, path)
+    groups = enc.groupBy("encoding").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
+    parts = [read_report_csv(spark, g["paths"], g["encoding"], header_row, pandas_na, sep) for g in groups]
+    if not parts:
+        raise FileNotFoundError(f"no report files under {path}")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
 @F.pandas_udf(T.StringType())
 def _detect_encoding(sample: pd.Series) -> pd.Series:
     def one(b):

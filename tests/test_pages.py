@@ -73,3 +73,17 @@ def test_slug_and_alert(spark):
     r = df.select(pe.page_slug(F.col("u")).alias("s"), pe.alert_kind(F.col("t")).alias("k")).collect()
     assert [x.s for x in r] == ["example.com_path_to_page", "example.com"]
     assert [x.k for x in r] == ["confirm", "prompt"]
+
+
+def test_element_selector_fallbacks(spark):
+    html = ("<html><body><div class='x nav-main active y' data-k=\"v'1\">a</div>"
+            "<span class='foo bar'>b</span><p>c</p></body></html>")
+    el = _elements(spark, html).withColumn("css", F.lit(None).cast("string")) \
+        .withColumn("xpath", F.lit("")).withColumn("full_xpath", F.lit(""))
+    got = {r.tag: r.css for r in sl.element_selectors(el).collect()}
+    assert got["div"] == "div[data-k='v\\'1']"
+    assert got["span"] == "span.foo"
+    assert got["p"] == "p"
+    el2 = el.withColumn("attrs", F.map_filter("attrs", lambda k, v: ~k.startswith("data-")))
+    got2 = {r.tag: r.css for r in sl.element_selectors(el2).collect()}
+    assert got2["div"] == "div.nav-main.active"

@@ -63,3 +63,10 @@ def test_latest_and_new_files(spark, tmp_dir):
     after = rpt.list_files(spark, f"{tmp_dir}/d")
     fresh = rpt.new_files(listing, after, pattern="new").collect()
     assert [r.name for r in fresh] == ["NEW_report.csv"]
+
+
+def test_auto_encoding_mixed_folder(spark, tmp_dir):
+    _write(f"{tmp_dir}/mix/a.csv", "名前,値\n山田,1\n", "cp932")
+    _write(f"{tmp_dir}/mix/b.csv", "名前,値\n佐藤,2\n", "utf-8")
+    df = rpt.read_report_csv(spark, f"{tmp_dir}/mix", encoding="auto")
+    assert sorted((r["名前"], r["値"]) for r in df.collect()) == [("佐藤", "2"), ("山田", "1")]
