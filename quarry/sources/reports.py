@@ -60,7 +60,7 @@ def with_file_row_number(df: DataFrame, name: str = "rn") -> DataFrame:
 
 
 def read_report_csv(spark: SparkSession, path, encoding: str | None = "utf-8", header_row: int = 1,
-                    pandas_na: bool = True, sep: str = ",") -> DataFrame:
+                    pandas_na: bool = True, sep: str = ",", multiline: bool = False) -> DataFrame:
     """All columns as text plus ``rn`` (1-based data row in file order)
     and ``source_file``. ``header_row`` = the line holding the header;
     lines above it are dropped (they may have any number of fields).
@@ -86,9 +86,18 @@ def read_report_csv(spark: SparkSession, path, encoding: str | None = "utf-8", h
     header_line = head[header_row - 1]["line"] if len(head) >= header_row else ""
     fields = next(_csv.reader([header_line or ""], delimiter=sep), [])
     names = [v if v not in (None, "") else f"Unnamed: {i}" for i, v in enumerate(fields)]
-    parse = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    data = numbered.filter(F.col("_line") > header_row).select(
-        "_line", "_file", F.from_csv(F.col("line"), ", ".join(f"c{i} STRING" for i in range(len(names))), {"sep": sep}).alias("_r"))
+    ddl = ", ".join(f"c{i} STRING" for i in range(len(names)))
+    if multiline:
+        # Quoted fields may hold line breaks: parse records with the CSV
+        # source itself (each file is one split then) and count records,
+        # as pandas counts the header row in records.
+        recs = (spark.read.schema(ddl).option("header", False).option("encoding", encoding)
+                .option("multiLine", True).option("sep", sep).option("recursiveFileLookup", True).csv(path))
+        data = (with_file_row_number(recs, "_line").filter(F.col("_line") > header_row)
+                .select("_line", "_file", F.struct(*[F.col(f"c{i}") for i in range(len(names))]).alias("_r")))
+    else:
+        data = numbered.filter(F.col("_line") > header_row).select(
+            "_line", "_file", F.from_csv(F.col("line"), ddl, {"sep": sep}).alias("_r"))
 
     def clean(c):
         v = F.col(f"_r.{c}")

@@ -70,3 +70,10 @@ def test_auto_encoding_mixed_folder(spark, tmp_dir):
     _write(f"{tmp_dir}/mix/b.csv", "名前,値\n佐藤,2\n", "utf-8")
     df = rpt.read_report_csv(spark, f"{tmp_dir}/mix", encoding="auto")
     assert sorted((r["名前"], r["値"]) for r in df.collect()) == [("佐藤", "2"), ("山田", "1")]
+
+
+def test_multiline_quoted_fields(spark, tmp_dir):
+    _write(f"{tmp_dir}/ml/a.csv", 'junk\nid,note\n1,"two\nlines"\n2,plain\n', "utf-8")
+    df = rpt.read_report_csv(spark, f"{tmp_dir}/ml", "utf-8", header_row=2, multiline=True)
+    rows = [(r.rn, r.id, r.note) for r in df.orderBy("rn").collect()]
+    assert rows == [(1, "1", "two\nlines"), (2, "2", "plain")]
