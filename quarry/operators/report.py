@@ -68,7 +68,7 @@ def date_range(df: DataFrame, column: str, run_date, start=None, end=None,
         hi = f"{(e + _dt.timedelta(days=1)).isoformat()} 00:00:00"
         cast = "timestamp_ntz" if isinstance(dt, T.TimestampNTZType) else "timestamp"
         return df.filter((c >= F.lit(lo).cast(cast)) & (c < F.lit(hi).cast(cast)))
-    d = F.to_date(c)
+    d = F.try_to_date(c)  # text that is not a date never matches
     return df.filter((d >= F.lit(s)) & (d <= F.lit(e)))
 
 
