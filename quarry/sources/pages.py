@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from quarry.functions.html import parse_elements
-from quarry.session import spread
+from quarry.session import ship_package, spread
 
 ANC = T.StructType([
     T.StructField("tag", T.StringType()), T.StructField("id", T.StringType()),
@@ -82,6 +82,7 @@ def _extract(batches):
 def extract_elements(pages: DataFrame, page_id: str = "page_id", url: str = "url",
                      html: str = "html") -> DataFrame:
     """H1: element table (schema ``ELEMENT_SCHEMA``)."""
+    ship_package(pages.sparkSession)
     src = pages.select(pages[page_id].cast("long").alias("page_id"), pages[url].alias("url"),
                        pages[html].alias("html"))
     return spread(src, "page_id").mapInArrow(_extract, ELEMENT_SCHEMA)

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.session import ship_package
+
 # Encodings tried in order and the default.
 DEFAULT_ENCODING = "cp932"
 TRIAL_ENCODINGS = ("cp932", "euc_jp")
@@ -152,6 +154,7 @@ def _detect_encoding(sample: pd.Series) -> pd.Series:
 def file_encoding(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(path, length, encoding) per file. Only the first 64 KiB of each
     file are examined (10 lines, cut at a line break)."""
+    ship_package(spark)
     r = spark.read.format("binaryFile")
     if glob:
         r = r.option("pathGlobFilter", glob)
@@ -162,6 +165,7 @@ def file_encoding(spark: SparkSession, path: str, glob: str | None = None) -> Da
 
 def encoding_of_bytes(df: DataFrame, content: str = "content") -> DataFrame:
     """S2 on a column of bytes already in a table."""
+    ship_package(df.sparkSession)
     return df.withColumn("encoding", _detect_encoding(F.substring(F.col(content), 1, SAMPLE_BYTES)))
 
 

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quarry.session import ship_package
+
 ELEMENT_DELTA = 5
 TEXT_DELTA = 20
 
@@ -53,6 +55,7 @@ def _track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
 def page_change_stream(metrics: DataFrame, emit_unchanged: bool = False) -> DataFrame:
     """``metrics``: streaming rows (url, snapshot, hash, n_elements,
     text_len), e.g. page snapshots passed through H1 + page_metrics."""
+    ship_package(metrics.sparkSession)
     out = (metrics.groupBy("url")
            .applyInPandasWithState(_track, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
     return out if emit_unchanged else out.filter(F.col("changed") | F.col("first_seen"))
@@ -88,6 +91,7 @@ def page_stats(html: pd.Series) -> pd.DataFrame:
 
 def stream_metrics(snapshots: DataFrame) -> DataFrame:
     """(url, snapshot, hash, n_elements, text_len) per snapshot row."""
+    ship_package(snapshots.sparkSession)
     return snapshots.select("url", F.col("snapshot").cast("long").alias("snapshot"),
                             F.sha2(F.col("html"), 256).alias("hash"), page_stats(F.col("html")).alias("m")
                             ).select("url", "snapshot", "hash", "m.n_elements", "m.text_len")
