@@ -106,6 +106,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     single row group and cannot be split by the scan). Large inputs already
     have more splits than cores and are left as they are (no shuffle).
     """
+    if df.isStreaming:
+        return df  # micro-batches are sized by the source options
     sc = df.sparkSession.sparkContext
     cores = sc.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
