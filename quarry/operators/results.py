@@ -176,7 +176,7 @@ def timing_stats(results: DataFrame) -> DataFrame:
     t = F.col("execution_time").cast("decimal(38,9)")
     return results.agg(
         F.coalesce(F.sum(t).cast("double"), F.lit(0.0)).alias("total_time"),
-        F.coalesce(F.avg(t).cast("double"), F.lit(0.0)).alias("avg_time"),
+        F.coalesce(F.sum(t).cast("double") / F.count(t).cast("double"), F.lit(0.0)).alias("avg_time"),
         F.coalesce(F.max("execution_time"), F.lit(0.0)).alias("max_time"),
         F.min_by("test_key", F.struct(-F.col("execution_time"), F.col("test_key"))).alias("longest_test"),
     )

@@ -264,7 +264,8 @@ FROM disp""")
 register("timing_stats", f"""
 WITH {RESULTS}
 SELECT coalesce(CAST(sum(CAST(execution_time AS DECIMAL(38,9))) AS DOUBLE), 0.0) AS total_time,
-       coalesce(CAST(avg(CAST(execution_time AS DECIMAL(38,9))) AS DOUBLE), 0.0) AS avg_time,
+       coalesce(CAST(sum(CAST(execution_time AS DECIMAL(38,9))) AS DOUBLE) / CAST(count(execution_time) AS DOUBLE), 0.0)
+         AS avg_time,
        coalesce(max(execution_time), 0.0) AS max_time,
        (SELECT test_key FROM res ORDER BY execution_time DESC, test_key LIMIT 1) AS longest_test
 FROM res""")
