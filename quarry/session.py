@@ -39,6 +39,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         # cp932 / euc_jp report files need the JDK charsets (Spark 4 blocks
         # them unless this legacy flag is on).
         .config("spark.sql.legacy.javaCharsets", "true")
+        # written element tables / checkpoints are removed once unreferenced
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("QUARRY_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
