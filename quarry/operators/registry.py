@@ -47,9 +47,13 @@ FOUND, NO_NAME, NO_GROUP = "found", "no_name", "no_group"
 
 
 def read_registry_csv(spark, path: str, encoding: str = "utf-8") -> DataFrame:
-    """S3 scan: registry CSV with a header; ``pos`` = order of the row."""
+    """S3 scan: registry CSV with a header; ``pos`` = (file, row in file),
+    so "later row wins" follows file order and then path order."""
+    from quarry.sources.reports import with_file_row_number
     df = spark.read.option("header", True).option("encoding", encoding).csv(path)
-    return df.withColumn("pos", F.monotonically_increasing_id())
+    return (with_file_row_number(df, "_rn")
+            .withColumn("pos", F.struct(F.col("_file").alias("file"), F.col("_rn").alias("row")))
+            .drop("_file", "_rn"))
 
 
 def registry_load(rows: DataFrame, order: str = "pos") -> DataFrame:

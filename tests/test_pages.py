@@ -87,3 +87,17 @@ def test_element_selector_fallbacks(spark):
     el2 = el.withColumn("attrs", F.map_filter("attrs", lambda k, v: ~k.startswith("data-")))
     got2 = {r.tag: r.css for r in sl.element_selectors(el2).collect()}
     assert got2["div"] == "div.nav-main.active"
+
+
+def test_registry_csv_later_row_wins(spark, tmp_path):
+    from quarry.operators import registry as rg
+    (tmp_path / "reg").mkdir()
+    (tmp_path / "reg" / "selectors.csv").write_text(
+        "group,name,selector_type,selector_value,description\n"
+        "login,user,id,u1,first\nlogin,user,css,#u2,\nlogin,pass,id,p,pw\n")
+    reg = rg.registry_load(rg.read_registry_csv(spark, str(tmp_path / "reg")))
+    got = {(r.group, r.name): (r.selector_type, r.selector_value, r.description) for r in reg.collect()}
+    assert got[("login", "user")] == ("css", "#u2", "")
+    req = spark.createDataFrame([("login", "user"), ("login", "nope"), ("x", "user")], "group string, name string")
+    st = [r.status for r in rg.registry_lookup(req, reg).orderBy("group", "name").collect()]
+    assert st == ["no_name", "found", "no_group"]

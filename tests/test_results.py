@@ -36,3 +36,20 @@ def test_outcome_rules(spark):
     empty = spark.createDataFrame([], "success boolean")
     r = rs.pass_stats(empty.withColumnRenamed("success", "passed")).collect()[0]
     assert (r.total, r.pass_rate) == (0, 0.0)
+
+
+def test_read_result_files(spark, tmp_path):
+    import os
+    import time
+    from quarry.sources.results_json import read_result_files
+    d = tmp_path / "results"
+    os.makedirs(d / "report_20240101")
+    (d / "test_csv_results.json").write_text('{"category": "C", "results": {"t1": {"passed": false}}}')
+    time.sleep(1.1)
+    (d / "test_more_results.json").write_text('{"results": {"t1": {"passed": true}, "t2": true}}')
+    (d / "report_20240101" / "test_old_results.json").write_text('{"results": {"t3": true}}')
+    (d / "other.json").write_text('{"results": {"t4": true}}')
+    docs = read_result_files(spark, str(d))
+    res = {r.test_key: r for r in rs.normalize_results(parse_result_documents(docs)).collect()}
+    assert set(res) == {"t1", "t2"}
+    assert res["t1"].status == "PASS"  # the later file wins
