@@ -81,8 +81,8 @@ def cell_type_of(value: Column, stripped: Column) -> Column:
     once by the caller, so the regex strip is not repeated per branch)."""
     no_commas = F.replace(stripped, F.lit(","), F.lit(""))
     is_number = no_commas.rlike(NUMBER_RE) | no_commas.rlike(SPECIAL_FLOAT_RE)
-    d = numeric_value(no_commas)
-    whole = d.isNotNull() & ~F.isnan(d) & (F.abs(d) != F.lit(float("inf"))) & ((d % 1) == 0)
+    # NaN and +-inf give NaN for ``% 1``, so one test covers finite and whole
+    whole = (numeric_value(no_commas) % 1) == 0
     return (
         F.when(value.isNull() | (value == ""), F.lit(STR))
         .when((F.length(stripped) <= 5) & F.lower(stripped).isin(*BOOLEAN_WORDS), F.lit(BOOLEAN))

@@ -77,12 +77,15 @@ def type_votes(df: DataFrame, rn: str = "rn", columns: Sequence[str] | None = No
     """
     typed = cell_types(df, rn, columns, keep_stripped=True)
     nonblank = F.col("value").isNotNull() & (F.col("_s") != "")
+    # Only fixed-width aggregates here, so the plan is a hash aggregate with
+    # map-side combining (a string in the buffer would force a sort-based
+    # aggregate over every cell); the sample value is fetched by its row.
     return (
         typed.groupBy("col_pos", "column_name", "data_type")
         .agg(F.count(F.lit(1)).alias("votes"),
              F.min("rn").alias("first_rn"),
              F.count_if(is_blank_cell(F.col("value"))).alias("blank_votes"),
-             F.min(F.when(nonblank, F.struct(F.col("rn"), F.col("value")))).alias("first_value"))
+             F.min(F.when(nonblank, F.col("rn"))).alias("first_nonblank_rn"))
     )
 
 
@@ -96,7 +99,7 @@ def column_stats(votes: DataFrame, columns: DataFrame) -> DataFrame:
         .agg(dom.alias("dom"),
              F.sum("votes").alias("n_cells"),
              F.sum("blank_votes").alias("n_blank"),
-             F.min("first_value").alias("first_value"))
+             F.min("first_nonblank_rn").alias("sample_rn"))
     )
     n = F.coalesce(F.col("n_cells"), F.lit(0))
     bad = (n - F.coalesce(F.col("n_blank"), F.lit(0))) - (F.col("dom.votes") - F.col("dom.blank_votes"))
@@ -106,7 +109,7 @@ def column_stats(votes: DataFrame, columns: DataFrame) -> DataFrame:
         .select(
             "col_pos", "column_name",
             F.coalesce(F.col("dom.data_type"), F.lit(STR)).alias("data_type"),
-            F.coalesce(F.col("first_value.value"), F.lit("")).alias("sample_value"),
+            "sample_rn",
             n.cast("long").alias("n_cells"),
             bad.alias("inconsistent_count"),
             F.when(n == 0, F.lit(1.0))
@@ -116,8 +119,23 @@ def column_stats(votes: DataFrame, columns: DataFrame) -> DataFrame:
     )
 
 
+def sample_values(df: DataFrame, stats: DataFrame, rn: str = "rn",
+                  columns: Sequence[str] | None = None) -> DataFrame:
+    """T4: the value of each column's first non-blank cell, looked up by
+    (column, row) in a pass without type inference; the lookup side has one
+    row per column."""
+    want = F.broadcast(stats.filter(F.col("sample_rn").isNotNull())
+                       .select("col_pos", F.col("sample_rn").alias("rn")))
+    hit = unpivot_cells(df, rn, columns).join(want, ["col_pos", "rn"])
+    return hit.groupBy("col_pos").agg(F.min("value").alias("sample_value"))
+
+
 def profile_columns(df: DataFrame, rn: str = "rn", columns: Sequence[str] | None = None) -> DataFrame:
-    return column_stats(type_votes(df, rn, columns), column_list(df, rn, columns))
+    stats = column_stats(type_votes(df, rn, columns), column_list(df, rn, columns))
+    samples = sample_values(df, stats, rn, columns)
+    return (stats.join(samples, "col_pos", "left")
+            .withColumn("sample_value", F.coalesce(F.col("sample_value"), F.lit("")))
+            .drop("sample_rn"))
 
 
 def dominant_type(df: DataFrame, rn: str = "rn") -> DataFrame:
