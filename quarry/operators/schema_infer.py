@@ -8,10 +8,12 @@ are profiled as text.
 Plan shape: the table is unpivoted inside the scan stage (``Generate``), and
 one hash aggregate keyed by (column, type) with map-side partial aggregation
 collapses each partition to at most 6 rows per column before the shuffle.
-Everything the schema table needs (votes, first-seen row, blank counts,
-sample value) comes from that single pass; only the optional list of
-inconsistent cells needs a second pass, and that joins the per-column result
-(one row per column, so bounded by the schema width) as a broadcast.
+Votes, first-seen rows, blank counts and the row of the first non-blank cell
+come from that pass (fixed-width buffers only, so it stays a code-generated
+hash aggregate). The sample value is then looked up by (column, row) in a
+pass without type inference, and the list of inconsistent cells is a pass
+that joins the per-column result; both lookup sides have one row per column
+(bounded by the schema width) and are broadcast.
 """
 
 from __future__ import annotations
