@@ -133,10 +133,16 @@ def page_summary(elements: DataFrame, kinds: Sequence[str] | None = None) -> Dat
         "n_tables": F.count_if(tag_is("table")),
     }
     wanted = [k for k in counts if kinds is None or k[2:] in kinds]
-    title = F.min_by(F.when(tag_is("title"), strip_ws(F.col("text"))), F.when(tag_is("title"), F.col("idx")))
-    return elements.groupBy("page_id").agg(
-        F.first("url").alias("url"), F.coalesce(title, F.lit("")).alias("title"),
-        F.count(F.lit(1)).alias("n_elements"), *[counts[k].cast("long").alias(k) for k in wanted])
+    # One pass over the elements (the element table is often a Python stage
+    # upstream): the title elements are collected per page (an object-hash
+    # aggregate; a page has one title) instead of a string-valued min_by,
+    # which would force a sort-based aggregate over every element.
+    per_page = elements.groupBy("page_id", "url").agg(
+        F.count(F.lit(1)).alias("n_elements"), *[counts[k].cast("long").alias(k) for k in wanted],
+        F.array_min(F.collect_list(F.when(tag_is("title"), F.struct(F.col("idx"), strip_ws(F.col("text")).alias("t")))))
+        .alias("_title"))
+    return per_page.select(
+        "page_id", "url", F.coalesce(F.col("_title.t"), F.lit("")).alias("title"), "n_elements", *wanted)
 
 
 # ---- H3 -------------------------------------------------------------------------
