@@ -29,6 +29,16 @@ from quarry.functions.celltype import STR, cell_type_of, is_blank_cell, strip_py
 
 LOW_CONSISTENCY = 0.9
 SAMPLE_CAP = 10
+# Per-column tables have one row per profiled column; they are broadcast
+# only while that count (known from the schema before any job runs) stays
+# under this bound, otherwise the joins are left to the planner.
+MAX_BROADCAST_COLUMNS = 20000
+
+
+def per_column(df: DataFrame, n_columns: int) -> DataFrame:
+    """Broadcast hint for a table with one row per column, bounded by the
+    schema width."""
+    return F.broadcast(df) if n_columns <= MAX_BROADCAST_COLUMNS else df
 
 
 def _q(name: str) -> str:
@@ -91,7 +101,7 @@ def type_votes(df: DataFrame, rn: str = "rn", columns: Sequence[str] | None = No
     )
 
 
-def column_stats(votes: DataFrame, columns: DataFrame) -> DataFrame:
+def column_stats(votes: DataFrame, columns: DataFrame, n_columns: int = 0) -> DataFrame:
     """T3+T4+T5 from the vote table; one row per column (left join keeps
     columns without any cell: type STR, rate 1.0)."""
     dom = F.max_by(F.struct("data_type", "votes", "blank_votes"),
@@ -107,7 +117,7 @@ def column_stats(votes: DataFrame, columns: DataFrame) -> DataFrame:
     bad = (n - F.coalesce(F.col("n_blank"), F.lit(0))) - (F.col("dom.votes") - F.col("dom.blank_votes"))
     bad = F.coalesce(bad, F.lit(0)).cast("long")
     return (
-        columns.join(F.broadcast(per_col), "col_pos", "left")
+        columns.join(per_column(per_col, n_columns), "col_pos", "left")
         .select(
             "col_pos", "column_name",
             F.coalesce(F.col("dom.data_type"), F.lit(STR)).alias("data_type"),
@@ -126,14 +136,16 @@ def sample_values(df: DataFrame, stats: DataFrame, rn: str = "rn",
     """T4: the value of each column's first non-blank cell, looked up by
     (column, row) in a pass without type inference; the lookup side has one
     row per column."""
-    want = F.broadcast(stats.filter(F.col("sample_rn").isNotNull())
-                       .select("col_pos", F.col("sample_rn").alias("rn")))
+    n_cols = len(list(columns) if columns is not None else profiled_columns(df, rn))
+    want = per_column(stats.filter(F.col("sample_rn").isNotNull())
+                      .select("col_pos", F.col("sample_rn").alias("rn")), n_cols)
     hit = unpivot_cells(df, rn, columns).join(want, ["col_pos", "rn"])
     return hit.groupBy("col_pos").agg(F.min("value").alias("sample_value"))
 
 
 def profile_columns(df: DataFrame, rn: str = "rn", columns: Sequence[str] | None = None) -> DataFrame:
-    stats = column_stats(type_votes(df, rn, columns), column_list(df, rn, columns))
+    n_cols = len(list(columns) if columns is not None else profiled_columns(df, rn))
+    stats = column_stats(type_votes(df, rn, columns), column_list(df, rn, columns), n_cols)
     samples = sample_values(df, stats, rn, columns)
     return (stats.join(samples, "col_pos", "left")
             .withColumn("sample_value", F.coalesce(F.col("sample_value"), F.lit("")))
@@ -172,7 +184,8 @@ def inconsistent_cells(df: DataFrame, rn: str = "rn", stats: DataFrame | None =
     if salt_buckets is None:
         salt_buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     stats = stats if stats is not None else profile_columns(df, rn)
-    dom = F.broadcast(stats.select("col_pos", F.col("data_type").alias("dominant_type")))
+    dom = per_column(stats.select("col_pos", F.col("data_type").alias("dominant_type")),
+                     len(profiled_columns(df, rn)))
     bad = (
         cell_types(df, rn)
         .filter(~is_blank_cell(F.col("value")))
