@@ -34,11 +34,13 @@ STRIP_RE = rf"(?U)^{_WS}+|{_WS}+$"
 # Python float() literal grammar (PEP 515 underscores, optional exponent),
 # allowing the whitespace float() itself tolerates.
 _DIGITS = r"\d(?:_?\d)*"
+# float() itself tolerates Unicode White_Space around the number (but not
+# U+001C..U+001F, which str.strip() removes).
 NUMBER_RE = (
-    rf"(?U)^{_WS}*[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})"
-    rf"(?:[eE][+-]?{_DIGITS})?{_WS}*$"
+    rf"(?U)^\s*[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})"
+    rf"(?:[eE][+-]?{_DIGITS})?\s*$"
 )
-SPECIAL_FLOAT_RE = rf"(?iU)^{_WS}*[+-]?(?:inf|infinity|nan){_WS}*$"
+SPECIAL_FLOAT_RE = r"(?iU)^\s*[+-]?(?:inf|infinity|nan)\s*$"
 DATE_RE = r"(?U)^\d{4}[/-]\d{1,2}[/-]\d{1,2}$"
 TIMESTAMP_RE = r"(?U)^\d{4}[/-]\d{1,2}[/-]\d{1,2}[T\s]\d{1,2}:\d{1,2}"
 
@@ -60,9 +62,22 @@ def _decimal_digit_map() -> tuple[str, str]:
     return "".join(src), "".join(dst)
 
 
+# ASCII characters Python treats as whitespace; any non-ASCII character is
+# treated as "maybe" by the cheap gates below and left to the regexes.
+ASCII_WS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
+NUMBER_START = "+-.0123456789"
+
+
+def _maybe_space(ch: Column) -> Column:
+    return (F.instr(F.lit(ASCII_WS), ch) > 0) | (ch > F.lit("\x7f"))
+
+
 def strip_py(col: Column) -> Column:
-    """Python ``str.strip()`` semantics (Spark's ``trim`` only strips ' ')."""
-    return F.regexp_replace(col, STRIP_RE, "")
+    """Python ``str.strip()`` semantics (Spark's ``trim`` only strips ' ').
+    The regex runs only for cells whose first or last character may be
+    whitespace."""
+    edge = _maybe_space(F.substring(col, 1, 1)) | _maybe_space(F.substring(col, -1, 1))
+    return F.when((F.length(col) > 0) & edge, F.regexp_replace(col, STRIP_RE, "")).otherwise(col)
 
 
 def numeric_value(stripped: Column) -> Column:
@@ -70,25 +85,34 @@ def numeric_value(stripped: Column) -> Column:
     Non-ASCII digits are translated only when the cell has any non-ASCII
     character."""
     src, dst = _decimal_digit_map()
-    ascii_only = ~stripped.rlike(r"[^\x00-\x7F]")
-    digits = F.when(ascii_only, stripped).otherwise(F.translate(stripped, src, dst))
-    cleaned = F.regexp_replace(digits, r"(?U)[,_\s\x{1C}-\x{1F}]", "")
-    return cleaned.try_cast("double")
+    ascii_only = F.length(stripped) == F.octet_length(stripped)
+    # ASCII cells: drop commas, underscores and ASCII spaces with a character
+    # map (no regex); other cells: map Unicode digits, then drop separators.
+    ascii_clean = F.translate(stripped, ",_" + ASCII_WS, "")
+    unicode_clean = F.regexp_replace(F.translate(stripped, src, dst), r"(?U)[,_\s\x{1C}-\x{1F}]", "")
+    return F.when(ascii_only, ascii_clean).otherwise(unicode_clean).try_cast("double")
 
 
 def cell_type_of(value: Column, stripped: Column) -> Column:
     """Label one cell from its raw value and its stripped form (computed
     once by the caller, so the regex strip is not repeated per branch)."""
     no_commas = F.replace(stripped, F.lit(","), F.lit(""))
-    is_number = no_commas.rlike(NUMBER_RE) | no_commas.rlike(SPECIAL_FLOAT_RE)
+    # Cheap first-character gates keep the regexes off cells that cannot
+    # match (most text cells); non-ASCII first characters always go on.
+    f = F.substring(no_commas, 1, 1)
+    may_number = ((F.instr(F.lit(NUMBER_START), f) > 0) | f.isin("i", "I", "n", "N") | _maybe_space(f)
+                  | (F.length(no_commas) == 0))
+    g = F.substring(stripped, 1, 1)
+    may_date = ((g >= F.lit("0")) & (g <= F.lit("9"))) | (g > F.lit("\x7f"))
+    is_number = may_number & (no_commas.rlike(NUMBER_RE) | no_commas.rlike(SPECIAL_FLOAT_RE))
     # NaN and +-inf give NaN for ``% 1``, so one test covers finite and whole
     whole = (numeric_value(no_commas) % 1) == 0
     return (
         F.when(value.isNull() | (value == ""), F.lit(STR))
         .when((F.length(stripped) <= 5) & F.lower(stripped).isin(*BOOLEAN_WORDS), F.lit(BOOLEAN))
         .when(is_number, F.when(whole & ~stripped.contains("."), F.lit(INT)).otherwise(F.lit(FLOAT)))
-        .when(stripped.rlike(DATE_RE), F.lit(DATE))
-        .when(stripped.rlike(TIMESTAMP_RE), F.lit(TIMESTAMP))
+        .when(may_date & stripped.rlike(DATE_RE), F.lit(DATE))
+        .when(may_date & stripped.rlike(TIMESTAMP_RE), F.lit(TIMESTAMP))
         .otherwise(F.lit(STR))
     )
 

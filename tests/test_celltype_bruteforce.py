@@ -34,7 +34,8 @@ def rule_type(v):
     return "STR"
 
 
-ALPHABET = list("0123456789,._-+eE /:Tabyesnotrufl ") + ["　", "\xa0", "\t", "１", "٣", "inf", "nan", "2022-01-0"]
+ALPHABET = list("0123456789,._-+eE /:Tabyesnotrufl ") + ["　", "\xa0", "\t", "１", "٣", "inf", "nan", "2022-01-0",
+                                                            "\x85", "\x1c", "\x0b", "\x1f"]
 cells = st.lists(st.sampled_from(ALPHABET), min_size=0, max_size=8).map("".join)
 
 
