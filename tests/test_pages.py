@@ -101,3 +101,32 @@ def test_registry_csv_later_row_wins(spark, tmp_path):
     req = spark.createDataFrame([("login", "user"), ("login", "nope"), ("x", "user")], "group string, name string")
     st = [r.status for r in rg.registry_lookup(req, reg).orderBy("group", "name").collect()]
     assert st == ["no_name", "found", "no_group"]
+
+
+def test_grouped_headings_tables_and_changes(spark):
+    html = ("<html><body><h2>b</h2><h1>a</h1><h2>c</h2>"
+            "<table id='t'><tr><th>x<th>y</tr><tr><td>1<td>2</tr></table>"
+            "<table><tr><td>1<td>2<td>3</tr></table></body></html>")
+    el = _elements(spark, html)
+    g = pe.headings_grouped(el).collect()[0].headings
+    assert g == {"h1": ["a"], "h2": ["b", "c"]}
+    t = sorted((r.table_id, list(r.headers), r.n_rows, r.n_columns) for r in pe.html_tables(el).collect())
+    assert t == [("t", ["x", "y"], 2, 2), ("unnamed_table_1", [], 1, 3)]
+    pages = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    after = spark.createDataFrame([(1, "u", html.replace("</body>", "<p>" + "z" * 30 + "</p></body>"))],
+                                  "page_id long, url string, html string")
+    ch = pe.page_changes(pe.page_metrics(pages, extract_elements(pages)),
+                         pe.page_metrics(after, extract_elements(after))).collect()[0]
+    assert ch.source_changed and ch.d_elements == 1 and ch.d_text == 30 and ch.changed
+
+
+def test_dedup_and_structure(spark):
+    html = ("<html><body><header>h</header><nav role='navigation'>n</nav><div class='content'>"
+            "<a class='btn' href='#'>x</a></div></body></html>")
+    el = sl.add_xpaths(_elements(spark, html))
+    regions = {r.region: r.tag for r in pe.page_structure(el).collect()}
+    assert regions == {"top_bar": "header", "navigation": "nav", "main_content": "div"}
+    cand = pe.interactive(el, ("clickable",)).join(el.select("page_id", "idx", "xpath"), ["page_id", "idx"]) \
+        .withColumn("order", F.col("selector") * 1000 + F.col("idx"))
+    assert cand.count() == 2  # the link matches "a" and "[class*='btn']"
+    assert pe.dedup_elements(cand).count() == 1

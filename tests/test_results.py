@@ -53,3 +53,12 @@ def test_read_result_files(spark, tmp_path):
     res = {r.test_key: r for r in rs.normalize_results(parse_result_documents(docs)).collect()}
     assert set(res) == {"t1", "t2"}
     assert res["t1"].status == "PASS"  # the later file wins
+
+
+def test_category_rollup_and_detail(spark):
+    docs = spark.createDataFrame([("p1", 1, NESTED), ("p2", 2, FLAT)], "path string, file_order long, content string")
+    res = rs.normalize_results(parse_result_documents(docs))
+    roll = {r.category: (r.n_passed, r.n_total) for r in rs.category_rollup(res).collect()}
+    assert roll["CSV"] == (1, 2) and roll["Flat"] == (1, 1) and roll["その他"] == (2, 4)
+    detail = [(r.category, r.test_key) for r in rs.category_detail(res).collect()]
+    assert ("CSV", "a::test_one") in detail and all(c != "CSV" or k != "a::test_two" for c, k in detail)
