@@ -102,8 +102,11 @@ def sensitive_scan(docs: DataFrame, key: str = "doc_id", text: str = "text",
     located = found.select(
         "_key", "pattern_id", "type", "k", F.col("z.match").alias("match"),
         (F.sum(step).over(w) - _nl(F.col("z.match")) + 1).alias("line"))
-    lines = (hits.select("_key", F.posexplode(F.split(F.col("_text"), "\n", -1)).alias("_i", "context"))
-             .select("_key", (F.col("_i") + 1).alias("line"), "context"))
+    # CRLF texts: the line text ends before the "\r", as a line splitter
+    # that treats "\r\n" as one break returns it
+    lines = (hits.select("_key", F.posexplode(F.split(F.col("_text"), "\n", -1)).alias("_i", "_line"))
+             .select("_key", (F.col("_i") + 1).alias("line"),
+                     F.regexp_replace(F.col("_line"), "\r\\z", "").alias("context")))
     return (located.join(lines, ["_key", "line"], "left")
             .select(F.col("_key").alias(key), "pattern_id", "type", F.col("line").cast("long").alias("line"),
                     "match", "context"))

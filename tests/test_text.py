@@ -64,3 +64,10 @@ def test_code_slug_url_clean(spark):
     assert r.f == "add_user_login_feature_now.py"
     assert (r.u.owner, r.u.repo, r.u.number, r.u.error) == ("o", "r", "12", None)
     assert r.m == "fix bug"
+
+
+def test_scan_context_crlf(spark):
+    text = "first\r\npassword: 'abc123'\r\nlast\r\n"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = sc.sensitive_scan(df).collect()
+    assert [(r.line, r.context) for r in rows] == [(2, text.splitlines()[1])]
