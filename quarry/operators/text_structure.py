@@ -8,22 +8,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
+from quarry.session import spread
 
 
 def list_items(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """D3: one row per list item (1-based ``item_pos``)."""
+    df = spread(df, *keys)
     return df.select(*keys, F.posexplode(tx.list_items(F.col(text))).alias("_p", "item")).select(
         *keys, (F.col("_p") + 1).alias("item_pos"), "item")
 
 
 def sections(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """Summary, risks and suggestions per text."""
+    df = spread(df, *keys)
     return df.select(*keys, tx.section_parts(F.col(text)).alias("_s")).select(
         *keys, "_s.summary", "_s.risks", "_s.suggestions")
 
 
 def code_blocks(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """First fenced block (else the text) and the text outside fences."""
+    df = spread(df, *keys)
     t = F.col(text)
     return df.select(*keys, tx.code_block(t).alias("code"), tx.outside_code(t).alias("explanation"))
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.results import DEFAULT_CATEGORY, UNKNOWN
+from quarry.session import spread
 
 # File-name patterns and keys of the result documents.
 RESULT_GLOB = "test_*_results.json"
@@ -51,6 +52,7 @@ def parse_result_documents(docs: DataFrame, content: str = "content", path: str
                     F.lit("test_"), F.lit(""))
     entries = F.when(nested.isNotNull(), nested).otherwise(
         F.map_filter(flat, lambda k, _v: ~k.isin(*FLAT_META_KEYS)))
+    docs = spread(docs, path)  # JSON parsing is CPU-bound per document
     exploded = docs.select(
         F.col(path).alias("path"), F.col(order).alias("_order"),
         file_cat.alias("_file_category"), src.alias("_file_source"),
