@@ -643,3 +643,9 @@ def q_xpath_unified(spark, sf_dir):
 def q_element_counts(spark, sf_dir):
     """H1 on the real pages: elements per (page, tag)."""
     return _elements(spark, sf_dir).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("elements_rt")
+def q_elements_rt(spark, sf_dir):
+    """H1 on the rendered customer pages: the element tree."""
+    return _rt_elements(spark, sf_dir).select("page_id", "idx", "parent_idx", "depth", "tag")

@@ -999,3 +999,46 @@ UNION ALL SELECT page_id, 'input_5', '', '', '', fp || ' > select', '/html/body/
        '//*/html/body/main/form/select', '入力フィールド', 'フォーム', '' FROM f)
 SELECT 'detailed_analysis' AS "group", name, text_value, id, class, css, xpath, full_xpath, element_type, category, track_id
 FROM r""")
+
+
+# The rendered customer page as a tree (tag, children); the error box
+# (div + p) exists only for negative balances.
+def _customer_page_tree(neg: bool):
+    form = ("form", [("input", []), ("input", []), ("input", []),
+                     ("select", [("option", []), ("option", []), ("option", [])]),
+                     ("textarea", []), ("button", []), ("input", [])])
+    table1 = ("table", [("tr", [("th", []), ("th", [])]), ("tr", [("td", []), ("td", [])])])
+    table2 = ("table", [("tr", [("td", []), ("td", []), ("td", [])]), ("tr", [("td", [])])])
+    main = [("h2", []), form, table1, table2, ("img", [])]
+    if neg:
+        main += [("div", []), ("p", [])]
+    main += [("a", []), ("a", [])]
+    head = ("head", [("meta", []), ("title", []), ("meta", []), ("meta", []), ("meta", [])])
+    body = ("body", [("header", [("a", [])]), ("div", [("a", [])]), ("main", main)])
+    return ("html", [head, body])
+
+
+def _preorder(tree):
+    rows = []
+
+    def walk(node, parent, depth):
+        idx = len(rows)
+        rows.append((idx, parent, depth, node[0]))
+        for child in node[1]:
+            walk(child, idx, depth + 1)
+    walk(tree, None, 0)
+    return rows
+
+
+def _values(rows):
+    return ", ".join(f"({i}, {'NULL' if p is None else p}, {d}, '{t}')" for i, p, d, t in rows)
+
+
+register("elements_rt", f"""
+WITH {CUSTOMER_PAGE},
+t0 AS (SELECT * FROM (VALUES {_values(_preorder(_customer_page_tree(False)))}) t(idx, parent_idx, depth, tag)),
+t1 AS (SELECT * FROM (VALUES {_values(_preorder(_customer_page_tree(True)))}) t(idx, parent_idx, depth, tag))
+SELECT page_id, CAST(idx AS INTEGER) AS idx, CAST(parent_idx AS INTEGER) AS parent_idx, CAST(depth AS INTEGER) AS depth, tag
+FROM c, t0 WHERE NOT neg
+UNION ALL
+SELECT page_id, CAST(idx AS INTEGER), CAST(parent_idx AS INTEGER), CAST(depth AS INTEGER), tag FROM c, t1 WHERE neg""")
