@@ -1,6 +1,6 @@
 """H1 helper: tolerant HTML -> flat element rows for one page.
 
-Runs inside ``mapInPandas`` tasks (see ``quarry.sources.pages``); it is the
+Runs inside ``mapInArrow`` tasks (see ``quarry.sources.pages``); it is the
 only per-row Python on the page path. Uses the standard library tokenizer,
 a void-element list and the common implied-end-tag rules, so malformed
 pages (unclosed ``<b>``/``<p>``, stray end tags) still give a tree. Text of
@@ -41,9 +41,7 @@ class _Tree(HTMLParser):
         self.attrs: list[dict] = []
         self.parent: list[int] = []
         self.own: list[list[str]] = []
-        self.texts: list[list[tuple[int, str]]] = []  # (order, text) per element, own text pieces
         self.stack: list[int] = []
-        self.order = 0
         self.chunks: list[tuple[int, str]] = []  # (element, text) in document order
 
     def _pop_to(self, i: int) -> None:

@@ -21,7 +21,6 @@ UNNAMED_FORM = "unnamed_form_"
 UNNAMED_TABLE = "unnamed_table_"
 ERROR_JOIN = "; "
 ALERT_CONFIRM, ALERT_PROMPT, ALERT_ALERT = "confirm", "prompt", "alert"
-CATEGORY_DEFAULT = "その他"
 
 
 # ---- predicates --------------------------------------------------------------
