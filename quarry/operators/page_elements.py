@@ -282,8 +282,11 @@ def html_tables(elements: DataFrame) -> DataFrame:
     inner = within(elements, "table")
     rows = inner.filter(tag_is("tr"))
     first_row = rows.groupBy("page_id", "container_idx").agg(F.min("idx").alias("_first_tr"))
-    cells = inner.filter(tag_is("td", "th")).select("page_id", "container_idx", "parent_idx")
-    first_cells = (cells.join(first_row.withColumnRenamed("_first_tr", "parent_idx"), ["page_id", "container_idx", "parent_idx"])
+    # cells anywhere below the first row (a recursive search, as the
+    # original find-all does), matched to the row by its tree path
+    row_cells = (within(elements, "tr").filter(tag_is("td", "th"))
+                 .select("page_id", F.col("container_idx").alias("_first_tr")))
+    first_cells = (row_cells.join(first_row, ["page_id", "_first_tr"])
                    .groupBy("page_id", "container_idx").agg(F.count(F.lit(1)).alias("_first_cells")))
     ths = (inner.filter(tag_is("th")).groupBy("page_id", "container_idx")
            .agg(F.array_sort(F.collect_list(F.struct("idx", strip_ws(F.col("text")).alias("t")))).alias("_h")))
