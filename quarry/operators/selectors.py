@@ -77,14 +77,15 @@ def class_superset_counts(elements: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_containing")))
 
 
-def css_selector(elements: DataFrame) -> DataFrame:
+def css_selector(elements: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """``#id``; else ``.a.b`` when exactly one element of the page has
     all those classes; else up to 4 levels of ``tag`` /
     ``tag:nth-child(n)`` (n counts same-tag siblings, written when > 1)
     joined by `` > ``, stopping at (and including) an ancestor with an id.
-    Adds column ``css``."""
+    Adds column ``css`` to ``targets`` (default: every element); class
+    uniqueness is always counted over all ``elements`` of the page."""
     counts = class_superset_counts(elements)
-    el = elements.withColumn("class_key", class_key(F.col("class")))
+    el = (elements if targets is None else targets).withColumn("class_key", class_key(F.col("class")))
     el = el.join(counts, ["page_id", "class_key"], "left")
     n = F.size("anc")
     start = F.greatest(n - (CSS_MAX_LEVELS - 1), F.lit(1))
@@ -287,8 +288,11 @@ def selector_table(elements: DataFrame, group: str = GROUP_DEFAULT) -> DataFrame
     (i counts per page in selector, then document order), with text, id,
     class, css, xpaths, kind, category and data attributes (``data`` map;
     the export spreads it into columns)."""
-    el = add_xpaths(css_selector(elements))
-    hits = interactive(el, ("clickable", "input")).select("page_id", "idx", "kind", "selector", "text")
+    hits = interactive(elements, ("clickable", "input")).select("page_id", "idx", "kind", "selector", "text")
+    # selectors only for the elements that are listed (uniqueness of class
+    # sets is still counted over the whole page)
+    targets = elements.join(hits.select("page_id", "idx").distinct(), ["page_id", "idx"], "left_semi")
+    el = add_xpaths(css_selector(elements, targets))
     w = Window.partitionBy("page_id", "kind").orderBy("selector", "idx")
     numbered = hits.withColumn("_i", F.row_number().over(w))
     j = numbered.join(el.drop("text"), ["page_id", "idx"])
