@@ -12,9 +12,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators import page_elements as pe
+from quarry.operators import registry as rg
+from quarry.operators import report as rp
+from quarry.operators import results as rs
 from quarry.operators import schema_infer as si
-from quarry.plans.fixtures import report_text
+from quarry.operators import selectors as sl
+from quarry.operators import text_structure as ts
+from quarry.operators import textscan as sc
+from quarry.plans import fixtures as fx
+from quarry.plans.fixtures import report_runs, report_text, result_documents
 from quarry.session import load_table, materialize
+from quarry.sources import reports as rpt
+from quarry.sources import sinks as sk
+from quarry.sources.pages import extract_elements
+from quarry.sources.results_json import parse_result_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,10 +116,6 @@ def q_table_profile(spark, sf_dir):
 
 
 # ---- P1-P5 ---------------------------------------------------------------
-from quarry.operators import report as rp  # noqa: E402
-from quarry.operators import results as rs  # noqa: E402
-from quarry.plans.fixtures import report_runs, result_documents  # noqa: E402
-from quarry.sources.results_json import parse_result_documents  # noqa: E402
 
 RUN_DATE = "2024-01-21"
 EVENT_TYPES = ("view", "click", "purchase", "signup", "error")
@@ -193,9 +201,6 @@ def q_outcome_summary(spark, sf_dir):
 
 
 # ---- S3, R1-R3 -------------------------------------------------------------
-from quarry.operators import registry as rg  # noqa: E402
-from quarry.operators import text_structure as ts  # noqa: E402
-from quarry.plans import fixtures as fx  # noqa: E402
 
 
 @query("registry_load")
@@ -278,7 +283,6 @@ def q_clean_message(spark, sf_dir):
 
 
 # ---- D1-D2 -------------------------------------------------------------------
-from quarry.operators import textscan as sc  # noqa: E402
 
 
 @query("sensitive_scan")
@@ -304,9 +308,6 @@ def q_sensitive_summary_rt(spark, sf_dir):
 
 
 # ---- H1-H31 -------------------------------------------------------------------
-from quarry.operators import page_elements as pe  # noqa: E402
-from quarry.operators import selectors as sl  # noqa: E402
-from quarry.sources.pages import extract_elements  # noqa: E402
 
 
 def _elements(spark, sf_dir, shared: bool = False):
@@ -513,8 +514,6 @@ def q_alert_kind(spark, sf_dir):
 
 
 # ---- S1-S9, ST1-ST2 -------------------------------------------------------------
-from quarry.sources import reports as rpt  # noqa: E402
-from quarry.sources import sinks as sk  # noqa: E402
 
 ORDER_COLS = fx.ORDER_REPORT_HEADER
 
