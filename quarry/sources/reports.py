@@ -247,9 +247,12 @@ def report_target_name(report_type: Column, run_date, pattern: Column | None = N
 
 def write_snapshot(df: DataFrame, root: str, snapshot_ts: str, fmt: str = "parquet") -> str:
     """S9 sink: land a report as a new ``snapshot_ts=`` partition; earlier
-    snapshots stay as they are (the backup of the previous content)."""
+    snapshots stay as they are (the backup of the previous content). Only
+    the written snapshot's partition is replaced, so re-running a failed
+    landing with the same ``snapshot_ts`` is idempotent."""
     (df.withColumn("snapshot_ts", F.lit(snapshot_ts))
-     .write.mode("append").partitionBy("snapshot_ts").format(fmt).save(root))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("snapshot_ts").format(fmt).save(root))
     return root
 
 

@@ -67,3 +67,11 @@ def test_page_change_stream(spark, tmp_dir):
     assert rows[("u1", 1)].first_seen and rows[("u2", 1)].first_seen
     assert ("u1", 2) not in rows  # unchanged page emits nothing
     assert rows[("u2", 2)].changed and rows[("u2", 2)].d_elements == 7
+
+
+def test_snapshot_rerun_is_idempotent(spark, tmp_dir):
+    root = f"{tmp_dir}/snap2"
+    rpt.write_snapshot(spark.createDataFrame([(1,)], "a int"), root, "s1")
+    rpt.write_snapshot(spark.createDataFrame([(2,)], "a int"), root, "s2")
+    rpt.write_snapshot(spark.createDataFrame([(2,)], "a int"), root, "s2")  # re-run of a landing
+    assert sorted((r.snapshot_ts, r.a) for r in spark.read.parquet(root).collect()) == [("s1", 1), ("s2", 2)]
