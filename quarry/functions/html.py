@@ -9,6 +9,7 @@ pages (unclosed ``<b>``/``<p>``, stray end tags) still give a tree. Text of
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 # Elements without content, and the implied-end-tag rules.
@@ -32,6 +33,11 @@ IMPLIED = {
 }
 SCOPE = frozenset("html body table td th ul ol div article section nav form button".split())
 RAW_TEXT = frozenset({"script", "style"})
+# Elements a browser never renders; with the hidden attribute, a hidden
+# input or an inline display:none / visibility:hidden they make an element
+# (and its subtree) not displayed.
+NOT_RENDERED = frozenset("head title meta link base script style template noscript".split())
+_HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Tree(HTMLParser):
@@ -110,7 +116,7 @@ class _Tree(HTMLParser):
 def parse_elements(html: str | None) -> list[tuple]:
     """Element rows of one page:
     (idx, parent_idx, depth, tag, id, class, attrs, own_text, text,
-     nth_child, n_child, nth_tag, n_same, anc)
+     nth_child, n_child, nth_tag, n_same, anc, visible)
     ``anc`` lists (tag, id, class, nth_tag, n_same, nth_child, n_child, role,
     name, data-* attributes) from the root down to the element itself.
     """
@@ -149,17 +155,22 @@ def parse_elements(html: str | None) -> list[tuple]:
             text_parts[a].append(data)
             a = p.parent[a]
     depth = [0] * n
+    visible = [True] * n
     anc: list[list[tuple]] = [None] * n  # type: ignore[list-item]
     rows = []
     for i in range(n):
         par = p.parent[i]
         depth[i] = depth[par] + 1 if par >= 0 else 0
         a = p.attrs[i]
+        hidden = ("hidden" in a or p.tags[i] in NOT_RENDERED
+                  or (p.tags[i] == "input" and a.get("type", "").lower() == "hidden")
+                  or bool(_HIDDEN_STYLE.search(a.get("style", ""))))
+        visible[i] = (visible[par] if par >= 0 else True) and not hidden
         data = {k: v for k, v in a.items() if k.startswith("data-")}
         me = (p.tags[i], a.get("id"), a.get("class"), nth_tag[i], n_same[i], nth_child[i], n_child[i],
               a.get("role"), a.get("name"), data)
         anc[i] = (anc[par] if par >= 0 else []) + [me]
         rows.append((i, par if par >= 0 else None, depth[i], p.tags[i], a.get("id"), a.get("class"), a,
                      "".join(p.own[i]), "".join(text_parts[i]),
-                     nth_child[i], n_child[i], nth_tag[i], n_same[i], anc[i]))
+                     nth_child[i], n_child[i], nth_tag[i], n_same[i], anc[i], visible[i]))
     return rows

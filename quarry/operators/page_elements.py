@@ -116,20 +116,33 @@ def _selector_hits(selectors: Sequence[Column]) -> Column:
 
 # ---- H2 -------------------------------------------------------------------------
 
-def page_summary(elements: DataFrame, kinds: Sequence[str] | None = None) -> DataFrame:
+def _shown(elements: DataFrame, check_visibility: bool) -> DataFrame:
+    """Only displayed elements (no hidden attribute / hidden input / inline
+    display:none on the element or an ancestor, not in head) when asked."""
+    return elements.filter(F.col("visible")) if check_visibility else elements
+
+
+def page_summary(elements: DataFrame, kinds: Sequence[str] | None = None,
+                 check_visibility: bool = False) -> DataFrame:
     """H2: title, url and element counts per page. ``kinds`` picks the
     counts wanted (forms, buttons, links, inputs, errors, headings, images,
-    tables); the rest are not computed."""
+    tables); the rest are not computed. ``check_visibility`` counts only
+    displayed elements (the title is read either way)."""
+    shown = F.col("visible") if check_visibility else F.lit(True)
+
+    def n(cond: Column) -> Column:
+        return F.count_if(shown & cond)
+
     nonempty = strip_ws(F.coalesce(F.col("text"), F.lit(""))) != ""
     counts = {
-        "n_forms": F.count_if(tag_is("form")),
-        "n_buttons": F.count_if(tag_is("button") | (tag_is("input") & input_type().isin("button", "submit"))),
-        "n_links": F.count_if(tag_is("a")),
-        "n_inputs": sum((F.count_if(s) for s in input_selectors()[:3]), F.lit(0)),
-        "n_errors": sum((F.count_if(s & nonempty) for s in error_selectors()), F.lit(0)),
-        "n_headings": F.count_if(F.col("tag").rlike("^h[1-6]$")),
-        "n_images": F.count_if(tag_is("img")),
-        "n_tables": F.count_if(tag_is("table")),
+        "n_forms": n(tag_is("form")),
+        "n_buttons": n(tag_is("button") | (tag_is("input") & input_type().isin("button", "submit"))),
+        "n_links": n(tag_is("a")),
+        "n_inputs": sum((n(c) for c in input_selectors()[:3]), F.lit(0)),
+        "n_errors": sum((n(c & nonempty) for c in error_selectors()), F.lit(0)),
+        "n_headings": n(F.col("tag").rlike("^h[1-6]$")),
+        "n_images": n(tag_is("img")),
+        "n_tables": n(tag_is("table")),
     }
     wanted = [k for k in counts if kinds is None or k[2:] in kinds]
     # One pass over the elements (the element table is often a Python stage
@@ -230,9 +243,10 @@ def inputs(elements: DataFrame, visible_only: bool = True) -> DataFrame:
                     F.when(tag_is("select"), F.coalesce(F.col("n_options"), F.lit(0))).alias("n_options")))
 
 
-def buttons(elements: DataFrame) -> DataFrame:
+def buttons(elements: DataFrame, check_visibility: bool = False) -> DataFrame:
     """H7: ``button``, ``input[type=button|submit]``, ``a.btn`` and
     ``a[role=button]`` (type ``link-button``); text falls back to value."""
+    elements = _shown(elements, check_visibility)
     is_link_button = tag_is("a") & (has_class("btn") | attr_eq("role", "button"))
     cond = tag_is("button") | (tag_is("input") & input_type().isin("button", "submit")) | is_link_button
     typ = F.when(is_link_button, F.lit("link-button")).otherwise(F.coalesce(attr("type"), F.lit("")))
@@ -241,10 +255,11 @@ def buttons(elements: DataFrame) -> DataFrame:
                                         text.alias("text"), typ.alias("type"))
 
 
-def links(elements: DataFrame) -> DataFrame:
+def links(elements: DataFrame, check_visibility: bool = False) -> DataFrame:
     """H8: ``a`` elements with an href: text, href, title, target and both
     external-link definitions (``is_external``: http/https/'//' prefix;
     ``is_external_page``: that and not under the page's own URL)."""
+    elements = _shown(elements, check_visibility)
     w = Window.partitionBy("page_id").orderBy("idx")
     href = attr("href")
     ext = href.startswith("http") | href.startswith("//")
@@ -303,10 +318,10 @@ def html_tables(elements: DataFrame) -> DataFrame:
 
 # ---- H12-H15 ---------------------------------------------------------------------
 
-def error_messages(elements: DataFrame) -> DataFrame:
+def error_messages(elements: DataFrame, check_visibility: bool = False) -> DataFrame:
     """Elements matching any of the error selectors with non-empty
     text; one row per (element, matching selector) like the selector loop."""
-    return (elements.select("page_id", "idx", strip_ws(F.coalesce(F.col("text"), F.lit(""))).alias("text"),
+    return (_shown(elements, check_visibility).select("page_id", "idx", strip_ws(F.coalesce(F.col("text"), F.lit(""))).alias("text"),
                             F.explode(_selector_hits(error_selectors())).alias("selector"))
             .filter(F.col("text") != ""))
 
@@ -328,9 +343,11 @@ def login_error_message(elements: DataFrame) -> DataFrame:
             .select("page_id", F.coalesce(F.col("first"), F.col("joined")).alias("message")))
 
 
-def interactive(elements: DataFrame, kinds: Sequence[str] = ("clickable", "input", "media")) -> DataFrame:
+def interactive(elements: DataFrame, kinds: Sequence[str] = ("clickable", "input", "media"),
+                check_visibility: bool = False) -> DataFrame:
     """Interactive elements by kind; an element appears once per
     selector of its kind that it matches (as the selector loops do)."""
+    elements = _shown(elements, check_visibility)
     lists = {"clickable": clickable_selectors(), "input": input_selectors(), "media": media_selectors()}
     parts = [_tagged(_selector_hits(lists[k]), "kind", k) for k in kinds]
     hits = parts[0] if len(parts) == 1 else F.concat(*parts)

@@ -33,6 +33,7 @@ ELEMENT_SCHEMA = T.StructType([
     T.StructField("nth_child", T.IntegerType()), T.StructField("n_child", T.IntegerType()),
     T.StructField("nth_tag", T.IntegerType()), T.StructField("n_same", T.IntegerType()),
     T.StructField("anc", T.ArrayType(ANC)),
+    T.StructField("visible", T.BooleanType()),
 ])
 
 _ANC_ARROW = pa.struct([("tag", pa.string()), ("id", pa.string()), ("class", pa.string()),
@@ -44,7 +45,7 @@ _ARROW = pa.schema([
     ("depth", pa.int32()), ("tag", pa.string()), ("id", pa.string()), ("class", pa.string()),
     ("attrs", pa.map_(pa.string(), pa.string())), ("own_text", pa.string()), ("text", pa.string()),
     ("nth_child", pa.int32()), ("n_child", pa.int32()), ("nth_tag", pa.int32()), ("n_same", pa.int32()),
-    ("anc", pa.list_(_ANC_ARROW)),
+    ("anc", pa.list_(_ANC_ARROW)), ("visible", pa.bool_()),
 ])
 FLUSH_PAGES = 256
 _ANC_FIELDS = ("tag", "id", "class", "nth_tag", "n_same", "nth_child", "n_child", "role", "name")
@@ -65,9 +66,9 @@ def _extract(batches):
         d = rb.to_pydict()
         for pid, url, html in zip(d["page_id"], d["url"], d["html"]):
             for r in parse_elements(html):
-                (idx, par, depth, tag, eid, cls, attrs, own, text, nc, ncs, nt, ns, anc) = r
+                (idx, par, depth, tag, eid, cls, attrs, own, text, nc, ncs, nt, ns, anc, vis) = r
                 row = (pid, url, idx, par, depth, tag, eid, cls, list(attrs.items()), own, text,
-                       nc, ncs, nt, ns, [dict(zip(_ANC_FIELDS, a[:9]), data=list(a[9].items())) for a in anc])
+                       nc, ncs, nt, ns, [dict(zip(_ANC_FIELDS, a[:9]), data=list(a[9].items())) for a in anc], vis)
                 for c, v in zip(cols, row):
                     c.append(v)
             pending += 1

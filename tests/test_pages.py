@@ -130,3 +130,16 @@ def test_dedup_and_structure(spark):
         .withColumn("order", F.col("selector") * 1000 + F.col("idx"))
     assert cand.count() == 2  # the link matches "a" and "[class*='btn']"
     assert pe.dedup_elements(cand).count() == 1
+
+
+def test_visibility(spark):
+    html = ("<html><head><title>t</title></head><body><div hidden><a href='/x'>x</a></div>"
+            "<p style='display: none'><button>b</button></p><a href='/y'>y</a>"
+            "<input type='hidden' name='h'><button>c</button></body></html>")
+    el = _elements(spark, html)
+    s_all = pe.page_summary(el).collect()[0]
+    s_vis = pe.page_summary(el, check_visibility=True).collect()[0]
+    assert (s_all.n_links, s_all.n_buttons) == (2, 2)
+    assert (s_vis.n_links, s_vis.n_buttons) == (1, 1)
+    assert [r.href for r in pe.links(el, check_visibility=True).collect()] == ["/y"]
+    assert sorted(r.text for r in pe.interactive(el, ("clickable",), check_visibility=True).collect()) == ["c", "y"]
