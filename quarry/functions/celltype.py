@@ -66,6 +66,7 @@ def _decimal_digit_map() -> tuple[str, str]:
 # treated as "maybe" by the cheap gates below and left to the regexes.
 ASCII_WS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 NUMBER_START = "+-.0123456789"
+PLAIN_NUMBER_CHARS = "0123456789+-.eE \t\n\x0b\x0c\r"  # no U+001C..U+001F: float() rejects them
 
 
 def _maybe_space(ch: Column) -> Column:
@@ -104,7 +105,13 @@ def cell_type_of(value: Column, stripped: Column) -> Column:
                   | (F.length(no_commas) == 0))
     g = F.substring(stripped, 1, 1)
     may_date = ((g >= F.lit("0")) & (g <= F.lit("9"))) | (g > F.lit("\x7f"))
-    is_number = may_number & (no_commas.rlike(NUMBER_RE) | no_commas.rlike(SPECIAL_FLOAT_RE))
+    # Plain ASCII numbers (only digits, sign, point, exponent and ASCII
+    # spaces) are decided by the cast itself, which accepts exactly
+    # Python's float() syntax on that alphabet; everything else (underscores,
+    # Unicode digits or spaces, inf / nan) goes through the regex gate.
+    plain = (F.length(no_commas) > 0) & (F.translate(no_commas, PLAIN_NUMBER_CHARS, "") == "")
+    is_number = F.when(plain, no_commas.try_cast("double").isNotNull()).otherwise(
+        may_number & (no_commas.rlike(NUMBER_RE) | no_commas.rlike(SPECIAL_FLOAT_RE)))
     # NaN and +-inf give NaN for ``% 1``, so one test covers finite and whole
     whole = (numeric_value(no_commas) % 1) == 0
     return (
