@@ -4,9 +4,9 @@ All selector strings are built from the element's ancestor path with array
 functions (``slice``, ``transform``, ``array_join``); nothing walks a DOM.
 The only cross-element fact a selector needs is whether a class list is
 unique in its page; that is a count of elements whose class set contains
-it, computed by grouping every element's class subsets per page (no pairs
-of elements are formed). An element with k classes contributes 2^k - 1
-subsets; real pages use a handful of classes per element.
+it (see ``class_superset_counts``: class subsets for elements with few
+classes, a class join against the page's distinct class sets for elements
+with many; no pairs of elements are formed).
 """
 
 from __future__ import annotations
@@ -63,18 +63,42 @@ def class_key(c: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(classes(c))), ".")
 
 
-def class_superset_counts(elements: DataFrame) -> DataFrame:
-    """(page_id, class_key, n_containing): for each class set that is some
-    subset of an element's classes, how many elements of the page have all
-    of those classes."""
+SMALL_CLASS_SET = 8
+
+
+def class_superset_counts(elements: DataFrame, small: int = SMALL_CLASS_SET) -> DataFrame:
+    """(page_id, class_key, n_containing): how many elements of the page
+    have all the classes of ``class_key``; exact for every key that is some
+    element's full class set (the keys the CSS rule looks up).
+
+    Elements with at most ``small`` classes contribute their class subsets
+    (at most 2^small - 1 each) to a grouped count. Elements with more
+    classes are matched against the page's distinct class sets through a
+    join on (page, class): a set is contained when all of its classes
+    matched. No pairs of elements are formed, and no element expands
+    exponentially.
+    """
     cls = F.array_sort(F.array_distinct(classes(F.col("class"))))
+    base = elements.select("page_id", "idx", cls.alias("_c")).filter(F.size("_c") > 0)
     # power set of the (sorted) classes, built by folding
-    subsets = F.aggregate(cls, F.array(F.array().cast("array<string>")),
-                          lambda acc, c: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(c)))))
-    return (elements.filter(F.size(cls) > 0)
-            .select("page_id", F.explode(F.filter(subsets, lambda s: F.size(s) > 0)).alias("_s"))
-            .groupBy("page_id", F.array_join("_s", ".").alias("class_key"))
-            .agg(F.count(F.lit(1)).alias("n_containing")))
+    subsets = F.aggregate(F.col("_c"), F.array(F.array().cast("array<string>")),
+                          lambda acc, c: F.concat(acc, F.transform(acc, lambda x: F.concat(x, F.array(c)))))
+    small_counts = (base.filter(F.size("_c") <= small)
+                    .select("page_id", F.explode(F.filter(subsets, lambda x: F.size(x) > 0)).alias("_s"))
+                    .groupBy("page_id", F.array_join("_s", ".").alias("class_key"))
+                    .agg(F.count(F.lit(1)).alias("_n_small")))
+    keys = (base.select("page_id", "_c").distinct()
+            .select("page_id", F.array_join("_c", ".").alias("class_key"), F.size("_c").alias("_k"),
+                    F.explode("_c").alias("_cls")))
+    big = base.filter(F.size("_c") > small).select("page_id", "idx", F.explode("_c").alias("_cls"))
+    big_counts = (keys.join(big, ["page_id", "_cls"])
+                  .groupBy("page_id", "class_key", "idx", "_k").agg(F.count(F.lit(1)).alias("_m"))
+                  .filter(F.col("_m") == F.col("_k"))
+                  .groupBy("page_id", "class_key").agg(F.count(F.lit(1)).alias("_n_big")))
+    return (small_counts.join(big_counts, ["page_id", "class_key"], "full")
+            .select("page_id", "class_key",
+                    (F.coalesce(F.col("_n_small"), F.lit(0)) + F.coalesce(F.col("_n_big"), F.lit(0)))
+                    .alias("n_containing")))
 
 
 def css_selector(elements: DataFrame, targets: DataFrame | None = None) -> DataFrame:

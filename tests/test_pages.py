@@ -143,3 +143,17 @@ def test_visibility(spark):
     assert (s_vis.n_links, s_vis.n_buttons) == (1, 1)
     assert [r.href for r in pe.links(el, check_visibility=True).collect()] == ["/y"]
     assert sorted(r.text for r in pe.interactive(el, ("clickable",), check_visibility=True).collect()) == ["c", "y"]
+
+
+def test_class_uniqueness_with_many_classes(spark):
+    many = " ".join(f"c{i}" for i in range(14))
+    html = (f"<html><body><div class='{many}'>a</div><span class='c1 c2'>b</span>"
+            f"<p class='c1 c2 c3'>c</p><i class='solo'>d</i></body></html>")
+    el = sl.css_selector(_elements(spark, html))
+    css = {r.tag: r.css for r in el.collect()}
+    assert css["div"] == "." + ".".join(f"c{i}" for i in range(14))  # only the div has all 14
+    assert css["span"] == "html > body > span"                       # div and p also hold c1 c2
+    assert css["p"] == "html > body > p"                             # div holds c1 c2 c3 as well
+    assert css["i"] == ".solo"
+    counts = {r.class_key: r.n_containing for r in sl.class_superset_counts(_elements(spark, html)).collect()}
+    assert counts["c1.c2"] == 3 and counts["c1.c2.c3"] == 2
