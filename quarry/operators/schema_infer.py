@@ -206,23 +206,46 @@ def inconsistent_cells(df: DataFrame, rn: str = "rn", stats: DataFrame | None =
 
 
 def schema_table(df: DataFrame, rn: str = "rn", cap: int = SAMPLE_CAP) -> DataFrame:
-    """One row per column in header order, the profiler's record layout."""
-    stats = profile_columns(df, rn)
+    """One row per column in header order, the profiler's record layout.
+
+    Two passes over the table: the vote aggregate, then one pass that picks
+    both the sample cell and the inconsistent cells of each column (shuffled
+    once by (column, salt); the sample aggregate and the capped top-k read
+    that same exchange)."""
+    cols = profiled_columns(df, rn)
+    stats = column_stats(type_votes(df, rn), column_list(df, rn), len(cols))
+    salt = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    lookup = per_column(stats.select("col_pos", F.col("data_type").alias("dominant_type"), "sample_rn"),
+                        len(cols))
+    picked = (
+        cell_types(df, rn).join(lookup, "col_pos")
+        .withColumn("_bad", ~is_blank_cell(F.col("value")) & (F.col("data_type") != F.col("dominant_type")))
+        .withColumn("_sample", F.coalesce(F.col("rn") == F.col("sample_rn"), F.lit(False)))
+        .filter(F.col("_bad") | F.col("_sample"))
+        .select("col_pos", "rn", "value", "_bad", "_sample",
+                F.pmod(F.xxhash64("rn"), F.lit(salt)).alias("_salt"))
+        .repartition(salt, "col_pos", "_salt")
+    )
+    sample_values_ = picked.filter(F.col("_sample")).groupBy("col_pos").agg(F.min("value").alias("sample_value"))
+    w1 = Window.partitionBy("col_pos", "_salt").orderBy("rn")
+    w2 = Window.partitionBy("col_pos").orderBy("rn")
+    capped = (picked.filter(F.col("_bad"))
+              .withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= cap)
+              .withColumn("_r", F.row_number().over(w2)).filter(F.col("_r") <= cap))
     samples = (
-        inconsistent_cells(df, rn, stats=stats, cap=cap)
-        .groupBy("col_pos")
+        capped.groupBy("col_pos")
         .agg(F.array_sort(F.collect_list(F.struct("rn", "value"))).alias("_s"))
         .select("col_pos", F.transform("_s", lambda x: x["value"]).alias("samples"))
     )
     return (
-        stats.join(samples, "col_pos", "left")
+        stats.join(sample_values_, "col_pos", "left").join(samples, "col_pos", "left")
         .select(
             "col_pos",
             F.col("column_name").alias("COLUMN_ORIGIN_NAME"),
             F.col("data_type").alias("DATA_TYPE"),
             F.lit("").alias("COLUMN_AFTER_NAME"),
             F.lit("").alias("DESCRIPTION"),
-            F.col("sample_value").alias("SAMPLE_DATA"),
+            F.coalesce(F.col("sample_value"), F.lit("")).alias("SAMPLE_DATA"),
             F.col("consistency_rate").alias("CONSISTENCY_RATE"),
             F.col("inconsistent_count").alias("INCONSISTENT_COUNT"),
             F.coalesce(F.col("samples"), F.array().cast("array<string>")).alias("INCONSISTENT_SAMPLES"),
