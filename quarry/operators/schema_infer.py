@@ -10,10 +10,11 @@ one hash aggregate keyed by (column, type) with map-side partial aggregation
 collapses each partition to at most 6 rows per column before the shuffle.
 Votes, first-seen rows, blank counts and the row of the first non-blank cell
 come from that pass (fixed-width buffers only, so it stays a code-generated
-hash aggregate). The sample value is then looked up by (column, row) in a
-pass without type inference, and the list of inconsistent cells is a pass
-that joins the per-column result; both lookup sides have one row per column
-(bounded by the schema width) and are broadcast.
+hash aggregate). The schema table then needs one more pass that picks the
+sample cell and the inconsistent cells of each column against the
+per-column result (one row per column, bounded by the schema width, so it
+is broadcast); the stand-alone operators (sample_value, inconsistent_cells)
+do the same lookups separately.
 """
 
 from __future__ import annotations
