@@ -69,3 +69,19 @@ def test_table_profile_and_census(spark):
     assert (prof.header_count, prof.record_count) == (2, 3)
     census = {r.DATA_TYPE: r.n_columns for r in si.type_census(si.schema_table(df)).collect()}
     assert census == {"BOOLEAN": 1, "STR": 1}
+
+
+def test_capped_samples_on_a_hot_column(spark):
+    # 600 rows: INT dominates (every 5th row), STR and FLOAT spread across
+    # all salt buckets; the first 10 bad cells in row order must come back
+    rows = []
+    for i in range(1, 601):
+        v = str(i) if i % 5 == 0 or i % 5 == 1 or i % 5 == 2 else (f"x{i}" if i % 2 else f"{i}.5")
+        rows.append((i, v))
+    df = spark.createDataFrame(rows, "rn long, v string")
+    r = si.schema_table(df).collect()[0]
+    bad = [v for _, v in rows if not v.isdigit() or v in ("0", "1")]
+    assert r.DATA_TYPE == "INT"
+    assert r.INCONSISTENT_COUNT == len(bad)
+    assert list(r.INCONSISTENT_SAMPLES) == bad[:10]
+    assert [x.value for x in si.inconsistent_cells(df, cap=10).orderBy("rn").collect()] == bad[:10]
