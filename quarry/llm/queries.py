@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import line_dedup
+from quarry.llm import bpe, line_dedup, simhash
 from quarry.session import load_table, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +32,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_line_dedup", line_dedup.oracle())
 def op7(spark, sf_dir):
     return line_dedup.dedup_lines(documents(spark, sf_dir)).select("doc_id", "text", "lines_removed")
+
+
+@query("op5_simhash")
+def op5(spark, sf_dir):
+    return simhash.near_duplicates(documents(spark, sf_dir)).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op8_bpe")
+def op8(spark, sf_dir):
+    out = bpe.encode_decode(documents(spark, sf_dir))
+    return out.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+                      F.sha2("token_ids", 256).alias("ids_sha256"),
+                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
