@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, line_dedup, simhash
+from quarry.llm import bpe, cover_tree, langid, line_dedup, simhash, toxicity
+from quarry.llm.common import crc_mod
 from quarry.session import load_table, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,3 +47,28 @@ def op8(spark, sf_dir):
     return out.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
                       F.sha2("token_ids", 256).alias("ids_sha256"),
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op6_langid")
+def op6(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    held_out = crc_mod("doc_id", 5) == 0
+    out = langid.train_and_identify(docs, ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query("op9_toxicity")
+def op9(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    held_out = crc_mod("doc_id", 4) == 2
+    model = toxicity.train(docs, load_table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score_documents(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op2_cover_tree", cover_tree.oracle())
+def op2(spark, sf_dir):
+    ship_package(spark)
+    vectors = load_table(spark, sf_dir, "embeddings")
+    return cover_tree.top_k(vectors, F.col("vec_id") % 50 == 0)
