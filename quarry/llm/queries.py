@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, cover_tree, langid, line_dedup, simhash, toxicity
+from quarry.llm import bpe, cover_tree, langid, lattice_lm, line_dedup, simhash, token_counts, toxicity
 from quarry.llm.common import crc_mod
 from quarry.session import load_table, ship_package
 
@@ -72,3 +72,15 @@ def op2(spark, sf_dir):
     ship_package(spark)
     vectors = load_table(spark, sf_dir, "embeddings")
     return cover_tree.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
+@query("op10_token_counts")
+def op10(spark, sf_dir):
+    return token_counts.count_tokens(documents(spark, sf_dir))
+
+
+@query("op4_lattice_lm")
+def op4(spark, sf_dir):
+    held_out = crc_mod("doc_id", 7) == 2
+    out = lattice_lm.score_documents(documents(spark, sf_dir), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
