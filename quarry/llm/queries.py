@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, cover_tree, langid, lattice_lm, line_dedup, simhash, token_counts, toxicity
+from quarry.llm import bpe, cover_tree, fm_decontam, langid, lattice_lm, line_dedup, simhash, suffix_dedup, token_counts, toxicity
 from quarry.llm.common import crc_mod
 from quarry.session import load_table, ship_package
 
@@ -84,3 +84,16 @@ def op4(spark, sf_dir):
     held_out = crc_mod("doc_id", 7) == 2
     out = lattice_lm.score_documents(documents(spark, sf_dir), ~held_out)
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op3_fm_decontam")
+def op3(spark, sf_dir):
+    out = fm_decontam.find_contamination(documents(spark, sf_dir), load_table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op1_suffix_dedup")
+def op1(spark, sf_dir):
+    out = suffix_dedup.find_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
