@@ -28,6 +28,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quarry.llm.common import keyed_texts, slices
 
@@ -267,3 +268,10 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
                                    pa.array([" ".join([x[1] for x in g]) for g in got], pa.string())],
                                   names=["doc_id", "token_ids", "decoded"])
     return keyed_texts(docs).mapInArrow(run, "doc_id long, token_ids binary, decoded string")
+
+
+def digests(encoded: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of ``encode_decode``'s rows."""
+    return encoded.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+                          F.sha2("token_ids", 256).alias("ids_sha256"),
+                          F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

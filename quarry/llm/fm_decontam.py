@@ -264,4 +264,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     """``docs`` less the contaminated documents."""
     bad = (find_contamination(docs, benchmark, window).where("contaminated")
            .select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]), "left_anti")

@@ -65,19 +65,20 @@ def boilerplate_lines(occ: DataFrame, min_sites: int = MIN_SITES, margin: float
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN) -> DataFrame:
     """All rows and columns of ``docs`` with ``text`` less its repeated
-    boilerplate lines, and ``lines_removed`` (long)."""
+    boilerplate lines, and ``lines_removed`` (long; a column of that name in ``docs`` gives way)."""
     occ = line_occurrences(docs)
     boiler = boilerplate_lines(occ, min_sites, margin)
     mine = F.struct("doc_id", "th", "pos")
     removed = (occ.join(boiler, ["h1", "h2"]).where(~mine.eqNullSafe(F.col("first")))
                .groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
                .agg(F.collect_set("pos").alias("_gone")))
-    joined = docs.join(removed, docs["doc_id"].cast("long").eqNullSafe(F.col("_id"))
-                       & (F.xxhash64(docs["text"]) == F.col("_th")), "left")
-    kept = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(
-        F.array_join(F.filter(F.split(docs["text"], "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n"))
-    out = [kept.alias("text") if c == "text" else docs[c] for c in docs.columns]
-    return joined.select(*out, F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("lines_removed"))
+    gone = removed["_gone"]
+    joined = docs.join(removed, docs["doc_id"].cast("long").eqNullSafe(removed["_id"])
+                       & (F.xxhash64(docs["text"]) == removed["_th"]), "left")
+    kept = F.when(gone.isNull(), docs["text"]).otherwise(
+        F.array_join(F.filter(F.split(docs["text"], "\n"), lambda _, i: ~F.array_contains(gone, i)), "\n"))
+    out = [kept.alias("text") if c == "text" else docs[c] for c in docs.columns if c != "lines_removed"]
+    return joined.select(*out, F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("lines_removed"))
 
 
 def oracle(table: str = "documents", min_sites: int = MIN_SITES) -> str:

@@ -43,10 +43,7 @@ def op5(spark, sf_dir):
 
 @query("op8_bpe")
 def op8(spark, sf_dir):
-    out = bpe.encode_decode(documents(spark, sf_dir))
-    return out.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
-                      F.sha2("token_ids", 256).alias("ids_sha256"),
-                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return bpe.digests(bpe.encode_decode(documents(spark, sf_dir)))
 
 
 @query("op6_langid")

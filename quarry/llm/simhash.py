@@ -207,4 +207,4 @@ def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE, bits: int = MAX_
     """``docs`` less every document that is not the smallest id of its component."""
     gone = (near_duplicates(docs, width, bits).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
             .select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import keyed_texts, slices
+from quarry.session import ship_package
 
 SAMPLE = 10_000
 VOTERS = 320
@@ -226,3 +227,16 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.record_batch([b.column("doc_id"), pa.array([m.score(t) for t in b.column("text").to_pylist()],
                                                                 pa.float64())], names=["doc_id", "score"])
     return keyed_texts(docs).mapInArrow(run, "doc_id long, score double")
+
+
+def keep_civil(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores below ``threshold``."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    ship_package(docs.sparkSession)
+
+    def run(batches):
+        m = held.value
+        for b in slices(batches):
+            texts = b.column(b.schema.get_field_index("text")).to_pylist()
+            yield b.filter(pa.array([m.score(t) < threshold for t in texts], pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)
