@@ -87,11 +87,16 @@ def registry_lookup(requests: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def registry_repair(rows: DataFrame) -> DataFrame:
-    """R2: drop rows lacking a required field, take the description from the
-    fixed name -> text map when the name is in it, project to 5 columns."""
+    """R2: take the description from the fixed name -> text map when the name
+    is in it, project to 5 columns. A table that lacks a required column has
+    no usable row; a row whose value is merely empty is kept ('')."""
     desc_map = F.create_map(*[F.lit(x) for kv in DESCRIPTION_MAP.items() for x in kv])
-    kept = rows.dropna(subset=list(REQUIRED_COLUMNS))
-    return kept.select(
+    if not set(REQUIRED_COLUMNS) <= set(rows.columns):
+        missing = [c for c in (*REQUIRED_COLUMNS, "description") if c not in rows.columns]
+        rows = rows.withColumns({c: F.lit(None).cast("string") for c in missing}).limit(0)
+    elif "description" not in rows.columns:
+        rows = rows.withColumn("description", F.lit(None).cast("string"))
+    return rows.select(
         F.coalesce(F.col("group"), F.lit("")).alias("group"),
         F.coalesce(F.col("name"), F.lit("")).alias("name"),
         F.coalesce(F.col("selector_type"), F.lit("")).alias("selector_type"),

@@ -209,37 +209,27 @@ def inconsistent_cells(df: DataFrame, rn: str = "rn", stats: DataFrame | None =
 def schema_table(df: DataFrame, rn: str = "rn", cap: int = SAMPLE_CAP) -> DataFrame:
     """One row per column in header order, the profiler's record layout.
 
-    Two passes over the table: the vote aggregate, then one pass that picks
-    both the sample cell and the inconsistent cells of each column (shuffled
-    once by (column, salt); the sample aggregate and the capped top-k read
-    that same exchange)."""
+    Two passes over the table: the vote aggregate, then one that types the
+    cells again and keeps, per column, the sample cell and the first ``cap``
+    inconsistent cells. The row_number filter trims every map task to ``cap``
+    rows per column before the exchange, so a column that holds most of
+    the inconsistent cells doesn't land in one task."""
     cols = profiled_columns(df, rn)
     stats = column_stats(type_votes(df, rn), column_list(df, rn), len(cols))
-    salt = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     lookup = per_column(stats.select("col_pos", F.col("data_type").alias("dominant_type"), "sample_rn"),
                         len(cols))
-    picked = (
-        cell_types(df, rn).join(lookup, "col_pos")
-        .withColumn("_bad", ~is_blank_cell(F.col("value")) & (F.col("data_type") != F.col("dominant_type")))
-        .withColumn("_sample", F.coalesce(F.col("rn") == F.col("sample_rn"), F.lit(False)))
-        .filter(F.col("_bad") | F.col("_sample"))
-        .select("col_pos", "rn", "value", "_bad", "_sample",
-                F.pmod(F.xxhash64("rn"), F.lit(salt)).alias("_salt"))
-        .repartition(salt, "col_pos", "_salt")
-    )
-    sample_values_ = picked.filter(F.col("_sample")).groupBy("col_pos").agg(F.min("value").alias("sample_value"))
-    w1 = Window.partitionBy("col_pos", "_salt").orderBy("rn")
-    w2 = Window.partitionBy("col_pos").orderBy("rn")
-    capped = (picked.filter(F.col("_bad"))
-              .withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= cap)
-              .withColumn("_r", F.row_number().over(w2)).filter(F.col("_r") <= cap))
-    samples = (
-        capped.groupBy("col_pos")
-        .agg(F.array_sort(F.collect_list(F.struct("rn", "value"))).alias("_s"))
-        .select("col_pos", F.transform("_s", lambda x: x["value"]).alias("samples"))
-    )
+    bad = ~is_blank_cell(F.col("value")) & (F.col("data_type") != F.col("dominant_type"))
+    kinds = F.array_compact(F.array(F.when(F.col("rn") == F.col("sample_rn"), F.lit(0)), F.when(bad, F.lit(1))))
+    picked = (cell_types(df, rn).join(lookup, "col_pos").where(bad | (F.col("rn") == F.col("sample_rn")))
+              .select("col_pos", "rn", "value", F.explode(kinds).alias("_kind")))
+    order = Window.partitionBy("col_pos", "_kind").orderBy("rn")
+    found = (picked.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= cap)
+             .groupBy("col_pos")
+             .agg(F.min(F.when((F.col("_kind") == 0) & (F.col("_r") == 1), F.col("value"))).alias("sample_value"),
+                  F.array_sort(F.collect_list(F.when(F.col("_kind") == 1, F.struct("rn", "value")))).alias("_s"))
+             .select("col_pos", "sample_value", F.transform("_s", lambda x: x["value"]).alias("samples")))
     return (
-        stats.join(sample_values_, "col_pos", "left").join(samples, "col_pos", "left")
+        stats.join(per_column(found, len(cols)), "col_pos", "left")
         .select(
             "col_pos",
             F.col("column_name").alias("COLUMN_ORIGIN_NAME"),

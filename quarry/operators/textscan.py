@@ -2,12 +2,11 @@
 
 Each pattern is a literal, so Spark compiles it once per task. Documents are
 first tested against the union of all patterns (one regex pass); only
-documents with a hit pay for the per-pattern passes. Match offsets come from
-splitting the text on the pattern: the pieces between matches plus the
-matches themselves rebuild the text, so the newlines before match k are the
-newlines in pieces 0..k and matches 0..k-1 (a running sum over a window
-per document and pattern). The line text for the context is joined from the
-exploded lines of the documents that have hits.
+documents with a hit pay for the per-pattern passes. Everything a finding
+needs is computed inside its own row, so keys may be null or repeat and
+nothing is shuffled: a marker character is put before every match, the marked
+text is split into lines, and a line's markers are its matches, in the order
+in which the matches are extracted.
 
 Patterns may span lines (``\\s*``), so texts are never pre-split.
 """
@@ -16,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.session import spread
@@ -61,8 +60,21 @@ def java_pattern(p: str) -> str:
 ANY_PATTERN = FLAGS + "|".join(f"(?:{p})" for _, p in PATTERNS)
 
 
-def _nl(c):
-    return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+#: stands before a match while lines are counted; one that a text itself
+#: holds counts as its neighbour character, which no pattern tells apart
+MARK, MARK_IN_TEXT = "\ue000", "\ue001"
+
+
+def _line_numbers(text, pattern: str):
+    """1-based line of each match of ``pattern``, in order of the matches."""
+    marked = F.regexp_replace(F.translate(text, MARK, MARK_IN_TEXT), F.lit(java_pattern(pattern)), F.lit(MARK + "$0"))
+    return F.flatten(F.transform(
+        F.split(marked, "\n", -1),
+        lambda line, i: F.array_repeat(i + 1, (F.length(line) - F.length(F.replace(line, F.lit(MARK), F.lit("")))).cast("int"))))
+
+
+def _any_hit(text, patterns):
+    return F.coalesce(text.rlike(FLAGS + "|".join(f"(?:{p})" for _, p in patterns)), F.lit(False))
 
 
 def sensitive_scan(docs: DataFrame, key: str = "doc_id", text: str = "text",
@@ -70,56 +82,47 @@ def sensitive_scan(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """One row per match: (key, pattern_id, type, line, match, context).
 
     ``line`` is 1 + the number of '\\n' before the match start; ``context``
-    is that line's text. Overlapping patterns give one row each.
+    is that line's text (of CRLF texts without the trailing CR, as a line
+    splitter that treats CRLF as one break returns it). Overlapping patterns
+    give one row each. Every row of ``docs`` is scanned for itself: null and
+    repeated keys are kept as they are; a null text has no findings.
     """
-    t = F.col(text)
-    any_re = FLAGS + "|".join(f"(?:{p})" for _, p in patterns)
-    # Documents with any hit are shuffled once by key; both consumers below
-    # (match offsets and line texts) read that one exchange (Spark reuses
-    # an identical exchange), so the union regex scans the corpus once.
+    t = F.col("_text")
     # The union test is evaluated as a generator output after the spread:
     # a plain filter would be pushed below the exchange into the scan, where
     # a small corpus sits in one split.
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hits = (spread(docs.select(F.col(key).alias("_key"), t.alias("_text")).filter(F.col("_key").isNotNull()), "_key")
-            .select("_key", "_text", F.explode(F.array(F.col("_text").rlike(any_re))).alias("_hit"))
-            .filter(F.col("_hit")).drop("_hit")
-            .repartition(n, "_key"))
+    hits = (spread(docs.select(docs[key].alias("_key"), docs[text].alias("_text")))
+            .select("_key", "_text", F.explode(F.array(_any_hit(t, patterns))).alias("_hit"))
+            .filter(F.col("_hit")).drop("_hit"))
     per_pattern = F.array(*[
         F.struct(F.lit(i).alias("pattern_id"), F.lit(cat).alias("type"),
-                 F.split(F.col("_text"), java_pattern(p), -1).alias("pieces"),
-                 F.regexp_extract_all(F.col("_text"), F.lit(java_pattern(p)), 0).alias("matches"))
+                 F.regexp_extract_all(t, F.lit(java_pattern(p)), 0).alias("matches"),
+                 F.when(t.rlike(java_pattern(p)), _line_numbers(t, p)).alias("lines"))
         for i, (cat, p) in enumerate(patterns)
     ])
-    found = (hits.select("_key", F.inline(per_pattern))
+    found = (hits.select("_key", F.split(t, "\n", -1).alias("_lines"), F.inline(per_pattern))
              .filter(F.size("matches") > 0)
-             .select("_key", "pattern_id", "type",
-                     F.posexplode(F.arrays_zip(F.slice("pieces", 1, F.size("matches")).alias("piece"),
-                                               F.col("matches").alias("match"))).alias("k", "z")))
-    w = (Window.partitionBy("_key", "pattern_id").orderBy("k")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    step = _nl(F.col("z.piece")) + _nl(F.col("z.match"))
-    located = found.select(
-        "_key", "pattern_id", "type", "k", F.col("z.match").alias("match"),
-        (F.sum(step).over(w) - _nl(F.col("z.match")) + 1).alias("line"))
-    # CRLF texts: the line text ends before the "\r", as a line splitter
-    # that treats "\r\n" as one break returns it
-    lines = (hits.select("_key", F.posexplode(F.split(F.col("_text"), "\n", -1)).alias("_i", "_line"))
-             .select("_key", (F.col("_i") + 1).alias("line"),
-                     F.regexp_replace(F.col("_line"), "\r\\z", "").alias("context")))
-    return (located.join(lines, ["_key", "line"], "left")
-            .select(F.col("_key").alias(key), "pattern_id", "type", F.col("line").cast("long").alias("line"),
-                    "match", "context"))
-
-
-def sensitive_summary(docs: DataFrame, findings: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per document: issue count, count per category, ``safe`` and the
-    message; documents without findings are kept (count 0, safe)."""
-    labels = [c for c, _ in CATEGORY_COLUMNS]
-    per_doc = (findings.groupBy(key).pivot("type", labels).count()
-               .select(key, *[F.coalesce(F.col(c), F.lit(0)).alias(n) for c, n in CATEGORY_COLUMNS]))
-    out = docs.select(key).join(per_doc, key, "left").select(
-        key, *[F.coalesce(F.col(name), F.lit(0)).cast("long").alias(name) for _, name in CATEGORY_COLUMNS])
+             .select("_key", "_lines", "pattern_id", "type",
+                     F.inline(F.arrays_zip(F.col("matches").alias("match"), F.col("lines").alias("line")))))
+    return found.select(
+        F.col("_key").alias(key), "pattern_id", "type", F.col("line").cast("long").alias("line"), "match",
+        F.regexp_replace(F.element_at("_lines", F.col("line")), "\r\\z", "").alias("context"))
+
+
+def sensitive_summary(docs: DataFrame, key: str = "doc_id", text: str = "text",
+                      patterns: Sequence[tuple[str, str]] = PATTERNS) -> DataFrame:
+    """For every row of ``docs``: issue count, count per category,
+    ``safe`` and the message; rows without findings have count 0 and are
+    safe. Computed inside the row, so repeated and null keys stay apart."""
+    t = F.col("_text")
+    rows = (spread(docs.select(docs[key].alias("_key"), docs[text].alias("_text")))
+            .select("_key", "_text", F.explode(F.array(_any_hit(t, patterns))).alias("_hit")))
+
+    def matches(category):
+        return sum((F.size(F.regexp_extract_all(t, F.lit(java_pattern(p)), 0)) for c, p in patterns if c == category), F.lit(0))
+
+    out = rows.select(F.col("_key").alias(key), *[
+        F.when(F.col("_hit"), matches(label)).otherwise(F.lit(0)).cast("long").alias(name) for label, name in CATEGORY_COLUMNS])
     n = sum((F.col(name) for _, name in CATEGORY_COLUMNS[1:]), F.col(CATEGORY_COLUMNS[0][1]))
     msg = F.when(n > 0, F.concat(F.lit(MSG_FOUND.split("{n}")[0]), n.cast("string"),
                                   F.lit(MSG_FOUND.split("{n}")[1]))).otherwise(F.lit(MSG_SAFE))

@@ -297,14 +297,12 @@ def q_sensitive_scan_rt(spark, sf_dir):
 
 @query("sensitive_summary")
 def q_sensitive_summary(spark, sf_dir):
-    docs = load_table(spark, sf_dir, "documents")
-    return sc.sensitive_summary(docs, sc.sensitive_scan(docs))
+    return sc.sensitive_summary(load_table(spark, sf_dir, "documents"))
 
 
 @query("sensitive_summary_rt")
 def q_sensitive_summary_rt(spark, sf_dir):
-    docs = fx.secret_documents(load_table(spark, sf_dir, "customer"))
-    return sc.sensitive_summary(docs, sc.sensitive_scan(docs))
+    return sc.sensitive_summary(fx.secret_documents(load_table(spark, sf_dir, "customer")))
 
 
 # ---- H1-H31 -------------------------------------------------------------------

@@ -310,11 +310,11 @@ FROM req q LEFT JOIN registry r ON q."group" = r."group" AND q.name = r.name""")
 
 register("registry_repair", f"""
 WITH {REGISTRY_ROWS}
-SELECT "group", name, selector_type, selector_value,
+SELECT coalesce("group", '') AS "group", coalesce(name, '') AS name, coalesce(selector_type, '') AS selector_type,
+       coalesce(selector_value, '') AS selector_value,
        CASE name WHEN 'navbar' THEN 'ナビゲーションバー' WHEN 'apply_button' THEN '適用ボタン'
                  ELSE coalesce(description, '') END AS description
-FROM rrows
-WHERE "group" IS NOT NULL AND name IS NOT NULL AND selector_type IS NOT NULL AND selector_value IS NOT NULL""")
+FROM rrows""")
 
 register("registry_report", """
 WITH sel AS (

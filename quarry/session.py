@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,9 +84,10 @@ def ship_package(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the operator to shared storage. Only when it
-    is unset (local tests) do we create a scratch folder, and then only for
-    this context (the setting itself cannot change at runtime).
+    On a cluster this is set by the operator to shared storage, and a missing
+    setting is an error: a folder of one machine would lose the data. Only
+    a local master (tests) gets a scratch folder, and then only for this
+    context (the setting itself cannot change at runtime).
     """
     sc = spark.sparkContext
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -93,6 +96,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(conf_dir)
         current = sc.getCheckpointDir()
     if not current:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-ckpt-", dir="/tmp"))
         current = sc.getCheckpointDir()
     return conf_dir or current
@@ -102,25 +107,36 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _bytes(size: str) -> int:
+    m = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", size.strip().lower())
+    return int(m[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[m[2]] if m else 128 << 20
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-spread a CPU-heavy input over the cluster's cores when it
-    arrives in fewer partitions than there are cores (small files hold a
-    single row group and cannot be split by the scan). Large inputs already
-    have more splits than cores and are left as they are (no shuffle).
+    """Hash-spread a CPU-heavy input over the cluster's cores when it is
+    smaller than one scan split per core (small files hold a single row
+    group and cannot be split by the scan). Larger inputs already have more
+    splits than cores and are left as they are (no shuffle). The size is the
+    optimizer's estimate from file metadata, so no job runs here.
     """
     if df.isStreaming:
         return df  # micro-batches are sized by the source options
-    sc = df.sparkSession.sparkContext
-    cores = sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= cores * _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")):
         return df
     return df.repartition(cores, *keys) if keys else df.repartition(cores)
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and continue from
-    the written copy: expensive stages (Python parsing) that several
-    branches of a plan consume run once, and the lineage is cut so a lost
-    executor does not send the job back to the raw input."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as Parquet to the shared checkpoint folder and
+    continue from the written copy: expensive stages (Python parsing) that
+    several branches of a plan consume run once, each branch reads only the
+    columns it needs, and the lineage is cut so a lost executor does not send
+    the job back to the raw input."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/quarry-tables/{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)

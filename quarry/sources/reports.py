@@ -218,9 +218,9 @@ def latest_file(listing: DataFrame, extensions: Sequence[str] | None = None, pre
 
 
 def new_files(before: DataFrame, after: DataFrame, pattern: str | None = None) -> DataFrame:
-    """Files present after but not before (by name), whose name
-    contains ``pattern`` (case-insensitive)."""
-    fresh = after.join(before.select("name"), "name", "left_anti")
+    """Files present after but not before (by path, as one listing may
+    hold several folders), whose name contains ``pattern`` (case-insensitive)."""
+    fresh = after.join(before.select("path").distinct(), "path", "left_anti")
     if pattern:
         fresh = fresh.filter(F.lower(F.col("name")).contains(pattern.lower()))
     return fresh

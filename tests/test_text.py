@@ -39,7 +39,7 @@ def test_scan_matches_python(spark):
                  for r in sc.sensitive_scan(df).collect())
     want = sorted((d, *x) for d, t in docs for x in _python_scan(t))
     assert got == want
-    summ = {r.doc_id: r for r in sc.sensitive_summary(df, sc.sensitive_scan(df)).collect()}
+    summ = {r.doc_id: r for r in sc.sensitive_summary(df).collect()}
     assert not summ[0].safe and summ[0].n_issues == sum(1 for x in want if x[0] == 0)
 
 
@@ -71,3 +71,20 @@ def test_scan_context_crlf(spark):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     rows = sc.sensitive_scan(df).collect()
     assert [(r.line, r.context) for r in rows] == [(2, text.splitlines()[1])]
+
+
+def test_sensitive_scan_null_and_repeated_keys(spark):
+    """Findings stay with their own row: a null key is scanned, and two texts under one id don't mix."""
+    rows = [(None, "password: 'abcdef' "), (1, "x\npassword: 'first1' "), (1, "a\nb\r\npassword: 'second2' \r\nz"), (2, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.line, r.context) for r in sc.sensitive_scan(df).collect()), key=str)
+    assert got == sorted([(None, 1, "password: 'abcdef' "), (1, 2, "password: 'first1' "), (1, 3, "password: 'second2' ")], key=str)
+    summary = sorted(((r.doc_id, r.n_issues, r.safe) for r in sc.sensitive_summary(df).collect()), key=str)
+    assert summary == sorted([(None, 1, False), (1, 1, False), (1, 1, False), (2, 0, True), (3, 0, True)], key=str)
+
+
+def test_sensitive_scan_many_matches_and_marker_characters(spark):
+    text = "\ue000\n".join(f"password: 'value{i}' " for i in range(500))
+    got = [(r.line, r.match) for r in sc.sensitive_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()]
+    assert sorted(n for n, _ in got) == list(range(1, 501))
+    assert all(f"value{n - 1}'" in m for n, m in got)
