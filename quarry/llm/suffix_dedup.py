@@ -6,25 +6,30 @@ earlier (smaller doc_id, or earlier in the same document).
 1. Texts are packed into chunk rows, written once, bucketed by chunk, so that
    later joins bring small rows to the texts and never move the texts.
 2. The windows of a text fall into segments of neighbours with the same
-   minimiser (least hash of the 32-byte strings in a window): equal windows
+   minimiser (least hash of the ``GRAM``-byte strings in a window): equal windows
    have equal minimisers wherever they stand. Each chunk sends its distinct
    minimisers, by hash bucket, and learns which also occur elsewhere.
-3. Segments of repeated minimisers are sent once per chunk and content and
-   equal ones are merged by an aggregate (so copies, however many, become
-   one), which keeps their first place. An equal segment at any later place is
-   removed whole.
-4. Minimisers with several different segments go to a run-compressed
-   Burrows-Wheeler index (``rlbwt``), a bounded batch of whole minimisers at a
-   time: matching statistics are streamed and windows that match an earlier
-   place over their full length are marked. A minimiser with more than
-   ``HOT`` different segments is dealt anew by the content of each single
-   window, merged by an aggregate, so no task holds it whole.
+3. Of repeated minimisers a chunk sends each different segment once, as hash
+   and place (so copies, however many, are one per chunk). A bucket finds the
+   first place of every content: an equal segment at any later place is
+   removed whole. Minimisers that have several contents ask for the bytes of
+   each content's first segment.
+4. Those go to a run-compressed Burrows-Wheeler index (``rlbwt``), whole
+   minimisers in bounded batches: matching statistics are streamed and the
+   windows that match an earlier place over their full length are marked.
+   Minimisers in more than ``CHUNKS`` chunks, or with more than ``HOT``
+   contents, are dealt anew as single windows, by each window's own hash, so no task
+   or group holds one whole.
 5. Marks return to their chunks, where spans are merged and cut out.
 
+Rows between the steps are packed: one row for each chunk and bucket, with
+arrays as binary columns.
+
 Defined cases: a null or empty text has no bytes; texts shorter than a window
 keep all; a null doc_id comes before all others; rows that share a doc_id are
-ordered by the 64-bit hash of their text, and rows that share both are the same document and
-get the same result; an empty table gives an empty result.
+ordered by a 32-bit hash of their text, and rows that share both are the same
+document and get the same result; an empty table gives an empty result; a
+text of 4 GiB or more is an error.
 """
 
 from __future__ import annotations
@@ -42,11 +47,12 @@ from quarry.llm.rlbwt import earlier_windows
 from quarry.session import checkpoint_dir
 
 WINDOW = 100
-GRAM = 32
+GRAM = 24
 CHUNK = 4 << 20
-PIECE = 1 << 19
-#: different segments of one minimiser that are indexed together
-HOT = 4096
+#: bytes that are hashed at a time: arrays that fit a core's cache
+PIECE = 1 << 17
+#: chunks that may hold a minimiser, and contents it may have, before it is dealt by windows
+CHUNKS, HOT = 1000, 4096
 #: bytes of segments indexed at a time, about
 BATCH = 1 << 21
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -109,15 +115,28 @@ def segments(texts: list[bytes], window: int = WINDOW):
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def buckets_of(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucketed(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` written once to the shared folder, bucketed by ``key``."""
+    spark = rows.sparkSession
+    name = f"llm_{uuid.uuid4().hex}"
+    (rows.write.bucketBy(buckets_of(spark), key).option("compression", "zstd")
+     .option("path", f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}").saveAsTable(name, format="parquet"))
+    return spark.table(name)
+
+
 def chunked(docs: DataFrame) -> DataFrame:
-    """(chunk, ids, hashes, texts): chunk rows in document order within, bucketed by chunk."""
+    """(chunk, ids, hashes, texts): chunk rows in document order within."""
     def run(batches):
         import xxhash
         held, size, n = [], 0, 0
         part = TaskContext.get().partitionId()
 
         def pack():
-            rows = sorted((FIRST_ID if i is None else i, xxhash.xxh64_intdigest(t) >> 1, k) for k, (i, t) in enumerate(held))
+            rows = sorted((FIRST_ID if i is None else i, xxhash.xxh32_intdigest(t), k) for k, (i, t) in enumerate(held))
             return pa.record_batch([pa.array([(part << 32) + n], pa.int64()),
                                     pa.array([[held[k][0] for _, _, k in rows]], pa.list_(pa.int64())),
                                     pa.array([[h for _, h, _ in rows]], pa.list_(pa.int64())),
@@ -125,6 +144,8 @@ def chunked(docs: DataFrame) -> DataFrame:
                                    names=["chunk", "ids", "hashes", "texts"])
         for b in slices(batches):
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
+                if len(t or b"") >> 32:
+                    raise ValueError(f"document {i}: a text of 4 GiB or more")
                 held.append((i, t or b""))
                 size += len(t or b"") + 16
                 if size >= CHUNK:
@@ -132,206 +153,311 @@ def chunked(docs: DataFrame) -> DataFrame:
                     held, size, n = [], 0, n + 1
         if held:
             yield pack()
-    spark = docs.sparkSession
-    name = f"llm_chunks_{uuid.uuid4().hex}"
-    (keyed_texts(docs).mapInArrow(run, "chunk long, ids array<long>, hashes array<long>, texts array<binary>")
-     .write.bucketBy(buckets_of(spark), "chunk").option("compression", "zstd")
-     .option("path", f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}").saveAsTable(name, format="parquet"))
-    return spark.table(name)
+    return bucketed(keyed_texts(docs).mapInArrow(
+        run, "chunk long, ids array<long>, hashes array<long>, texts array<binary>"), "chunk")
 
 
-def buckets_of(spark) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def packed(names: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    """Tuples as a batch; numpy arrays become binary values."""
+    cols = list(zip(*rows)) if rows else [[] for _ in names]
+    return pa.record_batch([pa.array([x.tobytes() if isinstance(x, np.ndarray) else x for x in c], t)
+                            for c, t in zip(cols, names.values())], names=list(names))
+
+
+def deal(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order of ``hashes`` by bucket, and each bucket's range in it."""
+    bucket = ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    return order, [(k, slice(a, z)) for k, (a, z) in enumerate(zip(cut.tolist(), cut[1:].tolist())) if a < z]
 
 
-def repeated_minimisers(chunks: DataFrame, window: int) -> DataFrame:
-    """(chunk, answers: bits of the chunk's sorted distinct minimisers of each bucket that repeat anywhere)."""
+def flags(bits: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+
+
+def per_chunk(rows: DataFrame, name: str) -> DataFrame:
+    """(chunk, name): the packed rows of each chunk as one array, by bucket."""
+    fields = [c for c in rows.columns if c != "chunk"]
+    return rows.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+
+
+def repeated_minimisers(chunks: DataFrame, window: int, most: int) -> DataFrame:
+    """(chunk, bucket, twice, hot): bits of the chunk's distinct minimisers of
+    a bucket, sorted: those that occur anywhere else, and those in more than ``most`` chunks."""
     buckets = buckets_of(chunks.sparkSession)
+    names = {"chunk": pa.int64(), "bucket": pa.int32(), "hashes": pa.binary(), "again": pa.binary()}
 
     def ask(batches):
         for b in batches:
             for r in range(b.num_rows):
                 h, n = np.unique(segments(b.column("texts")[r].as_py(), window)[3], return_counts=True)
-                bucket = (h >> np.uint64(20)) % np.uint64(buckets)
-                own = [(k, np.flatnonzero(bucket == k)) for k in np.unique(bucket).tolist()]
-                yield pa.record_batch([pa.array([b.column("chunk")[r].as_py()] * len(own), pa.int64()),
-                                       pa.array([k for k, _ in own], pa.int32()),
-                                       pa.array([h[at].tobytes() for _, at in own], pa.binary()),
-                                       pa.array([np.packbits(n[at] > 1).tobytes() for _, at in own], pa.binary())],
-                                      names=["chunk", "bucket", "hashes", "again"])
+                order, own = deal(h, buckets)
+                chunk = b.column("chunk")[r].as_py()
+                yield packed(names, [(chunk, k, h[order[at]], np.packbits(n[order[at]] > 1)) for k, at in own])
 
     def merge(table):
         hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        again = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)).astype(bool)
-                 for x, h in zip(table.column("again").to_pylist(), hashes)]
-        every = np.sort(np.concatenate(hashes))
-        twice = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *[h[a] for h, a in zip(hashes, again)]]))
-        bits = [np.packbits(np.isin(h, twice, assume_unique=True)).tobytes() for h in hashes]
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
+        every, count = np.unique(np.concatenate(hashes), return_counts=True)
+        out = []
+        for h, again in zip(hashes, table.column("again").to_pylist()):
+            n = count[np.searchsorted(every, h)]
+            out.append((np.packbits((n > 1) | flags(again, len(h))).tobytes(), np.packbits(n > most).tobytes()))
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"),
+                         "twice": pa.array([x for x, _ in out], pa.binary()),
+                         "hot": pa.array([x for _, x in out], pa.binary())})
 
     asked = chunks.select("chunk", "texts").mapInArrow(ask, "chunk long, bucket int, hashes binary, again binary")
-    return (asked.groupBy("bucket").applyInArrow(merge, "chunk long, bucket int, bits binary")
-            .groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers")))
+    return asked.groupBy("bucket").applyInArrow(merge, "chunk long, bucket int, twice binary, hot binary")
 
 
 def repeated_segments(chunks: DataFrame, answers: DataFrame, window: int) -> DataFrame:
-    """Two kinds of rows, written once. Segments (key, h, d, th, pos, n, seq,
-    bytes): one per chunk and content, at its first place in the chunk, of
-    minimisers that repeat. Layouts (layout): packed (text, pos, n, seq) of all their
-    occurrences in the chunk, with seq WHOLE where the chunk itself holds an earlier one."""
+    """Written once. For bucket >= 0, a chunk's different segments of repeated
+    minimisers at their first place in the chunk: minimiser, content hash, doc_id, text hash,
+    position, flag hot. For bucket -1, the chunk's layout (text, position, windows, number of the
+    segment or WHOLE where the chunk itself holds an earlier one) in ``h``."""
     buckets = buckets_of(chunks.sparkSession)
-    schema = "chunk long, seq long, key binary, h long, d long, th long, pos long, n int, bytes binary, layout binary"
+    names = {"chunk": pa.int64(), "bucket": pa.int32(), "h": pa.binary(), "key": pa.binary(), "d": pa.binary(),
+             "th": pa.binary(), "pos": pa.binary(), "hot": pa.binary()}
 
     def run(batches):
-        import xxhash
+        from xxhash import xxh64_intdigest
         for b in batches:
             for r in range(b.num_rows):
                 chunk, ids, hashes, texts, got = (b.column(c)[r].as_py() for c in ("chunk", "ids", "hashes", "texts", "answers"))
                 text, pos, n, h = segments(texts, window)
                 own = np.unique(h)
-                bucket = (own >> np.uint64(20)) % np.uint64(buckets)
-                parts = [np.zeros(0, np.uint64)]
-                for a in got or []:
-                    mine = own[bucket == a["bucket"]]
-                    parts.append(mine[np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=len(mine)).astype(bool)])
-                keep = np.isin(h, np.concatenate(parts))
-                text, pos, n, h = text[keep], pos[keep], n[keep], h[keep]
-                seqs, seen, rows = np.full(len(text), WHOLE, np.uint32), {}, []
-                for k, (t, p, m, x) in enumerate(zip(text.tolist(), pos.tolist(), n.tolist(), h.view(np.int64).tolist())):
-                    raw = texts[t][p:p + m + window - 1]
-                    key = xxhash.xxh3_128_digest(raw)
-                    place = (FIRST_ID if ids[t] is None else ids[t], hashes[t], p)
-                    known = seen.get(key)
-                    if known is None:
-                        seen[key] = len(rows), place
-                        seqs[k] = len(rows)
-                        rows.append((chunk, len(rows), key, x, *place, m, raw, None))
-                    elif known[1] == place:  # the same document once more
-                        seqs[k] = known[0]
-                layout = np.stack([text.astype(np.uint32), pos.astype(np.uint32), n.astype(np.uint32), seqs])
-                if any(len(t) >> 32 for t in texts):
-                    raise ValueError("a text of 4 GiB or more")
-                rows.append((chunk, None, None, None, None, None, None, None, None, layout.tobytes()))
-                for at in range(0, len(rows), 4096):
-                    cols = list(zip(*rows[at:at + 4096]))
-                    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(),
-                             pa.binary(), pa.binary()]
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)],
-                                          names=["chunk", "seq", "key", "h", "d", "th", "pos", "n", "bytes", "layout"])
-    return stage(chunks.join(answers, "chunk", "left").select("chunk", "ids", "hashes", "texts", "answers")
-                 .mapInArrow(run, schema), "segments")
-
-
-def index_marks(firsts: DataFrame, window: int) -> DataFrame:
-    """(key, marks): int32 offsets of the windows of each segment that start
-    earlier in another; ``firsts`` (key, h, first, bytes) lies sorted by h."""
-    def run(batches):
-        held, size, last = [], 0, None
-
-        def flush():
-            places = {}
-            for p in sorted({(d, th) for _, d, th, _, _ in held}):
-                places[p] = len(places)
-            # a place below 2^62: document order, then position
-            where = np.array([(places[d, th] << 40) + pos for _, d, th, pos, _ in held], np.int64)
-            found = earlier_windows([x for *_, x in held], where, window)
-            some = [k for k, f in enumerate(found) if len(f)]
-            return pa.record_batch([pa.array([held[k][0] for k in some], pa.binary()),
-                                    pa.array([found[k].astype(np.int32).tobytes() for k in some], pa.binary())],
-                                   names=["key", "marks"])
-        for b in slices(batches, 4096):
-            cols = [b.column(c).to_pylist() for c in ("h", "key", "d", "th", "pos", "bytes")]
-            for h, *row in zip(*cols):
-                if h != last and size >= BATCH:
-                    yield flush()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[-1])
-                last = h
-        if held:
-            yield flush()
-    return firsts.select("h", "key", "first.d", "first.th", "first.pos", "bytes").mapInArrow(run, "key binary, marks binary")
-
-
-def window_marks(hot: DataFrame, window: int) -> DataFrame:
-    """The same for segments of hot minimisers, by the content of single windows."""
-    single = hot.select("key", "first", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("x"), "bytes").select(
-        "key", "x", F.substring("bytes", F.col("x") + 1, F.lit(window)).alias("w"),
-        F.struct(F.col("first.d").alias("d"), F.col("first.th").alias("th"), (F.col("first.pos") + F.col("x")).alias("pos")).alias("at"))
-    named = single.select("key", "x", "at", F.xxhash64("w").alias("w1"), F.xxhash64(F.lit(7), "w").alias("w2"))
-    least = named.groupBy("w1", "w2").agg(F.min("at").alias("least"))
-    later = named.join(least, ["w1", "w2"]).where(F.col("least") < F.col("at"))
+                order, parts = deal(own, buckets)
+                twice, hot = np.zeros(len(own), bool), np.zeros(len(own), bool)
+                bits = {a["bucket"]: a for a in got or []}
+                for k, at in parts:
+                    twice[order[at]] = flags(bits[k]["twice"], at.stop - at.start)
+                    hot[order[at]] = flags(bits[k]["hot"], at.stop - at.start)
+                which = np.searchsorted(own, h)
+                keep = twice[which]
+                text, pos, n, h, hot = text[keep], pos[keep], n[keep], h[keep], hot[which[keep]]
+                key = np.array([xxh64_intdigest(texts[t][p:p + m]) for t, p, m in
+                                zip(text.tolist(), pos.tolist(), (n + window - 1).tolist())], np.uint64)
+                d = np.array([FIRST_ID if i is None else i for i in ids], np.int64)
+                th = np.array(hashes, np.uint32)
+                # the first of each content: texts and positions are in document order
+                sort = np.lexsort((np.arange(len(h)), key, h))
+                head = np.ones(len(h), bool)
+                head[1:] = (h[sort][1:] != h[sort][:-1]) | (key[sort][1:] != key[sort][:-1])
+                first = sort[head]  # of each distinct segment
+                order, parts = deal(h[first], buckets)
+                first = first[order]
+                number = np.empty(len(order), np.int64)
+                number[order] = np.arange(len(order))
+                seq = np.empty(len(h), np.int64)
+                seq[sort] = number[np.cumsum(head) - 1]
+                lead = first[seq]
+                same = (d[text] == d[text[lead]]) & (th[text] == th[text[lead]]) & (pos == pos[lead])
+                layout = np.stack([text, pos, n, np.where(same, seq, int(WHOLE))]).astype(np.uint32)
+                rows = [(chunk, -1, layout, None, None, None, None, None)]
+                for k, at in parts:
+                    f = first[at]
+                    rows.append((chunk, k, h[f], key[f], d[text[f]], th[text[f]], pos[f].astype(np.uint32), np.packbits(hot[f])))
+                yield packed(names, rows)
+    joined = chunks.join(per_chunk(answers, "answers"), "chunk", "left").select("chunk", "ids", "hashes", "texts", "answers")
+    return bucketed(joined.mapInArrow(run, "chunk long, bucket int, h binary, key binary, d binary, th binary, pos binary, hot binary"),
+                    "chunk")
+
+
+def first_places(found: DataFrame, hot: int) -> DataFrame:
+    """(chunk, bucket, n, later, wanted, single): bits of a chunk's segments of a
+    bucket: a later place of a content, the first place of one that has to be
+    indexed, one that has to be dealt by windows."""
+    def merge(table):
+        cols = {c: [np.frombuffer(x, t) for x in table.column(c).to_pylist()]
+                for c, t in (("h", np.uint64), ("key", np.uint64), ("d", np.int64), ("th", np.uint32), ("pos", np.uint32))}
+        size = np.array([len(x) for x in cols["h"]])
+        h, key, d, th, pos = (np.concatenate(x) for x in cols.values())
+        shared = np.concatenate([flags(x, n) for x, n in zip(table.column("hot").to_pylist(), size.tolist())])
+        sort = np.lexsort((pos, th, d, key, h))
+        h, key, d, th, pos = (x[sort] for x in (h, key, d, th, pos))
+        change = lambda *xs: np.concatenate(([True], np.any([x[1:] != x[:-1] for x in xs], 0)))
+        content, minimiser = change(h, key), change(h)
+        lead = np.maximum.accumulate(np.where(content, np.arange(len(h)), 0))
+        is_first = (d == d[lead]) & (th == th[lead]) & (pos == pos[lead])
+        kinds = np.add.reduceat(content, np.flatnonzero(minimiser))[np.cumsum(minimiser) - 1]
+        many = (kinds > hot) | shared[sort]
+        # bits go back in the order in which they came
+        back = np.empty((3, len(h)), bool)
+        back[0, sort] = ~is_first
+        back[1, sort] = is_first & (kinds > 1) & ~many
+        back[2, sort] = is_first & (kinds > 1) & many
+        cut = np.cumsum(size) - size
+        bits = [[np.packbits(x[a:a + n]).tobytes() for a, n in zip(cut.tolist(), size.tolist())] for x in back]
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "n": pa.array(size, pa.int32()),
+                         **{c: pa.array(x, pa.binary()) for c, x in zip(("later", "wanted", "single"), bits)}})
+    return stage(found.where("bucket >= 0").groupBy("bucket").applyInArrow(
+        merge, "chunk long, bucket int, n int, later binary, wanted binary, single binary"), "places")
+
+
+def _replies(replies: list, n: int) -> np.ndarray:
+    """(3, n): later, wanted and single of all segments of a chunk, whose buckets follow each other."""
+    out = np.zeros((3, n), bool)
+    at = 0
+    for a in replies:
+        for k, c in enumerate(("later", "wanted", "single")):
+            out[k, at:at + a["n"]] = flags(a[c], a["n"])
+        at += a["n"]
+    return out
+
+
+def asked_segments(met: DataFrame, window: int) -> DataFrame:
+    """(kind, bucket, chunk, ...): bytes and places of the wanted segments
+    (kind 0), hashes and places of the windows of single ones (kind 1)."""
+    buckets = buckets_of(met.sparkSession)
+    names = {"kind": pa.int32(), "bucket": pa.int32(), "chunk": pa.int64(), "h": pa.binary(), "w": pa.binary(), "seq": pa.binary(),
+             "d": pa.binary(), "th": pa.binary(), "pos": pa.binary(), "x": pa.binary(), "bytes": pa.binary()}
 
-    def pack(batches):
+    def run(batches):
+        from xxhash import xxh3_128_digest
         for b in batches:
-            yield pa.record_batch([b.column("key"), pa.array([np.array(x, np.int32).tobytes() for x in b.column("xs").to_pylist()],
-                                                             pa.binary())], names=["key", "marks"])
-    return later.groupBy("key").agg(F.collect_list("x").alias("xs")).mapInArrow(pack, "key binary, marks binary")
-
-
-def find_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
+            for r in range(b.num_rows):
+                chunk, ids, hashes, texts, layout, got = (
+                    b.column(c)[r].as_py() for c in ("chunk", "ids", "hashes", "texts", "layout", "replies"))
+                text, pos, n, seq = np.frombuffer(layout or b"", np.uint32).reshape(4, -1).astype(np.int64)
+                own = np.flatnonzero(seq != int(WHOLE))
+                own = own[np.unique(seq[own], return_index=True)[1]]  # one place of each segment, by its number
+                _, wanted, single = _replies(got or [], len(own))
+                d = np.array([FIRST_ID if i is None else i for i in ids], np.int64)
+                th = np.array(hashes, np.uint32)
+                for kind, ask in ((0, wanted), (1, single)):
+                    at = own[ask]
+                    if not len(at):
+                        continue
+                    raw = [texts[t][p:p + m] for t, p, m in
+                           zip(text[at].tolist(), pos[at].tolist(), (n[at] + window - 1).tolist())]
+                    x = np.zeros(len(at), np.uint8)
+                    if kind:  # every window by itself
+                        x = np.concatenate([np.arange(m, dtype=np.uint8) for m in n[at].tolist()])
+                        raw = [s[i:i + window] for s, m in zip(raw, n[at].tolist()) for i in range(m)]
+                        at = np.repeat(at, n[at])
+                        both = np.frombuffer(b"".join(map(xxh3_128_digest, raw)), np.uint64).reshape(-1, 2)
+                        h, w = both[:, 0], both[:, 1]
+                    else:  # dealt by the minimiser, computed once more from a window
+                        h = np.concatenate([segments([s[:window]], window)[3] for s in raw])
+                        w = np.array([len(s) for s in raw], np.uint64)
+                    order, parts = deal(h, buckets)
+                    rows = []
+                    for k, part in parts:
+                        f = order[part]
+                        g = at[f]
+                        rows.append((kind, k, chunk, h[f], w[f], seq[g].astype(np.uint32), d[text[g]], th[text[g]],
+                                     (pos[g] + x[f]).astype(np.uint32), x[f], None if kind else b"".join([raw[i] for i in f.tolist()])))
+                    yield packed(names, rows)
+    return met.mapInArrow(run, "kind int, bucket int, chunk long, h binary, w binary, seq binary, d binary, th binary, "
+                               "pos binary, x binary, bytes binary")
+
+
+def marked_windows(asked: DataFrame, window: int) -> DataFrame:
+    """(chunk, seq, x): packed numbers of segments and offsets of their windows that start earlier elsewhere."""
+    def marks(table):
+        read = lambda c, t: [np.frombuffer(x, t) for x in table.column(c).to_pylist()]
+        size = [len(x) for x in read("seq", np.uint32)]
+        h, w, seq, d, th, pos, x = (np.concatenate(read(c, t)) for c, t in (
+            ("h", np.uint64), ("w", np.uint64), ("seq", np.uint32), ("d", np.int64), ("th", np.uint32), ("pos", np.uint32),
+            ("x", np.uint8)))
+        owner = np.repeat(np.arange(len(size)), size)
+        if table.column("kind")[0].as_py():
+            sort = np.lexsort((pos, th, d, w, h))
+            same = lambda *xs: np.all([v[sort][1:] == v[sort][:-1] for v in xs], 0)
+            head = np.concatenate(([True], ~same(h, w)))
+            lead = sort[np.maximum.accumulate(np.where(head, np.arange(len(sort)), 0))]
+            later = (d[sort] != d[lead]) | (th[sort] != th[lead]) | (pos[sort] != pos[lead])
+            row, off = sort[later], x[sort[later]]
+        else:
+            blob = table.column("bytes").to_pylist()
+            ends = np.cumsum(w.astype(np.int64))
+            start = np.cumsum([0] + [len(v) for v in blob])
+            joined = memoryview(b"".join(blob))
+            assert start[-1] == (ends[-1] if len(ends) else 0)
+            docs, doc = np.unique(np.stack([d, th.astype(np.int64)], 1), axis=0, return_inverse=True)
+            place = (doc.astype(np.int64) << 32) + pos  # in document order
+            sort = np.argsort(h, kind="stable")
+            size_of = w.astype(np.int64)[sort]
+            # whole minimisers, about BATCH bytes of them at a time
+            last = np.concatenate((h[sort][1:] != h[sort][:-1], [True]))
+            row, off, lo, held = [], [], 0, 0
+            for k in np.flatnonzero(last).tolist():
+                held = int(size_of[lo:k + 1].sum())
+                if held >= BATCH or k + 1 == len(sort):
+                    some = sort[lo:k + 1]
+                    found = earlier_windows([bytes(joined[ends[i] - int(w[i]):ends[i]]) for i in some.tolist()], place[some], window)
+                    row += [np.repeat(i, len(f)) for i, f in zip(some.tolist(), found)]
+                    off += found
+                    lo = k + 1
+            row, off = np.concatenate(row).astype(np.int64), np.concatenate(off).astype(np.uint8)
+        out = []
+        chunk = table.column("chunk").to_pylist()
+        order = np.argsort(owner[row], kind="stable")
+        row, off = row[order], off[order]
+        cut = np.searchsorted(owner[row], np.arange(len(size) + 1))
+        for k, (a, z) in enumerate(zip(cut.tolist(), cut[1:].tolist())):
+            if a < z:
+                out.append((chunk[k], seq[row[a:z]].tobytes(), off[a:z].tobytes()))
+        cols = list(zip(*out)) if out else [[], [], []]
+        return pa.table({"chunk": pa.array(cols[0], pa.int64()), "seq": pa.array(cols[1], pa.binary()), "x": pa.array(cols[2], pa.binary())})
+    return asked.groupBy("kind", "bucket").applyInArrow(marks, "chunk long, seq binary, x binary")
+
+
+def find_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, most_chunks: int = CHUNKS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, spans, kept): for every row the
     maximal removed byte runs (first, end) and the remaining bytes."""
     chunks = chunked(docs)
-    found = repeated_segments(chunks, repeated_minimisers(chunks, window), window)
-    occ = found.where("layout is null").select("chunk", "seq", "key", F.struct("d", "th", "pos").alias("at"), "h", "n", "bytes")
-    firsts = stage(occ.groupBy("key").agg(F.min("at").alias("first"), F.any_value("h").alias("h"), F.any_value("n").alias("n"),
-                                          F.any_value("bytes").alias("bytes")), "firsts")
-    kinds = firsts.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    several = firsts.join(kinds.where(F.col("kinds") <= hot), "h")
-    marks = index_marks(several.repartition(buckets_of(docs.sparkSession), "h").sortWithinPartitions("h"), window).union(
-        window_marks(firsts.join(kinds.where(F.col("kinds") > hot), "h", "left_semi"), window))
-    verdicts = firsts.select("key", "first").join(marks, "key", "left")
-    replies = (occ.select("chunk", "seq", "key", "at").join(verdicts, "key")
-               .select("chunk", "seq", (F.col("at") != F.col("first")).alias("whole"),
-                       F.when(F.col("at") == F.col("first"), F.col("marks")).alias("marks"))
-               .where("whole or marks is not null")
-               .groupBy("chunk").agg(F.collect_list(F.struct("seq", "whole", "marks")).alias("replies")))
-    layouts = found.where("layout is not null").select("chunk", "layout")
-    met = chunks.select("chunk", "ids", "texts").join(layouts.join(replies, "chunk", "left"), "chunk", "left")
+    found = repeated_segments(chunks, repeated_minimisers(chunks, window, most_chunks), window)
+    places = per_chunk(first_places(found, hot), "replies")
+    layouts = found.where("bucket = -1").select("chunk", F.col("h").alias("layout"))
+    met = chunks.join(layouts, "chunk", "left").join(places, "chunk", "left")
+    marks = per_chunk(marked_windows(asked_segments(met, window), window), "marks")
 
     def run(batches):
+        names = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(),
+                 "spans": pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])), "kept": pa.binary()}
         for b in batches:
             for r in range(b.num_rows):
-                ids, texts, layout, got = (b.column(c)[r].as_py() for c in ("ids", "texts", "layout", "replies"))
+                ids, texts, layout, got, found = (b.column(c)[r].as_py() for c in ("ids", "texts", "layout", "replies", "marks"))
                 size = np.fromiter(map(len, texts), np.int64, len(texts))
                 off = np.cumsum(size + 1) - size - 1  # a byte between texts keeps their runs apart
                 text, pos, n, seq = np.frombuffer(layout or b"", np.uint32).reshape(4, -1).astype(np.int64)
-                whole = np.zeros(len(seq) + 1, bool)  # the last stands for no reply
-                marked: dict[int, np.ndarray] = {}
-                for g in got or []:
-                    if g["whole"]:
-                        whole[g["seq"]] = True
-                    else:
-                        marked[g["seq"]] = np.frombuffer(g["marks"], np.int32)
-                first = seq == int(WHOLE)
-                first |= whole[np.minimum(seq, len(seq))]
-                place = off[text] + pos if len(text) else np.zeros(0, np.int64)
+                place = off[text] + pos
+                own = seq != int(WHOLE)
+                count = int(seq[own].max()) + 1 if own.any() else 0
+                later = np.append(_replies(got or [], count)[0], True)  # the last stands for WHOLE
+                gone = later[np.where(own, seq, count)]
                 cover = np.zeros(int((size + 1).sum()) + 1, np.int32)
-                np.add.at(cover, place[first], 1)
-                np.add.at(cover, place[first] + n[first] + window - 1, -1)
-                for k in np.flatnonzero(~first).tolist():
-                    if (m := marked.get(int(seq[k]))) is not None:
-                        np.add.at(cover, place[k] + m, 1)
-                        np.add.at(cover, place[k] + m + window, -1)
-                gone = np.diff(np.concatenate(([0], np.cumsum(cover) > 0, [0])).astype(np.int8))
-                a, z = np.flatnonzero(gone == 1), np.flatnonzero(gone == -1)
-                cut = np.searchsorted(a, np.append(off, off[-1] + size[-1] + 1) if len(off) else [0])
+                np.add.at(cover, place[gone], 1)
+                np.add.at(cover, place[gone] + n[gone] + window - 1, -1)
+                if found:
+                    mark = np.concatenate([np.frombuffer(f["seq"], np.uint32) for f in found]).astype(np.int64)
+                    x = np.concatenate([np.frombuffer(f["x"], np.uint8) for f in found]).astype(np.int64)
+                    order = np.argsort(mark, kind="stable")
+                    mark, x = mark[order], x[order]
+                    rest = np.flatnonzero(own & ~gone)  # the places (of one document) that marks speak of
+                    a, z = np.searchsorted(mark, seq[rest]), np.searchsorted(mark, seq[rest], "right")
+                    row = np.repeat(np.arange(len(rest)), z - a)
+                    nth = np.arange(len(row)) - np.repeat(np.cumsum(z - a) - (z - a), z - a) + a[row]
+                    at = place[rest[row]] + x[nth]
+                    np.add.at(cover, at, 1)
+                    np.add.at(cover, at + window, -1)
+                change = np.diff(np.concatenate(([0], np.cumsum(cover) > 0, [0])).astype(np.int8))
+                a, z = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+                cut = np.searchsorted(a, np.append(off, cover.size)).tolist()
                 out = []
                 for k, t in enumerate(texts):
-                    runs = [(int(x - off[k]), int(y - off[k])) for x, y in zip(a[cut[k]:cut[k + 1]], z[cut[k]:cut[k + 1]])]
-                    at, kept = 0, []
-                    for x, y in runs:
-                        kept.append(t[at:x])
-                        at = y
+                    at, kept, gone_bytes = 0, [], 0
+                    runs = list(zip((a[cut[k]:cut[k + 1]] - off[k]).tolist(), (z[cut[k]:cut[k + 1]] - off[k]).tolist()))
+                    for first, end in runs:
+                        kept.append(t[at:first])
+                        at, gone_bytes = end, gone_bytes + end - first
                     kept.append(t[at:])
-                    out.append((ids[k], len(t), sum(y - x for x, y in runs), len(runs),
-                                [{"first": x, "end": y} for x, y in runs], b"".join(kept)))
+                    out.append((ids[k], len(t), gone_bytes, len(runs), [{"first": f, "end": e} for f, e in runs], b"".join(kept)))
                 for at in range(0, len(out), 1024):
-                    cols = list(zip(*out[at:at + 1024]))
-                    span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), span, pa.binary()]
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)],
-                                          names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
-    return met.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, "
-                               "spans array<struct<first:long,end:long>>, kept binary")
+                    yield packed(names, out[at:at + 1024])
+    return (met.select("chunk", "ids", "texts", "layout", "replies").join(marks, "chunk", "left")
+            .select("ids", "texts", "layout", "replies", "marks")
+            .mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, "
+                             "spans array<struct<first:long,end:long>>, kept binary"))
