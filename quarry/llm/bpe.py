@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import struct
 import unicodedata
 from collections.abc import Iterable
 
@@ -37,7 +38,7 @@ NONE = np.iinfo(np.int64).max
 #: letters up to which words are merged as rows of a matrix
 WIDE = 40
 #: pieces remembered by a worker
-MEMO = 250_000
+MEMO = 500_000
 
 
 def default_path() -> str:
@@ -86,11 +87,12 @@ class WordBpe:
         self.own = {s: self.vocab[s] for s, got in zip(plain, self.exact_merges([self.symbols(s) for s in plain]))
                     if got == [self.vocab[s]]}
         self.longest = max(len(s.removesuffix(SUFFIX)) for s in self.own)
-        self.reach: dict[str, int] = {}  # longest entry that goes on after these two letters
+        self.reach: dict[str, int] = {}  # longest entry that goes on after these four letters
         for s in self.own:
-            if not s.endswith(SUFFIX) or s == SUFFIX:
-                self.reach[s[:2]] = max(self.reach.get(s[:2], 1), len(s))
-        self.memo: dict[str, tuple[bytes, str]] = {}
+            if len(s) >= 4 and not s.endswith(SUFFIX):
+                self.reach[s[:4]] = max(self.reach.get(s[:4], 4), len(s))
+        self.ids_of: dict[str, bytes] = {}
+        self.text_of: dict[str, str] = {}
 
     def symbols(self, token: str) -> list[int]:
         """Ids of the letters of a vocabulary entry."""
@@ -164,13 +166,13 @@ class WordBpe:
 
     def propose(self, word: str) -> list[int]:
         """Greedy longest match of a word in byte letters."""
-        own, n, at, out = self.own, len(word), 0, []
+        own, reach, n, at, out = self.own, self.reach, len(word), 0, []
         while at < n:
             if n - at <= self.longest and (i := own.get(word[at:] + SUFFIX)) is not None:
                 out.append(i)
                 break
             end = min(n - 1, at + self.longest)
-            end = min(end, at + self.reach.get(word[at:at + 2], 1))
+            end = min(end, at + reach.get(word[at:at + 4], 3))
             while (i := own.get(word[at:end])) is None:
                 end -= 1
             out.append(i)
@@ -216,31 +218,40 @@ class WordBpe:
     def parts(self, piece: str) -> list:
         """A white-space free piece of text as special ids and words in byte letters."""
         out: list = []
-        for part in self.marks.split(piece) if self.marks and "<" in piece else [piece]:
+        if piece.isascii() and not any(m in piece for m in self.special):
+            return self.split.findall(piece.lower()) if piece.isprintable() else self._letters(piece.lower())
+        for part in self.marks.split(piece) if self.marks else [piece]:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                out += [w.encode().decode("latin-1").translate(self.letters) for w in self.split.findall(part)]
+                out += self._letters(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
         return out
 
+    def _letters(self, text: str) -> list[str]:
+        return [w.encode().decode("latin-1").translate(self.letters) for w in self.split.findall(text)]
+
     def pieces(self, text: str) -> list[str]:
         if self.odd.search(text):  # str.split takes these for white space; the tokenizer's pattern doesn't
             return [x for x in self.spaces.split(text) if x]
         return text.split()
 
-    def encode(self, texts: Iterable[str]) -> list[list[tuple[bytes, str]]]:
-        """For each text, (ids as little-endian uint32, decoded) of its pieces."""
+    def encode(self, texts: Iterable[str]) -> list[tuple[bytes, str]]:
+        """(ids as little-endian uint32, decoded) of each text."""
         split = [self.pieces(t) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = {p: self.parts(p) for p in {p for s in split for p in s} if p not in memo}
-        ids = self.encode_words(list({w for parts in new.values() for w in parts if isinstance(w, str)})) if new else {}
-        for p, parts in new.items():
-            got = [i for w in parts for i in (ids[w] if isinstance(w, str) else [w])]
-            memo[p] = np.array(got, "<u4").tobytes(), " ".join(self.names[i] for i in got)
-        return [[memo[p] for p in s] for s in split]
+        if len(self.ids_of) > MEMO:
+            self.ids_of.clear()
+            self.text_of.clear()
+        new: set[str] = set()
+        for s in split:
+            new.update(set(s).difference(self.ids_of))
+        if new:
+            parts = {p: self.parts(p) for p in new}
+            ids = self.encode_words(list({w for x in parts.values() for w in x if isinstance(w, str)}))
+            for p, x in parts.items():
+                got = [i for w in x for i in (ids[w] if isinstance(w, str) else (w,))]
+                self.ids_of[p] = struct.pack(f"<{len(got)}I", *got)
+                self.text_of[p] = " ".join([self.names[i] for i in got])
+        return [(b"".join(map(self.ids_of.__getitem__, s)), " ".join(map(self.text_of.__getitem__, s))) for s in split]
 
 
 _LOADED: dict[int, WordBpe] = {}
@@ -264,8 +275,8 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
         bpe = loaded(spec.value)
         for b in slices(batches):
             got = bpe.encode(t or "" for t in b.column("text").to_pylist())
-            yield pa.record_batch([b.column("doc_id"), pa.array([b"".join([x[0] for x in g]) for g in got], pa.binary()),
-                                   pa.array([" ".join([x[1] for x in g]) for g in got], pa.string())],
+            yield pa.record_batch([b.column("doc_id"), pa.array([x for x, _ in got], pa.binary()),
+                                   pa.array([x for _, x in got], pa.string())],
                                   names=["doc_id", "token_ids", "decoded"])
     return keyed_texts(docs).mapInArrow(run, "doc_id long, token_ids binary, decoded string")
 
