@@ -36,8 +36,8 @@ def keyed_texts(df: DataFrame, *more: str) -> DataFrame:
 
 def crc_mod(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id written as text, modulo n (a null id counts as '')."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id,
-                              F.lit(None)).cast("string").cast("binary")) % n
+    text = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary")) % n
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
@@ -53,5 +53,16 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def total_cores(spark: SparkSession) -> int:
-    return spark.sparkContext.defaultParallelism
+def buckets_of(spark: SparkSession) -> int:
+    """Hash buckets of one exchange: as many as its partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucketed(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` written once to the shared folder, bucketed by ``key``: a join
+    on it brings the other side's rows here and doesn't move these."""
+    spark = rows.sparkSession
+    name = f"llm_{uuid.uuid4().hex}"
+    (rows.write.bucketBy(buckets_of(spark), key).option("compression", "zstd")
+     .option("path", f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}").saveAsTable(name, format="parquet"))
+    return spark.table(name)

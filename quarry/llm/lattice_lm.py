@@ -15,7 +15,8 @@ How it runs: texts are packed into chunk rows of about ``CHUNK`` bytes and
 written once. Each chunk asks for its distinct words, dealt by a word hash into
 buckets; a bucket merges the training counts of its words, runs the recursion
 once per distinct word, for many words in step, and answers every chunk;
-answers meet their chunk again in a join on the chunk number. So no task holds
+answers meet their chunk again in a join on the chunk number that doesn't
+move the texts. So no task holds
 more than a bucket's words or a chunk, the vocabulary is never broadcast, and a
 frequent word crosses the exchange once per chunk only. What the driver sees is
 the expected count of each vocabulary piece.
@@ -39,16 +40,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import keyed_texts, slices, stage
+from quarry.llm.common import bucketed, buckets_of, keyed_texts, slices, stage
 
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 DISCOUNT = 0.75
 ROUNDS = 2
 #: bytes of the longest vocabulary piece that is used
 LONGEST = 16
 #: words up to this many bytes are scored in step, longer ones one by one
 WIDE = 48
-PART = 20_000
+#: words of one length that are scored in step
+PART = 5_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LOG10 = math.log(10)
 
@@ -176,7 +178,7 @@ class Lattice:
 
 
 def chunked(docs: DataFrame, is_training: Column) -> DataFrame:
-    """(chunk, doc_ids, train, texts): rows of about CHUNK bytes of text, written once."""
+    """(chunk, doc_ids, train, texts): rows of about CHUNK bytes of text, written once, bucketed by chunk."""
     def run(batches):
         held, size, n = [], 0, 0
         part = TaskContext.get().partitionId()
@@ -198,7 +200,7 @@ def chunked(docs: DataFrame, is_training: Column) -> DataFrame:
         if held:
             yield pack()
     rows = keyed_texts(docs).withColumn("train", is_training)
-    return stage(rows.mapInArrow(run, "chunk long, doc_ids array<long>, train array<boolean>, texts array<binary>"), "chunks")
+    return bucketed(rows.mapInArrow(run, "chunk long, doc_ids array<long>, train array<boolean>, texts array<binary>"), "chunk")
 
 
 def by_bucket(words: set[bytes], n: int) -> dict[int, list[bytes]]:
@@ -275,7 +277,7 @@ def score_documents(docs: DataFrame, is_training: Column, path: str | None = Non
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every
     row; counts come from the rows where ``is_training`` holds."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets_of(spark)
     chunks = chunked(docs, is_training)
     asked = requests(chunks, buckets)
     vocab = vocabulary(asked)

@@ -34,17 +34,14 @@ text of 4 GiB or more is an error.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import keyed_texts, slices, stage
+from quarry.llm.common import bucketed, buckets_of, keyed_texts, slices, stage
 from quarry.llm.rlbwt import earlier_windows
-from quarry.session import checkpoint_dir
 
 WINDOW = 100
 GRAM = 24
@@ -115,19 +112,6 @@ def segments(texts: list[bytes], window: int = WINDOW):
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def buckets_of(spark) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def bucketed(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` written once to the shared folder, bucketed by ``key``."""
-    spark = rows.sparkSession
-    name = f"llm_{uuid.uuid4().hex}"
-    (rows.write.bucketBy(buckets_of(spark), key).option("compression", "zstd")
-     .option("path", f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}").saveAsTable(name, format="parquet"))
-    return spark.table(name)
-
-
 def chunked(docs: DataFrame) -> DataFrame:
     """(chunk, ids, hashes, texts): chunk rows in document order within."""
     def run(batches):
