@@ -234,13 +234,15 @@ def _union_spans(spans):
     return F.aggregate(F.array_sort(spans), F.slice(spans, 1, 0), add)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_words, n_hit, spans of hit words, items, contaminated) for every row."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK,
+                       keys: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_hit, spans of hit words, items, contaminated, and the
+    columns ``keys`` of ``docs``) for every row."""
     texts = benchmark.select(F.coalesce(benchmark["item_id"].cast("string"), F.lit("null")).alias("item"),
                              benchmark["text"].cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
     blocks = int(size // block) + 1
-    rows = keyed_texts(docs)
+    rows = keyed_texts(docs, *keys)
     if blocks == 1:
         out = _pass(rows, [tuple(r) for r in texts.collect()], window)
     else:
@@ -250,18 +252,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
             some = texts.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
             part = _pass(numbered, [tuple(r) for r in some.collect()], window)
             passes = part if passes is None else passes.union(part)
-        out = (passes.groupBy("row").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("n_words").alias("n_words"),
+        out = (passes.groupBy("row").agg(*[F.any_value(c).alias(c) for c in ("doc_id", *keys, "n_words")],
                                          F.flatten(F.collect_list("spans")).alias("spans"),
                                          F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
                .withColumn("spans", _union_spans(F.col("spans"))).withColumn("items", F.array_sort("items")))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
     return (out.withColumn("n_hit", hit)
             .select("doc_id", "n_words", "n_hit", "spans", "items",
-                    ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated")))
+                    ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), *keys))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` less the contaminated documents."""
-    bad = (find_contamination(docs, benchmark, window).where("contaminated")
-           .select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
+    """``docs`` less the contaminated documents (told apart by id and text)."""
+    told = docs.select(docs["doc_id"], docs["text"], F.xxhash64(docs["text"].cast("string")).alias("th"))
+    bad = (find_contamination(told, benchmark, window, keys=("th",)).where("contaminated")
+           .select(F.col("doc_id").alias("_bad"), F.col("th").alias("_th")).distinct())
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"])
+                     & (F.xxhash64(docs["text"].cast("string")) == bad["_th"]), "left_anti")

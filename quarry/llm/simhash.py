@@ -17,7 +17,8 @@ fingerprint less every choice of t of 16 nibbles, whose groups hold at most
 Defined cases: a null or blank text has fingerprint zero and links like any
 other; fewer words than the shingle length give one shingle of all words; a
 null doc_id gets a row and is ignored by the smallest id of a component (a
-component of null ids only has a null id); repeated rows each get a row.
+component of null ids only has a null id); repeated rows each get a row; rows
+that share a doc_id but not the text are different documents.
 """
 
 from __future__ import annotations
@@ -87,12 +88,12 @@ def _majority(words: list[bytes]) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, th, fp): the text's xxhash64 and the fingerprint as a signed long."""
     def run(batches):
         for b in slices(batches):
             fp = np.array([fingerprint(t, width) for t in text_bytes(b.column("text"))], np.uint64).view(np.int64)
-            yield pa.record_batch([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
-    return keyed_texts(docs).mapInArrow(run, "doc_id long, fp long")
+            yield pa.record_batch([b.column("doc_id"), b.column("th"), pa.array(fp)], names=["doc_id", "th", "fp"])
+    return keyed_texts(docs).withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, th long, fp long")
 
 
 # ---- links -----------------------------------------------------------------
@@ -191,20 +192,25 @@ def links(fps: DataFrame, bits: int = MAX_BITS, bucket: int = BUCKET) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``; component_id is
-    the smallest doc_id reachable over links of at most ``bits`` bits."""
+    """(doc_id, fp, component_id, th, stays) for every row of ``docs``; component_id is
+    the smallest doc_id reachable over links of at most ``bits`` bits. ``stays`` marks one document
+    of each component: the smallest doc_id, of these the least text hash."""
     rows = stage(fingerprints(docs, width), "fingerprints")
-    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")  # null ids last
+    fps = rows.groupBy("fp").agg(F.min(place).alias("first"))
     comps = connected_components(links(fps.select("fp"), bits))
     named = fps.join(comps, fps["fp"] == comps["node"], "left").select(
-        "fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    ids = named.join(least, "component").select("fp", "component_id")
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+        "fp", "first", F.coalesce("component", "fp").alias("component"))
+    least = named.groupBy("component").agg(F.min("first").alias("least"))
+    ids = named.join(least, "component").select("fp", "least")
+    return rows.join(ids, "fp").select("doc_id", "fp", F.col("least.doc_id").alias("component_id"), "th",
+                                       (place == F.col("least")).alias("stays"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` less every document that is not the smallest id of its component."""
-    gone = (near_duplicates(docs, width, bits).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+    """``docs`` less every document that is not the one of its component that
+    stays; rows of equal id and text are one document."""
+    gone = near_duplicates(docs, width, bits).where("not stays").select(
+        F.col("doc_id").alias("_gone"), F.col("th").alias("_th")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"])
+                     & (F.xxhash64(docs["text"].cast("string")) == gone["_th"]), "left_anti")
