@@ -88,6 +88,28 @@ def input_selectors() -> list[Column]:
             attr_eq("contenteditable", "true")]
 
 
+def browser_selectors() -> dict[str, list[Column]]:
+    return {"clickable": clickable_selectors(), "input": input_selectors(), "media": media_selectors()}
+
+
+def page_tool_selectors() -> dict[str, list[Column]]:
+    """The page tool's lists, which feed the selector table."""
+    return {"clickable": [tag_is("a"), tag_is("button"), tag_is("input") & (input_type() == "button"),
+                          tag_is("input") & (input_type() == "submit"), attr_eq("role", "button"), has_class("btn"),
+                          has_attr("onclick"), tag_is("input") & (input_type() == "checkbox"),
+                          tag_is("input") & (input_type() == "radio")],
+            "input": [tag_is("input") & (input_type() != "hidden"), tag_is("textarea"), tag_is("select")]}
+
+
+def page_analyzer_selectors() -> dict[str, list[Column]]:
+    """The page analyzer's lists."""
+    types = ("text", "email", "password", "search", "tel", "url", "number", "date")
+    return {"clickable": [tag_is("button"), tag_is("a"), tag_is("input") & (input_type() == "button"),
+                          tag_is("input") & (input_type() == "submit"), tag_is("input") & (input_type() == "checkbox"),
+                          tag_is("input") & (input_type() == "radio"), has_class("btn"), attr_eq("role", "button")],
+            "input": [*(tag_is("input") & (attr("type") == t) for t in types), tag_is("textarea"), tag_is("select")]}
+
+
 def media_selectors() -> list[Column]:
     return [tag_is("video"), tag_is("audio"), tag_is("iframe"), tag_is("canvas")]
 
@@ -123,11 +145,12 @@ def _shown(elements: DataFrame, check_visibility: bool) -> DataFrame:
 
 
 def page_summary(elements: DataFrame, kinds: Sequence[str] | None = None,
-                 check_visibility: bool = False) -> DataFrame:
+                 check_visibility: bool = False, pages: DataFrame | None = None) -> DataFrame:
     """H2: title, url and element counts per page. ``kinds`` picks the
     counts wanted (forms, buttons, links, inputs, errors, headings, images,
     tables); the rest are not computed. ``check_visibility`` counts only
-    displayed elements (the title is read either way)."""
+    displayed elements (the title is read either way). With ``pages``
+    (page_id, url) every page has a row, also one without any element."""
     shown = F.col("visible") if check_visibility else F.lit(True)
 
     def n(cond: Column) -> Column:
@@ -153,8 +176,14 @@ def page_summary(elements: DataFrame, kinds: Sequence[str] | None = None,
         F.count(F.lit(1)).alias("n_elements"), *[counts[k].cast("long").alias(k) for k in wanted],
         F.array_min(F.collect_list(F.when(tag_is("title"), F.struct(F.col("idx"), strip_ws(F.col("text")).alias("t")))))
         .alias("_title"))
-    return per_page.select(
+    out = per_page.select(
         "page_id", "url", F.coalesce(F.col("_title.t"), F.lit("")).alias("title"), "n_elements", *wanted)
+    if pages is None:
+        return out
+    every = pages.select(F.col("page_id").alias("_p"), F.col("url").alias("_u")).distinct()
+    return (every.join(out, F.col("_p").eqNullSafe(F.col("page_id")) & F.col("_u").eqNullSafe(F.col("url")), "left")
+            .select(F.col("_p").alias("page_id"), F.col("_u").alias("url"), F.coalesce("title", F.lit("")).alias("title"),
+                    *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_elements", *wanted)]))
 
 
 # ---- H3 -------------------------------------------------------------------------
@@ -344,11 +373,13 @@ def login_error_message(elements: DataFrame) -> DataFrame:
 
 
 def interactive(elements: DataFrame, kinds: Sequence[str] = ("clickable", "input", "media"),
-                check_visibility: bool = False) -> DataFrame:
+                check_visibility: bool = False, lists: dict[str, list[Column]] | None = None) -> DataFrame:
     """Interactive elements by kind; an element appears once per
-    selector of its kind that it matches (as the selector loops do)."""
+    selector of its kind that it matches (as the selector loops do). ``lists``
+    holds the selectors of each kind: ``browser_selectors`` (default),
+    ``page_tool_selectors`` or ``page_analyzer_selectors``."""
     elements = _shown(elements, check_visibility)
-    lists = {"clickable": clickable_selectors(), "input": input_selectors(), "media": media_selectors()}
+    lists = lists or browser_selectors()
     parts = [_tagged(_selector_hits(lists[k]), "kind", k) for k in kinds]
     hits = parts[0] if len(parts) == 1 else F.concat(*parts)
     text = F.coalesce(F.nullif(strip_ws(F.coalesce(F.col("text"), F.lit(""))), F.lit("")), attr("value"), F.lit(""))
@@ -437,17 +468,18 @@ def page_structure(elements: DataFrame) -> DataFrame:
 
 
 def dedup_elements(candidates: DataFrame, key: str = "xpath", order: str = "order",
-                   location: str | None = None) -> DataFrame:
+                   location: str | None = None, kind: str | None = None) -> DataFrame:
     """Drop candidates whose node or xpath (and, when a ``location``
     column is given, whose (tag, text, location)) equals an earlier kept
-    one. The node fixes the xpath, so the node rule is implied by the xpath
-    rule; each rule is a keep-first aggregate (no sort of a hot key)."""
-    cols = candidates.columns
-    keep_first = (candidates.groupBy("page_id", key)
+    one; with a ``kind`` column only those of the same kind count. The node
+    fixes the xpath, so the node rule is implied by the xpath rule; each rule
+    is a keep-first aggregate (no sort of a hot key)."""
+    cols, within = candidates.columns, ["page_id", *([kind] if kind else [])]
+    keep_first = (candidates.groupBy(*within, key)
                   .agg(F.min_by(F.struct(*cols), F.col(order)).alias("_r")).select("_r.*"))
     if location is None:
         return keep_first
-    return (keep_first.groupBy("page_id", "tag", "text", location)
+    return (keep_first.groupBy(*within, "tag", "text", location)
             .agg(F.min_by(F.struct(*cols), F.col(order)).alias("_r")).select("_r.*"))
 
 
@@ -489,23 +521,29 @@ def alert_kind(text: Column) -> Column:
 
 
 def page_metrics(pages: DataFrame, elements: DataFrame) -> DataFrame:
-    """Per page: url, html, element count and body text length."""
+    """Per page: url, hash of the source, element count and body text length
+    (narrow rows: no source crosses an exchange)."""
     m = elements.groupBy("page_id").agg(
         F.count(F.lit(1)).alias("n_elements"),
         F.coalesce(F.max(F.when(tag_is("body"), F.length("text"))), F.lit(0)).alias("text_len"))
-    return pages.select("page_id", "url", "html").join(m, "page_id", "left")
+    return (pages.select("page_id", "url", F.sha2(F.col("html").cast("binary"), 256).alias("source"))
+            .join(m, "page_id", "left"))
 
 
 def page_changes(before: DataFrame, after: DataFrame, element_delta: int = 5, text_delta: int = 20) -> DataFrame:
     """Compare two snapshots (page_metrics rows) per url: changed if
     the source differs, or |d elements| > 5, or |d text length| > 20.
-    Pages present on one side only count as changed."""
-    b = before.select("url", F.col("html").alias("h0"), F.col("n_elements").alias("e0"), F.col("text_len").alias("t0"))
-    a = after.select("url", F.col("html").alias("h1"), F.col("n_elements").alias("e1"), F.col("text_len").alias("t1"))
-    j = b.join(a, "url", "full")
+    Pages present on one side only count as changed; of a url that a
+    snapshot holds several times its largest page_id counts."""
+    def side(df, n):
+        last = F.max_by(F.struct("source", "n_elements", "text_len"), "page_id")
+        return df.groupBy("url").agg(last.alias("_m")).select(
+            F.col("url").alias(f"u{n}"), F.col("_m.source").alias(f"h{n}"), F.col("_m.n_elements").alias(f"e{n}"),
+            F.col("_m.text_len").alias(f"t{n}"))
+    j = side(before, 0).join(side(after, 1), F.col("u0").eqNullSafe(F.col("u1")), "full")
     src = ~F.coalesce(F.col("h0") == F.col("h1"), F.lit(False))
     de = F.coalesce(F.col("e1"), F.lit(0)) - F.coalesce(F.col("e0"), F.lit(0))
     dt = F.coalesce(F.col("t1"), F.lit(0)) - F.coalesce(F.col("t0"), F.lit(0))
-    return j.select("url", src.alias("source_changed"), de.cast("long").alias("d_elements"),
+    return j.select(F.coalesce("u0", "u1").alias("url"), src.alias("source_changed"), de.cast("long").alias("d_elements"),
                     dt.cast("long").alias("d_text"),
                     (src | (F.abs(de) > element_delta) | (F.abs(dt) > text_delta)).alias("changed"))

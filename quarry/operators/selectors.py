@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import strip_ws
-from quarry.operators.page_elements import attr, classes, interactive, tag_is
+from quarry.operators.page_elements import attr, classes, dedup_elements, interactive, page_tool_selectors, tag_is
 
 # Labels.
 GROUP_DEFAULT = "detailed_analysis"
@@ -63,42 +63,25 @@ def class_key(c: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(classes(c))), ".")
 
 
-SMALL_CLASS_SET = 8
+def class_superset_counts(elements: DataFrame) -> DataFrame:
+    """(page_id, class_key, n_containing): how many elements of the page have
+    all the classes of ``class_key``, for every key that is some element's
+    full class set (the keys the CSS rule looks up).
 
-
-def class_superset_counts(elements: DataFrame, small: int = SMALL_CLASS_SET) -> DataFrame:
-    """(page_id, class_key, n_containing): how many elements of the page
-    have all the classes of ``class_key``; exact for every key that is some
-    element's full class set (the keys the CSS rule looks up).
-
-    Elements with at most ``small`` classes contribute their class subsets
-    (at most 2^small - 1 each) to a grouped count. Elements with more
-    classes are matched against the page's distinct class sets through a
-    join on (page, class): a set is contained when all of its classes
-    matched. No pairs of elements are formed, and no element expands
-    exponentially.
+    Elements are first counted per distinct class set. A set is then looked
+    up by its rarest class in the page - the one that the fewest distinct
+    sets hold - and only those sets are checked for containing the rest.
     """
     cls = F.array_sort(F.array_distinct(classes(F.col("class"))))
-    base = elements.select("page_id", "idx", cls.alias("_c")).filter(F.size("_c") > 0)
-    # power set of the (sorted) classes, built by folding
-    subsets = F.aggregate(F.col("_c"), F.array(F.array().cast("array<string>")),
-                          lambda acc, c: F.concat(acc, F.transform(acc, lambda x: F.concat(x, F.array(c)))))
-    small_counts = (base.filter(F.size("_c") <= small)
-                    .select("page_id", F.explode(F.filter(subsets, lambda x: F.size(x) > 0)).alias("_s"))
-                    .groupBy("page_id", F.array_join("_s", ".").alias("class_key"))
-                    .agg(F.count(F.lit(1)).alias("_n_small")))
-    keys = (base.select("page_id", "_c").distinct()
-            .select("page_id", F.array_join("_c", ".").alias("class_key"), F.size("_c").alias("_k"),
-                    F.explode("_c").alias("_cls")))
-    big = base.filter(F.size("_c") > small).select("page_id", "idx", F.explode("_c").alias("_cls"))
-    big_counts = (keys.join(big, ["page_id", "_cls"])
-                  .groupBy("page_id", "class_key", "idx", "_k").agg(F.count(F.lit(1)).alias("_m"))
-                  .filter(F.col("_m") == F.col("_k"))
-                  .groupBy("page_id", "class_key").agg(F.count(F.lit(1)).alias("_n_big")))
-    return (small_counts.join(big_counts, ["page_id", "class_key"], "full")
-            .select("page_id", "class_key",
-                    (F.coalesce(F.col("_n_small"), F.lit(0)) + F.coalesce(F.col("_n_big"), F.lit(0)))
-                    .alias("n_containing")))
+    sets = (elements.select("page_id", cls.alias("_c")).filter(F.size("_c") > 0)
+            .groupBy("page_id", "_c").agg(F.count(F.lit(1)).alias("_n")))
+    by_class = sets.select("page_id", "_c", "_n", F.explode("_c").alias("_cls"))
+    held = by_class.groupBy("page_id", "_cls").agg(F.count(F.lit(1)).alias("_held"))
+    rarest = (by_class.join(held, ["page_id", "_cls"]).groupBy("page_id", "_c")
+              .agg(F.min(F.struct("_held", "_cls")).alias("_r")).select("page_id", F.col("_c").alias("_k"), "_r._cls"))
+    return (rarest.join(by_class, ["page_id", "_cls"]).filter(F.size(F.array_except("_k", "_c")) == 0)
+            .groupBy("page_id", F.array_join("_k", ".").alias("class_key"))
+            .agg(F.sum("_n").alias("n_containing")))
 
 
 def css_selector(elements: DataFrame, targets: DataFrame | None = None) -> DataFrame:
@@ -307,19 +290,23 @@ def best_selector(el: DataFrame) -> DataFrame:
     return el.select("page_id", "idx", F.element_at(present, 1).alias("best"), present.alias("selector_list"))
 
 
-def selector_table(elements: DataFrame, group: str = GROUP_DEFAULT) -> DataFrame:
-    """Clickable rows ``clickable_{i}`` then input rows ``input_{i}``
-    (i counts per page in selector, then document order), with text, id,
-    class, css, xpaths, kind, category and data attributes (``data`` map;
-    the export spreads it into columns)."""
-    hits = interactive(elements, ("clickable", "input")).select("page_id", "idx", "kind", "selector", "text")
+def selector_table(elements: DataFrame, group: str = GROUP_DEFAULT, lists=None) -> DataFrame:
+    """Clickable rows ``clickable_{i}`` then input rows ``input_{i}`` with
+    text, id, class, css, xpaths, kind, category and data attributes (``data``
+    map; the export spreads it into columns). ``lists`` are the selector
+    lists (default: those of the page tool). An element that several
+    selectors of its kind match is listed once, at the first; i counts the
+    listed elements per page and kind in selector, then document order."""
+    hits = interactive(elements, ("clickable", "input"), lists=lists or page_tool_selectors()).select(
+        "page_id", "idx", "kind", "selector", "text")
     # selectors only for the elements that are listed (uniqueness of class
     # sets is still counted over the whole page)
     targets = elements.join(hits.select("page_id", "idx").distinct(), ["page_id", "idx"], "left_semi")
     el = add_xpaths(css_selector(elements, targets))
-    w = Window.partitionBy("page_id", "kind").orderBy("selector", "idx")
-    numbered = hits.withColumn("_i", F.row_number().over(w))
-    j = numbered.join(el.drop("text"), ["page_id", "idx"])
+    found = hits.join(el.drop("text"), ["page_id", "idx"]).withColumn("order", F.struct("selector", "idx"))
+    once = dedup_elements(found, key="xpath", order="order", kind="kind")
+    w = Window.partitionBy("page_id", "kind").orderBy("order")
+    j = once.withColumn("_i", F.row_number().over(w))
     is_click = F.col("kind") == "clickable"
     text_value = F.when(is_click, F.col("text")).otherwise(
         F.coalesce(F.nullif(F.coalesce(attr("placeholder"), F.lit("")), F.lit("")), attr("value"), F.lit("")))

@@ -98,7 +98,7 @@ def q_schema_table(spark, sf_dir):
 
 @query("low_consistency")
 def q_low_consistency(spark, sf_dir):
-    return _flat_schema(si.low_consistency(si.schema_table(report(spark, sf_dir, "events", "event_id"))))
+    return _flat_schema(si.low_consistency(si.schema_table(fx.uneven_report(load_table(spark, sf_dir, "events")))))
 
 
 def _lineitem_key():
@@ -327,12 +327,13 @@ def q_elements(spark, sf_dir):
 
 @query("page_summary")
 def q_page_summary(spark, sf_dir):
-    return pe.page_summary(_elements(spark, sf_dir), ["links", "headings", "forms", "images", "tables"])
+    return pe.page_summary(_elements(spark, sf_dir), ["links", "headings", "forms", "images", "tables"],
+                           pages=load_table(spark, sf_dir, "pages"))
 
 
 @query("page_summary_rt")
 def q_page_summary_rt(spark, sf_dir):
-    return pe.page_summary(_rt_elements(spark, sf_dir))
+    return pe.page_summary(_rt_elements(spark, sf_dir), pages=fx.customer_pages(load_table(spark, sf_dir, "customer")))
 
 
 @query("headings")
@@ -402,7 +403,14 @@ def q_login_error_message(spark, sf_dir):
 
 @query("interactive")
 def q_interactive(spark, sf_dir):
-    return pe.interactive(_rt_elements(spark, sf_dir)).select("page_id", "kind", "selector", "tag", "text", "type")
+    el = _rt_elements(spark, sf_dir, shared=True)
+    out = None
+    for name, lists in (("browser", pe.browser_selectors()), ("page_tool", pe.page_tool_selectors()),
+                        ("page_analyzer", pe.page_analyzer_selectors())):
+        rows = pe.interactive(el, list(lists), lists=lists).select(
+            F.lit(name).alias("lists"), "page_id", "kind", "selector", "tag", "text", "type")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("text_search")
@@ -467,10 +475,11 @@ def q_page_structure(spark, sf_dir):
 
 @query("dedup_elements")
 def q_dedup_elements(spark, sf_dir):
-    el = sl.add_xpaths(_elements(spark, sf_dir, shared=True))
-    cand = (pe.interactive(el, ("clickable",)).join(el.select("page_id", "idx", "xpath"), ["page_id", "idx"])
-            .withColumn("order", F.col("selector") * 1000000 + F.col("idx")))
-    return pe.dedup_elements(cand).select("page_id", "xpath", "tag", "text")
+    el = sl.add_xpaths(_rt_elements(spark, sf_dir, shared=True))
+    cand = (pe.interactive(el, ("clickable", "input"), lists=pe.page_tool_selectors())
+            .join(el.select("page_id", "idx", "xpath"), ["page_id", "idx"])
+            .withColumn("order", F.struct("selector", "idx")))
+    return pe.dedup_elements(cand, kind="kind").select("page_id", "kind", "selector", "xpath", "tag", "text")
 
 
 @query("category_summary")
@@ -530,9 +539,17 @@ def q_report_schema_table(spark, sf_dir):
     i.e. block * file_rows + rn."""
     path = fx.write_order_report(spark, load_table(spark, sf_dir, "orders"), "utf-8", junk_line=False)
     df = rpt.read_report_csv(spark, path, encoding="utf-8", header_row=1)
-    block = F.regexp_extract("source_file", r"part=(\d+)", 1).cast("long")
-    df = df.withColumn("rn", block * fx.ORDER_REPORT_FILE_ROWS + F.col("rn")).drop("source_file")
-    return _flat_schema(si.schema_table(df))
+    df = df.withColumn("part", F.regexp_extract("source_file", r"part=(\d+)", 1).cast("long"))
+    return _flat_schema(si.schema_table(rpt.order_rows(df, "part")))
+
+
+@query("read_report_auto")
+def q_read_report_auto(spark, sf_dir):
+    """S1 over one folder of mixed encodings, headers and column orders."""
+    path = fx.write_mixed_reports(spark, load_table(spark, sf_dir, "customer"))
+    df = rpt.read_report_csv(spark, path, encoding="auto")
+    return df.select("rn", F.regexp_extract("source_file", r"part=(\d+)", 1).cast("long").alias("part"),
+                     "番号", "氏名", F.col("`氏名.1`").alias("seg"), "区分")
 
 
 @query("file_encoding")
@@ -550,9 +567,8 @@ def q_file_encoding(spark, sf_dir):
 def q_registry_csv(spark, sf_dir):
     path = fx.scratch_dir(spark, "registry")
     rows = fx.registry_rows(load_table(spark, sf_dir, "part"))
-    rows.write.option("header", True).csv(path)
-    loaded = spark.read.option("header", True).csv(path).withColumn("pos", F.col("pos").cast("long"))
-    return rg.registry_load(loaded)
+    rows.orderBy("pos").drop("pos").write.option("header", True).csv(path)  # files in row order
+    return rg.registry_load(rg.read_registry_csv(spark, path))
 
 
 @query("latest_file")

@@ -284,6 +284,47 @@ ORDER_REPORT_HEADER = ("注文番号", "顧客番号", "状態", "金額", "注
 ORDER_REPORT_FILE_ROWS = 4096
 
 
+def uneven_report(events: DataFrame) -> DataFrame:
+    """Report text of ``events`` with two columns of mixed types (rn = key + 1)."""
+    k, user = F.col("event_id"), F.col("user_id")
+    mixed = (F.when(k % 4 == 0, F.col("event_type")).when(k % 4 == 1, user.cast("string"))
+             .when(k % 4 == 2, (user + 100).cast("string")).otherwise(F.concat(user.cast("string"), F.lit(".5"))))
+    half = (F.when(k % 7 == 0, F.lit("")).when(k % 5 == 0, F.concat(F.lit("2024/01/0"), (k % 9 + 1).cast("string")))
+            .otherwise(F.col("event_type")))
+    return events.select((k.cast("long") + 1).alias("rn"), k.cast("string").alias("event_id"), mixed.alias("mixed"),
+                         half.alias("half"))
+
+
+MIXED_FILE_ROWS = 512
+
+
+def write_mixed_reports(spark, customer: DataFrame) -> str:
+    """Land ``customer`` as report files of two encodings and two headers in
+    one folder, one per block of MIXED_FILE_ROWS keys (``part=k``). Even
+    blocks are utf-8, odd ones cp932, with the first characters beyond ASCII
+    after line 20; of each four blocks the last two have another column
+    order and one column more. Both headers repeat a name."""
+    path = scratch_dir(spark, "mixed-reports")
+    key = F.col("c_custkey")
+    k = F.floor(key / F.lit(MIXED_FILE_ROWS)).cast("long")
+    name = F.when(key % MIXED_FILE_ROWS >= 20, F.concat(F.lit("顧客"), key.cast("string"))).otherwise(F.col("c_name"))
+    other = F.floor(k / 2) % 2 == 1
+    plain = F.concat_ws(",", key.cast("string"), name, "c_mktsegment")
+    more = F.concat_ws(",", F.concat(F.lit("K"), F.col("c_nationkey").cast("string")), name, key.cast("string"), "c_mktsegment")
+    data = customer.select(k.alias("part"), key.cast("long").alias("key"), F.when(other, more).otherwise(plain).alias("line"))
+    head = customer.select(k.alias("part")).distinct().select(
+        "part", F.lit(-1).cast("long").alias("key"),
+        F.when(F.floor(F.col("part") / 2) % 2 == 1, F.lit("区分,氏名,番号,氏名")).otherwise(F.lit("番号,氏名,氏名")).alias("line"))
+    from quarry.sources.reports import _ensure_charsets
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for rest, encoding in ((0, "utf-8"), (1, "cp932")):
+        _ensure_charsets(spark, encoding)
+        (data.unionByName(head).filter(F.col("part") % 2 == rest).repartition(n, "part").sortWithinPartitions("part", "key")
+         .select("part", "line").write.mode("append").partitionBy("part").option("encoding", encoding)
+         .option("quote", "").option("sep", "\u0001").option("header", False).csv(path))
+    return path
+
+
 def write_order_report(spark, orders: DataFrame, encoding: str = "cp932", junk_line: bool = True,
                        file_rows: int = ORDER_REPORT_FILE_ROWS) -> str:
     """Land ``orders`` as report CSV files, one per block of ``file_rows``

@@ -21,7 +21,6 @@ from quarry.operators import report as rp
 from quarry.operators import results as rs
 from quarry.operators import schema_infer as si
 from quarry.operators import selectors as sl
-from quarry.operators.page_elements import dedup_elements
 from quarry.session import materialize
 from quarry.sources import reports as rpt
 from quarry.sources import sinks as sk
@@ -31,8 +30,8 @@ from quarry.sources.pages import extract_elements
 def profile_report(spark: SparkSession, path: str, out: str, encoding: str | None = "auto",
                    header_row: int = 1) -> dict[str, DataFrame]:
     """Profile a landed report (a file or a folder of files)."""
-    df = rpt.read_report_csv(spark, path, encoding=encoding, header_row=header_row).drop("source_file")
-    schema = materialize(si.schema_table(df))
+    df = rpt.order_rows(rpt.read_report_csv(spark, path, encoding=encoding, header_row=header_row))
+    schema = materialize(si.schema_table(df)).orderBy("col_pos")
     cells = si.inconsistent_cells(df)
     sk.write_schema_document(schema, cells, out)
     return {"schema": schema, "low_consistency": si.low_consistency(schema),
@@ -42,21 +41,19 @@ def profile_report(spark: SparkSession, path: str, out: str, encoding: str | Non
 def analyze_pages(spark: SparkSession, pages: DataFrame, out: str) -> dict[str, DataFrame]:
     """Selector table of the interactive elements of every page."""
     elements = materialize(extract_elements(pages))
-    table = sl.selector_table(elements)
-    # clickable rows come before input rows, as they are collected first
-    with_order = table.withColumn(
-        "order", F.when(F.col("kind") == "clickable", F.lit(0)).otherwise(F.lit(1 << 40)) + F.col("ordinal"))
-    kept = dedup_elements(with_order, key="xpath", order="order").drop("order")
+    kept = materialize(sl.selector_table(elements))
     sk.write_selector_exports(kept, out)
     return {"elements": elements, "selectors": kept}
 
 
 def land_reports(spark: SparkSession, before: DataFrame, folder: str, out: str, run_date, snapshot_ts: str,
                  pattern: str | None = None, date_column: str | None = None, start=None, end=None,
-                 traffic_column: str | None = None, traffic_type: str = "all") -> dict[str, DataFrame]:
+                 traffic_column: str | None = None, traffic_type: str = "all",
+                 report_date: bool = True) -> dict[str, DataFrame]:
     """Take the files that appeared in ``folder`` since the ``before``
-    listing, read them, filter, add the report date and land them as a new
-    snapshot; returns the rows and the outcome summary."""
+    listing, read them, filter, add the report date (unless ``report_date`` is
+    off: only the detailed report has it) and land them as a new snapshot;
+    returns the rows and the outcome summary."""
     after = rpt.list_files(spark, folder)
     fresh = rpt.new_files(before, after, pattern)
     paths = [r.path for r in fresh.select("path").collect()]  # the new-file listing, not data
@@ -64,12 +61,17 @@ def land_reports(spark: SparkSession, before: DataFrame, folder: str, out: str,
         empty = spark.createDataFrame([], "success boolean")
         return {"rows": None, "outcome": rs.outcome_summary(empty, rule="report")}
     df = rpt.read_report_csv(spark, paths, encoding="auto")
+    read = df.groupBy(rpt.plain_path("source_file").alias("path")).agg(F.count(F.lit(1)).alias("n_rows"))
     if date_column:
         df = rp.date_range(df, date_column, run_date, start=start, end=end)
     if traffic_column:
         df = rp.traffic_filter(df, traffic_column, traffic_type)
-    df = rp.add_report_date(df, run_date)
+    if report_date:
+        df = rp.add_report_date(df, run_date)
     rpt.write_snapshot(df, out, snapshot_ts)
     landed = rpt.latest_snapshot(spark, out)
-    outcome = fresh.select(F.lit(True).alias("success"))
+    # a file has landed when its rows were read (and the write above went through); one
+    # without a header or any row has not
+    outcome = (fresh.select(rpt.plain_path("path").alias("path")).join(read, "path", "left")
+               .select(F.col("n_rows").isNotNull().alias("success")))
     return {"rows": landed, "outcome": rs.outcome_summary(outcome, rule="report")}

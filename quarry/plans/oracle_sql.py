@@ -30,6 +30,11 @@ REPORT_LAYOUTS = {
     "orders_report": ("orders", [("o_orderkey", "int", "注文番号"), ("o_custkey", "int", "顧客番号"),
                                  ("o_orderstatus", "str", "状態"), ("o_totalprice", "double", "金額"),
                                  ("o_orderdate", "date", "注文日"), ("o_orderpriority", "str", "優先度")]),
+    "events_uneven": ("""(SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN CAST(user_id AS VARCHAR)
+           WHEN 2 THEN CAST(user_id + 100 AS VARCHAR) ELSE CAST(user_id AS VARCHAR) || '.5' END AS mixed,
+         CASE WHEN event_id % 7 = 0 THEN '' WHEN event_id % 5 = 0 THEN '2024/01/0' || (event_id % 9 + 1)
+           ELSE event_type END AS half FROM events) e""",
+                      [("event_id", "int", "event_id"), ("mixed", "str", "mixed"), ("half", "str", "half")]),
 }
 
 
@@ -154,7 +159,7 @@ SELECT column_name, rn, value FROM bad""")
 register("schema_table", schema_table_sql("orders", "o_orderkey"))
 
 register("low_consistency", f"""
-SELECT * FROM ({schema_table_sql('events', 'event_id')}) WHERE CONSISTENCY_RATE < 0.9""")
+SELECT * FROM ({schema_table_sql('events_uneven', 'event_id')}) WHERE CONSISTENCY_RATE < 0.9""")
 
 register("type_census", f"""
 SELECT DATA_TYPE, count(*) AS n_columns FROM ({schema_table_sql('lineitem', 'l_orderkey * 8 + l_linenumber')})
@@ -660,21 +665,31 @@ WITH {CUSTOMER_PAGE}
 SELECT page_id, 'failed to save ' || k AS message FROM c WHERE neg""")
 
 register("interactive", f"""
-WITH {CUSTOMER_PAGE}
-SELECT page_id, 'clickable' AS kind, 0 AS selector, 'a' AS tag, 'Home' AS text, 'a' AS type FROM c
-UNION ALL SELECT page_id, 'clickable', 0, 'a', 'Ext ' || k, 'a' FROM c
-UNION ALL SELECT page_id, 'clickable', 0, 'a', 'Go', 'a' FROM c
-UNION ALL SELECT page_id, 'clickable', 0, 'a', 'Act', 'a' FROM c
-UNION ALL SELECT page_id, 'clickable', 1, 'button', 'Save', 'submit' FROM c
-UNION ALL SELECT page_id, 'clickable', 2, 'input', 'Cancel', 'button' FROM c
-UNION ALL SELECT page_id, 'clickable', 5, 'a', 'Act', 'a' FROM c
-UNION ALL SELECT page_id, 'clickable', 6, 'a', 'Home', 'a' FROM c
-UNION ALL SELECT page_id, 'clickable', 6, 'a', 'Go', 'a' FROM c
-UNION ALL SELECT page_id, 'input', 0, 'input', '', 'text' FROM c
-UNION ALL SELECT page_id, 'input', 0, 'input', bal, 'text' FROM c
-UNION ALL SELECT page_id, 'input', 0, 'input', 'Cancel', 'button' FROM c
-UNION ALL SELECT page_id, 'input', 1, 'textarea', '', 'textarea' FROM c
-UNION ALL SELECT page_id, 'input', 2, 'select', 'AB' || c_mktsegment, 'select-one' FROM c""")
+WITH {CUSTOMER_PAGE},
+e AS (SELECT page_id, unnest([
+  {{'n': 'Home', 'tag': 'a', 'text': 'Home', 'type': 'a'}}, {{'n': 'Ext', 'tag': 'a', 'text': 'Ext ' || k, 'type': 'a'}},
+  {{'n': 'Go', 'tag': 'a', 'text': 'Go', 'type': 'a'}}, {{'n': 'Act', 'tag': 'a', 'text': 'Act', 'type': 'a'}},
+  {{'n': 'Save', 'tag': 'button', 'text': 'Save', 'type': 'submit'}},
+  {{'n': 'Cancel', 'tag': 'input', 'text': 'Cancel', 'type': 'button'}},
+  {{'n': 'name', 'tag': 'input', 'text': '', 'type': 'text'}}, {{'n': 'bal', 'tag': 'input', 'text': bal, 'type': 'text'}},
+  {{'n': 'note', 'tag': 'textarea', 'text': '', 'type': 'textarea'}},
+  {{'n': 'seg', 'tag': 'select', 'text': 'AB' || c_mktsegment, 'type': 'select-one'}}]) AS e FROM c),
+m(lists, kind, selector, n) AS (VALUES
+  ('browser', 'clickable', 0, 'Home'), ('browser', 'clickable', 0, 'Ext'), ('browser', 'clickable', 0, 'Go'),
+  ('browser', 'clickable', 0, 'Act'), ('browser', 'clickable', 1, 'Save'), ('browser', 'clickable', 2, 'Cancel'),
+  ('browser', 'clickable', 5, 'Act'), ('browser', 'clickable', 6, 'Home'), ('browser', 'clickable', 6, 'Go'),
+  ('browser', 'input', 0, 'name'), ('browser', 'input', 0, 'bal'), ('browser', 'input', 0, 'Cancel'),
+  ('browser', 'input', 1, 'note'), ('browser', 'input', 2, 'seg'),
+  ('page_tool', 'clickable', 0, 'Home'), ('page_tool', 'clickable', 0, 'Ext'), ('page_tool', 'clickable', 0, 'Go'),
+  ('page_tool', 'clickable', 0, 'Act'), ('page_tool', 'clickable', 1, 'Save'), ('page_tool', 'clickable', 2, 'Cancel'),
+  ('page_tool', 'clickable', 4, 'Act'), ('page_tool', 'clickable', 5, 'Home'), ('page_tool', 'clickable', 5, 'Go'),
+  ('page_tool', 'input', 0, 'name'), ('page_tool', 'input', 0, 'bal'), ('page_tool', 'input', 0, 'Cancel'),
+  ('page_tool', 'input', 1, 'note'), ('page_tool', 'input', 2, 'seg'),
+  ('page_analyzer', 'clickable', 0, 'Save'), ('page_analyzer', 'clickable', 1, 'Home'), ('page_analyzer', 'clickable', 1, 'Ext'),
+  ('page_analyzer', 'clickable', 1, 'Go'), ('page_analyzer', 'clickable', 1, 'Act'), ('page_analyzer', 'clickable', 2, 'Cancel'),
+  ('page_analyzer', 'clickable', 6, 'Home'), ('page_analyzer', 'clickable', 6, 'Go'), ('page_analyzer', 'clickable', 7, 'Act'),
+  ('page_analyzer', 'input', 0, 'name'), ('page_analyzer', 'input', 8, 'note'), ('page_analyzer', 'input', 9, 'seg'))
+SELECT m.lists, e.page_id, m.kind, m.selector, e.e.tag AS tag, e.e.text AS text, e.e.type AS type FROM e JOIN m ON e.e.n = m.n""")
 
 register("text_search", f"""
 WITH p AS (SELECT page_id, {CLEAN_HTML} AS h FROM pages),
@@ -714,8 +729,18 @@ WITH {NAV_LINKS}
 SELECT page_id, 'a' AS tag, '/' || steps AS xpath, '//' || steps AS xpath_soup, '//*/' || steps AS full_xpath FROM n""")
 
 register("dedup_elements", f"""
-WITH {NAV_LINKS}
-SELECT page_id, '/' || steps AS xpath, 'a' AS tag, {_strip('t')} AS text FROM n""")
+WITH {CUSTOMER_PAGE}
+SELECT page_id, 'clickable' AS kind, 0 AS selector, '/html/body/header/a' AS xpath, 'a' AS tag, 'Home' AS text FROM c
+UNION ALL SELECT page_id, 'clickable', 0, '/html/body/div/a', 'a', 'Ext ' || k FROM c
+UNION ALL SELECT page_id, 'clickable', 0, '/html/body/main/a', 'a', 'Go' FROM c
+UNION ALL SELECT page_id, 'clickable', 0, '/html/body/main/a[2]', 'a', 'Act' FROM c
+UNION ALL SELECT page_id, 'clickable', 1, '//*[@id=''submit' || k || ''']', 'button', 'Save' FROM c
+UNION ALL SELECT page_id, 'clickable', 2, '/html/body/main/form/input[4]', 'input', 'Cancel' FROM c
+UNION ALL SELECT page_id, 'input', 0, '//*[@id=''name' || k || ''']', 'input', '' FROM c
+UNION ALL SELECT page_id, 'input', 0, '/html/body/main/form/input[3]', 'input', bal FROM c
+UNION ALL SELECT page_id, 'input', 0, '/html/body/main/form/input[4]', 'input', 'Cancel' FROM c
+UNION ALL SELECT page_id, 'input', 1, '/html/body/main/form/textarea', 'textarea', '' FROM c
+UNION ALL SELECT page_id, 'input', 2, '/html/body/main/form/select', 'select', 'AB' || c_mktsegment FROM c""")
 
 register("data_attributes", f"""
 WITH {CUSTOMER_PAGE} SELECT page_id, 'track_id' AS key, k AS value FROM c""")
@@ -790,6 +815,13 @@ register("registry_csv", ORACLE["registry_load"])
 
 register("schema_document", ORACLE["schema_table"])
 
+register("read_report_auto", """
+SELECT row_number() OVER (PARTITION BY c_custkey // 512 ORDER BY c_custkey) AS rn, CAST(c_custkey // 512 AS BIGINT) AS part,
+       CAST(c_custkey AS VARCHAR) AS "番号",
+       CASE WHEN c_custkey % 512 >= 20 THEN '顧客' || c_custkey ELSE c_name END AS "氏名", c_mktsegment AS seg,
+       CASE WHEN c_custkey // 1024 % 2 = 1 THEN 'K' || c_nationkey END AS "区分"
+FROM customer""")
+
 register("report_schema_table", schema_table_sql("orders_report", "o_orderkey"))
 
 register("stream_arrivals", """
@@ -869,11 +901,6 @@ UNION ALL SELECT page_id, 'clickable_5', 'Save', 'submit' || k, '', '#submit' ||
        'クリック可能', 'ボタン', '{{}}' FROM f
 UNION ALL SELECT page_id, 'clickable_6', 'Cancel', '', '', fp || ' > input:nth-child(4)', '/html/body/main/form/input[4]',
        'クリック可能', 'その他', '{{}}' FROM f
-UNION ALL SELECT page_id, 'clickable_7', 'Act', '', '', 'html > body > main > a:nth-child(2)', '/html/body/main/a[2]',
-       'クリック可能', 'リンク', '{{}}' FROM f
-UNION ALL SELECT page_id, 'clickable_8', 'Home', '', 'btn nav-link', '.btn.nav-link', '/html/body/header/a', 'クリック可能',
-       'ナビゲーションバー', '{{}}' FROM f
-UNION ALL SELECT page_id, 'clickable_9', 'Go', '', 'btn', 'html > body > main > a', '/html/body/main/a', 'クリック可能', 'ボタン', '{{}}' FROM f
 UNION ALL SELECT page_id, 'input_1', 'Name', 'name' || k, '', '#name' || k, '//*[@id=''name' || k || ''']', '入力フィールド', 'フォーム', '{{}}' FROM f
 UNION ALL SELECT page_id, 'input_2', bal, '', '', fp || ' > input:nth-child(3)', '/html/body/main/form/input[3]', '入力フィールド', 'フォーム', '{{}}' FROM f
 UNION ALL SELECT page_id, 'input_3', 'Cancel', '', '', fp || ' > input:nth-child(4)', '/html/body/main/form/input[4]', '入力フィールド', 'フォーム', '{{}}' FROM f
@@ -981,12 +1008,6 @@ UNION ALL SELECT page_id, 'clickable_5', 'Save', 'submit' || k, '', '#submit' ||
        '//*/html/body/main/form/button', 'クリック可能', 'ボタン', '' FROM f
 UNION ALL SELECT page_id, 'clickable_6', 'Cancel', '', '', fp || ' > input:nth-child(4)', '/html/body/main/form/input[4]',
        '//*/html/body/main/form/input[4]', 'クリック可能', 'その他', '' FROM f
-UNION ALL SELECT page_id, 'clickable_7', 'Act', '', '', 'html > body > main > a:nth-child(2)', '/html/body/main/a[2]',
-       '//*/html/body/main/a[2]', 'クリック可能', 'リンク', '' FROM f
-UNION ALL SELECT page_id, 'clickable_8', 'Home', '', 'btn nav-link', '.btn.nav-link', '/html/body/header/a',
-       '//*/html/body/header/a', 'クリック可能', 'ナビゲーションバー', '' FROM f
-UNION ALL SELECT page_id, 'clickable_9', 'Go', '', 'btn', 'html > body > main > a', '/html/body/main/a', '//*/html/body/main/a',
-       'クリック可能', 'ボタン', '' FROM f
 UNION ALL SELECT page_id, 'input_1', 'Name', 'name' || k, '', '#name' || k, '//*[@id=''name' || k || ''']',
        '//*/html/body/main/form/input', '入力フィールド', 'フォーム', '' FROM f
 UNION ALL SELECT page_id, 'input_2', bal, '', '', fp || ' > input:nth-child(3)', '/html/body/main/form/input[3]',

@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 import datetime as _dt
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -27,7 +28,7 @@ from quarry.session import ship_package
 DEFAULT_ENCODING = "cp932"
 TRIAL_ENCODINGS = ("cp932", "euc_jp")
 SAMPLE_LINES = 10
-SAMPLE_BYTES = 1 << 16
+JAVA_CHARSETS = {"cp932": "windows-31j", "euc_jp": "EUC-JP"}
 # The strings pandas reads as missing by default.
 PANDAS_NA = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
              "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -61,112 +62,204 @@ def with_file_row_number(df: DataFrame, name: str = "rn") -> DataFrame:
             .drop("_block", "_mid", "_min", "_off"))
 
 
+def order_rows(df: DataFrame, by: str = "source_file", rn: str = "rn") -> DataFrame:
+    """Number the rows of several files through: files in the order of ``by``,
+    rows in file order. Only one row per file is windowed. Drops ``by`` and ``source_file``."""
+    files = df.groupBy(by).agg(F.max(rn).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return (df.join(files.select(by, before.alias("_before")), by)
+            .withColumn(rn, F.col(rn) + F.col("_before")).drop("_before", by, "source_file"))
+
+
+def plain_path(path) -> Column:
+    """A file path in one spelling (``file:/x`` for ``file:///x``)."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def header_names(line: str | None, sep: str = ",") -> list[str]:
+    """Column names of a header line: empty ones by position, repeats numbered (a, a.1)."""
+    import csv as _csv
+    fields = next(_csv.reader([line or ""], delimiter=sep), [])
+    out: list[str] = []
+    for i, v in enumerate(fields):
+        name, k = v or f"Unnamed: {i}", 0
+        while name in out:
+            k += 1
+            name = f"{v or f'Unnamed: {i}'}.{k}"
+        out.append(name)
+    return out
+
+
+def _raw_lines(spark: SparkSession, path, glob: str | None = None) -> DataFrame:
+    """(line, _file): lines as ISO-8859-1, one character a byte, so nothing is lost whatever the encoding."""
+    r = (spark.read.schema("line string").option("header", False).option("encoding", "ISO-8859-1")
+         .option("sep", "\u0001").option("quote", "").option("escape", "").option("recursiveFileLookup", True))
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    return r.csv(path)
+
+
 def read_report_csv(spark: SparkSession, path, encoding: str | None = "utf-8", header_row: int = 1,
                     pandas_na: bool = True, sep: str = ",", multiline: bool = False) -> DataFrame:
     """All columns as text plus ``rn`` (1-based data row in file order)
     and ``source_file``. ``header_row`` = the line holding the header;
     lines above it are dropped (they may have any number of fields).
     ``pandas_na`` reads pandas' default missing markers as null, as the
-    profiler being matched sees them.
-
-    Lines are decoded by the CSV source in ``encoding`` as single fields,
-    numbered per file, and split with ``from_csv`` once the header is
-    known, so short preamble lines do not fix the width.
+    profiler being matched sees them. Every file is read by its own header
+    (repeated names are numbered); columns of several headers are put side
+    by side by name. A record with more fields than its header is an error,
+    as it is for pandas. ``encoding`` "auto" (or None) gives each file the
+    encoding that decodes all of it.
+
+    Lines are numbered per file and split with ``from_csv`` once the header
+    is known, so short preamble lines do not fix the width. The driver sees
+    the distinct header lines only.
     """
-    import csv as _csv
-
-    if encoding in (None, "auto"):
-        return _read_report_csv_auto(spark, path, header_row, pandas_na, sep)
-    _ensure_charsets(spark, encoding)
-    lines = (spark.read.schema("line string").option("header", False).option("encoding", encoding)
-             .option("sep", "\u0001").option("quote", "").option("escape", "")
-             .option("recursiveFileLookup", True).csv(path))
-    numbered = with_file_row_number(lines, "_line")
-    # The header is schema, not data: read the first lines of the first
-    # split (a limit scan), as Spark's own header option does.
-    head = lines.limit(header_row).collect()
-    header_line = head[header_row - 1]["line"] if len(head) >= header_row else ""
-    fields = next(_csv.reader([header_line or ""], delimiter=sep), [])
-    names = [v if v not in (None, "") else f"Unnamed: {i}" for i, v in enumerate(fields)]
-    ddl = ", ".join(f"c{i} STRING" for i in range(len(names)))
+    auto = encoding in (None, "auto")
     if multiline:
-        # Quoted fields may hold line breaks: parse records with the CSV
-        # source itself (each file is one split then) and count records,
-        # as pandas counts the header row in records.
-        recs = (spark.read.schema(ddl).option("header", False).option("encoding", encoding)
-                .option("multiLine", True).option("sep", sep).option("recursiveFileLookup", True).csv(path))
-        data = (with_file_row_number(recs, "_line").filter(F.col("_line") > header_row)
-                .select("_line", "_file", F.struct(*[F.col(f"c{i}") for i in range(len(names))]).alias("_r")))
+        return _read_records(spark, path, encoding, header_row, pandas_na, sep)
+    if auto:
+        _ensure_charsets(spark, DEFAULT_ENCODING)
+        raw = with_file_row_number(_raw_lines(spark, path), "_line")
+        bytes_ = F.encode("line", "ISO-8859-1")
+        text = F.when(F.col("encoding") == "utf-8", bytes_.cast("string"))
+        for name in TRIAL_ENCODINGS:
+            text = text.when(F.col("encoding") == name, F.decode(bytes_, JAVA_CHARSETS[name]))
+        enc = _whole_encoding(_raw_lines(spark, path).withColumn("_file", F.col("_metadata.file_path")))
+        numbered = raw.join(enc, "_file").withColumn("line", text).drop("encoding")
     else:
-        data = numbered.filter(F.col("_line") > header_row).select(
-            "_line", "_file", F.from_csv(F.col("line"), ddl, {"sep": sep}).alias("_r"))
+        _ensure_charsets(spark, encoding)
+        lines = (spark.read.schema("line string").option("header", False).option("encoding", encoding)
+                 .option("sep", "\u0001").option("quote", "").option("escape", "")
+                 .option("recursiveFileLookup", True).csv(path))
+        numbered = with_file_row_number(lines, "_line")
+    heads = numbered.filter(F.col("_line") == header_row).select("_file", F.regexp_replace("line", "^\ufeff", "").alias("_head"))
+    distinct = sorted((r["_head"] or "") for r in heads.select("_head").distinct().collect())
+    data = numbered.filter(F.col("_line") > header_row)
+    if len(distinct) > 1:
+        data = data.join(heads, "_file")
+    out = None
+    for head in distinct or [""]:
+        names = header_names(head, sep)
+        ddl = ", ".join(f"c{i} STRING" for i in range(len(names) + 1))
+        rows = data if len(distinct) < 2 else data.filter(F.coalesce("_head", F.lit("")) == head)
+        part = _finish(rows.select("_line", "_file", F.from_csv("line", ddl, {"sep": sep}).alias("_r")),
+                       names, header_row, pandas_na)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
+
+def _finish(data: DataFrame, names: list[str], header_row: int, pandas_na: bool) -> DataFrame:
+    """Named columns of the records ``_r`` (c0, c1, ...; one more than there are names)."""
     def clean(c):
         v = F.col(f"_r.{c}")
         return F.when(v.isin(*PANDAS_NA), F.lit(None)).otherwise(v) if pandas_na else v
 
-    return data.select((F.col("_line") - header_row).alias("rn"), F.col("_file").alias("source_file"),
-                       *[clean(f"c{i}").alias(n) for i, n in enumerate(names)])
+    rn = F.col("_line") - header_row
+    more = F.concat(F.lit(f"expected {len(names)} fields in record "), rn.cast("string"), F.lit(" of "), "_file", F.lit(", saw more"))
+    return data.select(F.when(F.col(f"_r.c{len(names)}").isNotNull(), F.raise_error(more).cast("long")).otherwise(rn).alias("rn"),
+                       F.col("_file").alias("source_file"), *[clean(f"c{i}").alias(n) for i, n in enumerate(names)])
 
 
-def _read_report_csv_auto(spark: SparkSession, path, header_row: int, pandas_na: bool, sep: str) -> DataFrame:
-    """Files of one folder may come in different encodings: label each file
-    (S2) and read each encoding group with its charset. The driver sees the
-    file listing grouped by encoding (what a file scan lists anyway), not
-    the data."""
-    enc = file_encoding(spark, path)
-    groups = enc.groupBy("encoding").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
-    parts = [read_report_csv(spark, g["paths"], g["encoding"], header_row, pandas_na, sep) for g in groups]
-    if not parts:
+def _read_records(spark: SparkSession, path, encoding: str | None, header_row: int, pandas_na: bool, sep: str) -> DataFrame:
+    """Quoted fields that hold line breaks: the CSV source parses records
+    itself (each file is one split then), and the header row is counted in
+    records, as pandas does. A width and charset belong to a read, so files
+    are read in groups of equal header and encoding; the driver sees the
+    listing of their files."""
+    if encoding in (None, "auto"):
+        enc = _whole_encoding(_raw_lines(spark, path).withColumn("_file", F.col("_metadata.file_path")))
+        groups = [(r["encoding"], r["files"]) for r in
+                  enc.groupBy("encoding").agg(F.sort_array(F.collect_list("_file")).alias("files")).collect()]
+    else:
+        groups = [(encoding, path)]
+    out = None
+    for name, files in groups:
+        _ensure_charsets(spark, name)
+        reader = (spark.read.option("header", False).option("encoding", name).option("multiLine", True).option("sep", sep)
+                  .option("recursiveFileLookup", True))
+        # the widest possible header decides the schema: more separators than any line holds
+        lines = _raw_lines(spark, files)
+        width = (lines.agg(F.max(F.size(F.split("line", re.escape(sep))))).first()[0] or 0) + 1
+        recs = with_file_row_number(reader.schema(", ".join(f"c{i} STRING" for i in range(width))).csv(files), "_line")
+        recs = recs.select("_line", "_file", F.struct(*[F.col(f"c{i}") for i in range(width)]).alias("_r"))
+        heads = recs.filter(F.col("_line") == header_row).select("_file", F.col("_r").alias("_head"))
+        for r in heads.select("_head").distinct().collect():
+            fields = list(r["_head"])
+            while fields and fields[-1] is None:
+                fields.pop()
+            names = header_names(sep.join(v or "" for v in fields), sep)
+            rows = (recs.join(heads.filter(F.col("_head").eqNullSafe(F.struct(*[F.lit(v).cast("string").alias(f"c{i}")
+                                                                               for i, v in enumerate(r["_head"])])))
+                              .select("_file"), "_file", "left_semi").filter(F.col("_line") > header_row))
+            part = _finish(rows, names, header_row, pandas_na)
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
         raise FileNotFoundError(f"no report files under {path}")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
     return out
 
 
+def _decodes(name: str):
+    @F.pandas_udf(T.BooleanType())
+    def ok(lines: pd.Series) -> pd.Series:
+        def one(b):
+            try:
+                bytes(b).decode(name)
+                return True
+            except UnicodeDecodeError:
+                return False
+        return lines.map(one)
+    return ok
+
+
+def _whole_encoding(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(_file, encoding): the first of utf-8, cp932 and euc_jp that decodes
+    every line of the file (``lines``: ISO-8859-1 characters), else the
+    default. Only lines that aren't ASCII take part in the trials."""
+    ship_package(lines.sparkSession)
+    raw = F.encode("line", "ISO-8859-1")
+    files = lines.groupBy("_file", *keep).agg(F.bool_and(F.is_valid_utf8(raw.cast("string"))).alias("_utf8"))
+    odd = lines.filter(F.col("line").rlike("[^\\x00-\\x7F]")).withColumn("_b", raw)
+    trials = odd.select("_file", *[_decodes(n)("_b").alias(n) for n in TRIAL_ENCODINGS]).groupBy("_file").agg(
+        *[F.bool_and(n).alias(n) for n in TRIAL_ENCODINGS])
+    name = F.when(F.coalesce("_utf8", F.lit(True)), F.lit("utf-8"))
+    for n in TRIAL_ENCODINGS:
+        name = name.when(F.col(n), F.lit(n))
+    return files.join(trials, "_file", "left").select("_file", *keep, name.otherwise(F.lit(DEFAULT_ENCODING)).alias("encoding"))
+
+
 @F.pandas_udf(T.StringType())
 def _detect_encoding(sample: pd.Series) -> pd.Series:
     def one(b):
-        if b is None or len(b) == 0:
-            return DEFAULT_ENCODING
-        b = bytes(b)
-        lines = b.split(b"\n")
-        cut = b"\n".join(lines[:SAMPLE_LINES]) if len(lines) > SAMPLE_LINES else b
-        if len(b) >= SAMPLE_BYTES and len(lines) <= SAMPLE_LINES:
-            # sample ended inside a line: drop the partial tail line
-            cut = b"\n".join(lines[:-1]) if len(lines) > 1 else b
-        try:
-            cut.decode("utf-8")
-            return "utf-8"
-        except UnicodeDecodeError:
-            pass
-        for enc in TRIAL_ENCODINGS:
+        for enc in ("utf-8", *TRIAL_ENCODINGS):
             try:
-                cut.decode(enc)
-                return enc
+                bytes(b or b"").decode(enc)
+                return enc if b else DEFAULT_ENCODING
             except UnicodeDecodeError:
                 continue
         return DEFAULT_ENCODING
     return sample.map(one)
 
 
-def file_encoding(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(path, length, encoding) per file. Only the first 64 KiB of each
-    file are examined (10 lines, cut at a line break)."""
-    ship_package(spark)
-    r = spark.read.format("binaryFile")
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    files = r.load(path)
-    return files.select("path", "length",
-                        _detect_encoding(F.substring(F.col("content"), 1, SAMPLE_BYTES)).alias("encoding"))
+def file_encoding(spark: SparkSession, path, glob: str | None = None, sample_lines: int | None = SAMPLE_LINES) -> DataFrame:
+    """(path, length, encoding) per file, from its first ``sample_lines``
+    whole lines (the profiler's sample), or from all of them (None), which is
+    what the reader goes by. Files are read line by line, never as one value."""
+    lines = _raw_lines(spark, path, glob)
+    if sample_lines is None:
+        lines = lines.withColumn("_file", F.col("_metadata.file_path"))
+    else:
+        lines = with_file_row_number(lines, "_line").filter(F.col("_line") <= sample_lines)
+    sizes = _raw_lines(spark, path, glob).select(F.col("_metadata.file_path").alias("_file"),
+                                                 F.col("_metadata.file_size").alias("length")).distinct()
+    return _whole_encoding(lines).join(sizes, "_file").select(F.col("_file").alias("path"), "length", "encoding")
 
 
 def encoding_of_bytes(df: DataFrame, content: str = "content") -> DataFrame:
-    """S2 on a column of bytes already in a table."""
+    """S2 on a column of bytes already in a table, by its first SAMPLE_LINES lines."""
     ship_package(df.sparkSession)
-    return df.withColumn("encoding", _detect_encoding(F.substring(F.col(content), 1, SAMPLE_BYTES)))
+    head = F.regexp_extract(F.decode(F.col(content), "ISO-8859-1"), r"\A(?:[^\n]*\n){0," + str(SAMPLE_LINES - 1) + r"}[^\n]*", 0)
+    return df.withColumn("encoding", _detect_encoding(F.encode(head, "ISO-8859-1")))
 
 
 def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:

@@ -157,3 +157,47 @@ def test_class_uniqueness_with_many_classes(spark):
     assert css["i"] == ".solo"
     counts = {r.class_key: r.n_containing for r in sl.class_superset_counts(_elements(spark, html)).collect()}
     assert counts["c1.c2"] == 3 and counts["c1.c2.c3"] == 2
+
+
+def test_selector_lists(spark):
+    html = ("<html><body><input type='checkbox'><input type='radio'><a class='btn' role='button' onclick='x()'>a</a>"
+            "<input type='email'><input></body></html>")
+    el = _elements(spark, html)
+
+    def picks(lists):
+        return sorted((r.kind, r.selector, r.tag, r.type) for r in pe.interactive(el, ("clickable", "input"), lists=lists).collect())
+    tool = picks(pe.page_tool_selectors())
+    assert [x for x in tool if x[0] == "clickable"] == [
+        ("clickable", 0, "a", "a"), ("clickable", 4, "a", "a"), ("clickable", 5, "a", "a"), ("clickable", 6, "a", "a"),
+        ("clickable", 7, "input", "checkbox"), ("clickable", 8, "input", "radio")]
+    assert len([x for x in tool if x[0] == "input"]) == 4
+    analyzer = picks(pe.page_analyzer_selectors())
+    assert [x[1:] for x in analyzer if x[0] == "input"] == [(1, "input", "email")]
+    assert ("clickable", 4, "input", "checkbox") in analyzer and ("clickable", 5, "input", "radio") in analyzer
+    names = [r.name for r in sl.selector_table(el).orderBy("name").collect()]
+    assert names == ["clickable_1", "clickable_2", "clickable_3", "input_1", "input_2", "input_3", "input_4"]
+
+
+def test_summary_keeps_pages_without_elements(spark):
+    pages = spark.createDataFrame([(1, "u1", "<html><body><a>x</a></body></html>"), (2, "u2", ""), (3, "u3", "only text"), (4, "u4", None)],
+                                  "page_id long, url string, html string")
+    rows = pe.page_summary(extract_elements(pages), pages=pages).collect()
+    assert sorted((r.page_id, r.n_links, r.title) for r in rows) == [(1, 1, ""), (2, 0, ""), (3, 0, ""), (4, 0, "")]
+
+
+def test_class_lookup_is_linear_in_elements(spark):
+    """Elements that share all but one class are not paired with each other:
+    each set is looked up by the class that only it holds."""
+    shared = " ".join(f"s{i}" for i in range(12))
+    html = "<html><body>" + "".join(f"<p class='{shared} own{i}'>x</p>" for i in range(400)) + "</body></html>"
+    el = _elements(spark, html)
+    counts = sl.class_superset_counts(el)
+    assert {r.n_containing for r in counts.collect()} == {1} and counts.count() == 400
+    assert sl.css_selector(el).filter((F.col("tag") == "p") & F.col("css").startswith(".")).count() == 400
+
+
+def test_page_changes_of_repeated_urls(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>"), (2, "u", "<p>b</p>")], "page_id long, url string, html string")
+    m = pe.page_metrics(pages, extract_elements(pages))
+    assert "html" not in m.columns
+    assert [(r.url, r.changed) for r in pe.page_changes(m, m).collect()] == [("u", False)]

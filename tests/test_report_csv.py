@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import schema_infer as si
@@ -14,6 +15,14 @@ def _write(path, text, enc):
         f.write(text.encode(enc))
 
 
+def _decodes(data, encoding):
+    try:
+        data.decode(encoding)
+        return True
+    except UnicodeDecodeError:
+        return False
+
+
 def test_header_on_line_two(spark, tmp_dir):
     _write(f"{tmp_dir}/r/a.csv", "dummy1,dummy2,dummy3\nID,Name,Age\n1,Alice,30\n2,Bob,25\n", "utf-8")
     df = rpt.read_report_csv(spark, f"{tmp_dir}/r", "utf-8", header_row=2)
@@ -36,7 +45,9 @@ def test_cp932_and_detection(spark, tmp_dir):
            for r in rpt.file_encoding(spark, tmp_dir + "/*/x.csv").collect()}
     assert enc["c"] == "cp932" and enc["u"] == "utf-8"
     assert "z" not in enc  # zero-byte files are not listed by Spark's file sources
-    assert enc["e"] in ("cp932", "euc_jp")  # trial order: cp932 may accept EUC bytes
+    # the trial decoding of utf-8, cp932, euc_jp in this order, on the whole text
+    trial = next(e for e in ("cp932", "euc_jp") if _decodes(text.encode("euc_jp"), e))
+    assert enc["e"] == trial
     df = rpt.read_report_csv(spark, f"{tmp_dir}/c", "cp932")
     assert df.columns[2:] == ["コード", "商品名", "価格"]
     assert df.filter(F.col("rn") == 2).select("価格").collect()[0][0] is None
@@ -77,3 +88,50 @@ def test_multiline_quoted_fields(spark, tmp_dir):
     df = rpt.read_report_csv(spark, f"{tmp_dir}/ml", "utf-8", header_row=2, multiline=True)
     rows = [(r.rn, r.id, r.note) for r in df.orderBy("rn").collect()]
     assert rows == [(1, "1", "two\nlines"), (2, "2", "plain")]
+
+
+def test_late_bytes_of_another_encoding(spark, tmp_dir):
+    rows = "".join(f"{i},plain\n" for i in range(20)) + "20,商品\n"
+    _write(f"{tmp_dir}/late/a.csv", "id,name\n" + rows, "cp932")
+    got = {r.id: r.name for r in rpt.read_report_csv(spark, f"{tmp_dir}/late", "auto").collect()}
+    assert got["20"] == "商品" and len(got) == 21
+    labels = [r.encoding for r in rpt.file_encoding(spark, f"{tmp_dir}/late").collect()]
+    assert labels == ["utf-8"]  # the sample is ASCII
+    assert [r.encoding for r in rpt.file_encoding(spark, f"{tmp_dir}/late", sample_lines=None).collect()] == ["cp932"]
+
+
+def test_long_first_line_is_not_cut_inside_a_character(spark, tmp_dir):
+    _write(f"{tmp_dir}/long/a.csv", "あ" * 30000 + ",b\n1,2\n", "utf-8")
+    assert [r.encoding for r in rpt.file_encoding(spark, f"{tmp_dir}/long").collect()] == ["utf-8"]
+
+
+def test_every_file_by_its_own_header(spark, tmp_dir):
+    _write(f"{tmp_dir}/h/1.csv", "a,b\n1,2\n", "utf-8")
+    _write(f"{tmp_dir}/h/2.csv", "b,a,c\n3,4,5\n", "utf-8")
+    for multiline in (False, True):
+        df = rpt.read_report_csv(spark, f"{tmp_dir}/h", "utf-8", multiline=multiline)
+        assert sorted((r.a, r.b, r.c) for r in df.collect()) == [("1", "2", None), ("4", "3", "5")]
+
+
+def test_repeated_names_and_extra_fields(spark, tmp_dir):
+    _write(f"{tmp_dir}/r/1.csv", "a,a,\n1,2,3\n", "utf-8")
+    df = rpt.read_report_csv(spark, f"{tmp_dir}/r", "utf-8")
+    assert df.columns[2:] == ["a", "a.1", "Unnamed: 2"]
+    assert [tuple(r)[2:] for r in df.collect()] == [("1", "2", "3")]
+    _write(f"{tmp_dir}/x/1.csv", "a,b\n1,2,3\n", "utf-8")
+    with pytest.raises(Exception, match="expected 2 fields"):
+        rpt.read_report_csv(spark, f"{tmp_dir}/x", "utf-8").collect()
+
+
+def test_multiline_through_auto(spark, tmp_dir):
+    _write(f"{tmp_dir}/ma/a.csv", '名,note\n一,"two\nlines"\n', "cp932")
+    _write(f"{tmp_dir}/ma/b.csv", '名,note\n二,plain\n', "utf-8")
+    df = rpt.read_report_csv(spark, f"{tmp_dir}/ma", "auto", multiline=True)
+    assert sorted((r["名"], r.note) for r in df.collect()) == [("一", "two\nlines"), ("二", "plain")]
+
+
+def test_new_files_by_path(spark, tmp_dir):
+    _write(f"{tmp_dir}/n/a/report.csv", "x\n1\n", "utf-8")
+    before = rpt.list_files(spark, f"{tmp_dir}/n")
+    _write(f"{tmp_dir}/n/b/report.csv", "x\n2\n", "utf-8")
+    assert [r.dir.rsplit("/", 1)[1] for r in rpt.new_files(before, rpt.list_files(spark, f"{tmp_dir}/n")).collect()] == ["b"]
