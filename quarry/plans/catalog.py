@@ -419,6 +419,13 @@ def q_text_search(spark, sf_dir):
         "page_id", "tag", "own_text")
 
 
+@query("text_search_ancestor")
+def q_text_search_ancestor(spark, sf_dir):
+    """H15 where no allowed tag holds the text itself: the nearest allowed ancestor."""
+    return pe.text_search_best(_rt_elements(spark, sf_dir, shared=True), "invalid balance", tags=["main", "body"]).select(
+        "page_id", "stage", "tag")
+
+
 @query("text_search_best")
 def q_text_search_best(spark, sf_dir):
     return pe.text_search_best(_rt_elements(spark, sf_dir, shared=True), "Save", tags=["button", "form", "main"]).select(

@@ -700,6 +700,10 @@ x AS (
   UNION ALL SELECT page_id, 'div', unnest(regexp_extract_all(h, '<div[^>]*>([^<]*)</div>', 1)) FROM p)
 SELECT page_id, tag, {_unescape('t')} AS own_text FROM x WHERE contains(lower({_unescape('t')}), 'th')""")
 
+register("text_search_ancestor", f"""
+WITH {CUSTOMER_PAGE}
+SELECT page_id, 2 AS stage, 'main' AS tag FROM c WHERE neg""")
+
 register("text_search_best", f"""
 WITH {CUSTOMER_PAGE}
 SELECT page_id, 1 AS stage, 'button' AS tag, 'Save' AS own_text FROM c""")

@@ -47,21 +47,33 @@ def write_schema_document(schema: DataFrame, cells: DataFrame, path: str) -> str
     return path
 
 
-def selector_csv_frame(selectors: DataFrame, data_keys: list[str] | None = None) -> DataFrame:
-    """The CSV layout as a DataFrame of strings. ``data_keys`` (sorted
-    union of data-attribute keys) is looked up from the data when not
-    given; it is the column list of the file, bounded by the number of
-    distinct attribute names."""
+#: data attributes that become columns of their own
+MAX_DATA_COLUMNS = 500
+
+
+def selector_csv_frame(selectors: DataFrame, data_keys: list[str] | None = None,
+                       max_columns: int = MAX_DATA_COLUMNS) -> DataFrame:
+    """The CSV layout as a DataFrame of strings. ``data_keys`` (the
+    data-attribute keys that become columns, sorted) is looked up from the
+    data when not given. A file has at most ``max_columns`` of them, the first
+    by name; if there are more, the rest of an element's attributes stay
+    together as JSON in a column ``data_other``."""
+    more = False
     if data_keys is None:
-        data_keys = sorted(r[0] for r in selectors.select(F.explode(F.map_keys("data"))).distinct().collect())
+        keys = selectors.select(F.explode(F.map_keys("data")).alias("k")).distinct().orderBy("k")
+        data_keys = sorted(r["k"] for r in keys.limit(max_columns + 1).collect())
+        more, data_keys = len(data_keys) > max_columns, data_keys[:max_columns]
 
     def clean(c):
-        return F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "[\r\n]+", " ")
+        return F.regexp_replace(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")), "[\r\n]+", " ")
 
     fixed = [clean(c).alias(c) if c not in ("xpath", "full_xpath")
              else F.replace(clean(c), F.lit('\\"'), F.lit('"')).alias(c) for c in SELECTOR_CSV_COLUMNS]
     extra = [F.regexp_replace(F.coalesce(F.element_at(F.col("data"), F.lit(k)), F.lit("")), "[\r\n]+", " ").alias(k)
              for k in data_keys if k not in SELECTOR_CSV_COLUMNS]
+    if more:
+        rest = F.map_filter("data", lambda k, _: ~F.array_contains(F.lit(data_keys), k))
+        extra.append(F.when(F.size(rest) > 0, clean(F.to_json(rest))).otherwise(F.lit("")).alias("data_other"))
     return selectors.select(*fixed, *extra)
 
 

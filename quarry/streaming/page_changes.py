@@ -32,20 +32,26 @@ STATE_SCHEMA = "hash string, n_elements long, text_len long, snapshot long"
 
 
 def _track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Compare a url's snapshots in their order. A trigger's rows of one url
+    (a hash and three numbers each) are put in order over all Arrow batches; a
+    snapshot not later than the stored one came too late or twice and is
+    passed over."""
     (url,) = key
     prev = state.get if state.exists else None
     rows = []
-    for pdf in batches:
-        for r in pdf.sort_values("snapshot").itertuples(index=False):
-            if prev is None:
-                rows.append((url, int(r.snapshot), False, 0, 0, True, True))
-            else:
-                src = r.hash != prev[0]
-                de = int(r.n_elements) - int(prev[1])
-                dt = int(r.text_len) - int(prev[2])
-                changed = bool(src or abs(de) > ELEMENT_DELTA or abs(dt) > TEXT_DELTA)
-                rows.append((url, int(r.snapshot), bool(src), de, dt, changed, False))
-            prev = (r.hash, int(r.n_elements), int(r.text_len), int(r.snapshot))
+    arrived = pd.concat(list(batches)).sort_values("snapshot", kind="stable")
+    for r in arrived.itertuples(index=False):
+        if prev is not None and int(r.snapshot) <= prev[3]:
+            continue
+        if prev is None:
+            rows.append((url, int(r.snapshot), False, 0, 0, True, True))
+        else:
+            src = r.hash != prev[0]
+            de = int(r.n_elements) - int(prev[1])
+            dt = int(r.text_len) - int(prev[2])
+            changed = bool(src or abs(de) > ELEMENT_DELTA or abs(dt) > TEXT_DELTA)
+            rows.append((url, int(r.snapshot), bool(src), de, dt, changed, False))
+        prev = (r.hash, int(r.n_elements), int(r.text_len), int(r.snapshot))
     if prev is not None:
         state.update(prev)
     cols = ["url", "snapshot", "source_changed", "d_elements", "d_text", "changed", "first_seen"]

@@ -75,3 +75,36 @@ def test_snapshot_rerun_is_idempotent(spark, tmp_dir):
     rpt.write_snapshot(spark.createDataFrame([(2,)], "a int"), root, "s2")
     rpt.write_snapshot(spark.createDataFrame([(2,)], "a int"), root, "s2")  # re-run of a landing
     assert sorted((r.snapshot_ts, r.a) for r in spark.read.parquet(root).collect()) == [("s1", 1), ("s2", 2)]
+
+
+def test_many_data_attributes_stay_in_one_column(spark):
+    rows = [("g", f"n{i}", {f"k{i}": str(i), f"m{i}": "x\ny"}) for i in range(4)]
+    df = spark.createDataFrame(rows, "group string, name string, data map<string,string>")
+    for c in sk.SELECTOR_CSV_COLUMNS[2:]:
+        df = df.withColumn(c, F.lit(""))
+    out = sk.selector_csv_frame(df, max_columns=3)
+    assert out.columns[len(sk.SELECTOR_CSV_COLUMNS):] == ["k0", "k1", "k2", "data_other"]
+    got = {r.name: (r.k0, r.k1, r.k2, json.loads(r.data_other)) for r in out.collect()}
+    assert got["n1"] == ("", "1", "", {"m1": "x\ny"}) and got["n3"] == ("", "", "", {"k3": "3", "m3": "x\ny"})
+    assert sk.selector_csv_frame(df).columns[-1] == "m3"
+
+
+def test_page_change_order_over_batches():
+    """Rows of one url that arrive in several Arrow batches, out of order, with a late old snapshot."""
+    import pandas as pd
+
+    from quarry.streaming.page_changes import _track
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    def batch(*rows):
+        return pd.DataFrame(rows, columns=["snapshot", "hash", "n_elements", "text_len"])
+    state = State()
+    out = pd.concat(_track(("u",), iter([batch((3, "c", 1, 1)), batch((1, "a", 1, 1), (2, "a", 1, 1))]), state))
+    assert out[["snapshot", "changed", "first_seen"]].values.tolist() == [[1, True, True], [2, False, False], [3, True, False]]
+    late = pd.concat(_track(("u",), iter([batch((2, "z", 9, 9), (4, "c", 1, 1))]), state))
+    assert late[["snapshot", "changed"]].values.tolist() == [[4, False]] and state.get[3] == 4

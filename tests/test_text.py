@@ -88,3 +88,18 @@ def test_sensitive_scan_many_matches_and_marker_characters(spark):
     got = [(r.line, r.match) for r in sc.sensitive_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()]
     assert sorted(n for n, _ in got) == list(range(1, 501))
     assert all(f"value{n - 1}'" in m for n, m in got)
+
+
+def test_plan_of_the_schema_table(spark, tmp_dir):
+    """No job runs while the plan is built, and the executed plan reads the table twice."""
+    from quarry.operators import schema_infer as si
+    spark.createDataFrame([(i, str(i % 7), "x" if i % 3 else "2024-01-01") for i in range(500)], "rn long, a string, b string") \
+        .write.parquet(f"{tmp_dir}/t")
+    df = spark.read.parquet(f"{tmp_dir}/t")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan-build", "schema table")
+    table = si.schema_table(df)
+    assert list(tracker.getJobIdsForGroup("plan-build")) == []
+    table.collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert table._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Scan parquet") <= 2
