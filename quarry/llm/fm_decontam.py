@@ -269,3 +269,26 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
            .select(F.col("doc_id").alias("_bad"), F.col("th").alias("_th")).distinct())
     return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"])
                      & (F.xxhash64(docs["text"].cast("string")) == bad["_th"]), "left_anti")
+
+
+def oracle(documents: str = "documents", benchmark: str = "benchmark", window: int = WINDOW) -> str:
+    """DuckDB SQL for ``doc_id, n_words, n_hit, n_items, items_sha256,
+    contaminated``, for tables whose doc_id is unique."""
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = f"regexp_extract_all({low}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+with d as (select doc_id, {words} as w from {documents}),
+i as (select coalesce(cast(item_id as varchar), 'null') as item, {words} as w from {benchmark}),
+g as (select distinct item, list_slice(w, p, p + {window - 1}) as win
+      from (select item, w, unnest(range(1, greatest(1, len(w) - {window - 1}) + 1)) as p from i where len(w) > 0)),
+n as (select distinct len(win) as n from g),
+a as (select doc_id, n, p, list_slice(w, p, p + n - 1) as win
+      from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p from d, n where len(w) >= n)),
+h as (select a.doc_id, a.n, a.p, g.item from a join g on a.win = g.win),
+c as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + n)) as q from h) group by doc_id),
+x as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+      from (select distinct doc_id, item from h) group by doc_id)
+select d.doc_id as doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+       cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(items, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated
+from d left join c on d.doc_id = c.doc_id left join x on d.doc_id = x.doc_id"""

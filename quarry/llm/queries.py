@@ -83,14 +83,14 @@ def op4(spark, sf_dir):
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-@query("op3_fm_decontam")
+@query("op3_fm_decontam", fm_decontam.oracle())
 def op3(spark, sf_dir):
     out = fm_decontam.find_contamination(documents(spark, sf_dir), load_table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
-@query("op1_suffix_dedup")
+@query("op1_suffix_dedup", suffix_dedup.oracle())
 def op1(spark, sf_dir):
     out = suffix_dedup.find_repeats(documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

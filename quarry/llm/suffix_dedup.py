@@ -445,3 +445,22 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, most_chu
             .select("ids", "texts", "layout", "replies", "marks")
             .mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, "
                              "spans array<struct<first:long,end:long>>, kept binary"))
+
+
+def oracle(table: str = "documents", window: int = WINDOW) -> str:
+    """DuckDB SQL for ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, for
+    tables whose doc_id is unique: every window of every text, as hex digits."""
+    return f"""
+with t as (select doc_id, hex(encode(coalesce(text, ''))) as x from {table}),
+b as (select doc_id, p, substr(x, 2 * p - 1, 2) as byte,
+             case when p + {window - 1} <= len(x) // 2 then hash(substr(x, 2 * p - 1, {2 * window})) end as w
+      from (select doc_id, x, unnest(range(1, len(x) // 2 + 1)) as p from t)),
+f as (select *, w is not null and row_number() over (partition by w order by doc_id, p) > 1 as later from b),
+m as (select doc_id, p, byte, coalesce(max(case when later then p end) over (partition by doc_id order by p)
+                                       > p - {window}, false) as gone from f),
+s as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by p), false) as starts from m),
+k as (select doc_id, count(*) as n, count(*) filter (where gone) as r, count(*) filter (where starts) as q,
+             string_agg(byte, '' order by p) filter (where not gone) as kept from s group by doc_id)
+select t.doc_id as doc_id, cast(coalesce(n, 0) as bigint) as n_bytes, cast(coalesce(r, 0) as bigint) as n_removed,
+       cast(coalesce(q, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256
+from t left join k on t.doc_id = k.doc_id"""
