@@ -26,7 +26,7 @@ from quarry.session import load_table, materialize
 from quarry.sources import reports as rpt
 from quarry.sources import sinks as sk
 from quarry.sources.pages import extract_elements
-from quarry.sources.results_json import parse_result_documents
+from quarry.sources.results_json import parse_result_documents, read_result_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -169,6 +169,15 @@ def q_results_load(spark, sf_dir):
     return _results(spark, sf_dir)
 
 
+@query("results_files")
+def q_results_files(spark, sf_dir):
+    """S4 over landed files: some folders are reports of earlier runs and are skipped."""
+    path = fx.write_result_files(spark, load_table(spark, sf_dir, "events"))
+    files = read_result_files(spark, path, glob="part-*")
+    return files.select(F.regexp_extract("path", r"run_(\d+)/", 1).cast("long").alias("run"),
+                        F.size(F.split(F.regexp_replace("content", "\n\\z", ""), "\n")).cast("long").alias("n_lines"))
+
+
 @query("result_status")
 def q_result_status(spark, sf_dir):
     docs = result_documents(load_table(spark, sf_dir, "events"))

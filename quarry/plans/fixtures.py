@@ -72,6 +72,18 @@ def result_documents(events: DataFrame) -> DataFrame:
         F.when(F.pmod(F.col("event_id"), F.lit(2)) == 0, nested).otherwise(flat).alias("content"))
 
 
+def write_result_files(spark, events: DataFrame) -> str:
+    """Land the result documents of ``events`` as text files of many documents:
+    folders ``run_k``, and ``report_k`` (every fifth event) of earlier runs."""
+    path = scratch_dir(spark, "result-files")
+    k = F.col("file_order")
+    folder = F.concat(F.when(k % 5 == 0, F.lit("report_")).otherwise(F.lit("run_")), (k % 40).cast("string"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (result_documents(events).select(folder.alias("folder"), "content").repartition(n, "folder")
+     .write.partitionBy("folder").text(path))
+    return path
+
+
 def report_runs(events: DataFrame) -> DataFrame:
     """Report download runs derived from ``events``: type by event type
     (``conversion_attribute`` is the alias spelling), success unless the

@@ -47,7 +47,9 @@ _ARROW = pa.schema([
     ("nth_child", pa.int32()), ("n_child", pa.int32()), ("nth_tag", pa.int32()), ("n_same", pa.int32()),
     ("anc", pa.list_(_ANC_ARROW)), ("visible", pa.bool_()),
 ])
-FLUSH_PAGES = 256
+# a batch is sent on when its rows hold about so many bytes
+FLUSH_BYTES = 8 << 20
+ROW_BYTES, ANCESTOR_BYTES = 200, 150
 _ANC_FIELDS = ("tag", "id", "class", "nth_tag", "n_same", "nth_child", "n_child", "role", "name")
 
 
@@ -61,21 +63,22 @@ def _to_batch(cols: list[list]) -> pa.RecordBatch:
 def _extract(batches):
     width = len(_ARROW)
     cols: list[list] = [[] for _ in range(width)]
-    pending = 0
+    held = 0
     for rb in batches:
-        d = rb.to_pydict()
-        for pid, url, html in zip(d["page_id"], d["url"], d["html"]):
+        pid_col, url_col, html_col = (rb.column(c) for c in ("page_id", "url", "html"))
+        for i in range(rb.num_rows):  # one page's Python objects at a time
+            pid, url, html = pid_col[i].as_py(), url_col[i].as_py(), html_col[i].as_py()
             for r in parse_elements(html):
                 (idx, par, depth, tag, eid, cls, attrs, own, text, nc, ncs, nt, ns, anc, vis) = r
                 row = (pid, url, idx, par, depth, tag, eid, cls, list(attrs.items()), own, text,
                        nc, ncs, nt, ns, [dict(zip(_ANC_FIELDS, a[:9]), data=list(a[9].items())) for a in anc], vis)
                 for c, v in zip(cols, row):
                     c.append(v)
-            pending += 1
-            if pending >= FLUSH_PAGES:
-                yield _to_batch(cols)
-                cols = [[] for _ in range(width)]
-                pending = 0
+                held += ROW_BYTES + ANCESTOR_BYTES * len(anc) + len(own or "") + len(text or "")
+                if held >= FLUSH_BYTES:
+                    yield _to_batch(cols)
+                    cols = [[] for _ in range(width)]
+                    held = 0
     if cols[0]:
         yield _to_batch(cols)
 

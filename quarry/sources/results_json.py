@@ -29,8 +29,8 @@ FLAT_META_KEYS = ("test_timestamp", "category")
 def read_result_files(spark: SparkSession, root: str, glob: str = RESULT_GLOB) -> DataFrame:
     """(path, file_order, content) for every result file under ``root``;
     files inside ``report_*`` folders are skipped."""
-    df = (spark.read.option("wholetext", True).option("pathGlobFilter", glob)
-          .option("recursiveFileLookup", True).text(root))
+    df = (spark.read.option("pathGlobFilter", glob)
+          .option("recursiveFileLookup", True).text(root, wholetext=True))
     return (
         df.select(F.col("_metadata.file_path").alias("path"),
                   F.col("_metadata.file_modification_time").alias("file_order"),

@@ -62,3 +62,18 @@ def test_category_rollup_and_detail(spark):
     assert roll["CSV"] == (1, 2) and roll["Flat"] == (1, 1) and roll["その他"] == (2, 4)
     detail = [(r.category, r.test_key) for r in rs.category_detail(res).collect()]
     assert ("CSV", "a::test_one") in detail and all(c != "CSV" or k != "a::test_two" for c, k in detail)
+
+
+def test_result_files_of_several_lines(spark, tmp_dir):
+    """A file is one document, however many lines it has; files in report folders are skipped."""
+    import json
+    import os
+
+    from quarry.sources.results_json import parse_result_documents, read_result_files
+    for folder, name in (("a", "t1"), ("report_1", "t2")):
+        os.makedirs(f"{tmp_dir}/{folder}")
+        with open(f"{tmp_dir}/{folder}/test_x_results.json", "w") as f:
+            json.dump({"test_file": "tests/test_file/x/test_x.py", "results": {name: {"passed": True}}}, f, indent=2)
+    files = read_result_files(spark, tmp_dir)
+    assert files.count() == 1
+    assert [r.test_key for r in parse_result_documents(files).collect()] == ["t1"]
