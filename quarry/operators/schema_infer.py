@@ -144,6 +144,13 @@ def sample_values(df: DataFrame, stats: DataFrame, rn: str = "rn",
     return hit.groupBy("col_pos").agg(F.min("value").alias("sample_value"))
 
 
+def column_types(df: DataFrame, rn: str = "rn", columns: Sequence[str] | None = None) -> DataFrame:
+    """One row per column from the vote pass alone: type, counts and
+    consistency (no sample values, so no second pass)."""
+    n_cols = len(list(columns) if columns is not None else profiled_columns(df, rn))
+    return column_stats(type_votes(df, rn, columns), column_list(df, rn, columns), n_cols).drop("sample_rn")
+
+
 def profile_columns(df: DataFrame, rn: str = "rn", columns: Sequence[str] | None = None) -> DataFrame:
     n_cols = len(list(columns) if columns is not None else profiled_columns(df, rn))
     stats = column_stats(type_votes(df, rn, columns), column_list(df, rn, columns), n_cols)
@@ -155,7 +162,7 @@ def profile_columns(df: DataFrame, rn: str = "rn", columns: Sequence[str] | None
 
 def dominant_type(df: DataFrame, rn: str = "rn") -> DataFrame:
     """(column_name, data_type)."""
-    return profile_columns(df, rn).select("col_pos", "column_name", "data_type")
+    return column_types(df, rn).select("col_pos", "column_name", "data_type")
 
 
 def sample_value(df: DataFrame, rn: str = "rn") -> DataFrame:
@@ -165,7 +172,7 @@ def sample_value(df: DataFrame, rn: str = "rn") -> DataFrame:
 
 def consistency(df: DataFrame, rn: str = "rn") -> DataFrame:
     """T5: consistency rate and inconsistent count per column."""
-    return profile_columns(df, rn).select(
+    return column_types(df, rn).select(
         "col_pos", "column_name", "data_type", "consistency_rate", "inconsistent_count")
 
 
@@ -184,7 +191,7 @@ def inconsistent_cells(df: DataFrame, rn: str = "rn", stats: DataFrame | None =
     """
     if salt_buckets is None:
         salt_buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    stats = stats if stats is not None else profile_columns(df, rn)
+    stats = stats if stats is not None else column_types(df, rn)
     dom = per_column(stats.select("col_pos", F.col("data_type").alias("dominant_type")),
                      len(profiled_columns(df, rn)))
     bad = (
@@ -251,7 +258,7 @@ def low_consistency(schema: DataFrame, threshold: float = LOW_CONSISTENCY) -> Da
 
 
 def type_census(schema: DataFrame) -> DataFrame:
-    """Number of columns per inferred type."""
+    """Number of columns per inferred type, of a schema table or of ``column_types``."""
     return schema.groupBy("DATA_TYPE").agg(F.count(F.lit(1)).alias("n_columns"))
 
 
@@ -259,7 +266,7 @@ def table_profile(df: DataFrame, rn: str = "rn", threshold: float = LOW_CONSISTE
     """Header count, record count and number of low-consistency columns
     as a single row."""
     n_headers = len(profiled_columns(df, rn))
-    stats = profile_columns(df, rn)
+    stats = column_types(df, rn)
     return stats.agg(
         F.lit(n_headers).cast("long").alias("header_count"),
         F.coalesce(F.max("n_cells"), F.lit(0)).cast("long").alias("record_count"),

@@ -107,7 +107,8 @@ def _lineitem_key():
 
 @query("type_census")
 def q_type_census(spark, sf_dir):
-    return si.type_census(si.schema_table(report(spark, sf_dir, "lineitem", _lineitem_key())))
+    return si.type_census(si.column_types(report(spark, sf_dir, "lineitem", _lineitem_key()))).withColumnRenamed(
+        "data_type", "DATA_TYPE")
 
 
 @query("table_profile")
