@@ -444,8 +444,7 @@ def q_text_search_best(spark, sf_dir):
 
 @query("css_selector")
 def q_css_selector(spark, sf_dir):
-    return (sl.css_selector(_rt_elements(spark, sf_dir, shared=True)).filter(F.col("tag").isin("a", "button", "input", "img"))
-            .select("page_id", "tag", "css"))
+    return sl.css_selector(_rt_elements(spark, sf_dir, shared=True)).select("page_id", "tag", "css")
 
 
 @query("xpath")

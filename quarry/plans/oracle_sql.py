@@ -711,18 +711,33 @@ register("text_search_best", f"""
 WITH {CUSTOMER_PAGE}
 SELECT page_id, 1 AS stage, 'button' AS tag, 'Save' AS own_text FROM c""")
 
+# every element of the rendered page: id, else a class set that no other element holds, else
+# up to four levels that stop at an ancestor's id
 register("css_selector", f"""
-WITH {CUSTOMER_PAGE}, f AS (SELECT *, CASE WHEN even THEN '#f' || k ELSE 'body > main > form' END AS fp FROM c)
-SELECT page_id, 'a' AS tag, '.btn.nav-link' AS css FROM f
-UNION ALL SELECT page_id, 'a', '#sidebar > a' FROM f
-UNION ALL SELECT page_id, 'a', 'html > body > main > a' FROM f
-UNION ALL SELECT page_id, 'a', 'html > body > main > a:nth-child(2)' FROM f
-UNION ALL SELECT page_id, 'button', '#submit' || k FROM f
-UNION ALL SELECT page_id, 'input', '#name' || k FROM f
-UNION ALL SELECT page_id, 'input', fp || ' > input:nth-child(2)' FROM f
-UNION ALL SELECT page_id, 'input', fp || ' > input:nth-child(3)' FROM f
-UNION ALL SELECT page_id, 'input', fp || ' > input:nth-child(4)' FROM f
-UNION ALL SELECT page_id, 'img', 'html > body > main > img' FROM f""")
+WITH {CUSTOMER_PAGE},
+f AS (SELECT *, CASE WHEN even THEN '#f' || k ELSE 'body > main > form' END AS fp,
+             CASE WHEN even THEN '#f' || k ELSE 'main > form' END AS fq,
+             CASE WHEN by3 THEN '#t' || k ELSE 'body > main > table' END AS tp,
+             CASE WHEN by3 THEN '#t' || k ELSE 'main > table' END AS tq FROM c),
+e AS (SELECT page_id, unnest([
+  ['html', 'html'], ['head', 'html > head'], ['meta', 'html > head > meta'], ['title', 'html > head > title'],
+  ['meta', 'html > head > meta:nth-child(2)'], ['meta', 'html > head > meta:nth-child(3)'],
+  ['meta', 'html > head > meta:nth-child(4)'], ['body', 'html > body'], ['header', '.navbar.top'], ['a', '.btn.nav-link'],
+  ['div', '#sidebar'], ['a', '#sidebar > a'], ['main', '.content'], ['h2', 'html > body > main > h2'],
+  ['form', CASE WHEN even THEN '#f' || k ELSE 'html > body > main > form' END], ['input', '#name' || k],
+  ['input', fp || ' > input:nth-child(2)'], ['input', fp || ' > input:nth-child(3)'], ['select', fp || ' > select'],
+  ['option', fq || ' > select > option'], ['option', fq || ' > select > option:nth-child(2)'],
+  ['option', fq || ' > select > option:nth-child(3)'], ['textarea', fp || ' > textarea'], ['button', '#submit' || k],
+  ['input', fp || ' > input:nth-child(4)'], ['table', CASE WHEN by3 THEN '#t' || k ELSE 'html > body > main > table' END],
+  ['tr', tp || ' > tr'], ['th', tq || ' > tr > th'], ['th', tq || ' > tr > th:nth-child(2)'], ['tr', tp || ' > tr:nth-child(2)'],
+  ['td', tq || ' > tr:nth-child(2) > td'], ['td', tq || ' > tr:nth-child(2) > td:nth-child(2)'],
+  ['table', 'html > body > main > table:nth-child(2)'], ['tr', 'body > main > table:nth-child(2) > tr'],
+  ['td', 'main > table:nth-child(2) > tr > td'], ['td', 'main > table:nth-child(2) > tr > td:nth-child(2)'],
+  ['td', 'main > table:nth-child(2) > tr > td:nth-child(3)'], ['tr', 'body > main > table:nth-child(2) > tr:nth-child(2)'],
+  ['td', 'main > table:nth-child(2) > tr:nth-child(2) > td'], ['img', 'html > body > main > img'],
+  ['a', 'html > body > main > a'], ['a', 'html > body > main > a:nth-child(2)']]) AS e FROM f
+  UNION ALL SELECT page_id, unnest([['div', '.alert.alert-danger'], ['p', '.error-message']]) FROM f WHERE neg)
+SELECT page_id, e[1] AS tag, e[2] AS css FROM e""")
 
 NAV_LINKS = f"""
 p AS (SELECT page_id, {CLEAN_HTML} AS h FROM pages),
