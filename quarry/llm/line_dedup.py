@@ -10,8 +10,9 @@ all others go, so a text copied to many sites keeps one whole copy.
 Everything is DataFrame expressions. What crosses an exchange is 16-byte line
 hashes, sketches and positions; whole texts move only where removed
 positions meet their document. Hot lines are combined map-side by the
-aggregate, and joins back to occurrences are plain sort-merge joins whose
-skewed partitions adaptive execution splits.
+aggregate; the spreads near or over the threshold and the boilerplate lines are
+written once, so joins back to occurrences are plain sort-merge joins of two
+exchanges, whose skewed partitions adaptive execution splits.
 
 Defined cases: a null text has no lines and stays null; blank lines (only
 white space) are never boilerplate; a null source counts as one site of its
@@ -26,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import stage
+
 MIN_SITES = 10
 LG_K = 12
 #: estimates within this share of the threshold are counted exactly; at
@@ -50,17 +53,17 @@ def line_occurrences(docs: DataFrame) -> DataFrame:
 
 def boilerplate_lines(occ: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN) -> DataFrame:
     """Hashes of lines on at least ``min_sites`` sites, with their first occurrence."""
-    spread = (occ.groupBy("h1", "h2")
-              .agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"),
-                   F.min(F.struct("doc_id", "th", "pos")).alias("first"))
-              .select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("estimate"))
-              .where(F.col("estimate") >= min_sites * (1 - margin)))
+    spread = stage(occ.groupBy("h1", "h2")
+                   .agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"),
+                        F.min(F.struct("doc_id", "th", "pos")).alias("first"))
+                   .select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("estimate"))
+                   .where(F.col("estimate") >= min_sites * (1 - margin)), "spread")
     sure = F.col("estimate") > min_sites * (1 + margin)
     near = spread.where(~sure).select("h1", "h2")
     exact = (occ.select("h1", "h2", "site").join(near, ["h1", "h2"], "left_semi")
              .distinct().groupBy("h1", "h2").agg(F.count("*").alias("sites")))
-    return (spread.join(exact, ["h1", "h2"], "left")
-            .where(sure | (F.col("sites") >= min_sites)).select("h1", "h2", "first"))
+    return stage(spread.join(exact, ["h1", "h2"], "left")
+                 .where(sure | (F.col("sites") >= min_sites)).select("h1", "h2", "first"), "boilerplate")
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN) -> DataFrame:
