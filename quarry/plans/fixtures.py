@@ -307,7 +307,7 @@ def uneven_report(events: DataFrame) -> DataFrame:
                          half.alias("half"))
 
 
-MIXED_FILE_ROWS = 512
+MIXED_FILE_ROWS = 36
 
 
 def write_mixed_reports(spark, customer: DataFrame) -> str:

@@ -838,10 +838,10 @@ register("registry_csv", ORACLE["registry_load"])
 register("schema_document", ORACLE["schema_table"])
 
 register("read_report_auto", """
-SELECT row_number() OVER (PARTITION BY c_custkey // 512 ORDER BY c_custkey) AS rn, CAST(c_custkey // 512 AS BIGINT) AS part,
+SELECT row_number() OVER (PARTITION BY c_custkey // 36 ORDER BY c_custkey) AS rn, CAST(c_custkey // 36 AS BIGINT) AS part,
        CAST(c_custkey AS VARCHAR) AS "番号",
-       CASE WHEN c_custkey % 512 >= 20 THEN '顧客' || c_custkey ELSE c_name END AS "氏名", c_mktsegment AS seg,
-       CASE WHEN c_custkey // 1024 % 2 = 1 THEN 'K' || c_nationkey END AS "区分"
+       CASE WHEN c_custkey % 36 >= 20 THEN '顧客' || c_custkey ELSE c_name END AS "氏名", c_mktsegment AS seg,
+       CASE WHEN c_custkey // 72 % 2 = 1 THEN 'K' || c_nationkey END AS "区分"
 FROM customer""")
 
 register("report_schema_table", schema_table_sql("orders_report", "o_orderkey"))
