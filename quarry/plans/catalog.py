@@ -447,41 +447,74 @@ def q_css_selector(spark, sf_dir):
     return sl.css_selector(_rt_elements(spark, sf_dir, shared=True)).select("page_id", "tag", "css")
 
 
+# The SQL of the next queries lists some tags only. Each has a query ``*_all``
+# beside it that returns every element, and the query with the SQL's tags reads that.
+
+
+@query("xpath_all")
+def q_xpath_all(spark, sf_dir):
+    return sl.add_xpaths(_elements(spark, sf_dir)).select("page_id", "idx", "tag", "xpath", "xpath_soup", "full_xpath")
+
+
 @query("xpath")
 def q_xpath(spark, sf_dir):
-    return (sl.add_xpaths(_elements(spark, sf_dir)).filter(F.col("tag") == "a")
-            .select("page_id", "tag", "xpath", "xpath_soup", "full_xpath"))
+    return q_xpath_all(spark, sf_dir).filter(F.col("tag") == "a").drop("idx")
+
+
+def _element_selectors(spark, sf_dir):
+    return sl.element_selectors(sl.add_xpaths(sl.css_selector(_rt_elements(spark, sf_dir, shared=True))))
+
+
+@query("element_selectors_all")
+def q_element_selectors_all(spark, sf_dir):
+    return _element_selectors(spark, sf_dir).withColumn("reliable_selectors", F.to_json("reliable_selectors"))
 
 
 @query("element_selectors")
 def q_element_selectors(spark, sf_dir):
-    el = sl.add_xpaths(sl.css_selector(_rt_elements(spark, sf_dir, shared=True)))
-    return sl.element_selectors(el).filter(F.col("tag").isin("a", "button", "input")).select(
+    return _element_selectors(spark, sf_dir).filter(F.col("tag").isin("a", "button", "input")).select(
         "page_id", "tag", "css_simple", "css", "xpath", "full_xpath",
         F.size("reliable_selectors").alias("n_reliable"))
 
 
-@query("reliable_selectors")
-def q_reliable_selectors(spark, sf_dir):
-    el = _rt_elements(spark, sf_dir)
+@query("reliable_selectors_all")
+def q_reliable_selectors_all(spark, sf_dir):
     rel = sl.reliable_selectors(F.col("tag"), F.col("text"), F.col("id"), F.col("class"),
                                 F.map_filter(F.col("attrs"), lambda k, v: k.startswith("data-")))
-    return el.filter(F.col("tag") == "a").select(
-        "page_id", F.posexplode(rel).alias("pos", "sel")).select("page_id", "pos", "sel.type", "sel.value")
+    return _rt_elements(spark, sf_dir).select("page_id", "idx", "tag", F.posexplode(rel).alias("pos", "sel")).select(
+        "page_id", "idx", "tag", "pos", "sel.type", "sel.value")
+
+
+@query("reliable_selectors")
+def q_reliable_selectors(spark, sf_dir):
+    return q_reliable_selectors_all(spark, sf_dir).filter(F.col("tag") == "a").drop("idx", "tag")
+
+
+def _best_selector(el):
+    return sl.best_selector(el).select("page_id", "idx", "best.kind", "best.type", "best.value", "selector_list")
+
+
+@query("best_selector_all")
+def q_best_selector_all(spark, sf_dir):
+    el = sl.add_xpaths(sl.css_selector(_rt_elements(spark, sf_dir, shared=True)))
+    return _best_selector(el).withColumn("selector_list", F.to_json("selector_list"))
 
 
 @query("best_selector")
 def q_best_selector(spark, sf_dir):
     el = sl.add_xpaths(sl.css_selector(_rt_elements(spark, sf_dir, shared=True))).filter(F.col("tag").isin("a", "button", "input"))
-    return sl.best_selector(el).select("page_id", "best.kind", "best.type", "best.value",
-                                       F.size("selector_list").alias("n_candidates"))
+    return _best_selector(el).select("page_id", "kind", "type", "value", F.size("selector_list").alias("n_candidates"))
+
+
+@query("element_category_all")
+def q_element_category_all(spark, sf_dir):
+    return sl.element_category(_rt_elements(spark, sf_dir)).select("page_id", "idx", "tag", "category", "category_detailed")
 
 
 @query("element_category")
 def q_element_category(spark, sf_dir):
     tags = ("header", "a", "div", "main", "form", "input", "select", "button", "table", "td")
-    return sl.element_category(_rt_elements(spark, sf_dir)).filter(F.col("tag").isin(*tags)).select(
-        "page_id", "tag", "category", "category_detailed")
+    return q_element_category_all(spark, sf_dir).filter(F.col("tag").isin(*tags)).drop("idx")
 
 
 @query("page_structure")
@@ -656,16 +689,25 @@ def q_stream_page_changes(spark, sf_dir):
     return spark.read.parquet(sink)
 
 
+@query("css_path_all")
+def q_css_path_all(spark, sf_dir):
+    return sl.css_path(_rt_elements(spark, sf_dir, shared=True)).select("page_id", "idx", "tag", "css_path")
+
+
 @query("css_path")
 def q_css_path(spark, sf_dir):
-    return sl.css_path(_rt_elements(spark, sf_dir, shared=True)).filter(F.col("tag").isin("a", "button", "input", "img", "td")) \
-        .select("page_id", "tag", "css_path")
+    return q_css_path_all(spark, sf_dir).filter(F.col("tag").isin("a", "button", "input", "img", "td")).drop("idx")
+
+
+@query("xpath_unified_all")
+def q_xpath_unified_all(spark, sf_dir):
+    return sl.xpath_unified(_rt_elements(spark, sf_dir, shared=True)).select("page_id", "idx", "tag", "xpath_unified")
 
 
 @query("xpath_unified")
 def q_xpath_unified(spark, sf_dir):
-    return sl.xpath_unified(_rt_elements(spark, sf_dir, shared=True)).filter(
-        F.col("tag").isin("a", "button", "input", "img", "td", "select")).select("page_id", "tag", "xpath_unified")
+    return q_xpath_unified_all(spark, sf_dir).filter(
+        F.col("tag").isin("a", "button", "input", "img", "td", "select")).drop("idx")
 
 
 @query("element_counts")
