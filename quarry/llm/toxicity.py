@@ -12,7 +12,10 @@ labels and scores every document.
 Voters and model are fitted on a bounded sample of labelled rows: the
 ``SAMPLE`` rows of each class with the least hash of their id. The sample's ids
 (at most 2 x SAMPLE) are broadcast, and its vote matrix is collected
-(SAMPLE x VOTERS bits). All documents are scored whole.
+(SAMPLE x VOTERS bits). Label model and classifier weight a class's sampled rows
+so that the classes have the shares they have among all training labels: the
+cap doesn't move the prior, and ``THRESHOLD`` means the same on tables of any
+size. All documents are scored whole.
 
 Defined cases: null and empty texts get the score of a document on which all
 voters abstain; without labelled rows of both classes every score is the
@@ -138,17 +141,19 @@ def mine_voters(sample: DataFrame, size: int = VOTERS) -> list[str]:
     return [r["term"] for r in best]
 
 
-def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 12) -> np.ndarray:
-    """Posterior of class 1 for each row of a 0/1 vote matrix and a noisy label."""
-    n, v = votes.shape
+def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 12, weight: np.ndarray | None = None) -> np.ndarray:
+    """Posterior of class 1 for each row of a 0/1 vote matrix and a noisy label;
+    a row counts ``weight`` times (default: once)."""
+    weight = np.ones(len(votes)) if weight is None else weight
+    n = weight.sum()
     told = np.where(label == 1, TRUST, 1 - TRUST)
     post = told.copy()
+    second = (votes.T * weight) @ votes / n
     for _ in range(rounds):
-        w1, w0 = post.sum(), n - post.sum()
-        m1 = (post @ votes + 0.01) / (w1 + 0.02)
-        m0 = ((1 - post) @ votes + 0.01) / (w0 + 0.02)
+        w1, w0 = weight @ post, weight @ (1 - post)
+        m1 = ((weight * post) @ votes + 0.01) / (w1 + 0.02)
+        m0 = ((weight * (1 - post)) @ votes + 0.01) / (w0 + 0.02)
         # shared covariance: what is left of the votes when the class means are gone
-        second = votes.T @ votes / n
         mix = w1 / n
         cov = second - mix * np.outer(m1, m1) - (1 - mix) * np.outer(m0, m0)
         cov += np.diag(0.02 + 0.1 * np.diag(cov).clip(0))
@@ -162,15 +167,18 @@ def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 12) -> np.nd
     return post
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 25) -> np.ndarray:
-    """Logistic weights (bias last) for soft labels, by Newton steps."""
+def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 25, weight: np.ndarray | None = None) -> np.ndarray:
+    """Logistic weights (bias last) for soft labels, by Newton steps; a row
+    counts ``weight`` times (default: once)."""
+    weight = np.ones(len(x)) if weight is None else weight
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     keep = np.full(len(w), ridge)
     keep[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(keep), x.T @ (p - y) + keep * w)
+        step = np.linalg.solve((x * (weight * (p * (1 - p) + 1e-6))[:, None]).T @ x + np.diag(keep),
+                               x.T @ (weight * (p - y)) + keep * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -194,6 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, is_training: Column, sample: int =
              .where("doc_id is not null and toxic in (0, 1)").where(is_training))
     ids = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     picked = ids[0].union(ids[1])  # at most 2 x sample rows of two numbers
+    every = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
     rows = keyed_texts(docs).join(F.broadcast(picked), "doc_id").select("text", "toxic")
     chosen = mine_voters(rows)
     voters = Voters(chosen)
@@ -210,7 +219,10 @@ def train(docs: DataFrame, labels: DataFrame, is_training: Column, sample: int =
         votes = np.zeros((len(got), voters.size))
         for k, i in enumerate(order):
             votes[k, got[i]["fired"]] = 1
-        weights = fit_linear(votes, label_model(votes, label[order]))
+        share = {y: n / min(n, sample) for y, n in every.items()}  # labels that a sampled one stands for
+        weight = np.where(label[order] == 1, share[1], share[0])
+        weight *= len(weight) / weight.sum()
+        weights = fit_linear(votes, label_model(votes, label[order], weight=weight), weight=weight)
     else:
         share = label.mean() if len(label) else 0.0
         weights[-1] = 30 if share else -30

@@ -180,6 +180,14 @@ def test_toxicity_held_out(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.score < toxicity.THRESHOLD}
 
 
+def test_toxicity_prior_does_not_follow_the_sample(spark):
+    """Where the text tells nothing, the score is the share of all training labels, also when the cap binds for one class."""
+    docs = documents(spark, [(i, "the same words", "en", *[None] * 6) for i in range(360)])
+    marks = spark.createDataFrame([(i, 0, int(i % 6 == 0)) for i in range(360)], "doc_id long, quality int, toxic int")
+    whole, capped = (toxicity.train(docs, marks, F.lit(True), n).score("the same words") for n in (360, 60))
+    assert 0.1 < whole < 0.2 and abs(whole - capped) < 0.01
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(documents(spark), none, F.lit(True))
