@@ -9,10 +9,11 @@ maximisation with the given label as one more voter of accuracy ``TRUST``. A
 linear (logistic) classifier over the votes is trained on the posterior
 labels and scores every document.
 
-Voters and model are fitted on a bounded sample of labelled rows: the
-``SAMPLE`` rows of each class with the least hash of their id. The sample's ids
-(at most 2 x SAMPLE) are broadcast, and its vote matrix is collected
-(SAMPLE x VOTERS bits). Label model and classifier weight a class's sampled rows
+Voters and model are fitted on a bounded sample of labelled texts: the
+``SAMPLE`` ids of each class with the least hash and of their different texts the
+``SAMPLE`` of each class with the least hash, one row each however often an id, a
+label or a text is repeated. The sample's ids (at most 2 x SAMPLE) are broadcast,
+and its vote matrix is collected (2 x SAMPLE x VOTERS bits). Label model and classifier weight a class's sampled rows
 so that the classes have the shares they have among all training labels: the
 cap doesn't move the prior, and ``THRESHOLD`` means the same on tables of any
 size. All documents are scored whole.
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import keyed_texts, slices
+from quarry.llm.common import keyed_texts, slices, stage
 from quarry.session import ship_package
 
 SAMPLE = 10_000
@@ -199,11 +200,15 @@ def train(docs: DataFrame, labels: DataFrame, is_training: Column, sample: int =
     """Fit on a bounded sample of the rows of ``labels`` (doc_id, toxic) where
     ``is_training`` (over doc_id) holds and of their texts in ``docs``."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-             .where("doc_id is not null and toxic in (0, 1)").where(is_training))
+             .where("doc_id is not null and toxic in (0, 1)").where(is_training).distinct())
     ids = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     picked = ids[0].union(ids[1])  # at most 2 x sample rows of two numbers
     every = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
-    rows = keyed_texts(docs).join(F.broadcast(picked), "doc_id").select("text", "toxic")
+    texts = keyed_texts(docs).withColumn("mark", F.xxhash64("text"))
+    marks = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "mark", "toxic").distinct()
+    once = [marks.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id", "mark"), "doc_id", "mark").limit(sample) for y in (0, 1)]
+    rows = stage(texts.join(F.broadcast(once[0].union(once[1])), ["doc_id", "mark"]).groupBy("doc_id", "mark", "toxic")
+                 .agg(F.min("text").alias("text")).select("text", "toxic"), "toxicity-sample")
     chosen = mine_voters(rows)
     voters = Voters(chosen)
 
@@ -219,8 +224,8 @@ def train(docs: DataFrame, labels: DataFrame, is_training: Column, sample: int =
         votes = np.zeros((len(got), voters.size))
         for k, i in enumerate(order):
             votes[k, got[i]["fired"]] = 1
-        share = {y: n / min(n, sample) for y, n in every.items()}  # labels that a sampled one stands for
-        weight = np.where(label[order] == 1, share[1], share[0])
+        # labels that a sampled row stands for
+        weight = np.where(label[order] == 1, every[1] / label.sum(), every[0] / (len(label) - label.sum()))
         weight *= len(weight) / weight.sum()
         weights = fit_linear(votes, label_model(votes, label[order], weight=weight), weight=weight)
     else:

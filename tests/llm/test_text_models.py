@@ -188,6 +188,19 @@ def test_toxicity_prior_does_not_follow_the_sample(spark):
     assert 0.1 < whole < 0.2 and abs(whole - capped) < 0.01
 
 
+@pytest.mark.parametrize("sample,rows", [(1000, 360), (20, 40)])
+def test_toxicity_sample_is_bounded_whatever_repeats(spark, monkeypatch, sample, rows):
+    """An id with a third of all rows, ids with many texts and repeated labels: a row for each text of a sampled id."""
+    fitted = []
+    fit = toxicity.fit_linear
+    monkeypatch.setattr(toxicity, "fit_linear", lambda x, *a, **b: (fitted.append(len(x)), fit(x, *a, **b))[1])
+    texts = [(i, f"text {i}") for i in range(60)] + [(7, "text 7")] * 500 + [(i, f"other {k}") for i in (8, 9) for k in range(150)]
+    docs = documents(spark, [(i, t, "en", *[None] * 6) for i, t in texts])
+    marks = spark.createDataFrame([(i, 0, i % 2) for i in range(60)] * 5, "doc_id long, quality int, toxic int")
+    toxicity.train(docs, marks, F.lit(True), sample)
+    assert fitted == [rows]
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(documents(spark), none, F.lit(True))
