@@ -98,7 +98,7 @@ class RunIndex:
             differ = x != 0
             at = x[differ]
             low = at & (~at + np.uint64(1))
-            out[live[differ]] = np.minimum(most[differ], k + (np.bitwise_count(low - np.uint64(1)) >> 3))
+            out[live[differ]] = np.minimum(most[differ], k + (np.bitwise_count(low - np.uint64(1)) >> 3).astype(np.int64))
             keep = ~differ & (most > k + 8)
             live, p, q, most = live[keep], p[keep], q[keep], most[keep]
             if not len(live):

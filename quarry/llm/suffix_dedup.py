@@ -290,6 +290,11 @@ def _replies(replies: list, n: int) -> np.ndarray:
     return out
 
 
+def offset_type(window: int) -> type:
+    """Type of a window's offset in its segment: a segment has at most window - gram + 1 windows."""
+    return np.uint8 if window - min(GRAM, window) < 256 else np.uint32
+
+
 def asked_segments(met: DataFrame, window: int) -> DataFrame:
     """(kind, bucket, chunk, ...): bytes and places of the wanted segments
     (kind 0), hashes and places of the windows of single ones (kind 1)."""
@@ -315,9 +320,9 @@ def asked_segments(met: DataFrame, window: int) -> DataFrame:
                         continue
                     raw = [texts[t][p:p + m] for t, p, m in
                            zip(text[at].tolist(), pos[at].tolist(), (n[at] + window - 1).tolist())]
-                    x = np.zeros(len(at), np.uint8)
+                    x = np.zeros(len(at), offset_type(window))
                     if kind:  # every window by itself
-                        x = np.concatenate([np.arange(m, dtype=np.uint8) for m in n[at].tolist()])
+                        x = np.concatenate([np.arange(m, dtype=offset_type(window)) for m in n[at].tolist()])
                         raw = [s[i:i + window] for s, m in zip(raw, n[at].tolist()) for i in range(m)]
                         at = np.repeat(at, n[at])
                         both = np.frombuffer(b"".join(map(xxh3_128_digest, raw)), np.uint64).reshape(-1, 2)
@@ -344,7 +349,7 @@ def marked_windows(asked: DataFrame, window: int) -> DataFrame:
         size = [len(x) for x in read("seq", np.uint32)]
         h, w, seq, d, th, pos, x = (np.concatenate(read(c, t)) for c, t in (
             ("h", np.uint64), ("w", np.uint64), ("seq", np.uint32), ("d", np.int64), ("th", np.uint32), ("pos", np.uint32),
-            ("x", np.uint8)))
+            ("x", offset_type(window))))
         owner = np.repeat(np.arange(len(size)), size)
         if table.column("kind")[0].as_py():
             sort = np.lexsort((pos, th, d, w, h))
@@ -374,7 +379,7 @@ def marked_windows(asked: DataFrame, window: int) -> DataFrame:
                     row += [np.repeat(i, len(f)) for i, f in zip(some.tolist(), found)]
                     off += found
                     lo = k + 1
-            row, off = np.concatenate(row).astype(np.int64), np.concatenate(off).astype(np.uint8)
+            row, off = np.concatenate(row).astype(np.int64), np.concatenate(off).astype(offset_type(window))
         out = []
         chunk = table.column("chunk").to_pylist()
         order = np.argsort(owner[row], kind="stable")
@@ -417,7 +422,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, most_chu
                 np.add.at(cover, place[gone] + n[gone] + window - 1, -1)
                 if found:
                     mark = np.concatenate([np.frombuffer(f["seq"], np.uint32) for f in found]).astype(np.int64)
-                    x = np.concatenate([np.frombuffer(f["x"], np.uint8) for f in found]).astype(np.int64)
+                    x = np.concatenate([np.frombuffer(f["x"], offset_type(window)) for f in found]).astype(np.int64)
                     order = np.argsort(mark, kind="stable")
                     mark, x = mark[order], x[order]
                     rest = np.flatnonzero(own & ~gone)  # the places (of one document) that marks speak of

@@ -70,6 +70,22 @@ def test_suffix_dedup(spark, monkeypatch, hot, chunks, window):
     assert sum(x[2] for x in got) > 1000
 
 
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_suffix_dedup_of_wide_windows(spark, monkeypatch, hot):
+    """Segments of more than 256 windows: their offsets need more than a byte."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 6000)
+    rng = random.Random(8)
+    prose = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    base = prose(4000)
+    cuts = [(rng.randint(0, 2000), rng.randint(450, 2000)) for _ in range(24)]
+    rows = [(i, prose(30) + base[a:a + n] + prose(30), "en", "s", None, 7, "x", 3, "z") for i, (a, n) in enumerate(cuts)]
+    want = removed_bytes(rows, 700)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest())
+                 for r in suffix_dedup.find_repeats(documents(spark, rows).repartition(3), 700, hot).collect())
+    assert got == sorted((r[0], *want[r[0], r[1].encode()]) for r in rows)
+    assert sum(x[2] for x in got) > 1000
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffix_dedup.find_repeats(documents(spark, [])).collect() == []
 
