@@ -720,3 +720,45 @@ def q_element_counts(spark, sf_dir):
 def q_elements_rt(spark, sf_dir):
     """H1 on the rendered customer pages: the element tree."""
     return _rt_elements(spark, sf_dir).select("page_id", "idx", "parent_idx", "depth", "tag")
+
+
+def _whole_elements(el):
+    return el.select("page_id", "idx", "parent_idx", "depth", "tag", "id", "class", F.to_json("attrs").alias("attrs"),
+                     "own_text", "text", F.to_json("anc").alias("anc"))
+
+
+@query("elements_all")
+def q_elements_all(spark, sf_dir):
+    """H1 on the real pages: attributes, texts and ancestors too."""
+    return _whole_elements(_elements(spark, sf_dir))
+
+
+@query("elements_rt_all")
+def q_elements_rt_all(spark, sf_dir):
+    return _whole_elements(_rt_elements(spark, sf_dir))
+
+
+@query("schema_document_all")
+def q_schema_document_all(spark, sf_dir):
+    """An entry of both parts of the document per column."""
+    doc = sk.schema_document(si.schema_table(report(spark, sf_dir, "orders", "o_orderkey")))
+    parts = F.from_json("document", "schema array<string>, consistency_results array<string>")
+    return doc.select(parts.alias("d")).select(F.posexplode(F.arrays_zip("d.schema", "d.consistency_results")).alias("pos", "z")) \
+        .select("pos", "z.schema", "z.consistency_results")
+
+
+@query("latest_file_all")
+def q_latest_file_all(spark, sf_dir):
+    """S5 over several files per folder: orders landed twice, the second time with a
+    junk line, and in every third folder an empty newest file. (Spark lists no empty
+    files, so those are rows of the listing.)"""
+    orders = load_table(spark, sf_dir, "orders")
+    part = F.regexp_extract("dir", r"part=(\d+)$", 1).cast("long")
+    listings = [rpt.list_files(spark, fx.write_order_report(spark, orders, "utf-8", junk_line=junk)).withColumn("landed", F.lit(k))
+                for k, junk in ((1, False), (2, True))]
+    both = listings[0].unionByName(listings[1])
+    empty = (listings[1].where(part % 3 == 0).withColumn("length", F.lit(0).cast("long")).withColumn("landed", F.lit(3))
+             .withColumn("modificationTime", F.col("modificationTime") + F.expr("interval 1 minute")))
+    files = both.unionByName(empty).withColumn("path", F.concat("path", F.lit("#"), "landed")).withColumn("dir", part.cast("string"))
+    return rpt.latest_file(files, extensions=[".csv"]).select(
+        F.col("dir").cast("long").alias("part"), F.regexp_extract("path", r"#(\d)$", 1).cast("int").alias("landed"), "length")
