@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, cover_tree, fm_decontam, langid, lattice_lm, line_dedup, simhash, suffix_dedup, token_counts, toxicity
+from quarry.llm import bpe, cover_tree, fm_decontam, langid, lattice_lm, line_dedup, sentencepiece_bpe, simhash, suffix_dedup, token_counts, toxicity
 from quarry.llm.common import crc_mod
 from quarry.session import load_table, ship_package
 
@@ -94,3 +94,8 @@ def op3(spark, sf_dir):
 def op1(spark, sf_dir):
     out = suffix_dedup.find_repeats(documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op13_sentencepiece")
+def op13(spark, sf_dir):
+    return sentencepiece_bpe.digests(sentencepiece_bpe.encode_decode(documents(spark, sf_dir)))
