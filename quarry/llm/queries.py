@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, cover_tree, fm_decontam, langid, lattice_lm, line_dedup, sentencepiece_bpe, simhash, suffix_dedup, token_counts, toxicity
+from quarry.llm import bpe, conversation_trie, cover_tree, fm_decontam, langid, lattice_lm, line_dedup, sentencepiece_bpe, simhash, suffix_dedup, token_counts, toxicity
 from quarry.llm.common import crc_mod
 from quarry.session import load_table, ship_package
 
@@ -99,3 +99,9 @@ def op1(spark, sf_dir):
 @query("op13_sentencepiece")
 def op13(spark, sf_dir):
     return sentencepiece_bpe.digests(sentencepiece_bpe.encode_decode(documents(spark, sf_dir)))
+
+
+@query("op12_conversation_trie", conversation_trie.oracle())
+def op12(spark, sf_dir):
+    ship_package(spark)
+    return conversation_trie.prefix_trie(load_table(spark, sf_dir, "conversations"))
