@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, conversation_trie, cover_tree, fm_decontam, langid, lattice_lm, line_dedup, sentencepiece_bpe, simhash, suffix_dedup, token_counts, toxicity
+from quarry.llm import anchor_lists, bpe, conversation_trie, cover_tree, fm_decontam, langid, lattice_lm, line_dedup, sentencepiece_bpe, simhash, suffix_dedup, token_counts, toxicity
 from quarry.llm.common import crc_mod
 from quarry.session import load_table, ship_package
 
@@ -105,3 +105,9 @@ def op13(spark, sf_dir):
 def op12(spark, sf_dir):
     ship_package(spark)
     return conversation_trie.prefix_trie(load_table(spark, sf_dir, "conversations"))
+
+
+@query("op11_hard_negatives", anchor_lists.oracle())
+def op11(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return anchor_lists.hard_negatives(load_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
