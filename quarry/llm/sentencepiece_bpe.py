@@ -28,10 +28,12 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 import struct
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +43,11 @@ from pyspark.sql import functions as F
 from quarry.llm.common import keyed_texts, slices
 
 SPACE = "▁"
-#: bytes of words and of pairs that a worker remembers, about; longer words aren't remembered
-MEMO_BYTES, MEMO_WORD = 96 << 20, 200
+#: bytes of words that a worker remembers (half of them from before the last clearing), and of
+#: the longest that it does; pairs that it remembers
+MEMO_BYTES, MEMO_WORD = 72 << 20, 200
 MEMO_PAIRS = 400_000
+PACK = [struct.Struct(f"<{n}i").pack for n in range(9)]
 #: the model file's piece types
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -121,13 +125,18 @@ class PieceBpe:
             got, steps = self.merge(list(p), trace=True)
             if got == [p]:
                 self.edges[i] = steps
-                self.longest.add_word(p[::-1], i)
+                if len(p) > 1:
+                    self.longest.add_word(p[::-1], i)
         self.longest.make_automaton()
         self.shorter = {i: self._shorter(self.pieces[i]) for i in self.edges}
         self.fits: dict[int, bool] = {}
+        self.letter = {p: i for p, i in self.id_of.items() if len(p) == 1}
+        self.one = {i: struct.pack("<i", i) for i in self.edges}
         self.joined = np.array(sorted({ord(a) << 21 | ord(b) for p in self.id_of for a, b in zip(p, p[1:])}))
         self.known: dict[str, bytes] = {}
         self.known_parts: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
         self.held = 0
 
     def _shorter(self, piece: str) -> int:
@@ -250,18 +259,23 @@ class PieceBpe:
     def encode_parts(self, parts: list[str]) -> dict[str, bytes]:
         """Ids (little-endian int32) of each part of a word, all matched in one pass."""
         text = "\n".join(parts)
-        best = [-1] * len(text)
-        top, last = len(text) - 1, -1
-        for end, i in self.longest.iter(text[::-1]):  # the longest match of each end comes first
+        best = list(map(self.letter.get, text, repeat(-1)))
+        last = -1
+        for end, i in self.longest.iter(text[::-1]):  # matches end where pieces start, the longest of each end first
             if end != last:
-                best[top - end], last = i, end
-        out, at = {}, 0
+                best[~end], last = i, end
+        out, at, sizes = {}, 0, self.sizes
         for w in parts:
-            ids = self.search(len(w), best[at:at + len(w)])
-            if -1 in ids:
-                ids = self._bytes(w, ids)
-            out[w] = struct.pack(f"<{len(ids)}i", *ids)
-            at += len(w) + 1
+            n = len(w)
+            i = best[at]
+            if i >= 0 and sizes[i] == n:
+                out[w] = self.one[i]
+            else:
+                ids = self.search(n, best[at:at + n])
+                if -1 in ids:
+                    ids = self._bytes(w, ids)
+                out[w] = np.array(ids, "<i4").tobytes() if len(ids) > 8 else PACK[len(ids)](*ids)
+            at += n + 1
         return out
 
     def _bytes(self, word: str, ids: list[int]) -> list[int]:
@@ -285,18 +299,21 @@ class PieceBpe:
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of each text as little-endian int32, the end id last."""
         split = [self.split(t) for t in texts]
-        if self.held > MEMO_BYTES:
-            self.known.clear()
-            self.known_parts.clear()
-            self.held = 0
+        if self.held > MEMO_BYTES:  # what was not asked for since the last time goes
+            self.old, self.known, self.held = self.known, {}, 0
+            self.old_parts, self.known_parts = self.known_parts, {}
         known, known_parts = self.known, self.known_parts
         new: set[str] = set()
         for s in split:
             new.update(set(s).difference(known))
-        words = list(new)
+        fresh = {w: self.old[w] for w in new & self.old.keys()}
+        words = list(new.difference(fresh))
         cut = dict(zip(words, self.parts(words)))
-        fresh_parts = self.encode_parts(list({p for x in cut.values() for p in x if p not in known_parts}))
-        fresh = {w: b"".join([known_parts.get(p) or fresh_parts[p] for p in x]) for w, x in cut.items()}
+        asked = {p for x in cut.values() for p in x if p not in known_parts}
+        fresh_parts = {p: self.old_parts[p] for p in asked & self.old_parts.keys()}
+        fresh_parts |= self.encode_parts(list(asked.difference(fresh_parts)))
+        for w, x in cut.items():
+            fresh[w] = b"".join([known_parts.get(p) or fresh_parts[p] for p in x]) if len(x) > 1 else known_parts.get(w) or fresh_parts[w]
         end = struct.pack("<i", self.end)
         found = known
         if max(map(len, fresh), default=0) > MEMO_WORD:  # long words serve this batch only
@@ -305,7 +322,7 @@ class PieceBpe:
             fresh_parts = {p: x for p, x in fresh_parts.items() if len(p) <= MEMO_WORD}
         for memo, more in ((known, fresh), (known_parts, fresh_parts)):
             memo.update(more)
-            self.held += sum(180 + 2 * len(w) + len(x) for w, x in more.items())
+            self.held += sum(map(len, more)) * 2 + sum(map(len, more.values())) + 180 * len(more)
         return [b"".join(map(found.__getitem__, s)) + end for s in split]
 
 
@@ -318,6 +335,7 @@ def loaded(model: bytes) -> PieceBpe:
     if key not in _LOADED:
         _LOADED.clear()
         _LOADED[key] = PieceBpe(model)
+        gc.freeze()  # the model's tables stay, so collections needn't look at them
     return _LOADED[key]
 
 
