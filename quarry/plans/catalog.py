@@ -601,6 +601,21 @@ def q_read_report_auto(spark, sf_dir):
                      "番号", "氏名", F.col("`氏名.1`").alias("seg"), "区分")
 
 
+@query("read_report_notes")
+def q_read_report_notes(spark, sf_dir):
+    """S1 over reports whose free text holds line breaks."""
+    df = rpt.read_report_csv(spark, fx.write_note_report(spark, load_table(spark, sf_dir, "conversations")))
+    return df.select("rn", F.regexp_extract("source_file", r"part=(\d+)", 1).cast("long").alias("part"),
+                     "conv_id", "turn", "role", F.col("`free\ntext`").alias("text"))
+
+
+@query("read_report_headers")
+def q_read_report_headers(spark, sf_dir):
+    """S1 over one folder of six headers, read by one scan."""
+    df = rpt.read_report_csv(spark, fx.write_many_headers(spark, load_table(spark, sf_dir, "part")))
+    return df.withColumn("part", F.regexp_extract("source_file", r"part=(\d+)", 1).cast("long")).drop("source_file")
+
+
 @query("file_encoding")
 def q_file_encoding(spark, sf_dir):
     orders = load_table(spark, sf_dir, "orders")

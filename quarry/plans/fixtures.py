@@ -337,6 +337,48 @@ def write_mixed_reports(spark, customer: DataFrame) -> str:
     return path
 
 
+NOTE_FILE_CONVS = 64
+
+
+def write_note_report(spark, conversations: DataFrame) -> str:
+    """Land ``conversations`` as report files (one per NOTE_FILE_CONVS ids, ``part=k``) whose last
+    column is free text in quotes: its line breaks stay inside the field."""
+    path = scratch_dir(spark, "note-report")
+    text = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    part = F.floor(F.col("conv_id") / F.lit(NOTE_FILE_CONVS)).cast("long")
+    data = conversations.select(part.alias("part"), "conv_id", "turn", F.concat_ws(",", "conv_id", "turn", "role", text).alias("line"))
+    head = data.select("part").distinct().select("part", F.lit(None).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("turn"),
+                                                 F.lit('conv_id,turn,role,"free\ntext"').alias("line"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (data.unionByName(head).repartition(n, "part").sortWithinPartitions("part", F.asc_nulls_first("conv_id"), "turn")
+     .select("part", "line").write.partitionBy("part").text(path))
+    return path
+
+
+HEADER_KINDS, HEADER_FILE_ROWS = 6, 50
+
+
+def write_many_headers(spark, part: DataFrame) -> str:
+    """Land ``part`` as report files of HEADER_KINDS headers: each kind turns the
+    columns round by another number of places and has a column of its own."""
+    path = scratch_dir(spark, "many-headers")
+    k = F.floor(F.col("p_partkey") / F.lit(HEADER_FILE_ROWS)).cast("long")
+    cols = {"key": F.col("p_partkey").cast("string"), "name": F.col("p_name"), "brand": F.col("p_brand"), "kind": F.col("p_type"),
+            "size": F.col("p_size").cast("string")}
+    line = head = F.lit(None)
+    for v in range(HEADER_KINDS):
+        names = [*list(cols)[v % len(cols):], *list(cols)[:v % len(cols)]]
+        here = k % HEADER_KINDS == v
+        line = F.when(here, F.concat_ws(",", *[cols[n] for n in names], F.concat(F.lit(f"v{v}-"), cols["key"]))).otherwise(line)
+        head = F.when(F.col("part") % HEADER_KINDS == v, F.lit(",".join([*names, f"x{v}"]))).otherwise(head)
+    data = part.select(k.alias("part"), F.col("p_partkey").cast("long").alias("key"), line.alias("line"))
+    heads = data.select("part").distinct().select("part", F.lit(None).cast("long").alias("key"), head.alias("line"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (data.unionByName(heads).repartition(n, "part").sortWithinPartitions("part", F.asc_nulls_first("key"))
+     .select("part", "line").write.partitionBy("part").text(path))
+    return path
+
+
 def write_order_report(spark, orders: DataFrame, encoding: str = "cp932", junk_line: bool = True,
                        file_rows: int = ORDER_REPORT_FILE_ROWS) -> str:
     """Land ``orders`` as report CSV files, one per block of ``file_rows``

@@ -825,6 +825,17 @@ SELECT CAST(row_number() OVER (PARTITION BY o_orderkey // 4096 ORDER BY o_orderk
        o_orderpriority AS "優先度"
 FROM orders""")
 
+register("read_report_notes", """
+SELECT row_number() OVER (PARTITION BY conv_id // 64 ORDER BY conv_id, turn) AS rn, CAST(conv_id // 64 AS BIGINT) AS part,
+       CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role, nullif(text, '') AS text
+FROM conversations""")
+
+register("read_report_headers", f"""
+SELECT row_number() OVER (PARTITION BY p_partkey // 50 ORDER BY p_partkey) AS rn, CAST(p_partkey // 50 AS BIGINT) AS part,
+       CAST(p_partkey AS VARCHAR) AS "key", p_name AS name, p_brand AS brand, p_type AS kind, CAST(p_size AS VARCHAR) AS size,
+       {", ".join(f"CASE WHEN p_partkey // 50 % 6 = {v} THEN 'v{v}-' || p_partkey END AS x{v}" for v in range(6))}
+FROM part""")
+
 register("report_target", f"""
 WITH {REPORT_RUNS}
 SELECT event_id, '20240121_ebis_' ||

@@ -14,7 +14,6 @@
 from __future__ import annotations
 
 import datetime as _dt
-import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -22,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.session import ship_package
+from quarry.session import materialize, ship_package
 
 # Encodings tried in order and the default.
 DEFAULT_ENCODING = "cp932"
@@ -64,10 +63,16 @@ def with_file_row_number(df: DataFrame, name: str = "rn") -> DataFrame:
 
 def order_rows(df: DataFrame, by: str = "source_file", rn: str = "rn") -> DataFrame:
     """Number the rows of several files through: files in the order of ``by``,
-    rows in file order. Only one row per file is windowed. Drops ``by`` and ``source_file``."""
+    rows in file order. Row counts (one row per file) are dealt by ranges of ``by`` and summed up in two
+    steps, within each range and over the ranges. Drops ``by`` and ``source_file``."""
     files = df.groupBy(by).agg(F.max(rn).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return (df.join(files.select(by, before.alias("_before")), by)
+    files = materialize(files.repartitionByRange(F.col(by)).withColumn("_range", F.spark_partition_id()))
+    ranges = files.groupBy("_range").agg(F.sum("_n").alias("_rows"))  # one row per partition of the exchange
+    up = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("_range", F.coalesce(F.sum("_rows").over(up), F.lit(0)).alias("_lower"))
+    here = Window.partitionBy("_range").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    before = files.withColumn("_here", F.coalesce(F.sum("_n").over(here), F.lit(0))).join(ranges, "_range")
+    return (df.join(before.select(by, (F.col("_here") + F.col("_lower")).alias("_before")), by)
             .withColumn(rn, F.col(rn) + F.col("_before")).drop("_before", by, "source_file"))
 
 
@@ -100,10 +105,11 @@ def _raw_lines(spark: SparkSession, path, glob: str | None = None) -> DataFrame:
 
 
 def read_report_csv(spark: SparkSession, path, encoding: str | None = "utf-8", header_row: int = 1,
-                    pandas_na: bool = True, sep: str = ",", multiline: bool = False) -> DataFrame:
+                    pandas_na: bool = True, sep: str = ",") -> DataFrame:
     """All columns as text plus ``rn`` (1-based data row in file order)
-    and ``source_file``. ``header_row`` = the line holding the header;
-    lines above it are dropped (they may have any number of fields).
+    and ``source_file``. ``header_row`` = the record holding the header (blank lines don't count);
+    records above it are dropped (they may have any number of fields). Quoted fields may hold
+    line breaks, also across splits; a quote that a file doesn't close is an error.
     ``pandas_na`` reads pandas' default missing markers as null, as the
     profiler being matched sees them. Every file is read by its own header
     (repeated names are numbered); columns of several headers are put side
@@ -111,92 +117,84 @@ def read_report_csv(spark: SparkSession, path, encoding: str | None = "utf-8", h
     as it is for pandas. ``encoding`` "auto" (or None) gives each file the
     encoding that decodes all of it.
 
-    Lines are numbered per file and split with ``from_csv`` once the header
-    is known, so short preamble lines do not fix the width. The driver sees
-    the distinct header lines only.
+    One scan takes the splits' facts, which are written down; the scan of the data then parses each
+    record once into an array and places the fields by its file's position
+    list, however many headers there are. The driver sees the distinct column
+    names and counts.
     """
-    auto = encoding in (None, "auto")
-    if multiline:
-        return _read_records(spark, path, encoding, header_row, pandas_na, sep)
-    if auto:
-        _ensure_charsets(spark, DEFAULT_ENCODING)
-        raw = with_file_row_number(_raw_lines(spark, path), "_line")
-        bytes_ = F.encode("line", "ISO-8859-1")
-        text = F.when(F.col("encoding") == "utf-8", bytes_.cast("string"))
-        for name in TRIAL_ENCODINGS:
-            text = text.when(F.col("encoding") == name, F.decode(bytes_, JAVA_CHARSETS[name]))
-        enc = _whole_encoding(_raw_lines(spark, path).withColumn("_file", F.col("_metadata.file_path")))
-        numbered = raw.join(enc, "_file").withColumn("line", text).drop("encoding")
+    from quarry.sources import records as rec
+    encoding = (encoding or "auto").lower().replace("_", "-")
+    if encoding.startswith(("utf-16", "utf-32")):
+        raise ValueError("lines are found byte by byte: UTF-16 and UTF-32 files must be converted first")
+    auto = encoding == "auto"
+    _ensure_charsets(spark, DEFAULT_ENCODING if auto else encoding)
+    lines = rec.raw_lines(spark, path)
+    facts = materialize(rec.split_facts(lines, sep))
+    seen = facts.agg(F.bool_or("open"), F.bool_and("open"), F.bool_and("utf8")).first()
+    some_open, all_utf8 = bool(seen[0]), seen[2] is not False
+    of_file = None  # (_file, encoding), where files differ
+    if auto and not all_utf8:
+        other = facts.groupBy("_file").agg(F.bool_and("utf8").alias("utf8")).filter("not utf8").select("_file")
+        trial = lines.join(other, "_file", "left_semi")
+        of_file = materialize(_whole_encoding(trial.withColumn("line", F.decode(F.col("line").cast("binary"), "ISO-8859-1"))))
+    records = rec.one_line_records(lines, facts, not some_open)
+    if some_open:
+        open_files = facts.groupBy("_file").agg(F.bool_or("open").alias("open")).filter("open").select("_file")
+        both = materialize(rec.lines_both_ways(lines.join(open_files, "_file", "left_semi"), sep))
+        broken = materialize(rec.broken_line_records(both))
+        records = records.unionByName(broken)
+
+    def decoded(df: DataFrame) -> DataFrame:
+        raw = F.col("line").cast("binary")
+        if of_file is not None:
+            text = F.col("line")
+            for name in TRIAL_ENCODINGS:
+                text = F.when(F.col("encoding") == name, F.decode(raw, JAVA_CHARSETS[name])).otherwise(text)
+            df = df.join(of_file, "_file", "left").withColumn("line", text).drop("encoding")
+        elif not auto and encoding not in ("utf-8", "utf8"):
+            df = df.withColumn("line", F.decode(raw, JAVA_CHARSETS.get(encoding.replace("-", "_"), encoding)))
+        return df.withColumn("line", F.rtrim("line", F.lit("\r")))
+
+    if header_row == 1:  # the facts hold each file's first line
+        heads = facts.groupBy("_file").agg(F.min_by("first_line", "_block").alias("line"), F.bool_or("open").alias("open"))
+        heads = heads.filter(~F.col("open")).select("_file", "line")
+        if some_open:
+            heads = heads.unionByName(broken.filter("_line = 1").select("_file", "line"))
     else:
-        _ensure_charsets(spark, encoding)
-        lines = (spark.read.schema("line string").option("header", False).option("encoding", encoding)
-                 .option("sep", "\u0001").option("quote", "").option("escape", "")
-                 .option("recursiveFileLookup", True).csv(path))
-        numbered = with_file_row_number(lines, "_line")
-    heads = numbered.filter(F.col("_line") == header_row).select("_file", F.regexp_replace("line", "^\ufeff", "").alias("_head"))
-    distinct = sorted((r["_head"] or "") for r in heads.select("_head").distinct().collect())
-    data = numbered.filter(F.col("_line") > header_row)
-    if len(distinct) > 1:
-        data = data.join(heads, "_file")
-    out = None
-    for head in distinct or [""]:
-        names = header_names(head, sep)
-        ddl = ", ".join(f"c{i} STRING" for i in range(len(names) + 1))
-        rows = data if len(distinct) < 2 else data.filter(F.coalesce("_head", F.lit("")) == head)
-        part = _finish(rows.select("_line", "_file", F.from_csv("line", ddl, {"sep": sep}).alias("_r")),
-                       names, header_row, pandas_na)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
-
+        heads = records.filter(F.col("_line") == header_row).select("_file", "line")
+    heads = materialize(decoded(heads).select("_file", _header_fields(sep)(F.regexp_replace("line", "^\ufeff", "")).alias("names")))
+    kinds = heads.groupBy("names").agg(F.count(F.lit(1)).alias("files"))
+    facts_of_heads = kinds.agg(F.count(F.lit(1)), F.max(F.size("names"))).first()
+    named = (kinds.select("names", F.posexplode("names").alias("pos", "name")).groupBy("name").agg(F.min(F.struct("names", "pos")).alias("at"))
+             .orderBy("at").select("name").collect())
+    names, width = [r["name"] for r in named], facts_of_heads[1] or 0
+    data = decoded(records.filter(F.col("_line") > header_row))
+    ddl = ", ".join(f"c{i} STRING" for i in range(width + 1))
+    parsed = F.from_csv("line", ddl, {"sep": sep, "quote": '"', "escape": '"', "maxCharsPerColumn": "-1"})
+    if facts_of_heads[0] > 1:
+        place = heads.select("_file", F.size("names").alias("_width"), F.transform(
+            F.array(*[F.lit(n) for n in names]), lambda n: F.array_position("names", n).cast("int")).alias("_at"))
+        data = data.join(place, "_file")
+        fields = data.select("_line", "_file", "_width", "_at", parsed.alias("_r")).select(
+            "_line", "_file", "_width", "_at", F.array(*[F.col(f"_r.c{i}") for i in range(width + 1)]).alias("_r"))
+        cells = [F.when(F.col("_at")[j] > 0, F.get("_r", F.col("_at")[j] - 1)) for j in range(len(names))]
+        extra, n_fields = F.get("_r", F.col("_width")), F.col("_width").cast("string")
+    else:
+        fields = data.select("_line", "_file", parsed.alias("_r"))
+        cells = [F.col(f"_r.c{j}") for j in range(len(names))]
+        extra, n_fields = F.col(f"_r.c{width}"), F.lit(str(width))
+    rn = F.col("_line") - header_row
+    more = F.concat(F.lit("expected "), n_fields, F.lit(" fields in record "), rn.cast("string"), F.lit(" of "), "_file", F.lit(", saw more"))
+    clean = [F.when(c.isin(*PANDAS_NA), F.lit(None)).otherwise(c) if pandas_na else c for c in cells]
+    return fields.select(F.when(extra.isNotNull(), F.raise_error(more).cast("long")).otherwise(rn).alias("rn"),
+                         F.col("_file").alias("source_file"), *[c.alias(n) for c, n in zip(clean, names)])
 
-def _finish(data: DataFrame, names: list[str], header_row: int, pandas_na: bool) -> DataFrame:
-    """Named columns of the records ``_r`` (c0, c1, ...; one more than there are names)."""
-    def clean(c):
-        v = F.col(f"_r.{c}")
-        return F.when(v.isin(*PANDAS_NA), F.lit(None)).otherwise(v) if pandas_na else v
 
-    rn = F.col("_line") - header_row
-    more = F.concat(F.lit(f"expected {len(names)} fields in record "), rn.cast("string"), F.lit(" of "), "_file", F.lit(", saw more"))
-    return data.select(F.when(F.col(f"_r.c{len(names)}").isNotNull(), F.raise_error(more).cast("long")).otherwise(rn).alias("rn"),
-                       F.col("_file").alias("source_file"), *[clean(f"c{i}").alias(n) for i, n in enumerate(names)])
-
-
-def _read_records(spark: SparkSession, path, encoding: str | None, header_row: int, pandas_na: bool, sep: str) -> DataFrame:
-    """Quoted fields that hold line breaks: the CSV source parses records
-    itself (each file is one split then), and the header row is counted in
-    records, as pandas does. A width and charset belong to a read, so files
-    are read in groups of equal header and encoding; the driver sees the
-    listing of their files."""
-    if encoding in (None, "auto"):
-        enc = _whole_encoding(_raw_lines(spark, path).withColumn("_file", F.col("_metadata.file_path")))
-        groups = [(r["encoding"], r["files"]) for r in
-                  enc.groupBy("encoding").agg(F.sort_array(F.collect_list("_file")).alias("files")).collect()]
-    else:
-        groups = [(encoding, path)]
-    out = None
-    for name, files in groups:
-        _ensure_charsets(spark, name)
-        reader = (spark.read.option("header", False).option("encoding", name).option("multiLine", True).option("sep", sep)
-                  .option("recursiveFileLookup", True))
-        # the widest possible header decides the schema: more separators than any line holds
-        lines = _raw_lines(spark, files)
-        width = (lines.agg(F.max(F.size(F.split("line", re.escape(sep))))).first()[0] or 0) + 1
-        recs = with_file_row_number(reader.schema(", ".join(f"c{i} STRING" for i in range(width))).csv(files), "_line")
-        recs = recs.select("_line", "_file", F.struct(*[F.col(f"c{i}") for i in range(width)]).alias("_r"))
-        heads = recs.filter(F.col("_line") == header_row).select("_file", F.col("_r").alias("_head"))
-        for r in heads.select("_head").distinct().collect():
-            fields = list(r["_head"])
-            while fields and fields[-1] is None:
-                fields.pop()
-            names = header_names(sep.join(v or "" for v in fields), sep)
-            rows = (recs.join(heads.filter(F.col("_head").eqNullSafe(F.struct(*[F.lit(v).cast("string").alias(f"c{i}")
-                                                                               for i, v in enumerate(r["_head"])])))
-                              .select("_file"), "_file", "left_semi").filter(F.col("_line") > header_row))
-            part = _finish(rows, names, header_row, pandas_na)
-            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
-        raise FileNotFoundError(f"no report files under {path}")
-    return out
+def _header_fields(sep: str):
+    @F.pandas_udf("array<string>")
+    def names(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda line: header_names(line, sep))
+    return names
 
 
 def _decodes(name: str):

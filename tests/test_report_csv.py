@@ -85,7 +85,7 @@ def test_auto_encoding_mixed_folder(spark, tmp_dir):
 
 def test_multiline_quoted_fields(spark, tmp_dir):
     _write(f"{tmp_dir}/ml/a.csv", 'junk\nid,note\n1,"two\nlines"\n2,plain\n', "utf-8")
-    df = rpt.read_report_csv(spark, f"{tmp_dir}/ml", "utf-8", header_row=2, multiline=True)
+    df = rpt.read_report_csv(spark, f"{tmp_dir}/ml", "utf-8", header_row=2)
     rows = [(r.rn, r.id, r.note) for r in df.orderBy("rn").collect()]
     assert rows == [(1, "1", "two\nlines"), (2, "2", "plain")]
 
@@ -108,9 +108,8 @@ def test_long_first_line_is_not_cut_inside_a_character(spark, tmp_dir):
 def test_every_file_by_its_own_header(spark, tmp_dir):
     _write(f"{tmp_dir}/h/1.csv", "a,b\n1,2\n", "utf-8")
     _write(f"{tmp_dir}/h/2.csv", "b,a,c\n3,4,5\n", "utf-8")
-    for multiline in (False, True):
-        df = rpt.read_report_csv(spark, f"{tmp_dir}/h", "utf-8", multiline=multiline)
-        assert sorted((r.a, r.b, r.c) for r in df.collect()) == [("1", "2", None), ("4", "3", "5")]
+    df = rpt.read_report_csv(spark, f"{tmp_dir}/h", "utf-8")
+    assert sorted((r.a, r.b, r.c) for r in df.collect()) == [("1", "2", None), ("4", "3", "5")]
 
 
 def test_repeated_names_and_extra_fields(spark, tmp_dir):
@@ -126,7 +125,7 @@ def test_repeated_names_and_extra_fields(spark, tmp_dir):
 def test_multiline_through_auto(spark, tmp_dir):
     _write(f"{tmp_dir}/ma/a.csv", '名,note\n一,"two\nlines"\n', "cp932")
     _write(f"{tmp_dir}/ma/b.csv", '名,note\n二,plain\n', "utf-8")
-    df = rpt.read_report_csv(spark, f"{tmp_dir}/ma", "auto", multiline=True)
+    df = rpt.read_report_csv(spark, f"{tmp_dir}/ma", "auto")
     assert sorted((r["名"], r.note) for r in df.collect()) == [("一", "two\nlines"), ("二", "plain")]
 
 
