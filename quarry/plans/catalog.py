@@ -330,9 +330,15 @@ def _rt_elements(spark, sf_dir, shared: bool = False):
     return materialize(el) if shared else el
 
 
+def _whole_elements(el):
+    return el.select("page_id", "idx", "parent_idx", "depth", "tag", "id", "class", F.to_json("attrs").alias("attrs"),
+                     "own_text", "text", F.to_json("anc").alias("anc"))
+
+
 @query("elements")
 def q_elements(spark, sf_dir):
-    return _elements(spark, sf_dir).select("page_id", "idx", "parent_idx", "depth", "tag", "id", "class")
+    """H1 on the real pages: the tree, attributes, texts and ancestors."""
+    return _whole_elements(_elements(spark, sf_dir))
 
 
 @query("page_summary")
@@ -447,74 +453,41 @@ def q_css_selector(spark, sf_dir):
     return sl.css_selector(_rt_elements(spark, sf_dir, shared=True)).select("page_id", "tag", "css")
 
 
-# The SQL of the next queries lists some tags only. Each has a query ``*_all``
-# beside it that returns every element, and the query with the SQL's tags reads that.
-
-
-@query("xpath_all")
-def q_xpath_all(spark, sf_dir):
-    return sl.add_xpaths(_elements(spark, sf_dir)).select("page_id", "idx", "tag", "xpath", "xpath_soup", "full_xpath")
-
-
 @query("xpath")
 def q_xpath(spark, sf_dir):
-    return q_xpath_all(spark, sf_dir).filter(F.col("tag") == "a").drop("idx")
+    return sl.add_xpaths(_elements(spark, sf_dir)).select("page_id", "idx", "tag", "xpath", "xpath_soup", "full_xpath")
 
 
 def _element_selectors(spark, sf_dir):
     return sl.element_selectors(sl.add_xpaths(sl.css_selector(_rt_elements(spark, sf_dir, shared=True))))
 
 
-@query("element_selectors_all")
-def q_element_selectors_all(spark, sf_dir):
-    return _element_selectors(spark, sf_dir).withColumn("reliable_selectors", F.to_json("reliable_selectors"))
-
-
 @query("element_selectors")
 def q_element_selectors(spark, sf_dir):
-    return _element_selectors(spark, sf_dir).filter(F.col("tag").isin("a", "button", "input")).select(
-        "page_id", "tag", "css_simple", "css", "xpath", "full_xpath",
-        F.size("reliable_selectors").alias("n_reliable"))
+    return _element_selectors(spark, sf_dir).withColumn("reliable_selectors", F.to_json("reliable_selectors"))
 
 
-@query("reliable_selectors_all")
-def q_reliable_selectors_all(spark, sf_dir):
+@query("reliable_selectors")
+def q_reliable_selectors(spark, sf_dir):
     rel = sl.reliable_selectors(F.col("tag"), F.col("text"), F.col("id"), F.col("class"),
                                 F.map_filter(F.col("attrs"), lambda k, v: k.startswith("data-")))
     return _rt_elements(spark, sf_dir).select("page_id", "idx", "tag", F.posexplode(rel).alias("pos", "sel")).select(
         "page_id", "idx", "tag", "pos", "sel.type", "sel.value")
 
 
-@query("reliable_selectors")
-def q_reliable_selectors(spark, sf_dir):
-    return q_reliable_selectors_all(spark, sf_dir).filter(F.col("tag") == "a").drop("idx", "tag")
-
-
 def _best_selector(el):
     return sl.best_selector(el).select("page_id", "idx", "best.kind", "best.type", "best.value", "selector_list")
 
 
-@query("best_selector_all")
-def q_best_selector_all(spark, sf_dir):
-    el = sl.add_xpaths(sl.css_selector(_rt_elements(spark, sf_dir, shared=True)))
-    return _best_selector(el).withColumn("selector_list", F.to_json("selector_list"))
-
-
 @query("best_selector")
 def q_best_selector(spark, sf_dir):
-    el = sl.add_xpaths(sl.css_selector(_rt_elements(spark, sf_dir, shared=True))).filter(F.col("tag").isin("a", "button", "input"))
-    return _best_selector(el).select("page_id", "kind", "type", "value", F.size("selector_list").alias("n_candidates"))
-
-
-@query("element_category_all")
-def q_element_category_all(spark, sf_dir):
-    return sl.element_category(_rt_elements(spark, sf_dir)).select("page_id", "idx", "tag", "category", "category_detailed")
+    el = sl.add_xpaths(sl.css_selector(_rt_elements(spark, sf_dir, shared=True)))
+    return _best_selector(el).withColumn("selector_list", F.to_json("selector_list"))
 
 
 @query("element_category")
 def q_element_category(spark, sf_dir):
-    tags = ("header", "a", "div", "main", "form", "input", "select", "button", "table", "td")
-    return q_element_category_all(spark, sf_dir).filter(F.col("tag").isin(*tags)).drop("idx")
+    return sl.element_category(_rt_elements(spark, sf_dir)).select("page_id", "idx", "tag", "category", "category_detailed")
 
 
 @query("page_structure")
@@ -704,25 +677,14 @@ def q_stream_page_changes(spark, sf_dir):
     return spark.read.parquet(sink)
 
 
-@query("css_path_all")
-def q_css_path_all(spark, sf_dir):
-    return sl.css_path(_rt_elements(spark, sf_dir, shared=True)).select("page_id", "idx", "tag", "css_path")
-
-
 @query("css_path")
 def q_css_path(spark, sf_dir):
-    return q_css_path_all(spark, sf_dir).filter(F.col("tag").isin("a", "button", "input", "img", "td")).drop("idx")
-
-
-@query("xpath_unified_all")
-def q_xpath_unified_all(spark, sf_dir):
-    return sl.xpath_unified(_rt_elements(spark, sf_dir, shared=True)).select("page_id", "idx", "tag", "xpath_unified")
+    return sl.css_path(_rt_elements(spark, sf_dir, shared=True)).select("page_id", "idx", "tag", "css_path")
 
 
 @query("xpath_unified")
 def q_xpath_unified(spark, sf_dir):
-    return q_xpath_unified_all(spark, sf_dir).filter(
-        F.col("tag").isin("a", "button", "input", "img", "td", "select")).drop("idx")
+    return sl.xpath_unified(_rt_elements(spark, sf_dir, shared=True)).select("page_id", "idx", "tag", "xpath_unified")
 
 
 @query("element_counts")
@@ -733,23 +695,7 @@ def q_element_counts(spark, sf_dir):
 
 @query("elements_rt")
 def q_elements_rt(spark, sf_dir):
-    """H1 on the rendered customer pages: the element tree."""
-    return _rt_elements(spark, sf_dir).select("page_id", "idx", "parent_idx", "depth", "tag")
-
-
-def _whole_elements(el):
-    return el.select("page_id", "idx", "parent_idx", "depth", "tag", "id", "class", F.to_json("attrs").alias("attrs"),
-                     "own_text", "text", F.to_json("anc").alias("anc"))
-
-
-@query("elements_all")
-def q_elements_all(spark, sf_dir):
-    """H1 on the real pages: attributes, texts and ancestors too."""
-    return _whole_elements(_elements(spark, sf_dir))
-
-
-@query("elements_rt_all")
-def q_elements_rt_all(spark, sf_dir):
+    """H1 on the rendered customer pages: the tree, attributes, texts and ancestors."""
     return _whole_elements(_rt_elements(spark, sf_dir))
 
 
@@ -777,3 +723,9 @@ def q_latest_file_all(spark, sf_dir):
     files = both.unionByName(empty).withColumn("path", F.concat("path", F.lit("#"), "landed")).withColumn("dir", part.cast("string"))
     return rpt.latest_file(files, extensions=[".csv"]).select(
         F.col("dir").cast("long").alias("part"), F.regexp_extract("path", r"#(\d)$", 1).cast("int").alias("landed"), "length")
+
+
+# names of the round before for the same whole results
+for _name in ("elements", "elements_rt", "xpath", "element_selectors", "reliable_selectors", "best_selector", "element_category",
+              "css_path", "xpath_unified"):
+    QUERIES[f"{_name}_all"] = QUERIES[_name]

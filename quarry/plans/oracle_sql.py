@@ -7,6 +7,8 @@ resulting statements are plain SQL.
 
 from __future__ import annotations
 
+from quarry.plans.oracle_pages import parsed_queries, rendered_queries
+
 # Column layout of the driver tables as stored: (name, kind) with kind in
 # int / double / ts / str, used to render report text identically to
 # ``quarry.plans.fixtures.text_column``.
@@ -746,10 +748,6 @@ u AS (SELECT page_id, unnest(generate_series(1, len(tx))) AS k, unnest(tx) AS t
 n AS (SELECT page_id, k, {_unescape('t')} AS t,
              'html/body/nav/ul/li' || CASE WHEN k > 1 THEN '[' || k || ']' ELSE '' END || '/a' AS steps FROM u)"""
 
-register("xpath", f"""
-WITH {NAV_LINKS}
-SELECT page_id, 'a' AS tag, '/' || steps AS xpath, '//' || steps AS xpath_soup, '//*/' || steps AS full_xpath FROM n""")
-
 register("dedup_elements", f"""
 WITH {CUSTOMER_PAGE}
 SELECT page_id, 'clickable' AS kind, 0 AS selector, '/html/body/header/a' AS xpath, 'a' AS tag, 'Home' AS text FROM c
@@ -864,49 +862,6 @@ SELECT '2024-01-20' AS "日付", CAST(o_orderkey AS VARCHAR) AS "注文番号",
 FROM orders""")
 
 # ---- selector oracles on the rendered customer pages -----------------------------------
-register("reliable_selectors", f"""
-WITH {CUSTOMER_PAGE}
-SELECT page_id, 0 AS pos, 'css' AS type, '.btn.nav-link' AS value FROM c
-UNION ALL SELECT page_id, 1, 'xpath', '//a[text()=''Home'']' FROM c
-UNION ALL SELECT page_id, 0, 'css', 'a[data-track-id=''' || k || ''']' FROM c
-UNION ALL SELECT page_id, 1, 'xpath', '//a[text()=''Ext ' || k || ''']' FROM c
-UNION ALL SELECT page_id, 0, 'css', '.btn' FROM c
-UNION ALL SELECT page_id, 1, 'xpath', '//a[text()=''Go'']' FROM c
-UNION ALL SELECT page_id, 0, 'xpath', '//a[text()=''Act'']' FROM c""")
-
-register("best_selector", f"""
-WITH {CUSTOMER_PAGE}
-SELECT page_id, 'by_xpath' AS kind, 'xpath' AS type, '/html/body/header/a' AS value, 3 AS n_candidates FROM c
-UNION ALL SELECT page_id, 'by_data_attr', 'css', 'a[data-track-id=''' || k || ''']', 4 FROM c
-UNION ALL SELECT page_id, 'by_xpath', 'xpath', '/html/body/main/a', 3 FROM c
-UNION ALL SELECT page_id, 'by_xpath', 'xpath', '/html/body/main/a[2]', 3 FROM c
-UNION ALL SELECT page_id, 'by_id', 'id', 'submit' || k, 4 FROM c
-UNION ALL SELECT page_id, 'by_id', 'id', 'name' || k, 3 FROM c
-UNION ALL SELECT page_id, 'by_xpath', 'xpath', '/html/body/main/form/input[2]', 2 FROM c
-UNION ALL SELECT page_id, 'by_xpath', 'xpath', '/html/body/main/form/input[3]', 2 FROM c
-UNION ALL SELECT page_id, 'by_xpath', 'xpath', '/html/body/main/form/input[4]', 2 FROM c""")
-
-register("element_category", f"""
-WITH {CUSTOMER_PAGE}
-SELECT page_id, 'header' AS tag, 'ナビゲーションバー' AS category, 'トップバー' AS category_detailed FROM c
-UNION ALL SELECT page_id, 'a', 'ナビゲーションバー', 'ナビゲーションバー' FROM c
-UNION ALL SELECT page_id, 'div', 'サイドバー', 'サイドバー' FROM c
-UNION ALL SELECT page_id, 'a', 'リンク', 'サイドバー' FROM c
-UNION ALL SELECT page_id, 'main', 'その他', 'コンテンツ本体' FROM c
-UNION ALL SELECT page_id, 'form', 'その他', 'フォーム' FROM c
-UNION ALL SELECT page_id, 'input', 'その他', 'フォーム' FROM c
-UNION ALL SELECT page_id, 'input', 'その他', 'フォーム' FROM c
-UNION ALL SELECT page_id, 'input', 'その他', 'フォーム' FROM c
-UNION ALL SELECT page_id, 'input', 'その他', 'フォーム' FROM c
-UNION ALL SELECT page_id, 'select', 'その他', 'フォーム' FROM c
-UNION ALL SELECT page_id, 'button', 'ボタン', 'ボタン' FROM c
-UNION ALL SELECT page_id, 'table', 'その他', 'テーブル' FROM c
-UNION ALL SELECT page_id, 'table', 'その他', 'テーブル' FROM c
-UNION ALL SELECT page_id, 'td', 'その他', 'テーブル' FROM (SELECT * FROM c, range(6))
-UNION ALL SELECT page_id, 'a', 'ボタン', 'ボタン' FROM c
-UNION ALL SELECT page_id, 'a', 'リンク', 'リンク' FROM c
-UNION ALL SELECT page_id, 'div', 'その他', 'その他' FROM c WHERE neg""")
-
 register("category_summary", f"""
 WITH {CUSTOMER_PAGE},
 labels AS (SELECT * FROM (VALUES (0, 'トップバー'), (1, 'サイドバー'), (2, 'ナビゲーションバー'), (3, 'サブメニュー'),
@@ -956,70 +911,6 @@ UNION ALL
 SELECT url, 2, source_changed, d_elements, d_text, changed, false FROM (""" + ORACLE["page_changes"] + """) WHERE changed""")
 
 MAIN = "html > body:nth-child(2) > main:nth-child(3).content"
-register("css_path", f"""
-WITH {CUSTOMER_PAGE},
-f AS (SELECT *, CASE WHEN even THEN '#f' || k ELSE '{MAIN} > form:nth-child(2)' END AS fp,
-             CASE WHEN by3 THEN '#t' || k ELSE 'body:nth-child(2) > main:nth-child(3).content > table:nth-child(3) > tr:nth-child(2)' END AS t1,
-             'body:nth-child(2) > main:nth-child(3).content > table:nth-child(4)' AS t2,
-             CASE WHEN neg THEN 2 ELSE 0 END AS shift FROM c)
-SELECT page_id, 'a' AS tag, 'html > body:nth-child(2) > header:nth-child(1).navbar > a.btn' AS css_path FROM f
-UNION ALL SELECT page_id, 'a', '#sidebar > a' FROM f
-UNION ALL SELECT page_id, 'input', '#name' || k FROM f
-UNION ALL SELECT page_id, 'input', fp || ' > input:nth-child(2)[name=''k'']' FROM f
-UNION ALL SELECT page_id, 'input', fp || ' > input:nth-child(3)[name=''bal'']' FROM f
-UNION ALL SELECT page_id, 'button', '#submit' || k FROM f
-UNION ALL SELECT page_id, 'input', fp || ' > input:nth-child(7)' FROM f
-UNION ALL SELECT page_id, 'td', CASE WHEN by3 THEN t1 || ' > tr:nth-child(2)' ELSE t1 END || ' > td:nth-child(1)' FROM f
-UNION ALL SELECT page_id, 'td', CASE WHEN by3 THEN t1 || ' > tr:nth-child(2)' ELSE t1 END || ' > td:nth-child(2)' FROM f
-UNION ALL SELECT page_id, 'td', t2 || ' > tr:nth-child(1) > td:nth-child(1)' FROM f
-UNION ALL SELECT page_id, 'td', t2 || ' > tr:nth-child(1) > td:nth-child(2)' FROM f
-UNION ALL SELECT page_id, 'td', t2 || ' > tr:nth-child(1) > td:nth-child(3)' FROM f
-UNION ALL SELECT page_id, 'td', t2 || ' > tr:nth-child(2) > td' FROM f
-UNION ALL SELECT page_id, 'img', '{MAIN} > img:nth-child(5)' FROM f
-UNION ALL SELECT page_id, 'a', '{MAIN} > a:nth-child(' || (6 + shift) || ').btn' FROM f
-UNION ALL SELECT page_id, 'a', '{MAIN} > a:nth-child(' || (7 + shift) || ')[role=''button'']' FROM f""")
-
-register("xpath_unified", f"""
-WITH {CUSTOMER_PAGE},
-f AS (SELECT *, CASE WHEN even THEN '//*[@id="f' || k || '"]' ELSE '//main/form' END AS fp,
-             CASE WHEN by3 THEN '//*[@id="t' || k || '"]' ELSE '//main/table[1]' END AS t1 FROM c)
-SELECT page_id, 'a' AS tag, '//header/a' AS xpath_unified FROM f
-UNION ALL SELECT page_id, 'a', '//*[@id="sidebar"]/a' FROM f
-UNION ALL SELECT page_id, 'input', '//*[@id="name' || k || '"]' FROM f
-UNION ALL SELECT page_id, 'input', fp || '/input[2]' FROM f
-UNION ALL SELECT page_id, 'input', fp || '/input[3]' FROM f
-UNION ALL SELECT page_id, 'select', fp || '/select/option' FROM f
-UNION ALL SELECT page_id, 'button', '//*[@id="submit' || k || '"]' FROM f
-UNION ALL SELECT page_id, 'input', fp || '/input[4]' FROM f
-UNION ALL SELECT page_id, 'td', t1 || '/tr[2]/td[1]' FROM f
-UNION ALL SELECT page_id, 'td', t1 || '/tr[2]/td[2]' FROM f
-UNION ALL SELECT page_id, 'td', '//main/table[2]/tr[1]/td[1]' FROM f
-UNION ALL SELECT page_id, 'td', '//main/table[2]/tr[1]/td[2]' FROM f
-UNION ALL SELECT page_id, 'td', '//main/table[2]/tr[1]/td[3]' FROM f
-UNION ALL SELECT page_id, 'td', '//main/table[2]/tr[2]/td' FROM f
-UNION ALL SELECT page_id, 'img', '//main/img' FROM f
-UNION ALL SELECT page_id, 'a', '//main/a[1]' FROM f
-UNION ALL SELECT page_id, 'a', '//main/a[2]' FROM f""")
-
-register("element_selectors", f"""
-WITH {CUSTOMER_PAGE},
-f AS (SELECT *, CASE WHEN even THEN '#f' || k ELSE 'body > main > form' END AS fp FROM c)
-SELECT page_id, 'a' AS tag, '.btn.nav-link' AS css_simple, '.btn.nav-link' AS css, '/html/body/header/a' AS xpath,
-       '//*/html/body/header/a' AS full_xpath, 4 AS n_reliable FROM f
-UNION ALL SELECT page_id, 'a', 'a', '#sidebar > a', '/html/body/div/a', '//*/html/body/div/a', 4 FROM f
-UNION ALL SELECT page_id, 'input', 'input', '#name' || k, '//*[@id=''name' || k || ''']', '//*/html/body/main/form/input', 1 FROM f
-UNION ALL SELECT page_id, 'input', 'input', fp || ' > input:nth-child(2)', '/html/body/main/form/input[2]',
-       '//*/html/body/main/form/input[2]', 3 FROM f
-UNION ALL SELECT page_id, 'input', 'input', fp || ' > input:nth-child(3)', '/html/body/main/form/input[3]',
-       '//*/html/body/main/form/input[3]', 3 FROM f
-UNION ALL SELECT page_id, 'button', 'button', '#submit' || k, '//*[@id=''submit' || k || ''']',
-       '//*/html/body/main/form/button', 1 FROM f
-UNION ALL SELECT page_id, 'input', 'input', fp || ' > input:nth-child(4)', '/html/body/main/form/input[4]',
-       '//*/html/body/main/form/input[4]', 3 FROM f
-UNION ALL SELECT page_id, 'a', '.btn', 'html > body > main > a', '/html/body/main/a', '//*/html/body/main/a', 4 FROM f
-UNION ALL SELECT page_id, 'a', 'a', 'html > body > main > a:nth-child(2)', '/html/body/main/a[2]',
-       '//*/html/body/main/a[2]', 4 FROM f""")
-
 register("element_counts", f"""
 WITH p AS (SELECT page_id, {CLEAN_HTML} AS h FROM pages),
 t AS (SELECT page_id, lower(unnest(regexp_extract_all(h, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM p)
@@ -1054,45 +945,8 @@ UNION ALL SELECT page_id, 'input_5', '', '', '', fp || ' > select', '/html/body/
 SELECT 'detailed_analysis' AS "group", name, text_value, id, class, css, xpath, full_xpath, element_type, category, track_id
 FROM r""")
 
-
-# The rendered customer page as a tree (tag, children); the error box
-# (div + p) exists only for negative balances.
-def _customer_page_tree(neg: bool):
-    form = ("form", [("input", []), ("input", []), ("input", []),
-                     ("select", [("option", []), ("option", []), ("option", [])]),
-                     ("textarea", []), ("button", []), ("input", [])])
-    table1 = ("table", [("tr", [("th", []), ("th", [])]), ("tr", [("td", []), ("td", [])])])
-    table2 = ("table", [("tr", [("td", []), ("td", []), ("td", [])]), ("tr", [("td", [])])])
-    main = [("h2", []), form, table1, table2, ("img", [])]
-    if neg:
-        main += [("div", []), ("p", [])]
-    main += [("a", []), ("a", [])]
-    head = ("head", [("meta", []), ("title", []), ("meta", []), ("meta", []), ("meta", [])])
-    body = ("body", [("header", [("a", [])]), ("div", [("a", [])]), ("main", main)])
-    return ("html", [head, body])
-
-
-def _preorder(tree):
-    rows = []
-
-    def walk(node, parent, depth):
-        idx = len(rows)
-        rows.append((idx, parent, depth, node[0]))
-        for child in node[1]:
-            walk(child, idx, depth + 1)
-    walk(tree, None, 0)
-    return rows
-
-
-def _values(rows):
-    return ", ".join(f"({i}, {'NULL' if p is None else p}, {d}, '{t}')" for i, p, d, t in rows)
-
-
-register("elements_rt", f"""
-WITH {CUSTOMER_PAGE},
-t0 AS (SELECT * FROM (VALUES {_values(_preorder(_customer_page_tree(False)))}) t(idx, parent_idx, depth, tag)),
-t1 AS (SELECT * FROM (VALUES {_values(_preorder(_customer_page_tree(True)))}) t(idx, parent_idx, depth, tag))
-SELECT page_id, CAST(idx AS INTEGER) AS idx, CAST(parent_idx AS INTEGER) AS parent_idx, CAST(depth AS INTEGER) AS depth, tag
-FROM c, t0 WHERE NOT neg
-UNION ALL
-SELECT page_id, CAST(idx AS INTEGER), CAST(parent_idx AS INTEGER), CAST(depth AS INTEGER), tag FROM c, t1 WHERE neg""")
+# ---- whole element tables and selectors ------------------------------------------------
+for _name, _sql in {**rendered_queries(CUSTOMER_PAGE), **parsed_queries(CLEAN_HTML, _unescape)}.items():
+    if _name != "css_selector":  # has its own SQL above
+        register(_name, _sql)
+        register(f"{_name}_all", _sql)
