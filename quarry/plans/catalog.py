@@ -610,10 +610,10 @@ def q_registry_csv(spark, sf_dir):
 
 @query("latest_file")
 def q_latest_file(spark, sf_dir):
-    path = fx.write_order_report(spark, load_table(spark, sf_dir, "orders"), "utf-8", junk_line=False)
-    listing = rpt.list_files(spark, path)
+    """S5 over folders of several files: empty newest ones and partial downloads among them."""
+    listing = rpt.list_files(spark, fx.write_landing_folders(spark, load_table(spark, sf_dir, "orders")))
     return rpt.latest_file(listing, extensions=[".csv"]).select(
-        F.regexp_extract("dir", r"part=(\d+)$", 1).cast("long").alias("part"), (F.col("length") > 0).alias("non_empty"))
+        F.regexp_extract("dir", r"part=(\d+)$", 1).cast("long").alias("part"), "length")
 
 
 @query("new_files")
@@ -628,16 +628,26 @@ def q_new_files(spark, sf_dir):
 
 @query("schema_document")
 def q_schema_document(spark, sf_dir):
+    """Both parts of the document, an entry of each per column."""
     doc = sk.schema_document(si.schema_table(report(spark, sf_dir, "orders", "o_orderkey")))
     entry = "struct<COLUMN_ORIGIN_NAME:string,DATA_TYPE:string,COLUMN_AFTER_NAME:string,DESCRIPTION:string," \
             "SAMPLE_DATA:string,CONSISTENCY_RATE:double,INCONSISTENT_COUNT:bigint,INCONSISTENT_SAMPLES:array<string>>"
-    parsed = doc.select(F.explode(F.from_json(F.get_json_object("document", "$.schema"), f"array<{entry}>")).alias("s"))
-    return _flat_schema(parsed.select("s.*"))
+    result = "struct<column_name:string,data_type:string,consistency_rate:double,inconsistent_count:bigint>"
+    parsed = doc.select(F.from_json("document", f"schema array<{entry}>, consistency_results array<{result}>").alias("d"))
+    both = parsed.select(F.posexplode(F.arrays_zip("d.schema", "d.consistency_results")).alias("pos", "z"))
+    part = both.select("pos", "z.consistency_results.*").select(
+        "pos", F.col("column_name").alias("result_column"), F.col("data_type").alias("result_type"),
+        F.col("consistency_rate").alias("result_rate"), F.col("inconsistent_count").alias("result_count"))
+    samples = F.array_join("INCONSISTENT_SAMPLES", "|").alias("INCONSISTENT_SAMPLES")
+    return both.select("pos", "z.schema.*").withColumn("INCONSISTENT_SAMPLES", samples).join(part, "pos")
 
 
 @query("selector_export")
 def q_selector_export(spark, sf_dir):
-    return sk.selector_csv_frame(sl.selector_table(_rt_elements(spark, sf_dir, shared=True)))
+    """The CSV written and read back."""
+    path = fx.scratch_dir(spark, "selector-export")
+    sk.write_selector_exports(materialize(sl.selector_table(_rt_elements(spark, sf_dir, shared=True))), path)
+    return sk.read_selector_csv(spark, path)
 
 
 @query("report_target")
@@ -699,33 +709,7 @@ def q_elements_rt(spark, sf_dir):
     return _whole_elements(_rt_elements(spark, sf_dir))
 
 
-@query("schema_document_all")
-def q_schema_document_all(spark, sf_dir):
-    """An entry of both parts of the document per column."""
-    doc = sk.schema_document(si.schema_table(report(spark, sf_dir, "orders", "o_orderkey")))
-    parts = F.from_json("document", "schema array<string>, consistency_results array<string>")
-    return doc.select(parts.alias("d")).select(F.posexplode(F.arrays_zip("d.schema", "d.consistency_results")).alias("pos", "z")) \
-        .select("pos", "z.schema", "z.consistency_results")
-
-
-@query("latest_file_all")
-def q_latest_file_all(spark, sf_dir):
-    """S5 over several files per folder: orders landed twice, the second time with a
-    junk line, and in every third folder an empty newest file. (Spark lists no empty
-    files, so those are rows of the listing.)"""
-    orders = load_table(spark, sf_dir, "orders")
-    part = F.regexp_extract("dir", r"part=(\d+)$", 1).cast("long")
-    listings = [rpt.list_files(spark, fx.write_order_report(spark, orders, "utf-8", junk_line=junk)).withColumn("landed", F.lit(k))
-                for k, junk in ((1, False), (2, True))]
-    both = listings[0].unionByName(listings[1])
-    empty = (listings[1].where(part % 3 == 0).withColumn("length", F.lit(0).cast("long")).withColumn("landed", F.lit(3))
-             .withColumn("modificationTime", F.col("modificationTime") + F.expr("interval 1 minute")))
-    files = both.unionByName(empty).withColumn("path", F.concat("path", F.lit("#"), "landed")).withColumn("dir", part.cast("string"))
-    return rpt.latest_file(files, extensions=[".csv"]).select(
-        F.col("dir").cast("long").alias("part"), F.regexp_extract("path", r"#(\d)$", 1).cast("int").alias("landed"), "length")
-
-
 # names of the round before for the same whole results
 for _name in ("elements", "elements_rt", "xpath", "element_selectors", "reliable_selectors", "best_selector", "element_category",
-              "css_path", "xpath_unified"):
+              "css_path", "xpath_unified", "schema_document", "latest_file"):
     QUERIES[f"{_name}_all"] = QUERIES[_name]

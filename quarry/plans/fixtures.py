@@ -380,13 +380,13 @@ def write_many_headers(spark, part: DataFrame) -> str:
 
 
 def write_order_report(spark, orders: DataFrame, encoding: str = "cp932", junk_line: bool = True,
-                       file_rows: int = ORDER_REPORT_FILE_ROWS) -> str:
+                       file_rows: int = ORDER_REPORT_FILE_ROWS, path: str | None = None) -> str:
     """Land ``orders`` as report CSV files, one per block of ``file_rows``
     consecutive keys (folder ``part=k``, k = key div file_rows), so the
     number of files grows with the table and no task writes more than one
     block: an optional junk first line, a header line, then the rows in
-    key order. Returns the folder."""
-    path = scratch_dir(spark, "orders-report")
+    key order. Returns the folder (``path``, where given, gets the files beside those that it has)."""
+    path = path or scratch_dir(spark, "orders-report")
     k = F.floor(F.col("o_orderkey") / F.lit(file_rows)).cast("long")
     fields = [F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.col("o_orderstatus"),
               F.format_string("%.2f", F.col("o_totalprice")), F.date_format("o_orderdate", "yyyy-MM-dd"),
@@ -404,6 +404,22 @@ def write_order_report(spark, orders: DataFrame, encoding: str = "cp932", junk_l
     _ensure_charsets(spark, encoding)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (lines.repartition(n, "part").sortWithinPartitions("part", "seq", "key").select("part", "line")
-     .write.mode("overwrite").partitionBy("part").option("encoding", encoding).option("quote", "")
+     .write.mode("append").partitionBy("part").option("encoding", encoding).option("quote", "")
      .option("sep", "\u0001").option("header", False).csv(path))
     return path
+
+
+def write_landing_folders(spark, orders: DataFrame) -> str:
+    """Folders (``part=k``) of several files each: the orders report landed twice, the second time with a
+    junk line, then by k modulo 3: an empty newest file; two of them; a partial download."""
+    path = write_order_report(spark, orders, "utf-8", junk_line=False)
+    write_order_report(spark, orders, "utf-8", junk_line=True, path=path)
+    parts = orders.select(F.floor(F.col("o_orderkey") / F.lit(ORDER_REPORT_FILE_ROWS)).cast("long").alias("part")).distinct()
+    jvm, conf = spark.sparkContext._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for row in parts.toLocalIterator():
+        for name, text in {0: [("z1.csv", b"")], 1: [("z1.csv", b""), ("z2.csv", b"")], 2: [("z1.csv.crdownload", b"half")]}[row.part % 3]:
+            at = jvm.org.apache.hadoop.fs.Path(f"{path}/part={row.part}/{name}")
+            out = at.getFileSystem(conf).create(at)
+            out.write(bytearray(text))
+            out.close()
+    return path

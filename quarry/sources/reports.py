@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import datetime as _dt
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -260,13 +261,31 @@ def encoding_of_bytes(df: DataFrame, content: str = "content") -> DataFrame:
     return df.withColumn("encoding", _detect_encoding(F.encode(head, "ISO-8859-1")))
 
 
-def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """File listing (path, name, dir, length, modificationTime); contents
-    are not read."""
+def list_files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
+    """File listing (path, name, dir, length, modificationTime), empty files too; contents
+    are not read. Spark's scans leave files of no bytes out of their partitions, so those
+    are the paths of the file index (which the driver holds for every source) that the scan doesn't
+    return; only their times are asked of the file system one by one."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         r = r.option("pathGlobFilter", glob)
-    df = r.load(path).select("path", "length", "modificationTime")
+    index = r.load(path)
+    df = index.select("path", "length", "modificationTime")
+    indexed = sorted(index.inputFiles())
+    if indexed:
+        every = spark.createDataFrame([(unquote(p),) for p in indexed], "path string").select(plain_path("path").alias("path"))
+        empty = [p for p, in every.join(df.select(plain_path("path").alias("path")), "path", "left_anti").collect()]
+        if empty:
+            jvm = spark.sparkContext._jvm
+            conf = spark._jsparkSession.sessionState().newHadoopConf()
+            rows = []
+            for p in empty:
+                at = jvm.org.apache.hadoop.fs.Path(p)
+                status = at.getFileSystem(conf).getFileStatus(at)
+                rows.append((p, status.getLen(), status.getModificationTime()))
+            found = spark.createDataFrame(rows, "path string, length long, ms long").filter("length = 0")
+            df = df.withColumn("path", plain_path("path")).unionByName(
+                found.select("path", "length", F.timestamp_millis("ms").alias("modificationTime")))
     return with_names(df)
 
 

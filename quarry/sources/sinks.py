@@ -14,7 +14,7 @@ everything kept.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SELECTOR_CSV_COLUMNS = ("group", "name", "text_value", "id", "class", "css", "xpath", "full_xpath",
@@ -47,22 +47,20 @@ def write_schema_document(schema: DataFrame, cells: DataFrame, path: str) -> str
     return path
 
 
-#: data attributes that become columns of their own
-MAX_DATA_COLUMNS = 500
-
 
 def selector_csv_frame(selectors: DataFrame, data_keys: list[str] | None = None,
-                       max_columns: int = MAX_DATA_COLUMNS) -> DataFrame:
+                       max_columns: int | None = None) -> DataFrame:
     """The CSV layout as a DataFrame of strings. ``data_keys`` (the
     data-attribute keys that become columns, sorted) is looked up from the
-    data when not given. A file has at most ``max_columns`` of them, the first
-    by name; if there are more, the rest of an element's attributes stay
+    data when not given: every key is a column, as a CSV's layout needs. With ``max_columns``
+    only the first so many by name are, and the rest of an element's attributes stay
     together as JSON in a column ``data_other``."""
     more = False
     if data_keys is None:
         keys = selectors.select(F.explode(F.map_keys("data")).alias("k")).distinct().orderBy("k")
-        data_keys = sorted(r["k"] for r in keys.limit(max_columns + 1).collect())
-        more, data_keys = len(data_keys) > max_columns, data_keys[:max_columns]
+        data_keys = sorted(r["k"] for r in (keys if max_columns is None else keys.limit(max_columns + 1)).collect())
+        if max_columns is not None:
+            more, data_keys = len(data_keys) > max_columns, data_keys[:max_columns]
 
     def clean(c):
         return F.regexp_replace(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")), "[\r\n]+", " ")
@@ -83,3 +81,8 @@ def write_selector_exports(selectors: DataFrame, path: str) -> str:
         f"{path}/csv")
     selectors.write.mode("overwrite").json(f"{path}/json")
     return path
+
+
+def read_selector_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The CSV of ``write_selector_exports`` as written: text columns, empty fields as empty text."""
+    return spark.read.option("header", True).option("nullValue", "\u0000").csv(f"{path}/csv")
