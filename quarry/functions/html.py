@@ -48,13 +48,27 @@ class _Tree(HTMLParser):
         self.parent: list[int] = []
         self.own: list[list[str]] = []
         self.stack: list[int] = []
-        self.chunks: list[tuple[int, str]] = []  # (element, text) in document order
+        self.chunks: list[str] = []  # text in document order
+        self.length = 0
+        # what an element holds: elements [i, end[i]) and the page text [text_from[i], text_to[i])
+        self.end: list[int] = []
+        self.text_from: list[int] = []
+        self.text_to: list[int] = []
+
+    def _close(self, elements: list[int]) -> None:
+        for i in elements:
+            self.end[i], self.text_to[i] = len(self.tags), self.length
+
+    def _cut(self, pos: int) -> None:
+        """Close the open elements from a place in the stack on."""
+        self._close(self.stack[pos:])
+        del self.stack[pos:]
+
+    def finish(self) -> None:
+        self._cut(0)
 
     def _pop_to(self, i: int) -> None:
-        while self.stack:
-            top = self.stack.pop()
-            if top == i:
-                break
+        self._cut(self.stack.index(i))
 
     def _close_implied(self, tag: str) -> None:
         if tag in CLOSES_P:
@@ -89,18 +103,21 @@ class _Tree(HTMLParser):
         self.attrs.append(d)
         self.parent.append(self.stack[-1] if self.stack else -1)
         self.own.append([])
+        self.end.append(i + 1)
+        self.text_from.append(self.length)
+        self.text_to.append(self.length)
         if tag not in VOID:
             self.stack.append(i)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.stack and self.tags[self.stack[-1]] == tag:
-            self.stack.pop()
+            self._cut(len(self.stack) - 1)
 
     def handle_endtag(self, tag):
         for pos in range(len(self.stack) - 1, -1, -1):
             if self.tags[self.stack[pos]] == tag:
-                del self.stack[pos:]
+                self._cut(pos)
                 return
 
     def handle_data(self, data):
@@ -110,24 +127,39 @@ class _Tree(HTMLParser):
         if self.tags[cur] in RAW_TEXT:
             return
         self.own[cur].append(data)
-        self.chunks.append((cur, data))
+        self.chunks.append(data)
+        self.length += len(data)
 
 
-def parse_elements(html: str | None) -> list[tuple]:
-    """Element rows of one page:
-    (idx, parent_idx, depth, tag, id, class, attrs, own_text, text,
-     nth_child, n_child, nth_tag, n_same, anc, visible)
-    ``anc`` lists (tag, id, class, nth_tag, n_same, nth_child, n_child, role,
-    name, data-* attributes) from the root down to the element itself.
-    """
-    if not html:
-        return []
+def parse_tree(html: str) -> _Tree:
     p = _Tree()
     try:
         p.feed(html)
         p.close()
     except Exception:  # noqa: BLE001 - a broken tail keeps what was parsed
         pass
+    p.finish()
+    return p
+
+
+def page_text(html: str | None) -> str:
+    """The text of all elements in document order, which ``text_from`` and ``text_to`` count in."""
+    return "".join(parse_tree(html).chunks) if html else ""
+
+
+def parse_elements(html: str | None, tags: frozenset[str] | None = None, text: bool = True, ancestors: bool = True) -> list[tuple]:
+    """Element rows of one page:
+    (idx, parent_idx, depth, tag, id, class, attrs, own_text, text,
+     nth_child, n_child, nth_tag, n_same, anc, visible, end_idx, text_from, text_to)
+    ``anc`` lists (tag, id, class, nth_tag, n_same, nth_child, n_child, role,
+    name, data-* attributes) from the root down to the element itself. Only
+    elements of ``tags`` get a row, where given; ``text`` and ``anc`` are built only
+    where asked for (None otherwise). An element's descendants are those with idx below
+    its ``end_idx``, and its text is the page text from ``text_from`` to ``text_to``.
+    """
+    if not html:
+        return []
+    p = parse_tree(html)
     n = len(p.tags)
     children: list[list[int]] = [[] for _ in range(n)]
     roots: list[int] = []
@@ -146,17 +178,22 @@ def parse_elements(html: str | None) -> list[tuple]:
             seen[p.tags[s]] = seen.get(p.tags[s], 0) + 1
             nth_child[s], n_child[s] = pos, len(sibs)
             nth_tag[s], n_same[s] = seen[p.tags[s]], counts[p.tags[s]]
-    # descendant text: every text chunk belongs to its element and all
-    # ancestors; accumulate bottom-up in document order.
-    text_parts: list[list[str]] = [[] for _ in range(n)]
-    for el, data in p.chunks:
-        a = el
-        while a >= 0:
-            text_parts[a].append(data)
-            a = p.parent[a]
+    whole = "".join(p.chunks) if text else ""
     depth = [0] * n
     visible = [True] * n
-    anc: list[list[tuple]] = [None] * n  # type: ignore[list-item]
+
+    def me(i):
+        a = p.attrs[i]
+        return (p.tags[i], a.get("id"), a.get("class"), nth_tag[i], n_same[i], nth_child[i], n_child[i],
+                a.get("role"), a.get("name"), {k: v for k, v in a.items() if k.startswith("data-")})
+
+    def line(i):
+        out = []
+        while i >= 0:
+            out.append(me(i))
+            i = p.parent[i]
+        return out[::-1]
+
     rows = []
     for i in range(n):
         par = p.parent[i]
@@ -166,11 +203,8 @@ def parse_elements(html: str | None) -> list[tuple]:
                   or (p.tags[i] == "input" and a.get("type", "").lower() == "hidden")
                   or bool(_HIDDEN_STYLE.search(a.get("style", ""))))
         visible[i] = (visible[par] if par >= 0 else True) and not hidden
-        data = {k: v for k, v in a.items() if k.startswith("data-")}
-        me = (p.tags[i], a.get("id"), a.get("class"), nth_tag[i], n_same[i], nth_child[i], n_child[i],
-              a.get("role"), a.get("name"), data)
-        anc[i] = (anc[par] if par >= 0 else []) + [me]
-        rows.append((i, par if par >= 0 else None, depth[i], p.tags[i], a.get("id"), a.get("class"), a,
-                     "".join(p.own[i]), "".join(text_parts[i]),
-                     nth_child[i], n_child[i], nth_tag[i], n_same[i], anc[i], visible[i]))
+        if tags is None or p.tags[i] in tags:
+            rows.append((i, par if par >= 0 else None, depth[i], p.tags[i], a.get("id"), a.get("class"), a, "".join(p.own[i]),
+                         whole[p.text_from[i]:p.text_to[i]] if text else None, nth_child[i], n_child[i], nth_tag[i], n_same[i],
+                         line(i) if ancestors else None, visible[i], p.end[i], p.text_from[i], p.text_to[i]))
     return rows

@@ -3,10 +3,9 @@
 All selector strings are built from the element's ancestor path with array
 functions (``slice``, ``transform``, ``array_join``); nothing walks a DOM.
 The only cross-element fact a selector needs is whether a class list is
-unique in its page; that is a count of elements whose class set contains
-it (see ``class_superset_counts``: class subsets for elements with few
-classes, a class join against the page's distinct class sets for elements
-with many; no pairs of elements are formed).
+unique in its page; that is a count over the
+intersected bitmaps of its classes (see ``class_superset_counts``; no pairs of elements
+or sets are formed).
 """
 
 from __future__ import annotations
@@ -63,25 +62,32 @@ def class_key(c: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(classes(c))), ".")
 
 
+#: elements that one word of a bitmap holds
+WORD = 62
+
+
 def class_superset_counts(elements: DataFrame) -> DataFrame:
     """(page_id, class_key, n_containing): how many elements of the page have
     all the classes of ``class_key``, for every key that is some element's
     full class set (the keys the CSS rule looks up).
 
-    Elements are first counted per distinct class set. A set is then looked
-    up by its rarest class in the page - the one that the fewest distinct
-    sets hold - and only those sets are checked for containing the rest.
+    Each class of a page has a bitmap of the elements that have it (words of ``WORD`` bits, only
+    those with a bit). The bitmaps of a set's classes are intersected, the shortest first, and the bits
+    left are counted. A set meets one row per class of its own, however many other sets share the class.
     """
     cls = F.array_sort(F.array_distinct(classes(F.col("class"))))
-    sets = (elements.select("page_id", cls.alias("_c")).filter(F.size("_c") > 0)
-            .groupBy("page_id", "_c").agg(F.count(F.lit(1)).alias("_n")))
-    by_class = sets.select("page_id", "_c", "_n", F.explode("_c").alias("_cls"))
-    held = by_class.groupBy("page_id", "_cls").agg(F.count(F.lit(1)).alias("_held"))
-    rarest = (by_class.join(held, ["page_id", "_cls"]).groupBy("page_id", "_c")
-              .agg(F.min(F.struct("_held", "_cls")).alias("_r")).select("page_id", F.col("_c").alias("_k"), "_r._cls"))
-    return (rarest.join(by_class, ["page_id", "_cls"]).filter(F.size(F.array_except("_k", "_c")) == 0)
-            .groupBy("page_id", F.array_join("_k", ".").alias("class_key"))
-            .agg(F.sum("_n").alias("n_containing")))
+    held = elements.select("page_id", "idx", cls.alias("_c")).filter(F.size("_c") > 0)
+    each = held.select("page_id", "idx", F.explode("_c").alias("_cls"))
+    words = each.groupBy("page_id", "_cls", F.floor(F.col("idx") / F.lit(WORD)).cast("int").alias("_w")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, idx % {WORD})")).alias("_b"))
+    postings = words.groupBy("page_id", "_cls").agg(F.map_from_entries(F.collect_list(F.struct("_w", "_b"))).alias("_bits"))
+    sets = held.select("page_id", "_c").distinct().select("page_id", "_c", F.explode("_c").alias("_cls"))
+    met = sets.join(postings, ["page_id", "_cls"]).groupBy("page_id", "_c").agg(F.array_sort(
+        F.collect_list("_bits"), lambda a, b: F.size(a) - F.size(b)).alias("_all"))
+    left = F.aggregate(F.slice("_all", 2, F.greatest(F.size("_all") - 1, F.lit(0))), F.get("_all", F.lit(0)), lambda a, b: F.map_filter(
+        F.transform_values(a, lambda w, x: F.coalesce(x.bitwiseAND(F.try_element_at(b, w)), F.lit(0).cast("long"))), lambda _, x: x != 0))
+    n = F.aggregate(F.map_values(left), F.lit(0).cast("long"), lambda n, x: n + F.bit_count(x))
+    return met.select("page_id", F.array_join("_c", ".").alias("class_key"), n.alias("n_containing"))
 
 
 def css_selector(elements: DataFrame, targets: DataFrame | None = None) -> DataFrame:

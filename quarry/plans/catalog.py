@@ -25,7 +25,7 @@ from quarry.plans.fixtures import report_runs, report_text, result_documents
 from quarry.session import load_table, materialize
 from quarry.sources import reports as rpt
 from quarry.sources import sinks as sk
-from quarry.sources.pages import extract_elements
+from quarry.sources.pages import COMPACT, extract_elements, page_texts, with_ancestors, with_text
 from quarry.sources.results_json import parse_result_documents, read_result_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -318,15 +318,15 @@ def q_sensitive_summary_rt(spark, sf_dir):
 # ---- H1-H31 -------------------------------------------------------------------
 
 
-def _elements(spark, sf_dir, shared: bool = False):
+def _elements(spark, sf_dir, shared: bool = False, columns=None, tags=None):
     """Element table of the real pages; ``shared`` writes it once for plans
-    that read it in several branches."""
-    el = extract_elements(load_table(spark, sf_dir, "pages"))
+    that read it in several branches, ``columns`` and ``tags`` are all that the parse builds."""
+    el = extract_elements(load_table(spark, sf_dir, "pages"), columns=columns, tags=tags)
     return materialize(el) if shared else el
 
 
-def _rt_elements(spark, sf_dir, shared: bool = False):
-    el = extract_elements(fx.customer_pages(load_table(spark, sf_dir, "customer")))
+def _rt_elements(spark, sf_dir, shared: bool = False, columns=None, tags=None):
+    el = extract_elements(fx.customer_pages(load_table(spark, sf_dir, "customer")), columns=columns, tags=tags)
     return materialize(el) if shared else el
 
 
@@ -335,6 +335,27 @@ def _whole_elements(el):
                      "own_text", "text", F.to_json("anc").alias("anc"))
 
 
+# what queries ask of the parse: no ancestor paths; paths and no texts
+FLAT = [*COMPACT, "text"]
+PATH = ["page_id", "idx", "tag", "id", "class", "anc"]
+HEADINGS = tuple(f"h{i}" for i in range(1, 7))
+
+
+@query("elements_compact")
+def q_elements_compact(spark, sf_dir):
+    """H1 with the tree as intervals: descendants and text as ranges."""
+    return _elements(spark, sf_dir, columns=COMPACT).select(
+        "page_id", "idx", "end_idx", "parent_idx", "depth", "tag", F.to_json("attrs").alias("attrs"), "own_text", "text_from", "text_to")
+
+
+@query("element_paths")
+def q_element_paths(spark, sf_dir):
+    """Texts and ancestor paths of the compact table's elements, from the intervals."""
+    el = _elements(spark, sf_dir, shared=True, columns=COMPACT)
+    out = with_text(with_ancestors(el, el), page_texts(load_table(spark, sf_dir, "pages")))
+    return out.select("page_id", "idx", "tag", "text", F.to_json("anc").alias("anc"))
+
+
 @query("elements")
 def q_elements(spark, sf_dir):
     """H1 on the real pages: the tree, attributes, texts and ancestors."""
@@ -343,18 +364,18 @@ def q_elements(spark, sf_dir):
 
 @query("page_summary")
 def q_page_summary(spark, sf_dir):
-    return pe.page_summary(_elements(spark, sf_dir), ["links", "headings", "forms", "images", "tables"],
+    return pe.page_summary(_elements(spark, sf_dir, columns=FLAT), ["links", "headings", "forms", "images", "tables"],
                            pages=load_table(spark, sf_dir, "pages"))
 
 
 @query("page_summary_rt")
 def q_page_summary_rt(spark, sf_dir):
-    return pe.page_summary(_rt_elements(spark, sf_dir), pages=fx.customer_pages(load_table(spark, sf_dir, "customer")))
+    return pe.page_summary(_rt_elements(spark, sf_dir, columns=FLAT), pages=fx.customer_pages(load_table(spark, sf_dir, "customer")))
 
 
 @query("headings")
 def q_headings(spark, sf_dir):
-    return pe.headings(_elements(spark, sf_dir)).select("page_id", "level", "ordinal", "text")
+    return pe.headings(_elements(spark, sf_dir, columns=FLAT, tags=HEADINGS)).select("page_id", "level", "ordinal", "text")
 
 
 @query("forms")
@@ -376,29 +397,29 @@ def q_inputs(spark, sf_dir):
 
 @query("buttons")
 def q_buttons(spark, sf_dir):
-    return pe.buttons(_rt_elements(spark, sf_dir)).select("page_id", "tag", "id", "text", "type")
+    return pe.buttons(_rt_elements(spark, sf_dir, columns=FLAT, tags=("a", "button", "input"))).select("page_id", "tag", "id", "text", "type")
 
 
 @query("links")
 def q_links(spark, sf_dir):
-    return pe.links(_elements(spark, sf_dir)).select(
+    return pe.links(_elements(spark, sf_dir, columns=FLAT, tags=("a",))).select(
         "page_id", "ordinal", "text", "href", "is_external", "is_external_page")
 
 
 @query("links_rt")
 def q_links_rt(spark, sf_dir):
-    return pe.links(_rt_elements(spark, sf_dir)).select(
+    return pe.links(_rt_elements(spark, sf_dir, columns=FLAT, tags=("a",))).select(
         "page_id", "ordinal", "text", "href", "title", "target", "is_external", "is_external_page")
 
 
 @query("images")
 def q_images(spark, sf_dir):
-    return pe.images(_rt_elements(spark, sf_dir)).select("page_id", "src", "alt", "title", "width", "height")
+    return pe.images(_rt_elements(spark, sf_dir, columns=COMPACT, tags=("img",))).select("page_id", "src", "alt", "title", "width", "height")
 
 
 @query("meta_tags")
 def q_meta_tags(spark, sf_dir):
-    return pe.meta_tags(_rt_elements(spark, sf_dir))
+    return pe.meta_tags(_rt_elements(spark, sf_dir, columns=COMPACT, tags=("meta",)))
 
 
 @query("html_tables")
@@ -409,7 +430,7 @@ def q_html_tables(spark, sf_dir):
 
 @query("error_messages")
 def q_error_messages(spark, sf_dir):
-    return pe.error_messages(_rt_elements(spark, sf_dir)).select("page_id", "selector", "text")
+    return pe.error_messages(_rt_elements(spark, sf_dir, columns=FLAT)).select("page_id", "selector", "text")
 
 
 @query("login_error_message")
@@ -431,7 +452,7 @@ def q_interactive(spark, sf_dir):
 
 @query("text_search")
 def q_text_search(spark, sf_dir):
-    return pe.text_search(_elements(spark, sf_dir), "th", tags=["a", "h1", "title", "div"]).select(
+    return pe.text_search(_elements(spark, sf_dir, tags=("a", "h1", "title", "div")), "th", tags=["a", "h1", "title", "div"]).select(
         "page_id", "tag", "own_text")
 
 
@@ -450,12 +471,12 @@ def q_text_search_best(spark, sf_dir):
 
 @query("css_selector")
 def q_css_selector(spark, sf_dir):
-    return sl.css_selector(_rt_elements(spark, sf_dir, shared=True)).select("page_id", "tag", "css")
+    return sl.css_selector(_rt_elements(spark, sf_dir, shared=True, columns=PATH)).select("page_id", "tag", "css")
 
 
 @query("xpath")
 def q_xpath(spark, sf_dir):
-    return sl.add_xpaths(_elements(spark, sf_dir)).select("page_id", "idx", "tag", "xpath", "xpath_soup", "full_xpath")
+    return sl.add_xpaths(_elements(spark, sf_dir, columns=PATH)).select("page_id", "idx", "tag", "xpath", "xpath_soup", "full_xpath")
 
 
 def _element_selectors(spark, sf_dir):
@@ -471,7 +492,7 @@ def q_element_selectors(spark, sf_dir):
 def q_reliable_selectors(spark, sf_dir):
     rel = sl.reliable_selectors(F.col("tag"), F.col("text"), F.col("id"), F.col("class"),
                                 F.map_filter(F.col("attrs"), lambda k, v: k.startswith("data-")))
-    return _rt_elements(spark, sf_dir).select("page_id", "idx", "tag", F.posexplode(rel).alias("pos", "sel")).select(
+    return _rt_elements(spark, sf_dir, columns=FLAT).select("page_id", "idx", "tag", F.posexplode(rel).alias("pos", "sel")).select(
         "page_id", "idx", "tag", "pos", "sel.type", "sel.value")
 
 
@@ -487,7 +508,7 @@ def q_best_selector(spark, sf_dir):
 
 @query("element_category")
 def q_element_category(spark, sf_dir):
-    return sl.element_category(_rt_elements(spark, sf_dir)).select("page_id", "idx", "tag", "category", "category_detailed")
+    return sl.element_category(_rt_elements(spark, sf_dir, columns=PATH)).select("page_id", "idx", "tag", "category", "category_detailed")
 
 
 @query("page_structure")
@@ -506,7 +527,7 @@ def q_dedup_elements(spark, sf_dir):
 
 @query("category_summary")
 def q_category_summary(spark, sf_dir):
-    return pe.category_summary(sl.element_category(_rt_elements(spark, sf_dir)))
+    return pe.category_summary(sl.element_category(_rt_elements(spark, sf_dir, columns=PATH)))
 
 
 @query("selector_table")
@@ -700,7 +721,7 @@ def q_xpath_unified(spark, sf_dir):
 @query("element_counts")
 def q_element_counts(spark, sf_dir):
     """H1 on the real pages: elements per (page, tag)."""
-    return _elements(spark, sf_dir).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+    return _elements(spark, sf_dir, columns=("page_id", "tag")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("elements_rt")

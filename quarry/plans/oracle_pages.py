@@ -322,6 +322,14 @@ def parsed_queries(clean_html: str, unescape) -> dict[str, str]:
     base = "WITH RECURSIVE " + parsed_pages(clean_html, unescape).strip()
     return {
         "elements": f"{base}\nSELECT page_id, idx, parent_idx, depth, tag, id, class, attrs, own_text, text, anc FROM el",
+        "elements_compact": f"""{base},
+ranges AS (SELECT page_id, top AS idx, max(low) + 1 AS end_idx FROM (SELECT page_id, unnest(line) AS top, idx AS low FROM down) GROUP BY ALL),
+starts AS (SELECT page_id, idx, coalesce(sum(length(own_text)) OVER (PARTITION BY page_id ORDER BY idx
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS text_from FROM me)
+SELECT el.page_id, el.idx, CAST(r.end_idx AS INTEGER) AS end_idx, parent_idx, depth, tag, attrs, own_text,
+       CAST(s.text_from AS INTEGER) AS text_from, CAST(s.text_from + length(text) AS INTEGER) AS text_to
+FROM el JOIN ranges r ON r.page_id = el.page_id AND r.idx = el.idx JOIN starts s ON s.page_id = el.page_id AND s.idx = el.idx""",
+        "element_paths": f"{base}\nSELECT page_id, idx, tag, text, anc FROM el",
         "xpath": f"{base}\nSELECT page_id, idx, tag, CASE WHEN coalesce(id, '') <> '' THEN '//*[@id=''' || id || ''']' ELSE '/' || steps END AS xpath, "
                  "'//' || steps AS xpath_soup, '//*/' || steps AS full_xpath FROM el",
     }

@@ -957,6 +957,7 @@ FROM r""")
 for _name, _sql in {**rendered_queries(CUSTOMER_PAGE), **parsed_queries(CLEAN_HTML, _unescape)}.items():
     if _name != "css_selector":  # has its own SQL above
         register(_name, _sql)
-        register(f"{_name}_all", _sql)
+        if _name not in ("elements_compact", "element_paths"):
+            register(f"{_name}_all", _sql)
 for _name in ("schema_document", "latest_file"):
     register(f"{_name}_all", ORACLE[_name])

@@ -5,15 +5,26 @@ is plain DataFrame work partitioned by ``page_id``. Parsing runs in
 ``mapInArrow`` tasks over the page partitions (no shuffle); output batches
 are flushed every few hundred pages so a partition of large pages never
 sits in memory at once.
+
+An operator that reads few columns, or elements of few kinds, asks the parse for just
+those (``columns``, ``tags``): texts and ancestor paths are then not even built.
+
+``COMPACT`` columns encode the tree by intervals: an element's descendants are the
+elements [idx, end_idx), its text the page text [text_from, text_to). Such a table is linear in the
+page however deep it is nested (texts and ancestors copied into every row are not);
+``with_text`` and ``with_ancestors`` give them back to the elements that need them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.html import parse_elements
+from quarry.functions.html import page_text, parse_elements
 from quarry.session import ship_package, spread
 
 ANC = T.StructType([
@@ -34,7 +45,9 @@ ELEMENT_SCHEMA = T.StructType([
     T.StructField("nth_tag", T.IntegerType()), T.StructField("n_same", T.IntegerType()),
     T.StructField("anc", T.ArrayType(ANC)),
     T.StructField("visible", T.BooleanType()),
+    T.StructField("end_idx", T.IntegerType()), T.StructField("text_from", T.IntegerType()), T.StructField("text_to", T.IntegerType()),
 ])
+COMPACT = [c for c in ELEMENT_SCHEMA.fieldNames() if c not in ("text", "anc")]
 
 _ANC_ARROW = pa.struct([("tag", pa.string()), ("id", pa.string()), ("class", pa.string()),
                         ("nth_tag", pa.int32()), ("n_same", pa.int32()), ("nth_child", pa.int32()),
@@ -45,7 +58,7 @@ _ARROW = pa.schema([
     ("depth", pa.int32()), ("tag", pa.string()), ("id", pa.string()), ("class", pa.string()),
     ("attrs", pa.map_(pa.string(), pa.string())), ("own_text", pa.string()), ("text", pa.string()),
     ("nth_child", pa.int32()), ("n_child", pa.int32()), ("nth_tag", pa.int32()), ("n_same", pa.int32()),
-    ("anc", pa.list_(_ANC_ARROW)), ("visible", pa.bool_()),
+    ("anc", pa.list_(_ANC_ARROW)), ("visible", pa.bool_()), ("end_idx", pa.int32()), ("text_from", pa.int32()), ("text_to", pa.int32()),
 ])
 # a batch is sent on when its rows hold about so many bytes
 FLUSH_BYTES = 8 << 20
@@ -53,40 +66,82 @@ ROW_BYTES, ANCESTOR_BYTES = 200, 150
 _ANC_FIELDS = ("tag", "id", "class", "nth_tag", "n_same", "nth_child", "n_child", "role", "name")
 
 
-def _to_batch(cols: list[list]) -> pa.RecordBatch:
-    arrays = []
-    for field, values in zip(_ARROW, cols):
-        arrays.append(pa.array(values, type=field.type))
-    return pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
-
-
-def _extract(batches):
-    width = len(_ARROW)
-    cols: list[list] = [[] for _ in range(width)]
-    held = 0
-    for rb in batches:
-        pid_col, url_col, html_col = (rb.column(c) for c in ("page_id", "url", "html"))
-        for i in range(rb.num_rows):  # one page's Python objects at a time
-            pid, url, html = pid_col[i].as_py(), url_col[i].as_py(), html_col[i].as_py()
-            for r in parse_elements(html):
-                (idx, par, depth, tag, eid, cls, attrs, own, text, nc, ncs, nt, ns, anc, vis) = r
-                row = (pid, url, idx, par, depth, tag, eid, cls, list(attrs.items()), own, text,
-                       nc, ncs, nt, ns, [dict(zip(_ANC_FIELDS, a[:9]), data=list(a[9].items())) for a in anc], vis)
-                for c, v in zip(cols, row):
-                    c.append(v)
-                held += ROW_BYTES + ANCESTOR_BYTES * len(anc) + len(own or "") + len(text or "")
-                if held >= FLUSH_BYTES:
-                    yield _to_batch(cols)
-                    cols = [[] for _ in range(width)]
-                    held = 0
-    if cols[0]:
-        yield _to_batch(cols)
-
-
-def extract_elements(pages: DataFrame, page_id: str = "page_id", url: str = "url",
-                     html: str = "html") -> DataFrame:
-    """H1: element table (schema ``ELEMENT_SCHEMA``)."""
+def _extract(columns: list[str], tags: frozenset[str] | None):
+    schema = pa.schema([_ARROW.field(c) for c in columns])
+    at = [_ARROW.get_field_index(c) for c in columns]
+    anc_at, attrs_at = _ARROW.get_field_index("anc"), _ARROW.get_field_index("attrs")
+    text, anc = "text" in columns, "anc" in columns
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    def run(batches):
+        rows, held = [], 0
+        for rb in batches:
+            pid_col, url_col, html_col = (rb.column(c) for c in ("page_id", "url", "html"))
+            for i in range(rb.num_rows):  # one page's Python objects at a time
+                pid, url, html = pid_col[i].as_py(), url_col[i].as_py(), html_col[i].as_py()
+                for r in parse_elements(html, tags, text, anc):
+                    row = [pid, url, *r]
+                    row[attrs_at] = list(r[6].items())
+                    if anc:
+                        row[anc_at] = [dict(zip(_ANC_FIELDS, a[:9]), data=list(a[9].items())) for a in r[13]]
+                    rows.append([row[k] for k in at])
+                    held += ROW_BYTES + (ANCESTOR_BYTES * len(r[13]) if anc else 0) + len(r[7]) + (len(r[8]) if text else 0)
+                    if held >= FLUSH_BYTES:
+                        yield batch(rows)
+                        rows, held = [], 0
+        if rows:
+            yield batch(rows)
+    return run
+
+
+def _source(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
     ship_package(pages.sparkSession)
     src = pages.select(pages[page_id].cast("long").alias("page_id"), pages[url].alias("url"),
                        pages[html].alias("html"))
-    return spread(src, "page_id").mapInArrow(_extract, ELEMENT_SCHEMA)
+    return spread(src, "page_id")
+
+
+def extract_elements(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html",
+                     columns: Sequence[str] | None = None, tags: Sequence[str] | None = None) -> DataFrame:
+    """H1: element table (schema ``ELEMENT_SCHEMA``); with ``columns`` only those, with ``tags``
+    only elements of those kinds (their places among their siblings still count all)."""
+    names = ELEMENT_SCHEMA.fieldNames()
+    columns = names if columns is None else [c for c in names if c in set(columns)]
+    schema = T.StructType([ELEMENT_SCHEMA[c] for c in columns])
+    return _source(pages, page_id, url, html).mapInArrow(_extract(columns, frozenset(tags) if tags is not None else None), schema)
+
+
+def page_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """(page_id, page_text): what the elements' ``text_from`` and ``text_to`` count in."""
+    def run(batches):
+        for rb in batches:
+            for i in range(rb.num_rows):
+                yield pa.record_batch([rb.column("page_id").slice(i, 1), pa.array([page_text(rb.column("html")[i].as_py())], pa.string())],
+                                      names=["page_id", "page_text"])
+    return _source(pages, page_id, url, html).mapInArrow(run, "page_id long, page_text string")
+
+
+def with_text(elements: DataFrame, texts: DataFrame) -> DataFrame:
+    """Adds ``text`` to (some) rows of a compact element table, from their pages' texts."""
+    return elements.join(texts, "page_id").withColumn("text", F.substring("page_text", F.col("text_from") + 1, F.col("text_to") - F.col("text_from"))) \
+        .drop("page_text")
+
+
+def with_ancestors(targets: DataFrame, elements: DataFrame) -> DataFrame:
+    """Adds ``anc`` to (some) rows of a compact element table. The ancestor at a depth is the last
+    element of that depth at or before the target in document order, as intervals nest: targets, once per
+    depth above them, and elements are put in one order per page and depth, and each target takes
+    the last element before it. That is as many rows as the paths have steps, and no pairs."""
+    data = F.map_filter("attrs", lambda k, _: F.startswith(k, F.lit("data-")))
+    me = F.struct("tag", "id", "class", "nth_tag", "n_same", "nth_child", "n_child", F.element_at("attrs", F.lit("role")).alias("role"),
+                  F.element_at("attrs", F.lit("name")).alias("name"), data.alias("data"))
+    nodes = elements.select("page_id", F.col("depth").alias("_d"), "idx", F.lit(0).alias("_ask"), me.alias("_me"))
+    asks = targets.select("page_id", F.explode(F.sequence(F.lit(0), "depth")).alias("_d"), "idx", F.lit(1).alias("_ask"),
+                          F.lit(None).cast(nodes.schema["_me"].dataType).alias("_me"))
+    order = Window.partitionBy("page_id", "_d").orderBy("idx", "_ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = nodes.unionByName(asks).withColumn("_me", F.last("_me", ignorenulls=True).over(order)).filter("_ask = 1")
+    paths = found.groupBy("page_id", "idx").agg(F.array_sort(F.collect_list(F.struct("_d", "_me")),
+                                                             lambda a, b: F.signum(a["_d"] - b["_d"]).cast("int")).alias("_p"))
+    return targets.join(paths.select("page_id", "idx", F.transform("_p", lambda x: x["_me"]).alias("anc")), ["page_id", "idx"])
