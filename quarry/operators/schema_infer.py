@@ -213,14 +213,20 @@ def inconsistent_cells(df: DataFrame, rn: str = "rn", stats: DataFrame | None =
     )
 
 
-def schema_table(df: DataFrame, rn: str = "rn", cap: int = SAMPLE_CAP) -> DataFrame:
-    """One row per column in header order, the profiler's record layout.
+def schema_table(df: DataFrame, rn: str = "rn", cap: int = SAMPLE_CAP, coerce: str | None = None) -> DataFrame:
+    """One row per column in header order, the profiler's record layout. ``coerce="pandas"``
+    profiles the cells as pandas hands them on (see ``operators.coerce``), not as the file's text.
 
     Two passes over the table: the vote aggregate, then one that types the
     cells again and keeps, per column, the sample cell and the first ``cap``
     inconsistent cells. The row_number filter trims every map task to ``cap``
     rows per column before the exchange, so a column that holds most of
     the inconsistent cells doesn't land in one task."""
+    if coerce is not None:
+        if coerce != "pandas":
+            raise ValueError(f"unknown coercion {coerce}")
+        from quarry.operators.coerce import as_pandas
+        df = as_pandas(df, rn)
     cols = profiled_columns(df, rn)
     stats = column_stats(type_votes(df, rn), column_list(df, rn), len(cols))
     lookup = per_column(stats.select("col_pos", F.col("data_type").alias("dominant_type"), "sample_rn"),

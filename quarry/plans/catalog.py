@@ -96,6 +96,12 @@ def q_schema_table(spark, sf_dir):
     return _flat_schema(si.schema_table(report(spark, sf_dir, "orders", "o_orderkey")))
 
 
+@query("schema_table_pandas")
+def q_schema_table_pandas(spark, sf_dir):
+    """T7 over cells as pandas hands them on: whole numbers with gaps are floats."""
+    return _flat_schema(si.schema_table(fx.gappy_report(load_table(spark, sf_dir, "events")), coerce="pandas"))
+
+
 @query("low_consistency")
 def q_low_consistency(spark, sf_dir):
     return _flat_schema(si.low_consistency(si.schema_table(fx.uneven_report(load_table(spark, sf_dir, "events")))))

@@ -307,6 +307,15 @@ def uneven_report(events: DataFrame) -> DataFrame:
                          half.alias("half"))
 
 
+def gappy_report(events: DataFrame) -> DataFrame:
+    """Report text of ``events`` (rn = key + 1): whole numbers without gaps, with gaps, and among decimals."""
+    k, user = F.col("event_id"), F.col("user_id").cast("string")
+    money = F.format_string("%.2f", "value")
+    return events.select((k.cast("long") + 1).alias("rn"), k.cast("string").alias("event_id"),
+                         F.when(k % 7 == 0, F.lit("")).otherwise(user).alias("points"),
+                         F.when(k % 3 == 0, money).otherwise(user).alias("amount"), F.col("event_type"))
+
+
 MIXED_FILE_ROWS = 36
 
 

@@ -37,6 +37,10 @@ REPORT_LAYOUTS = {
          CASE WHEN event_id % 7 = 0 THEN '' WHEN event_id % 5 = 0 THEN '2024/01/0' || (event_id % 9 + 1)
            ELSE event_type END AS half FROM events) e""",
                       [("event_id", "int", "event_id"), ("mixed", "str", "mixed"), ("half", "str", "half")]),
+    "events_gappy": ("""(SELECT event_id, event_type, CASE WHEN event_id % 7 <> 0 THEN user_id || '.0' END AS points,
+         CASE WHEN event_id % 3 = 0 THEN CAST(CAST(printf('%.2f', value) AS DOUBLE) AS VARCHAR) ELSE user_id || '.0' END AS amount
+         FROM events) e""",
+                     [("event_id", "int", "event_id"), ("points", "str", "points"), ("amount", "str", "amount"), ("event_type", "str", "event_type")]),
 }
 
 
@@ -160,6 +164,8 @@ SELECT column_name, rn, value FROM bad""")
 
 register("schema_table", schema_table_sql("orders", "o_orderkey"))
 
+register("schema_table_pandas", schema_table_sql("events_gappy", "event_id"))
+
 register("low_consistency", f"""
 SELECT * FROM ({schema_table_sql('events_uneven', 'event_id')}) WHERE CONSISTENCY_RATE < 0.9""")
 
