@@ -696,6 +696,16 @@ def q_stream_arrivals(spark, sf_dir):
     return spark.read.parquet(sink).drop("source_file")
 
 
+@query("stream_landing")
+def q_stream_landing(spark, sf_dir):
+    """ST1 -> S1 -> P1 -> S9: cp932 reports with a junk line, landed batch by batch."""
+    from quarry.plans.flows import StreamLanding
+    src = fx.write_order_report(spark, load_table(spark, sf_dir, "orders"), "cp932", junk_line=True)
+    landing = StreamLanding(spark, fx.scratch_dir(spark, "stream-landing"), RUN_DATE, header_row=2)
+    landing.run(src, fx.scratch_dir(spark, "stream-landing-ckpt"), max_files=20)
+    return landing.rows().select("日付", *[F.col(f"`{c}`") for c in ORDER_COLS])
+
+
 @query("stream_page_changes")
 def q_stream_page_changes(spark, sf_dir):
     from quarry.streaming.page_changes import page_change_stream

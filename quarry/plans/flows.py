@@ -8,6 +8,8 @@
 * ``land_reports``: newly landed report files -> date / traffic filters ->
   report date column -> named snapshot -> outcome (ST1/S6 -> S1 -> P2/P3 ->
   P1 -> S9 -> A6).
+* ``StreamLanding``: the same landing as a stream of file paths; each batch is
+  one snapshot, so a batch that runs again replaces what it wrote.
 
 Each returns the DataFrames it wrote so callers can inspect them.
 """
@@ -75,3 +77,50 @@ def land_reports(spark: SparkSession, before: DataFrame, folder: str, out: str,
     outcome = (fresh.select(rpt.plain_path("path").alias("path")).join(read, "path", "left")
                .select(F.col("n_rows").isNotNull().alias("success")))
     return {"rows": landed, "outcome": rs.outcome_summary(outcome, rule="report")}
+
+
+class StreamLanding:
+    """E3 as a stream (ST1 -> S1 -> P1 -> S9 -> A6): a file stream brings the paths of newly landed reports,
+    at most ``max_files`` a batch; a batch reads them in their encodings and by their headers and lands them as
+    the snapshot named by its id. The file stream's checkpoint remembers the files, and writing a
+    snapshot replaces only that snapshot, so a batch that fails and runs again leaves its rows once."""
+
+    def __init__(self, spark: SparkSession, out: str, run_date, report_date: bool = True, header_row: int = 1):
+        self.spark, self.out, self.run_date, self.report_date, self.header_row = spark, out, run_date, report_date, header_row
+
+    def land(self, files: DataFrame, batch_id: int) -> None:
+        """One batch: ``files`` has a column ``path`` (as many rows as a batch has files)."""
+        paths = sorted(r.path for r in files.select("path").distinct().collect())
+        if not paths:
+            return
+        df = materialize(rpt.read_report_csv(self.spark, paths, encoding="auto", header_row=self.header_row))
+        read = df.groupBy(rpt.plain_path("source_file").alias("path")).agg(F.count(F.lit(1)).alias("n_rows"))
+        every = self.spark.createDataFrame([(p,) for p in paths], "path string").select(rpt.plain_path("path").alias("path"))
+        outcome = every.join(read, "path", "left").select("path", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+        if self.report_date:
+            df = rp.add_report_date(df, self.run_date)
+        stamp = f"{batch_id:010d}"
+        rpt.write_snapshot(df, f"{self.out}/rows", stamp)
+        rpt.write_snapshot(outcome, f"{self.out}/outcome", stamp)
+
+    def run(self, folder: str, checkpoint: str, glob: str = "*.csv", max_files: int = 1000) -> None:
+        """Land what is there and stop; a later run goes on from there."""
+        files = (self.spark.readStream.format("binaryFile")
+                 .schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+                 .option("maxFilesPerTrigger", max_files).load(folder).select("path"))
+        q = (files.writeStream.foreachBatch(self.land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    def rows(self) -> DataFrame:
+        """All landed rows; batches may have other headers. ``snapshot_ts`` is the batch."""
+        return self.spark.read.option("mergeSchema", True).schema(self._schema("rows")).parquet(f"{self.out}/rows")
+
+    def _schema(self, name: str):
+        from pyspark.sql import types as T
+        schema = self.spark.read.option("mergeSchema", True).parquet(f"{self.out}/{name}").schema
+        return T.StructType([T.StructField(f.name, T.StringType()) if f.name == "snapshot_ts" else f for f in schema])
+
+    def outcome(self) -> DataFrame:
+        """A6 over the files: one without a header or any row has not landed."""
+        files = self.spark.read.parquet(f"{self.out}/outcome").select((F.col("n_rows") > 0).alias("success"))
+        return rs.outcome_summary(files, rule="report")

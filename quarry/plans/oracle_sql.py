@@ -869,6 +869,8 @@ SELECT '2024-01-20' AS "日付", CAST(o_orderkey AS VARCHAR) AS "注文番号",
        o_orderpriority AS "優先度"
 FROM orders""")
 
+register("stream_landing", ORACLE["stream_arrivals"])
+
 # ---- selector oracles on the rendered customer pages -----------------------------------
 register("category_summary", f"""
 WITH {CUSTOMER_PAGE},

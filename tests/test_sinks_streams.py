@@ -108,3 +108,73 @@ def test_page_change_order_over_batches():
     assert out[["snapshot", "changed", "first_seen"]].values.tolist() == [[1, True, True], [2, False, False], [3, True, False]]
     late = pd.concat(_track(("u",), iter([batch((2, "z", 9, 9), (4, "c", 1, 1))]), state))
     assert late[["snapshot", "changed"]].values.tolist() == [[4, False]] and state.get[3] == 4
+
+
+def test_snapshots_of_one_url_beyond_memory(monkeypatch):
+    """Sorted runs and their merge give what one sort gives, however the rows arrive."""
+    import random
+
+    import pandas as pd
+
+    from quarry.streaming import page_changes as pc
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+    rng = random.Random(1)
+    rows = [(s, rng.choice("abc"), rng.randint(0, 30), rng.randint(0, 90)) for s in rng.sample(range(1000), 700)]
+    frames = [pd.DataFrame(rows[at:at + 90], columns=["snapshot", "hash", "n_elements", "text_len"]) for at in range(0, 700, 90)]
+    whole = pd.concat(pc._track(("u",), iter(frames), State()))
+    monkeypatch.setattr(pc, "RUN_ROWS", 64)
+    monkeypatch.setattr(pc, "OUT_ROWS", 50)
+    parts = list(pc._track(("u",), iter(frames), State()))
+    assert len(parts) == 15 and max(map(len, parts)) == 50
+    assert pd.concat(parts).values.tolist() == whole.values.tolist() and whole.snapshot.is_monotonic_increasing
+
+
+def test_state_of_dead_urls_expires(spark, tmp_dir):
+    """After its time a url's state is gone: the next snapshot is seen as the first."""
+    import time
+
+    from pyspark.sql import functions as F
+    schema = "url string, snapshot long, hash string, n_elements long, text_len long"
+    src, sink = f"{tmp_dir}/m", f"{tmp_dir}/out"
+
+    def run(rows, expire):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        q = (page_change_stream(stream, emit_unchanged=True, expire_after_ms=expire).writeStream.format("parquet").option("path", sink)
+             .option("checkpointLocation", sink + "-ck").trigger(availableNow=True).start())
+        q.awaitTermination()
+        return {(r.url, r.snapshot): r.first_seen for r in spark.read.parquet(sink).select("*", F.lit(1)).collect()}
+    assert run([("u", 1, "a", 1, 1), (None, 1, "a", 1, 1)], 1500) == {("u", 1): True, (None, 1): True}
+    time.sleep(2)
+    assert run([("u", 2, "a", 1, 1)], 1500)[("u", 2)]
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
+def test_streaming_landing_is_idempotent(spark, tmp_dir):
+    """Files of two encodings and headers land once each; a batch that runs again leaves one snapshot."""
+    from quarry.plans import flows
+    texts = {"a.csv": ("id,名前\n1,山田\n2,\"x\ny\"\n", "cp932"), "b.csv": ("名前,id,more\n佐藤,3,m\n", "utf-8"), "skip.txt": ("no", "utf-8")}
+    os.makedirs(f"{tmp_dir}/in")
+    for name, (text, encoding) in texts.items():
+        with open(f"{tmp_dir}/in/{name}", "wb") as f:
+            f.write(text.encode(encoding))
+    landing = flows.StreamLanding(spark, f"{tmp_dir}/out", "2024-01-21", report_date=True)
+    landing.run(f"{tmp_dir}/in", f"{tmp_dir}/ck", max_files=1)
+    want = {("1", "山田", None), ("2", "x\ny", None), ("3", "佐藤", "m")}
+    rows = landing.rows().collect()
+    assert {(r.id, r["名前"], r.more) for r in rows} == want and len(rows) == 3 and {r["日付"] for r in rows} == {"2024-01-20"}
+    again = spark.createDataFrame([(f"file:{tmp_dir}/in/b.csv",)], "path string")
+    kept = {r.snapshot_ts for r in rows if r.id == "3"}.pop()
+    landing.land(again, int(kept))
+    landing.land(again, int(kept))
+    assert {(r.id, r["名前"], r.more) for r in landing.rows().collect()} == want and landing.rows().count() == 3
+    with open(f"{tmp_dir}/in/c.csv", "w") as f:
+        f.write("id\n4\n")
+    landing.run(f"{tmp_dir}/in", f"{tmp_dir}/ck", max_files=1)
+    assert sorted(r.id for r in landing.rows().collect()) == ["1", "2", "3", "4"]
+    assert landing.outcome().collect()[0].total == 3
