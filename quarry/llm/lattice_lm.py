@@ -45,9 +45,7 @@ from quarry.llm.common import bucketed, buckets_of, keyed_texts, slices, stage
 CHUNK = 2 << 20
 DISCOUNT = 0.75
 ROUNDS = 2
-#: bytes of the longest vocabulary piece that is used
-LONGEST = 16
-#: words up to this many bytes are scored in step, longer ones one by one
+#: words up to this many bytes go in step as rows of a matrix, longer ones one by one, by the same recursions
 WIDE = 48
 #: words of one length that are scored in step
 PART = 5_000
@@ -61,12 +59,11 @@ def default_path() -> str:
 
 
 def load_pieces(path: str | None = None) -> list[bytes]:
-    """Pieces of a rank file of at most LONGEST bytes, by rank: those a word with
-    one leading space can hold."""
+    """Pieces of a rank file, by rank: those a word with one leading space can hold."""
     import base64
     with open(path or default_path(), "rb") as f:
         ranks = sorted((int(r), base64.b64decode(p)) for p, r in map(bytes.split, f))
-    return [p for _, p in ranks if len(p) <= LONGEST and b" " not in p[1:]]
+    return [p for _, p in ranks if b" " not in p[1:]]
 
 
 class Lattice:
@@ -78,7 +75,8 @@ class Lattice:
         key = np.array([self._hash(p) for p in pieces], np.uint64)
         order = np.argsort(key)
         self.keys, self.ids = key[order], order
-        self.powers = np.array([pow(int(BASE), n, 1 << 64) for n in range(LONGEST + 1)], np.uint64)
+        self.sizes = sorted({len(p) for p in pieces}, reverse=True)  # the piece lengths that there are
+        self.powers = {n: np.uint64(pow(int(BASE), n, 1 << 64)) for n in self.sizes}
 
     @staticmethod
     def _hash(p: bytes) -> int:
@@ -97,8 +95,11 @@ class Lattice:
         out = []
         for end in range(1, size + 1):
             here = []
-            for at in range(max(0, end - LONGEST), end):
-                key = h[end] - h[at] * self.powers[end - at]
+            for length in self.sizes:
+                if length > end:
+                    continue
+                at = end - length
+                key = h[end] - h[at] * self.powers[length]
                 pos = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
                 hit = self.keys[pos] == key
                 if hit.any():
@@ -133,15 +134,32 @@ class Lattice:
                 out += np.bincount(np.where(piece < 0, len(self.pieces), piece), use, len(out))
         return out[:-1]
 
-    def score_long(self, word: bytes) -> float:
-        """Log probability of one word, by the same recursion."""
+    def _forward_long(self, word: bytes) -> list[float]:
         alpha = [0.0]
         for end in range(1, len(word) + 1):
-            terms = [alpha[at] + self.logp[k] for at in range(max(0, end - LONGEST), end)
-                     if (k := self.by_text.get(word[at:end])) is not None]
+            terms = [alpha[end - size] + self.logp[k] for size in self.sizes
+                     if size <= end and (k := self.by_text.get(word[end - size:end])) is not None]
             top = max(terms)
             alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)))
-        return alpha[-1]
+        return alpha
+
+    def score_long(self, word: bytes) -> float:
+        """Log probability of one word, by the same recursion."""
+        return self._forward_long(word)[-1]
+
+    def expected_long(self, word: bytes) -> np.ndarray:
+        """Expected uses of each piece in one word, by the same recursions."""
+        alpha, n = self._forward_long(word), len(word)
+        beta = [-math.inf] * n + [0.0]
+        out = np.zeros(len(self.pieces))
+        for at in range(n - 1, -1, -1):
+            arcs = [(k, self.logp[k] + beta[at + size]) for size in self.sizes
+                    if size <= n - at and (k := self.by_text.get(word[at:at + size])) is not None]
+            top = max(x for _, x in arcs)
+            beta[at] = top + math.log(sum(math.exp(x - top) for _, x in arcs))
+            for k, x in arcs:
+                out[k] += math.exp(alpha[at] + x - alpha[n])
+        return out
 
     @staticmethod
     def _grouped(words: list[bytes]):
@@ -169,11 +187,7 @@ class Lattice:
     def expectations(self, words: list[bytes]) -> np.ndarray:
         out = np.zeros(len(self.pieces))
         for at, m in self._grouped(words):
-            # a word too long for the step-wise form counts by its parts of WIDE bytes
-            raw = b" " + words[at[0]]
-            for part in [m] if m is not None else [np.frombuffer(raw[lo:lo + WIDE], np.uint8)[None]
-                                                    for lo in range(0, len(raw), WIDE)]:
-                out += self.expected(part)
+            out += self.expected(m) if m is not None else self.expected_long(b" " + words[at[0]])
         return out
 
 
@@ -299,7 +313,7 @@ def score_documents(docs: DataFrame, is_training: Column, path: str | None = Non
         out = []
         for chunk, asked_words in zip(group["chunk"], group["words"]):
             at = np.array([index[w] for w in asked_words.split(b"\n")])
-            out.append((chunk, key[0], count[at].tobytes(), score[at].astype(np.float32).tobytes()))
+            out.append((chunk, key[0], count[at].tobytes(), score[at].tobytes()))
         return pd.DataFrame(out, columns=["chunk", "bucket", "counts", "scores"])
 
     answers = (asked.groupBy("bucket").applyInPandas(answer, "chunk long, bucket int, counts binary, scores binary")
@@ -315,12 +329,12 @@ def score_documents(docs: DataFrame, is_training: Column, path: str | None = Non
                 split = [t.lower().split() for t in texts]
                 parts = by_bucket({w for words in split for w in words}, buckets)
                 index: dict[bytes, int] = {}
-                counts, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+                counts, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
                 for a in got or []:
                     index.update(zip(parts[a["bucket"]], range(len(index), len(index) + len(parts[a["bucket"]]))))
                     counts.append(np.frombuffer(a["counts"], np.int64))
-                    scores.append(np.frombuffer(a["scores"], np.float32))
-                count, score = np.concatenate(counts), np.concatenate(scores).astype(np.float64)
+                    scores.append(np.frombuffer(a["scores"], np.float64))
+                count, score = np.concatenate(counts), np.concatenate(scores)
                 base = np.log10(count + 1) - unseen
                 rows = []
                 for words in split:

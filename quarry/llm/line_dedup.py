@@ -40,11 +40,13 @@ TRIM = " \t\r"
 
 def line_occurrences(docs: DataFrame) -> DataFrame:
     """One row per non-blank line: doc key (``doc_id``, ``th``), ``site``, ``pos`` and the line's 128-bit hash."""
-    base = docs.select(
+    # the text is hashed below the explode: once per document, not once per line
+    texts = docs.select(
         docs["doc_id"].cast("long").alias("doc_id"),
         F.xxhash64(docs["text"]).alias("th"),
         F.coalesce(docs["source"].cast("string"), F.lit("\x00null")).alias("site"),
-        F.posexplode(F.split(docs["text"], "\n")).alias("pos", "line"))
+        F.split(docs["text"], "\n").alias("lines"))
+    base = texts.select("doc_id", "th", "site", F.posexplode("lines").alias("pos", "line"))
     line = F.btrim("line", F.lit(TRIM))
     return (base.withColumn("line", line).where("line != ''")
             .select("doc_id", "th", "site", "pos",
@@ -78,8 +80,10 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MAR
     gone = removed["_gone"]
     joined = docs.join(removed, docs["doc_id"].cast("long").eqNullSafe(removed["_id"])
                        & (F.xxhash64(docs["text"]) == removed["_th"]), "left")
-    kept = F.when(gone.isNull(), docs["text"]).otherwise(
-        F.array_join(F.filter(F.split(docs["text"], "\n"), lambda _, i: ~F.array_contains(gone, i)), "\n"))
+    # by position, as a difference of sets: linear in the text's lines, which the outer lambda splits once
+    left = F.transform(F.array(F.split(docs["text"], "\n")), lambda lines: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i)), "\n"))
+    kept = F.when(gone.isNull(), docs["text"]).otherwise(left[0])
     out = [kept.alias("text") if c == "text" else docs[c] for c in docs.columns if c != "lines_removed"]
     return joined.select(*out, F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("lines_removed"))
 

@@ -82,6 +82,60 @@ def test_lattice_sums_all_segmentations():
     assert math.isclose(sum(u * len(p) for u, p in zip(uses, pieces) if u), len(b" hello"))
 
 
+def exact_uses(lattice, word):
+    """Expected uses of each piece, from all ways to a place and on from it."""
+    n = len(word)
+    ways = {0: 1.0}
+    arcs = [(a, b, lattice.by_text[word[a:b]]) for b in range(1, n + 1) for a in range(b) if word[a:b] in lattice.by_text]
+    p = lambda k: math.exp(lattice.logp[k])
+    for b in range(1, n + 1):
+        ways[b] = sum(ways[a] * p(k) for a, e, k in arcs if e == b)
+    on = {n: 1.0}
+    for a in range(n - 1, -1, -1):
+        on[a] = sum(p(k) * on[e] for x, e, k in arcs if x == a)
+    out = np.zeros(len(lattice.pieces))
+    for a, b, k in arcs:
+        out[k] += ways[a] * p(k) * on[b] / ways[n]
+    return out, math.log(ways[n])
+
+
+def test_no_piece_and_no_word_is_cut():
+    """Every piece takes part, runs of - among them, and words beyond the step-wise form count whole."""
+    pieces = lattice_lm.load_pieces()
+    assert max(map(len, pieces)) >= 64 and b"-" * 64 in pieces
+    logp = -np.log(np.arange(len(pieces)) + 2.0)
+    lattice = lattice_lm.Lattice(pieces, logp - np.logaddexp.reduce(logp))
+    words = [b"-" * 40, b"=" * 17, b"-" * 90, b"thereon" * 9, b"a" + b"-" * 64 + b"z", "é".encode() * 30]
+    want = [exact_uses(lattice, b" " + w) for w in words]
+    assert np.allclose(lattice.log_probs(words), [x for _, x in want], rtol=1e-12)
+    assert np.allclose(lattice.expectations(words), sum(u for u, _ in want), atol=1e-9)
+    assert np.allclose(lattice.expected_long(b" hello"), lattice.expected(np.frombuffer(b" hello", np.uint8)[None]))
+
+
+def test_score_end_to_end(spark):
+    """The score column against the formula, with re-estimation and words of 60 bytes, by plain sums."""
+    texts = [(1, "the there - there " + "-" * 60), (2, "thereon" * 9 + " the"), (3, "unseen " + "=" * 20), (4, None)]
+    df = documents(spark, [(i, t, None, None, None, 7, "x", 3, "z") for i, t in texts])
+    out = {r.doc_id: r.score for r in lattice_lm.score_documents(df, F.col("doc_id") <= 2).collect()}
+    count = Counter(w for i, t in texts if i <= 2 for w in t.encode().split())
+    ends, d = 2, lattice_lm.DISCOUNT
+    n, v = sum(count.values()) + ends, len(count) + 1
+    pieces = lattice_lm.load_pieces()
+    logp = -np.log(np.arange(len(pieces)) + 2.0)
+    logp -= np.logaddexp.reduce(logp)
+    for _ in range(lattice_lm.ROUNDS):
+        lattice = lattice_lm.Lattice(pieces, logp)
+        uses = 1e-3 + sum(exact_uses(lattice, b" " + w)[0] for w in count)
+        logp = np.log(uses) - math.log(uses.sum() + ends)
+    lattice = lattice_lm.Lattice(pieces, logp)
+
+    def token(w):
+        return math.log10(max(count[w] - d, 0) / n + d * v / n * math.exp(exact_uses(lattice, b" " + w)[1]))
+    for i, t in texts:
+        want = sum(map(token, (t or "").encode().split())) + math.log10((ends - d) / n)
+        assert math.isclose(out[i], want, rel_tol=1e-9), i
+
+
 def test_likelihood_counts(spark):
     rows = awkward()
     held = crc_mod("doc_id", 7) == 2
