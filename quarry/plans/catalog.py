@@ -613,7 +613,8 @@ def q_read_report_notes(spark, sf_dir):
 def q_read_report_headers(spark, sf_dir):
     """S1 over one folder of six headers, read by one scan."""
     df = rpt.read_report_csv(spark, fx.write_many_headers(spark, load_table(spark, sf_dir, "part")))
-    return df.withColumn("part", F.regexp_extract("source_file", r"part=(\d+)", 1).cast("long")).drop("source_file")
+    own = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in (f"x{v}" for v in range(fx.HEADER_KINDS))]
+    return df.select("rn", F.regexp_extract("source_file", r"part=(\d+)", 1).cast("long").alias("part"), "key", "name", "brand", "kind", "size", *own)
 
 
 @query("file_encoding")
