@@ -40,5 +40,5 @@ def test_pipeline_of_nothing(spark, tmp_dir):
 
 def test_queries_are_registered():
     numbers = sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert np.all([k in queries.QUERIES for k in queries.ORACLE])
