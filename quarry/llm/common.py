@@ -13,6 +13,9 @@ from quarry.session import checkpoint_dir, ship_package
 
 #: rows of one Arrow batch that are turned into Python objects at a time
 SLICE_ROWS = 256
+#: bytes of one Arrow batch on its way to a Python worker, where the submitter sets nothing
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_LIMIT = "4m"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -26,10 +29,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Text columns reach 64 MB a batch by Spark's default, held twice over outside the
+    heap for each task (the vectors and the bytes that a worker reads). Unless the
+    submitter set a limit, the session gets one of a few megabytes."""
+    if BATCH_BYTES not in dict(spark.sparkContext.getConf().getAll()):
+        spark.conf.set(BATCH_BYTES, BATCH_LIMIT)
+
+
 def keyed_texts(df: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` (long) and ``text`` (string) and the named further columns;
     whatever else the table holds is pruned at the scan."""
     ship_package(df.sparkSession)
+    bounded_batches(df.sparkSession)
     return df.select(df["doc_id"].cast("long").alias("doc_id"), df["text"].cast("string").alias("text"),
                      *[df[c] for c in more])
 
