@@ -11,7 +11,8 @@ the occurrences' spans are merged.
 
 The benchmark is read in blocks of at most ``BLOCK`` bytes of text (one block
 unless it is larger), each collected and broadcast in a pass of its own, so
-its size is checked, not assumed. Documents are never shuffled with one block;
+its size is checked, not assumed. A block is held as arrays (about twenty bytes a
+window) and the numbers of its distinct words. Documents are never shuffled with one block;
 with more, the passes' spans meet in an aggregate by row.
 
 Defined cases: a null text has no words and a null or wordless item no
@@ -33,7 +34,10 @@ from quarry.llm.common import keyed_texts, slices, stage, text_bytes
 
 WINDOW = 13
 SHARD = 4 << 20
-BLOCK = 32 << 20
+#: bytes of benchmark text held as phrases at a time
+BLOCK = 8 << 20
+#: windows searched at a time
+WINDOWS = 1 << 18
 SAMPLE = 16
 
 
@@ -53,22 +57,49 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(TABLE).split()
 
 
+def window_numbers(flat: np.ndarray, n: int) -> np.ndarray:
+    """For each place of ``flat`` that ``n`` symbols follow, a number that two places
+    share exactly if their windows are equal: numbers of lengths 1, 2, 4, ... in pairs."""
+    def pair(x, length, y):
+        y = y[length:]
+        key = x[:len(y)] * (int(y.max()) + 1 if len(y) else 1) + y
+        return np.unique(key, return_inverse=True)[1].astype(np.int64)
+
+    power, size, out, length = flat.astype(np.int64), 1, None, 0
+    while size <= n:
+        if n & size:
+            out, length = (power, size) if out is None else (pair(out, length, power), length + size)
+        if 2 * size <= n:
+            power = pair(power, size, power)
+        size *= 2
+    return out
+
+
 class Phrases:
-    """The windows of a block of benchmark items, as symbols, and their items."""
+    """A block of benchmark items as one array of symbols, and the distinct
+    windows in it by length: (length, places of a first copy, and for each window the
+    range ``cut`` of ``owner``, which holds item numbers). Arrays only, beside the
+    words' numbers and the names of the items."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         self.symbol: dict[bytes, int] = {}
-        found: dict[tuple, set[str]] = {}
-        for item, text in items:
-            ids = [self.symbol.setdefault(w, len(self.symbol) + 1) for w in words_of((text or "").encode())]
-            for at in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[at:at + window]), set()).add(item)
-        self.items = list(found.values())
-        sizes = np.array([len(w) for w in found], np.int64)
-        self.by_size = [(int(n), np.flatnonzero(sizes == n)) for n in np.unique(sizes)]
-        windows = list(found)
-        self.windows = [np.array([windows[k] for k in at], np.int64).reshape(-1, n) for n, at in self.by_size]
-        self.shortest = int(sizes.min()) if len(sizes) else 0
+        self.names = [name for name, _ in items]
+        rows = [np.fromiter((self.symbol.setdefault(w, len(self.symbol) + 1) for w in words_of((text or "").encode())),
+                            np.int32) for _, text in items]
+        self.flat = np.concatenate([np.zeros(0, np.int32), *rows])
+        sizes = np.array([len(r) for r in rows], np.int64)
+        del rows
+        first = np.cumsum(sizes) - sizes
+        self.by_size = []
+        for n in np.unique(np.minimum(sizes[sizes > 0], window)).tolist():
+            mine = np.flatnonzero(np.minimum(sizes, window) == n)
+            count = sizes[mine] - n + 1  # one, of an item shorter than a window
+            start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - first[mine], count)
+            owner = np.repeat(mine, count).astype(np.int32)
+            _, copy, number = np.unique(window_numbers(self.flat, n)[start], return_index=True, return_inverse=True)
+            cut = np.append(0, np.cumsum(np.bincount(number, minlength=len(copy))))
+            self.by_size.append((n, start[copy], cut, owner[np.argsort(number, kind="stable")]))
+        self.shortest = self.by_size[0][0] if self.by_size else 0
 
 
 def suffix_order(s: np.ndarray) -> np.ndarray:
@@ -129,12 +160,12 @@ class FmIndex:
     def back(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         return self.less[symbol] + self.tree.rank(symbol, at)
 
-    def search(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, low, high) of the windows that occur."""
-        live = np.arange(len(windows))
+    def search(self, flat: np.ndarray, start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, low, high) of the windows that occur: the ``n`` symbols of ``flat`` from each start."""
+        live = np.arange(len(start))
         low, high = np.zeros(len(live), np.int64), np.full(len(live), self.n)
-        for k in range(windows.shape[1] - 1, -1, -1):
-            c = windows[live, k]
+        for k in range(n - 1, -1, -1):
+            c = flat[start[live] + k]
             low, high = self.back(c, low), self.back(c, high)
             some = low < high
             live, low, high = live[some], low[some], high[some]
@@ -172,7 +203,7 @@ def find(texts: list[bytes], phrases: Phrases) -> list[tuple[int, list[tuple[int
     a, b = np.flatnonzero(inside == 1), np.flatnonzero(inside == -1)
     long = b - a >= max(1, phrases.shortest)
     a, b = a[long], b[long]
-    if len(a) and phrases.items:
+    if len(a) and phrases.by_size:
         first = np.cumsum([0] + [n + 1 for n in sizes])[:-1]  # of each text in flat
         width = b - a + 1  # with the 0 that ends the run
         start = np.cumsum(width) - width
@@ -181,15 +212,16 @@ def find(texts: list[bytes], phrases: Phrases) -> list[tuple[int, list[tuple[int
         s[start + width - 1] = 0
         index = FmIndex(s, len(phrases.symbol))
         cover = np.zeros(len(flat) + 1, np.int64)
-        for (n, known), windows in zip(phrases.by_size, phrases.windows):
-            window, low, high = index.search(windows)
-            owner, at = index.locate(low, high)
-            at = place[at]
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + n, -1)
-            text = np.searchsorted(first, at, "right") - 1
-            for t, w in np.unique(np.stack((text, known[window[owner]]), 1), axis=0).tolist() if len(at) else []:
-                items[t].update(phrases.items[w])
+        for n, start, cut, item in phrases.by_size:
+            for lo in range(0, len(start), WINDOWS):
+                window, low, high = index.search(phrases.flat, start[lo:lo + WINDOWS], n)
+                owner, at = index.locate(low, high)
+                at = place[at]
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + n, -1)
+                text = np.searchsorted(first, at, "right") - 1
+                for t, w in np.unique(np.stack((text, lo + window[owner]), 1), axis=0).tolist() if len(at) else []:
+                    items[t].update(phrases.names[i] for i in item[cut[w]:cut[w + 1]].tolist())
         hit = np.diff(np.concatenate(([0], np.cumsum(cover[:-1]) > 0, [0])).astype(np.int8))
         for x, y in zip(np.flatnonzero(hit == 1).tolist(), np.flatnonzero(hit == -1).tolist()):
             t = int(np.searchsorted(first, x, "right")) - 1
