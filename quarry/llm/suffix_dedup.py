@@ -327,8 +327,8 @@ def asked_segments(met: DataFrame, window: int) -> DataFrame:
                         at = np.repeat(at, n[at])
                         both = np.frombuffer(b"".join(map(xxh3_128_digest, raw)), np.uint64).reshape(-1, 2)
                         h, w = both[:, 0], both[:, 1]
-                    else:  # dealt by the minimiser, computed once more from a window
-                        h = np.concatenate([segments([s[:window]], window)[3] for s in raw])
+                    else:  # dealt by the minimiser, computed once more from a window of each
+                        h = segments([s[:window] for s in raw], window)[3]
                         w = np.array([len(s) for s in raw], np.uint64)
                     order, parts = deal(h, buckets)
                     rows = []
