@@ -160,12 +160,12 @@ class FmIndex:
     def back(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         return self.less[symbol] + self.tree.rank(symbol, at)
 
-    def search(self, flat: np.ndarray, start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, low, high) of the windows that occur: the ``n`` symbols of ``flat`` from each start."""
-        live = np.arange(len(start))
+    def search(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, low, high) of the windows that occur."""
+        live = np.arange(len(windows))
         low, high = np.zeros(len(live), np.int64), np.full(len(live), self.n)
-        for k in range(n - 1, -1, -1):
-            c = flat[start[live] + k]
+        for k in range(windows.shape[1] - 1, -1, -1):
+            c = windows[live, k]
             low, high = self.back(c, low), self.back(c, high)
             some = low < high
             live, low, high = live[some], low[some], high[some]
@@ -214,7 +214,7 @@ def find(texts: list[bytes], phrases: Phrases) -> list[tuple[int, list[tuple[int
         cover = np.zeros(len(flat) + 1, np.int64)
         for n, start, cut, item in phrases.by_size:
             for lo in range(0, len(start), WINDOWS):
-                window, low, high = index.search(phrases.flat, start[lo:lo + WINDOWS], n)
+                window, low, high = index.search(phrases.flat[start[lo:lo + WINDOWS, None] + np.arange(n)])
                 owner, at = index.locate(low, high)
                 at = place[at]
                 np.add.at(cover, at, 1)
