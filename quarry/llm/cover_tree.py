@@ -1,11 +1,14 @@
 """Exact top-k inner products by dual cover-tree search.
 
 Vectors become integers (floor of 256 x); scores are integer inner products.
-Candidates are dealt into blocks by a hash of their id, queries likewise;
-each block's points are indexed in a cover tree inside a task. Every pair of
-a query block and a candidate block is one unit of work, met by a join on the
-block number (queries are a stated set and travel to the candidate blocks);
-in it node pairs are walked together and pruned when the bound
+Points go to the cell of their nearest pivot (at most ``PIVOTS`` of them, chosen
+by a hash of the id); a cell is one block of candidates, or several dealt by hash if it
+is larger, queries likewise; each block's points are indexed in a cover tree inside a
+task. A block of queries is first searched in a block of its own cell, which gives each
+query a k-th score to beat. A cell whose centre and covering radius bound its scores
+below that is dropped for the query before any vector moves; the queries left
+travel to the cell's blocks by a join on the block number (they are a stated set).
+In a pair of blocks, node pairs are walked together and pruned when the bound
 
     <cq, cx> + rq |cx| + rx |cq| + rq rx
 
@@ -36,6 +39,8 @@ SCALE = 256
 #: points of a candidate block and of a query block, about
 BLOCK, QUERY_BLOCK = 8192, 1024
 LEAF = 64
+#: cells, at most
+PIVOTS = 256
 
 
 class Node:
@@ -93,9 +98,10 @@ class CoverTree:
 
 
 class Search:
-    """Top k of one query block in one candidate block."""
+    """Top k of one query block in one candidate block; scores below a query's
+    ``floor`` aren't looked for."""
 
-    def __init__(self, q_ids, q, x_ids, x, k: int):
+    def __init__(self, q_ids, q, x_ids, x, k: int, floor=None):
         wide = max(q.shape[1], x.shape[1], 1)
         q, x = (np.pad(v, ((0, 0), (0, wide - v.shape[1]))).astype(np.float64) for v in (q, x))
         self.qt, self.xt, self.k = CoverTree(q), CoverTree(x), k
@@ -103,6 +109,7 @@ class Search:
         self.x, self.x_ids = x[self.xt.order], x_ids[self.xt.order]
         self.score = np.full((len(q), k), -np.inf)
         self.best = np.full((len(q), k), np.iinfo(np.int64).max)
+        self.floor = np.full(len(q), -np.inf) if floor is None else floor[self.qt.order]
         self.pairs = self.pruned = 0
         self.walk(self.qt.root, self.xt.root)
 
@@ -111,7 +118,7 @@ class Search:
         return float(a.center @ b.center) + a.radius * b.norm + b.radius * a.norm + a.radius * b.radius + 1e-6
 
     def worst(self, a: Node) -> float:
-        return float(self.score[a.lo:a.hi, -1].min())
+        return float(np.maximum(self.score[a.lo:a.hi, -1], self.floor[a.lo:a.hi]).min())
 
     def walk(self, a: Node, b: Node) -> None:
         stack = [(self.bound(a, b), a, b)]
@@ -172,61 +179,140 @@ def integer_vectors(vectors: DataFrame, vec_id: str, embedding: str) -> DataFram
             .select("vec_id", F.transform("x", lambda c: F.floor(c * SCALE).cast("long")).alias("v")))
 
 
-def _blocks(points: DataFrame, n: int, name: str) -> DataFrame:
-    """(block, payload rows): points packed as one row per Arrow batch and block."""
+def _matrix(vectors: list) -> np.ndarray:
+    """Integer vectors as rows, filled up with zeros."""
+    m = np.zeros((len(vectors), max(map(len, vectors), default=0)), np.int64)
+    for k, v in enumerate(vectors):
+        m[k, :len(v)] = v
+    return m
+
+
+def _wide(*matrices: np.ndarray) -> list[np.ndarray]:
+    width = max(1, *(m.shape[1] for m in matrices))
+    return [np.pad(m, ((0, 0), (0, width - m.shape[1]))).astype(np.float64) for m in matrices]
+
+
+def in_cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``points`` with the ``cell`` of the nearest pivot and the distance to it, rounded up."""
+    def run(batches):
+        for b in batches:
+            x, p = _wide(_matrix(b.column("v").to_pylist()), pivots)
+            cell = ((p * p).sum(1) - 2 * (x @ p.T)).argmin(1)
+            far = np.sqrt(((x - p[cell]) ** 2).sum(1)) * (1 + 1e-9) + 1e-6
+            yield pa.record_batch([b.column("vec_id"), b.column("v"), pa.array(cell, pa.int32()), pa.array(far)],
+                                  names=["vec_id", "v", "cell", "far"])
+    return points.mapInArrow(run, "vec_id long, v array<long>, cell int, far double")
+
+
+def _blocks(points: DataFrame, first: list[int], name: str) -> DataFrame:
+    """(block, payload rows): points packed as one row per Arrow batch and block; the blocks
+    of cell c are ``first[c]`` to ``first[c + 1] - 1``."""
     def run(batches):
         held: dict[int, list] = {}
 
         def pack(block):
             rows = held.pop(block)
-            wide = max(len(v) for _, v in rows)
-            m = np.zeros((len(rows), wide), np.int64)
-            for k, (_, v) in enumerate(rows):
-                m[k, :len(v)] = v
-            ids = np.array([i for i, _ in rows], np.int64)
-            return pa.record_batch([pa.array([block], pa.int32()), pa.array([len(rows)], pa.int32()),
-                                    pa.array([ids.tobytes()]), pa.array([m.tobytes()])],
-                                   names=[name, "n", "ids", "points"])
+            return pa.record_batch([pa.array([block], pa.int32()), pa.array([rows[0][2]], pa.int32()),
+                                    pa.array([len(rows)], pa.int32()),
+                                    pa.array([np.array([i for i, _, _ in rows], np.int64).tobytes()]),
+                                    pa.array([_matrix([v for _, v, _ in rows]).tobytes()])],
+                                   names=[name, "cell", "n", "ids", "points"])
         for b in batches:
-            for i, v, g in zip(*(b.column(c).to_pylist() for c in ("vec_id", "v", name))):
+            for i, v, c, g in zip(*(b.column(c).to_pylist() for c in ("vec_id", "v", "cell", name))):
                 rows = held.setdefault(g, [])
-                rows.append((i, v))
+                rows.append((i, v, c))
                 if len(rows) >= 4 * BLOCK:
                     yield pack(g)
         for g in list(held):
             yield pack(g)
-    dealt = points.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")).repartition(n, name)
-    return dealt.mapInArrow(run, f"{name} int, n int, ids binary, points binary")
+    low, past = (F.element_at(F.array(*map(F.lit, x)), F.col("cell") + 1) for x in (first[:-1], first[1:]))
+    block = (low + F.pmod(F.xxhash64("vec_id", "v"), past - low)).cast("int")
+    dealt = points.withColumn(name, block).repartition(max(1, first[-1]), name)
+    return dealt.mapInArrow(run, f"{name} int, cell int, n int, ids binary, points binary")
 
 
 def _open(n: int, ids: bytes, points: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(ids, np.int64), np.frombuffer(points, np.int64).reshape(n, -1)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_id",
-          embedding: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for every row where ``is_query`` holds
-    (a condition on ``vec_id``), the k best other rows by integer inner product."""
-    ship_package(vectors.sparkSession)
-    points = stage(integer_vectors(vectors, vec_id, embedding), "vectors")
-    queries = points.where(is_query)
-    sizes = points.agg(F.count("*").alias("n"), F.sum(is_query.cast("int")).alias("q")).first()
-    n_blocks, q_blocks = (max(1, math.ceil((s or 0) / b)) for s, b in ((sizes["n"], BLOCK), (sizes["q"], QUERY_BLOCK)))
-    base = stage(_blocks(points, n_blocks, "block"), "blocks")
-    asked = stage(_blocks(queries, q_blocks, "q_block"), "queries").select(
-        F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("points").alias("q_points"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+FOUND = "query_id long, vec_id long, score long"
+ASKED = "cell int, home int, q_n int, q_ids binary, q_points binary, floors binary"
+
+
+def first_pass(asked: DataFrame, base: DataFrame, first: list[int], pivots: np.ndarray, radius: np.ndarray, k: int) -> DataFrame:
+    """Written once: what each query finds in a block of its own cell, and (``cell`` not
+    null) for each cell the queries that may find better there, with their k-th score so far.
+    A block of several payload rows is met row by row; each asks for the rest."""
+    types = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.binary()] * 3
+    names = [c.split()[0] for c in f"{FOUND}, {ASKED}".split(", ")]
 
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
                 q_ids, q = _open(r["q_n"], r["q_ids"], r["q_points"])
-                x_ids, x = _open(r["n"], r["ids"], r["points"])
-                s = Search(q_ids, q, x_ids, x, k)
+                s = Search(q_ids, q, *_open(r["n"], r["ids"], r["points"]), k)
+                at, col = np.nonzero(np.isfinite(s.score))
+                cols = [s.q_ids[at], s.best[at, col], s.score[at, col].astype(np.int64)]
+                yield pa.record_batch([*map(pa.array, cols), *(pa.nulls(len(at), t) for t in types[3:])], names=names)
+                floor = np.empty(len(q))
+                floor[s.qt.order] = s.score[:, -1]
+                x, p = _wide(q, pivots)
+                bound = x @ p.T + np.sqrt((x * x).sum(1))[:, None] * radius
+                may = bound + 1e-9 * np.abs(bound) + 1e-6 >= floor[:, None]
+                for c in np.flatnonzero(may.any(0)).tolist():
+                    keep = may[:, c]
+                    row = (None, None, None, c, r["block"], int(keep.sum()), q_ids[keep].tobytes(), q[keep].tobytes(),
+                           floor[keep].tobytes())
+                    yield pa.record_batch([pa.array([v], t) for v, t in zip(row, types)], names=names)
+    home = F.element_at(F.array(*map(F.lit, first[:-1])), F.col("cell") + 1).alias("block")
+    pairs = asked.select(home, F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("points").alias("q_points"))
+    return stage(pairs.join(base.drop("cell"), "block").mapInArrow(run, f"{FOUND}, {ASKED}"), "first")
+
+
+def second_pass(found: DataFrame, base: DataFrame, first: list[int], k: int) -> DataFrame:
+    """What the queries left find in the cells left, block by block."""
+    low, past = (F.element_at(F.array(*map(F.lit, x)), F.col("cell") + 1) for x in (first[:-1], first[1:]))
+    pairs = (found.where("cell is not null").where(past > low)
+             .select("home", "q_n", "q_ids", "q_points", "floors", F.explode(F.sequence(low, past - 1)).alias("block"))
+             .where("block <> home"))
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                q_ids, q = _open(r["q_n"], r["q_ids"], r["q_points"])
+                s = Search(q_ids, q, *_open(r["n"], r["ids"], r["points"]), k, np.frombuffer(r["floors"]))
                 at, col = np.nonzero(np.isfinite(s.score))
                 yield pa.record_batch([pa.array(s.q_ids[at]), pa.array(s.best[at, col]),
                                        pa.array(s.score[at, col].astype(np.int64))], names=["query_id", "vec_id", "score"])
-    met = asked.join(base, "block").mapInArrow(run, "query_id long, vec_id long, score long")
+    return pairs.drop("home").join(base.drop("cell"), "block").mapInArrow(run, FOUND)
+
+
+def search_passes(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding",
+                  block: int = BLOCK, query_block: int = QUERY_BLOCK) -> tuple[DataFrame, DataFrame, int]:
+    """The two passes' findings (the first with its ``ASKED`` rows) and the number of candidate blocks."""
+    ship_package(vectors.sparkSession)
+    points = stage(integer_vectors(vectors, vec_id, embedding), "vectors")
+    n_pivots = min(PIVOTS, max(1, math.ceil(points.count() / block)))
+    some = points.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(n_pivots).collect()
+    pivots = _matrix([r["v"] for r in some] or [[]])
+    placed = stage(in_cells(points, pivots), "cells")
+    size, asks, radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.sum(is_query.cast("int")).alias("q"),
+                                        F.max("far").alias("far")).collect():  # a row for each pivot
+        size[r["cell"]], asks[r["cell"]], radius[r["cell"]] = r["n"], r["q"] or 0, r["far"]
+    first, q_first = ([0, *np.cumsum(-(-x // b)).tolist()] for x, b in ((size, block), (asks, query_block)))
+    base = stage(_blocks(placed.drop("far"), first, "block"), "blocks")
+    asked = _blocks(placed.drop("far").where(is_query), q_first, "q_block")
+    found = first_pass(asked, base, first, pivots, radius, k)
+    return found, second_pass(found, base, first, k), first[-1]
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_id",
+          embedding: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): for every row where ``is_query`` holds
+    (a condition on ``vec_id``), the k best other rows by integer inner product."""
+    found, more, _ = search_passes(vectors, is_query, k, vec_id, embedding, BLOCK, QUERY_BLOCK)
+    met = found.where("query_id is not null").select("query_id", "vec_id", "score").union(more)
     best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (best.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
