@@ -101,10 +101,11 @@ class Search:
     """Top k of one query block in one candidate block; scores below a query's
     ``floor`` aren't looked for."""
 
-    def __init__(self, q_ids, q, x_ids, x, k: int, floor=None):
+    def __init__(self, q_ids, q, x_ids, x, k: int, floor=None, tree=None):
         wide = max(q.shape[1], x.shape[1], 1)
         q, x = (np.pad(v, ((0, 0), (0, wide - v.shape[1]))).astype(np.float64) for v in (q, x))
-        self.qt, self.xt, self.k = CoverTree(q), CoverTree(x), k
+        self.qt, self.k = CoverTree(q), k
+        self.xt = tree if tree is not None and tree.points.shape[1] == wide else CoverTree(x)
         self.q, self.q_ids = q[self.qt.order], q_ids[self.qt.order]
         self.x, self.x_ids = x[self.xt.order], x_ids[self.xt.order]
         self.score = np.full((len(q), k), -np.inf)
@@ -235,6 +236,19 @@ def _open(n: int, ids: bytes, points: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(ids, np.int64), np.frombuffer(points, np.int64).reshape(n, -1)
 
 
+def searches(batches, k: int):
+    """(row, query ids, queries, Search) of joined rows; the tree of a block serves the rows that follow each other with it."""
+    block, tree = None, None
+    for b in batches:
+        for r in b.to_pylist():
+            q_ids, q = _open(r["q_n"], r["q_ids"], r["q_points"])
+            floor = np.frombuffer(r["floors"]) if "floors" in r else None
+            same = block == (r["block"], r["ids"])
+            s = Search(q_ids, q, *_open(r["n"], r["ids"], r["points"]), k, floor, tree if same else None)
+            block, tree = (r["block"], r["ids"]), s.xt
+            yield r, q_ids, q, s
+
+
 FOUND = "query_id long, vec_id long, score long"
 ASKED = "cell int, home int, q_n int, q_ids binary, q_points binary, floors binary"
 
@@ -247,23 +261,20 @@ def first_pass(asked: DataFrame, base: DataFrame, first: list[int], pivots: np.n
     names = [c.split()[0] for c in f"{FOUND}, {ASKED}".split(", ")]
 
     def run(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                q_ids, q = _open(r["q_n"], r["q_ids"], r["q_points"])
-                s = Search(q_ids, q, *_open(r["n"], r["ids"], r["points"]), k)
-                at, col = np.nonzero(np.isfinite(s.score))
-                cols = [s.q_ids[at], s.best[at, col], s.score[at, col].astype(np.int64)]
-                yield pa.record_batch([*map(pa.array, cols), *(pa.nulls(len(at), t) for t in types[3:])], names=names)
-                floor = np.empty(len(q))
-                floor[s.qt.order] = s.score[:, -1]
-                x, p = _wide(q, pivots)
-                bound = x @ p.T + np.sqrt((x * x).sum(1))[:, None] * radius
-                may = bound + 1e-9 * np.abs(bound) + 1e-6 >= floor[:, None]
-                for c in np.flatnonzero(may.any(0)).tolist():
-                    keep = may[:, c]
-                    row = (None, None, None, c, r["block"], int(keep.sum()), q_ids[keep].tobytes(), q[keep].tobytes(),
-                           floor[keep].tobytes())
-                    yield pa.record_batch([pa.array([v], t) for v, t in zip(row, types)], names=names)
+        for r, q_ids, q, s in searches(batches, k):
+            at, col = np.nonzero(np.isfinite(s.score))
+            cols = [s.q_ids[at], s.best[at, col], s.score[at, col].astype(np.int64)]
+            yield pa.record_batch([*map(pa.array, cols), *(pa.nulls(len(at), t) for t in types[3:])], names=names)
+            floor = np.empty(len(q))
+            floor[s.qt.order] = s.score[:, -1]
+            x, p = _wide(q, pivots)
+            bound = x @ p.T + np.sqrt((x * x).sum(1))[:, None] * radius
+            may = bound + 1e-9 * np.abs(bound) + 1e-6 >= floor[:, None]
+            for c in np.flatnonzero(may.any(0)).tolist():
+                keep = may[:, c]
+                row = (None, None, None, c, r["block"], int(keep.sum()), q_ids[keep].tobytes(), q[keep].tobytes(),
+                       floor[keep].tobytes())
+                yield pa.record_batch([pa.array([v], t) for v, t in zip(row, types)], names=names)
     home = F.element_at(F.array(*map(F.lit, first[:-1])), F.col("cell") + 1).alias("block")
     pairs = asked.select(home, F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("points").alias("q_points"))
     return stage(pairs.join(base.drop("cell"), "block").mapInArrow(run, f"{FOUND}, {ASKED}"), "first")
@@ -277,13 +288,10 @@ def second_pass(found: DataFrame, base: DataFrame, first: list[int], k: int) ->
              .where("block <> home"))
 
     def run(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                q_ids, q = _open(r["q_n"], r["q_ids"], r["q_points"])
-                s = Search(q_ids, q, *_open(r["n"], r["ids"], r["points"]), k, np.frombuffer(r["floors"]))
-                at, col = np.nonzero(np.isfinite(s.score))
-                yield pa.record_batch([pa.array(s.q_ids[at]), pa.array(s.best[at, col]),
-                                       pa.array(s.score[at, col].astype(np.int64))], names=["query_id", "vec_id", "score"])
+        for _, _, _, s in searches(batches, k):
+            at, col = np.nonzero(np.isfinite(s.score))
+            yield pa.record_batch([pa.array(s.q_ids[at]), pa.array(s.best[at, col]),
+                                   pa.array(s.score[at, col].astype(np.int64))], names=["query_id", "vec_id", "score"])
     return pairs.drop("home").join(base.drop("cell"), "block").mapInArrow(run, FOUND)
 
 
