@@ -112,12 +112,13 @@ def _bytes(size: str) -> int:
     return int(m[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[m[2]] if m else 128 << 20
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, per_core: int = 1) -> DataFrame:
     """Hash-spread a CPU-heavy input over the cluster's cores when it is
     smaller than one scan split per core (small files hold a single row
     group and cannot be split by the scan). Larger inputs already have more
     splits than cores and are left as they are (no shuffle). The size is the
-    optimizer's estimate from file metadata, so no job runs here.
+    optimizer's estimate from file metadata, so no job runs here; where rows are built
+    wider than that estimate, ``per_core`` partitions a core keep each task short.
     """
     if df.isStreaming:
         return df  # micro-batches are sized by the source options
@@ -126,7 +127,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= cores * _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")):
         return df
-    return df.repartition(cores, *keys) if keys else df.repartition(cores)
+    return df.repartition(cores * per_core, *keys)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -18,13 +18,14 @@ page however deep it is nested (texts and ancestors copied into every row are no
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.html import page_text, parse_elements
+from quarry.functions.html import page_text, parse_paths
 from quarry.session import ship_package, spread
 
 ANC = T.StructType([
@@ -63,36 +64,53 @@ _ARROW = pa.schema([
 # a batch is sent on when its rows hold about so many bytes
 FLUSH_BYTES = 8 << 20
 ROW_BYTES, ANCESTOR_BYTES = 200, 150
-_ANC_FIELDS = ("tag", "id", "class", "nth_tag", "n_same", "nth_child", "n_child", "role", "name")
+# tasks a core where the parse's input is spread: none of them gets long
+TASKS_A_CORE = 4
 
 
 def _extract(columns: list[str], tags: frozenset[str] | None):
     schema = pa.schema([_ARROW.field(c) for c in columns])
     at = [_ARROW.get_field_index(c) for c in columns]
     anc_at, attrs_at = _ARROW.get_field_index("anc"), _ARROW.get_field_index("attrs")
-    text, anc = "text" in columns, "anc" in columns
+    text, anc, attrs = "text" in columns, "anc" in columns, "attrs" in columns
 
-    def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    def paths(rows_of_places, entries):
+        """The ancestor column: each entry is converted once, however many paths share it."""
+        each = [pa.array(c, type=f.type) for c, f in zip(zip(*entries), _ANC_ARROW)]
+        ends = [0, *accumulate(map(len, rows_of_places))]
+        places = pa.array([k for row in rows_of_places for k in row], pa.int32())
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(each, fields=list(_ANC_ARROW)).take(places))
+
+    def batch(rows, entries):
+        return pa.RecordBatch.from_arrays([paths(c, entries) if f.name == "anc" else pa.array(c, type=f.type)
+                                           for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def run(batches):
-        rows, held = [], 0
+        rows, held, entries = [], 0, []
         for rb in batches:
             pid_col, url_col, html_col = (rb.column(c) for c in ("page_id", "url", "html"))
             for i in range(rb.num_rows):  # one page's Python objects at a time
                 pid, url, html = pid_col[i].as_py(), url_col[i].as_py(), html_col[i].as_py()
-                for r in parse_elements(html, tags, text, anc):
+                found, step = parse_paths(html, tags, text, anc)
+                place = {}  # of this page's elements among the batch's entries
+                for r in found:
                     row = [pid, url, *r]
-                    row[attrs_at] = list(r[6].items())
+                    if attrs:
+                        row[attrs_at] = list(r[6].items())
                     if anc:
-                        row[anc_at] = [dict(zip(_ANC_FIELDS, a[:9]), data=list(a[9].items())) for a in r[13]]
+                        for k in r[13]:
+                            if k not in place:
+                                place[k] = len(entries)
+                                *most, data = step(k)
+                                entries.append((*most, list(data.items())))
+                        row[anc_at] = [place[k] for k in r[13]]
                     rows.append([row[k] for k in at])
                     held += ROW_BYTES + (ANCESTOR_BYTES * len(r[13]) if anc else 0) + len(r[7]) + (len(r[8]) if text else 0)
                     if held >= FLUSH_BYTES:
-                        yield batch(rows)
-                        rows, held = [], 0
+                        yield batch(rows, entries)
+                        rows, held, entries, place = [], 0, [], {}
         if rows:
-            yield batch(rows)
+            yield batch(rows, entries)
     return run
 
 
@@ -100,7 +118,7 @@ def _source(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
     ship_package(pages.sparkSession)
     src = pages.select(pages[page_id].cast("long").alias("page_id"), pages[url].alias("url"),
                        pages[html].alias("html"))
-    return spread(src, "page_id")
+    return spread(src, "page_id", per_core=TASKS_A_CORE)
 
 
 def extract_elements(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html",
