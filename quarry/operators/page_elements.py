@@ -373,11 +373,13 @@ def login_error_message(elements: DataFrame) -> DataFrame:
 
 
 def interactive(elements: DataFrame, kinds: Sequence[str] = ("clickable", "input", "media"),
-                check_visibility: bool = False, lists: dict[str, list[Column]] | None = None) -> DataFrame:
+                check_visibility: bool = False, lists: dict[str, list[Column]] | None = None,
+                keep: Sequence[str] = ()) -> DataFrame:
     """Interactive elements by kind; an element appears once per
     selector of its kind that it matches (as the selector loops do). ``lists``
     holds the selectors of each kind: ``browser_selectors`` (default),
-    ``page_tool_selectors`` or ``page_analyzer_selectors``."""
+    ``page_tool_selectors`` or ``page_analyzer_selectors``; ``keep`` names more
+    columns of the elements that their rows carry."""
     elements = _shown(elements, check_visibility)
     lists = lists or browser_selectors()
     parts = [_tagged(_selector_hits(lists[k]), "kind", k) for k in kinds]
@@ -388,7 +390,7 @@ def interactive(elements: DataFrame, kinds: Sequence[str] = ("clickable", "input
                     "tag", text.alias("text"),
                     dom_type().alias("type"),
                     F.coalesce(attr("name"), F.lit("")).alias("name"),
-                    F.coalesce(attr("src"), F.lit("")).alias("src")))
+                    F.coalesce(attr("src"), F.lit("")).alias("src"), *keep))
 
 
 def _match(col: Column, needle: str, exact: bool, case_sensitive: bool) -> Column:

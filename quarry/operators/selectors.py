@@ -90,16 +90,9 @@ def class_superset_counts(elements: DataFrame) -> DataFrame:
     return met.select("page_id", F.array_join("_c", ".").alias("class_key"), n.alias("n_containing"))
 
 
-def css_selector(elements: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """``#id``; else ``.a.b`` when exactly one element of the page has
-    all those classes; else up to 4 levels of ``tag`` /
-    ``tag:nth-child(n)`` (n counts same-tag siblings, written when > 1)
-    joined by `` > ``, stopping at (and including) an ancestor with an id.
-    Adds column ``css`` to ``targets`` (default: every element); class
-    uniqueness is always counted over all ``elements`` of the page."""
-    counts = class_superset_counts(elements)
-    el = (elements if targets is None else targets).withColumn("class_key", class_key(F.col("class")))
-    el = el.join(counts, ["page_id", "class_key"], "left")
+def with_css_levels(elements: DataFrame) -> DataFrame:
+    """Adds ``css_levels``, the ``css`` of an element whose classes don't make it unique: ``#id``, else its
+    levels. It needs the element's own row only, so whoever drops ``anc`` after it moves no paths."""
     n = F.size("anc")
     start = F.greatest(n - (CSS_MAX_LEVELS - 1), F.lit(1))
     window = F.sequence(start, n)
@@ -114,11 +107,30 @@ def css_selector(elements: DataFrame, targets: DataFrame | None = None) -> DataF
 
     path = F.array_join(F.transform(F.sequence(first, n), level), " > ")
     has_id = F.coalesce(F.col("id"), F.lit("")) != ""
-    unique_cls = (F.col("class_key") != "") & (F.col("n_containing") == 1)
-    css = (F.when(has_id, F.concat(F.lit("#"), F.col("id")))
-           .when(unique_cls, F.concat(F.lit("."), F.array_join(classes(F.col("class")), ".")))
-           .otherwise(path))
-    return el.withColumn("css", css).drop("class_key", "n_containing")
+    return elements.withColumn("css_levels", F.when(has_id, F.concat(F.lit("#"), F.col("id"))).otherwise(path))
+
+
+def css_selector(elements: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """``#id``; else ``.a.b`` when exactly one element of the page has
+    all those classes; else up to 4 levels of ``tag`` /
+    ``tag:nth-child(n)`` (n counts same-tag siblings, written when > 1)
+    joined by `` > ``, stopping at (and including) an ancestor with an id.
+    Adds column ``css`` to ``targets`` (default: every element); class
+    uniqueness is always counted over all ``elements`` of the page. Without ``targets``, elements that have
+    an id or no class meet no count and cross no exchange. Elements that have ``css_levels`` need no ``anc``."""
+    counts = class_superset_counts(elements)
+    el = elements if targets is None else targets
+    out = [*(c for c in el.columns if c != "css_levels"), "css"]
+    if "css_levels" not in el.columns:
+        el = with_css_levels(el)
+    asks = (F.coalesce(F.col("id"), F.lit("")) == "") & (F.size(classes(F.col("class"))) > 0)
+    if targets is None:
+        rest = el.filter(~asks).withColumn("css", F.col("css_levels")).select(*out)
+        el = el.filter(asks)
+    el = el.withColumn("class_key", F.when(asks, class_key(F.col("class")))).join(counts, ["page_id", "class_key"], "left")
+    unique = F.concat(F.lit("."), F.array_join(classes(F.col("class")), "."))
+    el = el.withColumn("css", F.when(F.col("n_containing") == 1, unique).otherwise(F.col("css_levels"))).select(*out)
+    return el if targets is not None else el.unionByName(rest)
 
 
 def add_xpaths(elements: DataFrame) -> DataFrame:
@@ -303,16 +315,17 @@ def selector_table(elements: DataFrame, group: str = GROUP_DEFAULT, lists=None)
     lists (default: those of the page tool). An element that several
     selectors of its kind match is listed once, at the first; i counts the
     listed elements per page and kind in selector, then document order."""
-    hits = interactive(elements, ("clickable", "input"), lists=lists or page_tool_selectors()).select(
-        "page_id", "idx", "kind", "selector", "text")
-    # selectors only for the elements that are listed (uniqueness of class
-    # sets is still counted over the whole page)
-    targets = elements.join(hits.select("page_id", "idx").distinct(), ["page_id", "idx"], "left_semi")
-    el = add_xpaths(css_selector(elements, targets))
-    found = hits.join(el.drop("text"), ["page_id", "idx"]).withColumn("order", F.struct("selector", "idx"))
+    el = elements if "css_levels" in elements.columns else with_css_levels(elements)
+    if "xpath" not in el.columns:
+        el = add_xpaths(el)
+    hits = interactive(el.filter(F.col("page_id").isNotNull()), ("clickable", "input"), lists=lists or page_tool_selectors(),
+                       keep=("id", "class", "attrs", "css_levels", "xpath", "full_xpath"))
+    # of its hits in a kind only an element's first can be listed: paths and attributes are
+    # gathered for the elements listed, and class sets still counted over the whole page
+    found = hits.drop("type", "name", "src").withColumn("order", F.struct("selector", "idx"))
     once = dedup_elements(found, key="xpath", order="order", kind="kind")
     w = Window.partitionBy("page_id", "kind").orderBy("order")
-    j = once.withColumn("_i", F.row_number().over(w))
+    j = css_selector(elements, once.withColumn("_i", F.row_number().over(w)))
     is_click = F.col("kind") == "clickable"
     text_value = F.when(is_click, F.col("text")).otherwise(
         F.coalesce(F.nullif(F.coalesce(attr("placeholder"), F.lit("")), F.lit("")), attr("value"), F.lit("")))
@@ -344,14 +357,21 @@ XPATH_HINT_TAGS = ("div", "span", "img")
 CSS_PATH_LEVELS = 5
 
 
+def _has_text() -> Column:
+    return strip_ws(F.coalesce(F.col("text"), F.lit(""))) != ""
+
+
 def child_hints(elements: DataFrame) -> DataFrame:
-    """Per element (page_id, idx): the tag of its first child that has text
+    """Per element (page_id, idx) with such a child: the tag of its first child that has text
     or is one of the CSS child tags, the same for the XPath child tags, and
-    whether any child has text or is a div/span/img."""
-    has_text = strip_ws(F.coalesce(F.col("text"), F.lit(""))) != ""
-    kids = elements.filter(F.col("parent_idx").isNotNull())
+    whether any child has text or is a div/span/img. Children that can't be a hint aren't
+    sorted. ``has_text``, where the elements have it, stands for their ``text``."""
+    if "has_text" not in elements.columns:
+        elements = elements.withColumn("has_text", _has_text())
+    has_text = F.col("has_text")
+    kids = elements.filter(F.col("parent_idx").isNotNull() & (has_text | tag_is(*CSS_CHILD_TAGS)))
     return kids.groupBy("page_id", F.col("parent_idx").alias("idx")).agg(
-        F.min_by("tag", F.when(has_text | tag_is(*CSS_CHILD_TAGS), F.col("idx"))).alias("css_child"),
+        F.min_by("tag", "idx").alias("css_child"),
         F.min_by("tag", F.when(has_text | tag_is(*XPATH_CHILD_TAGS), F.col("idx"))).alias("xpath_child"),
         F.max(has_text | tag_is(*XPATH_HINT_TAGS)).alias("xpath_hint"))
 
@@ -377,42 +397,40 @@ def _css_piece(a: Column) -> Column:
     return F.concat(a["tag"], nth, cls_part, _key_attr(a))
 
 
-def css_path(elements: DataFrame) -> DataFrame:
-    """``#id``; else up to 5 levels of ``tag:nth-child(i)`` (position
-    among all element siblings, when there are several) with one
-    significant class (else the first class when the element has no data
-    attributes) and one key attribute, joined by `` > ``; the first
-    important child is appended to the element's own level; a parent with
-    an id ends the path as ``#id``. Adds column ``css_path``."""
-    el = elements.join(child_hints(elements).select("page_id", "idx", "css_child"), ["page_id", "idx"], "left")
+def with_css_steps(elements: DataFrame) -> DataFrame:
+    """Adds ``css_steps`` (the ``css_path`` without the child) and ``has_text``, from the element's own row."""
     n = F.size("anc")
     lo = F.greatest(n - (CSS_PATH_LEVELS - 1), F.lit(1))
     id_lo = F.greatest(n - CSS_PATH_LEVELS, F.lit(1))
     idp = F.array_max(F.filter(F.sequence(id_lo, F.greatest(n - 1, id_lo)),
                                lambda p: (p < n) & (F.coalesce(F.col("anc")[p - 1]["id"], F.lit("")) != "")))
     first = F.coalesce(idp + 1, lo)
-    child = F.when(F.col("css_child").isNotNull(), F.concat(F.lit(" > "), F.col("css_child"))).otherwise(F.lit(""))
-
-    def piece(p):
-        base = _css_piece(F.col("anc")[p - 1])
-        return F.when(p == n, F.concat(base, child)).otherwise(base)
-
-    body = F.array_join(F.transform(F.sequence(first, n), piece), " > ")
+    body = F.array_join(F.transform(F.sequence(first, n), lambda p: _css_piece(F.col("anc")[p - 1])), " > ")
     path = F.when(idp.isNotNull(), F.concat(F.lit("#"), F.col("anc")[idp - 1]["id"], F.lit(" > "), body)) \
         .otherwise(body)
+    return elements.withColumn("css_steps", path).withColumn("has_text", _has_text())
+
+
+def css_path(elements: DataFrame) -> DataFrame:
+    """``#id``; else up to 5 levels of ``tag:nth-child(i)`` (position
+    among all element siblings, when there are several) with one
+    significant class (else the first class when the element has no data
+    attributes) and one key attribute, joined by `` > ``; the first
+    important child is appended to the element's own level; a parent with
+    an id ends the path as ``#id``. Adds column ``css_path``. Elements that have
+    ``css_steps`` and ``has_text`` need no ``anc`` and no ``text``."""
+    out = [*(c for c in elements.columns if c not in ("css_steps", "has_text")), "css_path"]
+    el = elements if "css_steps" in elements.columns else with_css_steps(elements)
+    el = el.join(child_hints(el).select("page_id", "idx", "css_child"), ["page_id", "idx"], "left")
+    child = F.when(F.col("css_child").isNotNull(), F.concat(F.lit(" > "), F.col("css_child"))).otherwise(F.lit(""))
     has_id = strip_ws(F.coalesce(F.col("id"), F.lit(""))) != ""
-    return el.withColumn("css_path", F.when(has_id, F.concat(F.lit("#"), F.col("id"))).otherwise(path)) \
-        .drop("css_child")
+    return el.withColumn("css_path", F.when(has_id, F.concat(F.lit("#"), F.col("id"))).otherwise(
+        F.concat(F.col("css_steps"), child))).select(*out)
 
 
-def xpath_unified(elements: DataFrame) -> DataFrame:
-    """``//*[@id="x"]`` for an element with an id; else the steps up
-    to (not including) body/html, stopping at an ancestor with an id
-    (``//*[@id="a"]/div/a``); an index only when several same-tag
-    siblings exist; a hint child step appended to the element's own step.
-    Paths without an id anchor start with ``//``. Adds ``xpath_unified``."""
-    el = elements.join(child_hints(elements).select("page_id", "idx", "xpath_child", "xpath_hint"),
-                       ["page_id", "idx"], "left")
+def with_xpath_steps(elements: DataFrame) -> DataFrame:
+    """Adds ``unified_steps`` (the ``xpath_unified`` of an element without an id, without the child) and
+    ``has_text``, from the element's own row."""
     n = F.size("anc")
     stop = F.array_max(F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
                                 lambda p: (p < n) & (F.col("anc")[p - 1]["tag"].isin("body", "html")
@@ -422,15 +440,27 @@ def xpath_unified(elements: DataFrame) -> DataFrame:
 
     def step(p):
         a = F.col("anc")[p - 1]
-        s = F.concat(F.lit("/"), a["tag"], F.when(a["n_same"] > 1, F.concat(F.lit("["), a["nth_tag"].cast("string"),
-                                                                            F.lit("]"))).otherwise(F.lit("")))
-        extra = F.when((p == n) & F.coalesce(F.col("xpath_hint"), F.lit(False)) & F.col("xpath_child").isNotNull(),
-                       F.concat(F.lit("/"), F.col("xpath_child"))).otherwise(F.lit(""))
-        return F.concat(s, extra)
+        return F.concat(F.lit("/"), a["tag"], F.when(a["n_same"] > 1, F.concat(F.lit("["), a["nth_tag"].cast("string"),
+                                                                               F.lit("]"))).otherwise(F.lit("")))
 
     steps = F.array_join(F.transform(F.sequence(first, n), step), "")
     anchored = F.concat(F.lit('//*[@id="'), F.col("anc")[stop - 1]["id"], F.lit('"]'), steps)
     path = F.when(stop_is_id, anchored).otherwise(F.concat(F.lit("/"), steps))
+    return elements.withColumn("unified_steps", path).withColumn("has_text", _has_text())
+
+
+def xpath_unified(elements: DataFrame) -> DataFrame:
+    """``//*[@id="x"]`` for an element with an id; else the steps up
+    to (not including) body/html, stopping at an ancestor with an id
+    (``//*[@id="a"]/div/a``); an index only when several same-tag
+    siblings exist; a hint child step appended to the element's own step.
+    Paths without an id anchor start with ``//``. Adds ``xpath_unified``. Elements that
+    have ``unified_steps`` and ``has_text`` need no ``anc`` and no ``text``."""
+    out = [*(c for c in elements.columns if c not in ("unified_steps", "has_text")), "xpath_unified"]
+    el = elements if "unified_steps" in elements.columns else with_xpath_steps(elements)
+    el = el.join(child_hints(el).select("page_id", "idx", "xpath_child", "xpath_hint"), ["page_id", "idx"], "left")
+    extra = F.when(F.coalesce(F.col("xpath_hint"), F.lit(False)) & F.col("xpath_child").isNotNull(),
+                   F.concat(F.lit("/"), F.col("xpath_child"))).otherwise(F.lit(""))
     has_id = F.coalesce(F.col("id"), F.lit("")) != ""
     return el.withColumn("xpath_unified", F.when(has_id, F.concat(F.lit('//*[@id="'), F.col("id"), F.lit('"]')))
-                         .otherwise(path)).drop("xpath_child", "xpath_hint")
+                         .otherwise(F.concat(F.col("unified_steps"), extra))).select(*out)

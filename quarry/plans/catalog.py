@@ -344,6 +344,8 @@ def _whole_elements(el):
 # what queries ask of the parse: no ancestor paths; paths and no texts
 FLAT = [*COMPACT, "text"]
 PATH = ["page_id", "idx", "tag", "id", "class", "anc"]
+SHOWN = ["page_id", "idx", "tag", "class", "attrs", "text"]
+WHOLE = [*SHOWN, "id", "anc"]
 HEADINGS = tuple(f"h{i}" for i in range(1, 7))
 
 
@@ -391,13 +393,17 @@ def q_forms(spark, sf_dir):
 
 @query("form_inputs")
 def q_form_inputs(spark, sf_dir):
-    return pe.form_inputs(_rt_elements(spark, sf_dir, shared=True)).select(
+    el = _rt_elements(spark, sf_dir, shared=True, columns=["page_id", "idx", "tag", "id", "attrs", "anc"],
+                      tags=("form", "input", "select", "textarea"))
+    return pe.form_inputs(el).select(
         "page_id", "form_id", "type", "name", "id", "placeholder", "required")
 
 
 @query("inputs")
 def q_inputs(spark, sf_dir):
-    return pe.inputs(_rt_elements(spark, sf_dir, shared=True)).select(
+    el = _rt_elements(spark, sf_dir, shared=True, columns=["page_id", "idx", "parent_idx", "tag", "id", "attrs"],
+                      tags=("input", "select", "textarea", "option"))
+    return pe.inputs(el).select(
         "page_id", "tag", "type", "name", "value", "placeholder", "required", "n_options")
 
 
@@ -441,12 +447,12 @@ def q_error_messages(spark, sf_dir):
 
 @query("login_error_message")
 def q_login_error_message(spark, sf_dir):
-    return pe.login_error_message(_rt_elements(spark, sf_dir, shared=True))
+    return pe.login_error_message(_rt_elements(spark, sf_dir, shared=True, columns=[*SHOWN, "own_text"]))
 
 
 @query("interactive")
 def q_interactive(spark, sf_dir):
-    el = _rt_elements(spark, sf_dir, shared=True)
+    el = _rt_elements(spark, sf_dir, shared=True, columns=SHOWN)
     out = None
     for name, lists in (("browser", pe.browser_selectors()), ("page_tool", pe.page_tool_selectors()),
                         ("page_analyzer", pe.page_analyzer_selectors())):
@@ -477,7 +483,8 @@ def q_text_search_best(spark, sf_dir):
 
 @query("css_selector")
 def q_css_selector(spark, sf_dir):
-    return sl.css_selector(_rt_elements(spark, sf_dir, shared=True, columns=PATH)).select("page_id", "tag", "css")
+    el = materialize(sl.with_css_levels(_rt_elements(spark, sf_dir, columns=PATH)).drop("anc"))
+    return sl.css_selector(el).select("page_id", "tag", "css")
 
 
 @query("xpath")
@@ -485,8 +492,14 @@ def q_xpath(spark, sf_dir):
     return sl.add_xpaths(_elements(spark, sf_dir, columns=PATH)).select("page_id", "idx", "tag", "xpath", "xpath_soup", "full_xpath")
 
 
+def _pathed_elements(spark, sf_dir):
+    """The rendered pages' elements with their paths as text in the place of the ancestors, written once."""
+    el = sl.with_css_levels(sl.add_xpaths(_rt_elements(spark, sf_dir, columns=WHOLE)))
+    return materialize(el.drop("anc", "xpath_soup"))
+
+
 def _element_selectors(spark, sf_dir):
-    return sl.element_selectors(sl.add_xpaths(sl.css_selector(_rt_elements(spark, sf_dir, shared=True))))
+    return sl.element_selectors(sl.css_selector(_pathed_elements(spark, sf_dir)))
 
 
 @query("element_selectors")
@@ -508,7 +521,7 @@ def _best_selector(el):
 
 @query("best_selector")
 def q_best_selector(spark, sf_dir):
-    el = sl.add_xpaths(sl.css_selector(_rt_elements(spark, sf_dir, shared=True)))
+    el = sl.css_selector(_pathed_elements(spark, sf_dir))
     return _best_selector(el).withColumn("selector_list", F.to_json("selector_list"))
 
 
@@ -524,9 +537,8 @@ def q_page_structure(spark, sf_dir):
 
 @query("dedup_elements")
 def q_dedup_elements(spark, sf_dir):
-    el = sl.add_xpaths(_rt_elements(spark, sf_dir, shared=True))
-    cand = (pe.interactive(el, ("clickable", "input"), lists=pe.page_tool_selectors())
-            .join(el.select("page_id", "idx", "xpath"), ["page_id", "idx"])
+    el = sl.add_xpaths(_rt_elements(spark, sf_dir, columns=WHOLE)).filter(F.col("page_id").isNotNull())
+    cand = (pe.interactive(el, ("clickable", "input"), lists=pe.page_tool_selectors(), keep=["xpath"])
             .withColumn("order", F.struct("selector", "idx")))
     return pe.dedup_elements(cand, kind="kind").select("page_id", "kind", "selector", "xpath", "tag", "text")
 
@@ -538,7 +550,7 @@ def q_category_summary(spark, sf_dir):
 
 @query("selector_table")
 def q_selector_table(spark, sf_dir):
-    return sl.selector_table(_rt_elements(spark, sf_dir, shared=True)).select(
+    return sl.selector_table(_pathed_elements(spark, sf_dir)).select(
         "page_id", "name", "text_value", "id", "class", "css", "xpath", "element_type", "category",
         F.to_json("data").alias("data"))
 
@@ -674,7 +686,7 @@ def q_schema_document(spark, sf_dir):
 def q_selector_export(spark, sf_dir):
     """The CSV written and read back."""
     path = fx.scratch_dir(spark, "selector-export")
-    sk.write_selector_exports(materialize(sl.selector_table(_rt_elements(spark, sf_dir, shared=True))), path)
+    sk.write_selector_exports(materialize(sl.selector_table(_pathed_elements(spark, sf_dir))), path)
     return sk.read_selector_csv(spark, path)
 
 
@@ -727,12 +739,14 @@ def q_stream_page_changes(spark, sf_dir):
 
 @query("css_path")
 def q_css_path(spark, sf_dir):
-    return sl.css_path(_rt_elements(spark, sf_dir, shared=True)).select("page_id", "idx", "tag", "css_path")
+    el = sl.with_css_steps(_rt_elements(spark, sf_dir, columns=[*PATH, "parent_idx", "text"]))
+    return sl.css_path(materialize(el.drop("anc", "text"))).select("page_id", "idx", "tag", "css_path")
 
 
 @query("xpath_unified")
 def q_xpath_unified(spark, sf_dir):
-    return sl.xpath_unified(_rt_elements(spark, sf_dir, shared=True)).select("page_id", "idx", "tag", "xpath_unified")
+    el = sl.with_xpath_steps(_rt_elements(spark, sf_dir, columns=[*PATH, "parent_idx", "text"]))
+    return sl.xpath_unified(materialize(el.drop("anc", "text"))).select("page_id", "idx", "tag", "xpath_unified")
 
 
 @query("element_counts")
