@@ -103,7 +103,8 @@ def with_css_levels(elements: DataFrame) -> DataFrame:
         a = F.col("anc")[p - 1]
         plain = F.concat(a["tag"], F.when(a["nth_tag"] > 1, F.concat(F.lit(":nth-child("), a["nth_tag"].cast("string"),
                                                                        F.lit(")"))).otherwise(F.lit("")))
-        return F.when(id_pos.isNotNull() & (p == id_pos), F.concat(F.lit("#"), a["id"])).otherwise(plain)
+        # from the first level on only that one can have an id
+        return F.when(F.coalesce(a["id"], F.lit("")) != "", F.concat(F.lit("#"), a["id"])).otherwise(plain)
 
     path = F.array_join(F.transform(F.sequence(first, n), level), " > ")
     has_id = F.coalesce(F.col("id"), F.lit("")) != ""

@@ -331,8 +331,8 @@ def _elements(spark, sf_dir, shared: bool = False, columns=None, tags=None):
     return materialize(el) if shared else el
 
 
-def _rt_elements(spark, sf_dir, shared: bool = False, columns=None, tags=None):
-    el = extract_elements(fx.customer_pages(load_table(spark, sf_dir, "customer")), columns=columns, tags=tags)
+def _rt_elements(spark, sf_dir, shared: bool = False, columns=None, tags=None, steps=None):
+    el = extract_elements(fx.customer_pages(load_table(spark, sf_dir, "customer")), columns=columns, tags=tags, steps=steps)
     return materialize(el) if shared else el
 
 
@@ -346,6 +346,7 @@ FLAT = [*COMPACT, "text"]
 PATH = ["page_id", "idx", "tag", "id", "class", "anc"]
 SHOWN = ["page_id", "idx", "tag", "class", "attrs", "text"]
 WHOLE = [*SHOWN, "id", "anc"]
+STEP = ("tag", "id", "nth_tag")  # what xpaths and css levels take of an ancestor
 HEADINGS = tuple(f"h{i}" for i in range(1, 7))
 
 
@@ -394,7 +395,7 @@ def q_forms(spark, sf_dir):
 @query("form_inputs")
 def q_form_inputs(spark, sf_dir):
     el = _rt_elements(spark, sf_dir, shared=True, columns=["page_id", "idx", "tag", "id", "attrs", "anc"],
-                      tags=("form", "input", "select", "textarea"))
+                      tags=("form", "input", "select", "textarea"), steps=("tag", "nth_child"))
     return pe.form_inputs(el).select(
         "page_id", "form_id", "type", "name", "id", "placeholder", "required")
 
@@ -483,7 +484,7 @@ def q_text_search_best(spark, sf_dir):
 
 @query("css_selector")
 def q_css_selector(spark, sf_dir):
-    el = materialize(sl.with_css_levels(_rt_elements(spark, sf_dir, columns=PATH)).drop("anc"))
+    el = materialize(sl.with_css_levels(_rt_elements(spark, sf_dir, columns=PATH, steps=STEP)).drop("anc"))
     return sl.css_selector(el).select("page_id", "tag", "css")
 
 
@@ -494,7 +495,7 @@ def q_xpath(spark, sf_dir):
 
 def _pathed_elements(spark, sf_dir):
     """The rendered pages' elements with their paths as text in the place of the ancestors, written once."""
-    el = sl.with_css_levels(sl.add_xpaths(_rt_elements(spark, sf_dir, columns=WHOLE)))
+    el = sl.with_css_levels(sl.add_xpaths(_rt_elements(spark, sf_dir, columns=WHOLE, steps=STEP)))
     return materialize(el.drop("anc", "xpath_soup"))
 
 
@@ -537,7 +538,7 @@ def q_page_structure(spark, sf_dir):
 
 @query("dedup_elements")
 def q_dedup_elements(spark, sf_dir):
-    el = sl.add_xpaths(_rt_elements(spark, sf_dir, columns=WHOLE)).filter(F.col("page_id").isNotNull())
+    el = sl.add_xpaths(_rt_elements(spark, sf_dir, columns=WHOLE, steps=STEP)).filter(F.col("page_id").isNotNull())
     cand = (pe.interactive(el, ("clickable", "input"), lists=pe.page_tool_selectors(), keep=["xpath"])
             .withColumn("order", F.struct("selector", "idx")))
     return pe.dedup_elements(cand, kind="kind").select("page_id", "kind", "selector", "xpath", "tag", "text")
@@ -745,7 +746,7 @@ def q_css_path(spark, sf_dir):
 
 @query("xpath_unified")
 def q_xpath_unified(spark, sf_dir):
-    el = sl.with_xpath_steps(_rt_elements(spark, sf_dir, columns=[*PATH, "parent_idx", "text"]))
+    el = sl.with_xpath_steps(_rt_elements(spark, sf_dir, columns=[*PATH, "parent_idx", "text"], steps=(*STEP, "n_same")))
     return sl.xpath_unified(materialize(el.drop("anc", "text"))).select("page_id", "idx", "tag", "xpath_unified")
 
 

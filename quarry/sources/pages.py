@@ -68,18 +68,21 @@ ROW_BYTES, ANCESTOR_BYTES = 200, 150
 TASKS_A_CORE = 4
 
 
-def _extract(columns: list[str], tags: frozenset[str] | None):
-    schema = pa.schema([_ARROW.field(c) for c in columns])
+def _extract(columns: list[str], tags: frozenset[str] | None, steps: Sequence[str] | None = None):
+    kept = [k for k, f in enumerate(ANC.fieldNames()) if steps is None or f in steps]
+    fields = [_ANC_ARROW.field(k) for k in kept]
+    schema = pa.schema([_ARROW.field(c) if c != "anc" else pa.field(c, pa.list_(pa.struct(fields))) for c in columns])
+    data_at = ANC.fieldNames().index("data")
     at = [_ARROW.get_field_index(c) for c in columns]
     anc_at, attrs_at = _ARROW.get_field_index("anc"), _ARROW.get_field_index("attrs")
     text, anc, attrs = "text" in columns, "anc" in columns, "attrs" in columns
 
     def paths(rows_of_places, entries):
         """The ancestor column: each entry is converted once, however many paths share it."""
-        each = [pa.array(c, type=f.type) for c, f in zip(zip(*entries), _ANC_ARROW)]
+        each = [pa.array(c, type=f.type) for c, f in zip(zip(*entries), fields)]
         ends = [0, *accumulate(map(len, rows_of_places))]
         places = pa.array([k for row in rows_of_places for k in row], pa.int32())
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(each, fields=list(_ANC_ARROW)).take(places))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(each, fields=fields).take(places))
 
     def batch(rows, entries):
         return pa.RecordBatch.from_arrays([paths(c, entries) if f.name == "anc" else pa.array(c, type=f.type)
@@ -101,8 +104,8 @@ def _extract(columns: list[str], tags: frozenset[str] | None):
                         for k in r[13]:
                             if k not in place:
                                 place[k] = len(entries)
-                                *most, data = step(k)
-                                entries.append((*most, list(data.items())))
+                                entry = step(k)
+                                entries.append([list(entry[f].items()) if f == data_at else entry[f] for f in kept])
                         row[anc_at] = [place[k] for k in r[13]]
                     rows.append([row[k] for k in at])
                     held += ROW_BYTES + (ANCESTOR_BYTES * len(r[13]) if anc else 0) + len(r[7]) + (len(r[8]) if text else 0)
@@ -122,13 +125,16 @@ def _source(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
 
 
 def extract_elements(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html",
-                     columns: Sequence[str] | None = None, tags: Sequence[str] | None = None) -> DataFrame:
+                     columns: Sequence[str] | None = None, tags: Sequence[str] | None = None,
+                     steps: Sequence[str] | None = None) -> DataFrame:
     """H1: element table (schema ``ELEMENT_SCHEMA``); with ``columns`` only those, with ``tags``
-    only elements of those kinds (their places among their siblings still count all)."""
+    only elements of those kinds (their places among their siblings still count all), with ``steps``
+    only those fields of the ancestors in ``anc``."""
     names = ELEMENT_SCHEMA.fieldNames()
     columns = names if columns is None else [c for c in names if c in set(columns)]
-    schema = T.StructType([ELEMENT_SCHEMA[c] for c in columns])
-    return _source(pages, page_id, url, html).mapInArrow(_extract(columns, frozenset(tags) if tags is not None else None), schema)
+    anc = T.StructField("anc", T.ArrayType(T.StructType([f for f in ANC if steps is None or f.name in steps])))
+    schema = T.StructType([ELEMENT_SCHEMA[c] if c != "anc" else anc for c in columns])
+    return _source(pages, page_id, url, html).mapInArrow(_extract(columns, frozenset(tags) if tags is not None else None, steps), schema)
 
 
 def page_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
