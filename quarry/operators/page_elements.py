@@ -10,6 +10,7 @@ column predicates on ``tag``, the class list and the attribute map.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ def classes(c: Column | None = None) -> Column:
 
 
 def has_class(name: str) -> Column:
-    return F.array_contains(classes(), F.lit(name))
+    return F.array_contains(F.split(F.coalesce(F.col("class"), F.lit("")), r"[ \t\n\f\r]+"), F.lit(name))
 
 
 def attr(name: str) -> Column:
@@ -114,6 +115,13 @@ def media_selectors() -> list[Column]:
     return [tag_is("video"), tag_is("audio"), tag_is("iframe"), tag_is("canvas")]
 
 
+HIT_BITS = 62  # hits that one number holds
+# Every selector of the lists above asks for one of these tags or of these attributes: a parse for
+# ``interactive`` needn't give rows to other elements.
+INTERACTIVE_TAGS = ("a", "button", "input", "textarea", "select", "video", "audio", "iframe", "canvas")
+INTERACTIVE_ATTRS = ("onclick", "role", "class", "contenteditable")
+
+
 def error_selectors() -> list[Column]:
     return [has_class("error"), has_class("alert"), has_class("alert-danger"), has_class("alert-error"),
             attr_eq("role", "alert"), attr_contains("class", "error"), attr_contains("class", "alert"),
@@ -374,23 +382,34 @@ def login_error_message(elements: DataFrame) -> DataFrame:
 
 def interactive(elements: DataFrame, kinds: Sequence[str] = ("clickable", "input", "media"),
                 check_visibility: bool = False, lists: dict[str, list[Column]] | None = None,
-                keep: Sequence[str] = ()) -> DataFrame:
+                keep: Sequence[str] = (), named: dict[str, dict[str, list[Column]]] | None = None) -> DataFrame:
     """Interactive elements by kind; an element appears once per
     selector of its kind that it matches (as the selector loops do). ``lists``
     holds the selectors of each kind: ``browser_selectors`` (default),
     ``page_tool_selectors`` or ``page_analyzer_selectors``; ``keep`` names more
-    columns of the elements that their rows carry."""
+    columns of the elements that their rows carry. ``named`` holds several such lists, all of whose kinds are
+    found in one pass over the elements; a first column ``lists`` names the list."""
     elements = _shown(elements, check_visibility)
-    lists = lists or browser_selectors()
-    parts = [_tagged(_selector_hits(lists[k]), "kind", k) for k in kinds]
-    hits = parts[0] if len(parts) == 1 else F.concat(*parts)
+    which = {n: [(k, s) for k in by_kind for s in enumerate(by_kind[k])] for n, by_kind in named.items()} if named else {
+        None: [(k, s) for k in kinds for s in enumerate((lists or browser_selectors())[k])]}
+    hits = [(n, k, i, sel) for n, sels in which.items() for k, (i, sel) in sels]
+    # an element's hits are bits of numbers (plain conditions, nothing is built for a selector that doesn't match); a
+    # table of the selectors then gives each bit its row, and what a row carries is built once an element
+    groups = [hits[at:at + HIT_BITS] for at in range(0, len(hits), HIT_BITS)]
+    bits = [reduce(lambda x, y: x.bitwiseOR(y), [F.when(h[3], F.lit(1 << at).cast("long")).otherwise(F.lit(0).cast("long"))
+                                                 for at, h in enumerate(g)]).alias(f"_bits{j}") for j, g in enumerate(groups)]
     text = F.coalesce(F.nullif(strip_ws(F.coalesce(F.col("text"), F.lit(""))), F.lit("")), attr("value"), F.lit(""))
-    return (elements.select("*", F.explode(hits).alias("_h"))
-            .select("page_id", "idx", F.col("_h.kind").alias("kind"), F.col("_h.selector").alias("selector"),
-                    "tag", text.alias("text"),
-                    dom_type().alias("type"),
-                    F.coalesce(attr("name"), F.lit("")).alias("name"),
-                    F.coalesce(attr("src"), F.lit("")).alias("src"), *keep))
+    found = elements.select(
+        "page_id", "idx", "tag", text.alias("text"), dom_type().alias("type"), F.coalesce(attr("name"), F.lit("")).alias("name"),
+        F.coalesce(attr("src"), F.lit("")).alias("src"), *keep, *bits)
+    table = F.array(*[F.struct(F.lit(n).cast("string").alias("lists"), F.lit(k).alias("kind"), F.lit(i).alias("selector"),
+                               F.lit(j).alias("group"), F.lit(1 << at).cast("long").alias("bit"))
+                      for j, g in enumerate(groups) for at, (n, k, i, _) in enumerate(g)])
+    hit = reduce(lambda x, y: x | y, [(F.col("_h.group") == j) & (F.col(f"_bits{j}").bitwiseAND(F.col("_h.bit")) != 0)
+                                      for j in range(len(groups))], F.lit(False))
+    rows = found.select("*", F.explode(table).alias("_h")).filter(hit)
+    return rows.select(*([F.col("_h.lists").alias("lists")] if named else []), "page_id", "idx", F.col("_h.kind").alias("kind"),
+                       F.col("_h.selector").alias("selector"), "tag", "text", "type", "name", "src", *keep)
 
 
 def _match(col: Column, needle: str, exact: bool, case_sensitive: bool) -> Column:

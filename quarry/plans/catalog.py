@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.operators import page_elements as pe
@@ -22,10 +22,10 @@ from quarry.operators import text_structure as ts
 from quarry.operators import textscan as sc
 from quarry.plans import fixtures as fx
 from quarry.plans.fixtures import report_runs, report_text, result_documents
-from quarry.session import load_table, materialize
+from quarry.session import load_table, materialize, spread
 from quarry.sources import reports as rpt
 from quarry.sources import sinks as sk
-from quarry.sources.pages import COMPACT, extract_elements, page_texts, with_ancestors, with_text
+from quarry.sources.pages import COMPACT, TASKS_A_CORE, extract_elements, page_texts, with_ancestors, with_text
 from quarry.sources.results_json import parse_result_documents, read_result_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -331,8 +331,14 @@ def _elements(spark, sf_dir, shared: bool = False, columns=None, tags=None):
     return materialize(el) if shared else el
 
 
-def _rt_elements(spark, sf_dir, shared: bool = False, columns=None, tags=None, steps=None):
-    el = extract_elements(fx.customer_pages(load_table(spark, sf_dir, "customer")), columns=columns, tags=tags, steps=steps)
+def _spread_customers(spark, sf_dir):
+    """The customers in many short partitions: their narrow rows move, not the pages rendered from them."""
+    return spread(load_table(spark, sf_dir, "customer"), "c_custkey", per_core=TASKS_A_CORE)
+
+
+def _rt_elements(spark, sf_dir, shared: bool = False, columns=None, tags=None, steps=None, having=None):
+    el = extract_elements(fx.customer_pages(_spread_customers(spark, sf_dir)), columns=columns, tags=tags, steps=steps,
+                          having=having, spread_out=False)
     return materialize(el) if shared else el
 
 
@@ -453,14 +459,9 @@ def q_login_error_message(spark, sf_dir):
 
 @query("interactive")
 def q_interactive(spark, sf_dir):
-    el = _rt_elements(spark, sf_dir, shared=True, columns=SHOWN)
-    out = None
-    for name, lists in (("browser", pe.browser_selectors()), ("page_tool", pe.page_tool_selectors()),
-                        ("page_analyzer", pe.page_analyzer_selectors())):
-        rows = pe.interactive(el, list(lists), lists=lists).select(
-            F.lit(name).alias("lists"), "page_id", "kind", "selector", "tag", "text", "type")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    el = _rt_elements(spark, sf_dir, columns=SHOWN, tags=pe.INTERACTIVE_TAGS, having=pe.INTERACTIVE_ATTRS)
+    named = {"browser": pe.browser_selectors(), "page_tool": pe.page_tool_selectors(), "page_analyzer": pe.page_analyzer_selectors()}
+    return pe.interactive(el, named=named).select("lists", "page_id", "kind", "selector", "tag", "text", "type")
 
 
 @query("text_search")

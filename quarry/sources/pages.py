@@ -48,6 +48,12 @@ ELEMENT_SCHEMA = T.StructType([
     T.StructField("visible", T.BooleanType()),
     T.StructField("end_idx", T.IntegerType()), T.StructField("text_from", T.IntegerType()), T.StructField("text_to", T.IntegerType()),
 ])
+# facts of an element's place in its page that are built only where asked for by name: how many
+# elements of the page have all its classes (null: it has none); its children's tags, and whether they hold text
+PAGE_FACTS = T.StructType([
+    T.StructField("n_class", T.IntegerType()),
+    T.StructField("kids", T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), T.StructField("has_text", T.BooleanType())]))),
+])
 COMPACT = [c for c in ELEMENT_SCHEMA.fieldNames() if c not in ("text", "anc")]
 
 _ANC_ARROW = pa.struct([("tag", pa.string()), ("id", pa.string()), ("class", pa.string()),
@@ -60,6 +66,7 @@ _ARROW = pa.schema([
     ("attrs", pa.map_(pa.string(), pa.string())), ("own_text", pa.string()), ("text", pa.string()),
     ("nth_child", pa.int32()), ("n_child", pa.int32()), ("nth_tag", pa.int32()), ("n_same", pa.int32()),
     ("anc", pa.list_(_ANC_ARROW)), ("visible", pa.bool_()), ("end_idx", pa.int32()), ("text_from", pa.int32()), ("text_to", pa.int32()),
+    ("n_class", pa.int32()), ("kids", pa.list_(pa.struct([("tag", pa.string()), ("has_text", pa.bool_())]))),
 ])
 # a batch is sent on when its rows hold about so many bytes
 FLUSH_BYTES = 8 << 20
@@ -68,14 +75,35 @@ ROW_BYTES, ANCESTOR_BYTES = 200, 150
 TASKS_A_CORE = 4
 
 
-def _extract(columns: list[str], tags: frozenset[str] | None, steps: Sequence[str] | None = None):
+def _maps(dicts) -> pa.Array:
+    """A map column of text by text, built from its flat keys and values."""
+    keys, values, ends = [], [], [0]
+    for d in dicts:
+        keys += d
+        values += d.values()
+        ends.append(len(keys))
+    return pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string()))
+
+
+def _kid_lists(lists) -> pa.Array:
+    ends = [0, *accumulate(map(len, lists))]
+    flat = [k for kids in lists for k in kids]
+    tags, texts = zip(*flat) if flat else ((), ())
+    each = pa.StructArray.from_arrays([pa.array(tags, pa.string()), pa.array(texts, pa.bool_())], names=["tag", "has_text"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)
+
+
+def _extract(columns: list[str], tags: frozenset[str] | None, steps: Sequence[str] | None = None,
+             having: frozenset[str] | None = None):
     kept = [k for k, f in enumerate(ANC.fieldNames()) if steps is None or f in steps]
     fields = [_ANC_ARROW.field(k) for k in kept]
     schema = pa.schema([_ARROW.field(c) if c != "anc" else pa.field(c, pa.list_(pa.struct(fields))) for c in columns])
     data_at = ANC.fieldNames().index("data")
     at = [_ARROW.get_field_index(c) for c in columns]
-    anc_at, attrs_at = _ARROW.get_field_index("anc"), _ARROW.get_field_index("attrs")
-    text, anc, attrs = "text" in columns, "anc" in columns, "attrs" in columns
+    anc_at = _ARROW.get_field_index("anc")
+    text, anc = "text" in columns, "anc" in columns
+    facts = not {"nth_child", "n_child", "nth_tag", "n_same", "visible"}.isdisjoint(columns)
+    page_facts = frozenset(PAGE_FACTS.fieldNames()) & frozenset(columns)
 
     def paths(rows_of_places, entries):
         """The ancestor column: each entry is converted once, however many paths share it."""
@@ -84,9 +112,13 @@ def _extract(columns: list[str], tags: frozenset[str] | None, steps: Sequence[st
         places = pa.array([k for row in rows_of_places for k in row], pa.int32())
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(each, fields=fields).take(places))
 
+    def column(f, values, entries):
+        if f.name == "anc":
+            return paths(values, entries)
+        return _maps(values) if f.name == "attrs" else _kid_lists(values) if f.name == "kids" else pa.array(values, type=f.type)
+
     def batch(rows, entries):
-        return pa.RecordBatch.from_arrays([paths(c, entries) if f.name == "anc" else pa.array(c, type=f.type)
-                                           for c, f in zip(zip(*rows), schema)], schema=schema)
+        return pa.RecordBatch.from_arrays([column(f, c, entries) for f, c in zip(schema, zip(*rows))], schema=schema)
 
     def run(batches):
         rows, held, entries = [], 0, []
@@ -94,12 +126,10 @@ def _extract(columns: list[str], tags: frozenset[str] | None, steps: Sequence[st
             pid_col, url_col, html_col = (rb.column(c) for c in ("page_id", "url", "html"))
             for i in range(rb.num_rows):  # one page's Python objects at a time
                 pid, url, html = pid_col[i].as_py(), url_col[i].as_py(), html_col[i].as_py()
-                found, step = parse_paths(html, tags, text, anc)
+                found, step = parse_paths(html, tags, text, anc, having, facts, page_facts)
                 place = {}  # of this page's elements among the batch's entries
                 for r in found:
                     row = [pid, url, *r]
-                    if attrs:
-                        row[attrs_at] = list(r[6].items())
                     if anc:
                         for k in r[13]:
                             if k not in place:
@@ -117,24 +147,29 @@ def _extract(columns: list[str], tags: frozenset[str] | None, steps: Sequence[st
     return run
 
 
-def _source(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
+def _source(pages: DataFrame, page_id: str, url: str, html: str, spread_out: bool = True) -> DataFrame:
     ship_package(pages.sparkSession)
     src = pages.select(pages[page_id].cast("long").alias("page_id"), pages[url].alias("url"),
                        pages[html].alias("html"))
-    return spread(src, "page_id", per_core=TASKS_A_CORE)
+    return spread(src, "page_id", per_core=TASKS_A_CORE) if spread_out else src
 
 
 def extract_elements(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html",
                      columns: Sequence[str] | None = None, tags: Sequence[str] | None = None,
-                     steps: Sequence[str] | None = None) -> DataFrame:
-    """H1: element table (schema ``ELEMENT_SCHEMA``); with ``columns`` only those, with ``tags``
-    only elements of those kinds (their places among their siblings still count all), with ``steps``
-    only those fields of the ancestors in ``anc``."""
+                     steps: Sequence[str] | None = None, having: Sequence[str] | None = None,
+                     spread_out: bool = True) -> DataFrame:
+    """H1: element table (schema ``ELEMENT_SCHEMA``); with ``columns`` only those (``PAGE_FACTS`` among
+    them, where named), with ``tags`` only elements of those kinds and, with ``having``, those that hold one of these
+    attributes (their places among their siblings still count all), with ``steps``
+    only those fields of the ancestors in ``anc``. Pages that lie in many short partitions already needn't be
+    ``spread_out``."""
     names = ELEMENT_SCHEMA.fieldNames()
-    columns = names if columns is None else [c for c in names if c in set(columns)]
+    columns = names if columns is None else [c for c in (*names, *PAGE_FACTS.fieldNames()) if c in set(columns)]
     anc = T.StructField("anc", T.ArrayType(T.StructType([f for f in ANC if steps is None or f.name in steps])))
-    schema = T.StructType([ELEMENT_SCHEMA[c] if c != "anc" else anc for c in columns])
-    return _source(pages, page_id, url, html).mapInArrow(_extract(columns, frozenset(tags) if tags is not None else None, steps), schema)
+    field = {f.name: f for f in (*ELEMENT_SCHEMA, *PAGE_FACTS, anc)}
+    schema = T.StructType([field[c] for c in columns])
+    parse = _extract(columns, frozenset(tags) if tags is not None else None, steps, frozenset(having) if having is not None else None)
+    return _source(pages, page_id, url, html, spread_out).mapInArrow(parse, schema)
 
 
 def page_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
