@@ -539,9 +539,10 @@ def q_page_structure(spark, sf_dir):
 
 @query("dedup_elements")
 def q_dedup_elements(spark, sf_dir):
-    el = sl.add_xpaths(_rt_elements(spark, sf_dir, columns=WHOLE, steps=STEP)).filter(F.col("page_id").isNotNull())
+    el = _rt_elements(spark, sf_dir, columns=WHOLE, steps=STEP, tags=pe.INTERACTIVE_TAGS, having=pe.INTERACTIVE_ATTRS)
+    el = sl.add_xpaths(el).filter(F.col("page_id").isNotNull())
     cand = (pe.interactive(el, ("clickable", "input"), lists=pe.page_tool_selectors(), keep=["xpath"])
-            .withColumn("order", F.struct("selector", "idx")))
+            .drop("type", "name", "src").withColumn("order", F.struct("selector", "idx")))
     return pe.dedup_elements(cand, kind="kind").select("page_id", "kind", "selector", "xpath", "tag", "text")
 
 
