@@ -118,18 +118,22 @@ def css_selector(elements: DataFrame, targets: DataFrame | None = None) -> DataF
     joined by `` > ``, stopping at (and including) an ancestor with an id.
     Adds column ``css`` to ``targets`` (default: every element); class
     uniqueness is always counted over all ``elements`` of the page. Without ``targets``, elements that have
-    an id or no class meet no count and cross no exchange. Elements that have ``css_levels`` need no ``anc``."""
-    counts = class_superset_counts(elements)
+    an id or no class meet no count and cross no exchange. Elements that have ``css_levels`` need no ``anc``. Where
+    the parse has counted (``n_class``; for pages that are alone under their page_id), nothing is counted or joined."""
     el = elements if targets is None else targets
-    out = [*(c for c in el.columns if c != "css_levels"), "css"]
+    out = [*(c for c in el.columns if c not in ("css_levels", "n_class")), "css"]
     if "css_levels" not in el.columns:
         el = with_css_levels(el)
     asks = (F.coalesce(F.col("id"), F.lit("")) == "") & (F.size(classes(F.col("class"))) > 0)
+    unique = F.concat(F.lit("."), F.array_join(classes(F.col("class")), "."))
+    if "n_class" in el.columns:
+        alone = (F.coalesce(F.col("id"), F.lit("")) == "") & (F.col("n_class") == 1)
+        return el.withColumn("css", F.when(alone, unique).otherwise(F.col("css_levels"))).select(*out)
+    counts = class_superset_counts(elements)
     if targets is None:
         rest = el.filter(~asks).withColumn("css", F.col("css_levels")).select(*out)
         el = el.filter(asks)
     el = el.withColumn("class_key", F.when(asks, class_key(F.col("class")))).join(counts, ["page_id", "class_key"], "left")
-    unique = F.concat(F.lit("."), F.array_join(classes(F.col("class")), "."))
     el = el.withColumn("css", F.when(F.col("n_containing") == 1, unique).otherwise(F.col("css_levels"))).select(*out)
     return el if targets is not None else el.unionByName(rest)
 
@@ -320,7 +324,7 @@ def selector_table(elements: DataFrame, group: str = GROUP_DEFAULT, lists=None)
     if "xpath" not in el.columns:
         el = add_xpaths(el)
     hits = interactive(el.filter(F.col("page_id").isNotNull()), ("clickable", "input"), lists=lists or page_tool_selectors(),
-                       keep=("id", "class", "attrs", "css_levels", "xpath", "full_xpath"))
+                       keep=("id", "class", "attrs", "css_levels", "xpath", "full_xpath", *(["n_class"] if "n_class" in el.columns else [])))
     # of its hits in a kind only an element's first can be listed: paths and attributes are
     # gathered for the elements listed, and class sets still counted over the whole page
     found = hits.drop("type", "name", "src").withColumn("order", F.struct("selector", "idx"))
@@ -377,12 +381,25 @@ def child_hints(elements: DataFrame) -> DataFrame:
         F.max(has_text | tag_is(*XPATH_HINT_TAGS)).alias("xpath_hint"))
 
 
+def with_child_hints(elements: DataFrame) -> DataFrame:
+    """Adds ``css_child``, ``xpath_child`` and ``xpath_hint`` of ``child_hints`` to the elements: from their own rows
+    where the parse gave their children (``kids``; for pages that are alone under their page_id), else by a join."""
+    if "kids" not in elements.columns:
+        return elements.join(child_hints(elements), ["page_id", "idx"], "left")
+
+    def those(tags):
+        return F.filter("kids", lambda k: k["has_text"] | k["tag"].isin(*tags))
+    return (elements.withColumn("css_child", F.get(those(CSS_CHILD_TAGS), F.lit(0))["tag"])
+            .withColumn("xpath_child", F.get(those(XPATH_CHILD_TAGS), F.lit(0))["tag"])
+            .withColumn("xpath_hint", F.exists("kids", lambda k: k["has_text"] | k["tag"].isin(*XPATH_HINT_TAGS))))
+
+
 def _key_attr(a: Column) -> Column:
     """First non-empty of the key attributes as ``[attr='value']``."""
     vals = [F.element_at(a["data"], F.lit(k)) if k.startswith("data-") else a[k] for k in KEY_ATTRS]
     out = F.lit(None).cast("string")
     for k, v in reversed(list(zip(KEY_ATTRS, vals))):
-        out = F.when(strip_ws(F.coalesce(v, F.lit(""))) != "",
+        out = F.when(v.isNotNull() & (strip_ws(v) != ""),
                      F.concat(F.lit(f"[{k}='"), F.replace(v, F.lit("'"), F.lit("\\'")), F.lit("']"))).otherwise(out)
     return F.coalesce(out, F.lit(""))
 
@@ -390,16 +407,18 @@ def _key_attr(a: Column) -> Column:
 def _css_piece(a: Column) -> Column:
     cls = classes(a["class"])
     sig = F.filter(cls, lambda c: c.rlike(SIGNIFICANT_CLASS_RE))
-    cls_part = (F.when(F.size(sig) > 0, F.concat(F.lit("."), sig[0]))
-                .when((F.size(F.map_keys(a["data"])) == 0) & (F.size(cls) > 0), F.concat(F.lit("."), cls[0]))
-                .otherwise(F.lit("")))
+    # most steps have no class: those split nothing
+    cls_part = F.when(a["class"].isNull(), F.lit("")).otherwise(F.coalesce(
+        F.concat(F.lit("."), F.get(sig, F.lit(0))),
+        F.when(F.size(F.map_keys(a["data"])) == 0, F.concat(F.lit("."), F.get(cls, F.lit(0)))), F.lit("")))
     nth = F.when(a["n_child"] > 1, F.concat(F.lit(":nth-child("), a["nth_child"].cast("string"), F.lit(")"))) \
         .otherwise(F.lit(""))
     return F.concat(a["tag"], nth, cls_part, _key_attr(a))
 
 
 def with_css_steps(elements: DataFrame) -> DataFrame:
-    """Adds ``css_steps`` (the ``css_path`` without the child) and ``has_text``, from the element's own row."""
+    """Adds ``css_steps`` (the ``css_path`` without the child) and, unless the elements have ``kids``, ``has_text``, from
+    the element's own row."""
     n = F.size("anc")
     lo = F.greatest(n - (CSS_PATH_LEVELS - 1), F.lit(1))
     id_lo = F.greatest(n - CSS_PATH_LEVELS, F.lit(1))
@@ -409,7 +428,8 @@ def with_css_steps(elements: DataFrame) -> DataFrame:
     body = F.array_join(F.transform(F.sequence(first, n), lambda p: _css_piece(F.col("anc")[p - 1])), " > ")
     path = F.when(idp.isNotNull(), F.concat(F.lit("#"), F.col("anc")[idp - 1]["id"], F.lit(" > "), body)) \
         .otherwise(body)
-    return elements.withColumn("css_steps", path).withColumn("has_text", _has_text())
+    out = elements.withColumn("css_steps", path)
+    return out if "kids" in out.columns else out.withColumn("has_text", _has_text())
 
 
 def css_path(elements: DataFrame) -> DataFrame:
@@ -419,10 +439,9 @@ def css_path(elements: DataFrame) -> DataFrame:
     attributes) and one key attribute, joined by `` > ``; the first
     important child is appended to the element's own level; a parent with
     an id ends the path as ``#id``. Adds column ``css_path``. Elements that have
-    ``css_steps`` and ``has_text`` need no ``anc`` and no ``text``."""
-    out = [*(c for c in elements.columns if c not in ("css_steps", "has_text")), "css_path"]
-    el = elements if "css_steps" in elements.columns else with_css_steps(elements)
-    el = el.join(child_hints(el).select("page_id", "idx", "css_child"), ["page_id", "idx"], "left")
+    ``css_steps`` and ``has_text`` (or ``kids``) need no ``anc`` and no ``text``."""
+    out = [*(c for c in elements.columns if c not in ("css_steps", "has_text", "kids")), "css_path"]
+    el = with_child_hints(elements if "css_steps" in elements.columns else with_css_steps(elements))
     child = F.when(F.col("css_child").isNotNull(), F.concat(F.lit(" > "), F.col("css_child"))).otherwise(F.lit(""))
     has_id = strip_ws(F.coalesce(F.col("id"), F.lit(""))) != ""
     return el.withColumn("css_path", F.when(has_id, F.concat(F.lit("#"), F.col("id"))).otherwise(
@@ -430,8 +449,8 @@ def css_path(elements: DataFrame) -> DataFrame:
 
 
 def with_xpath_steps(elements: DataFrame) -> DataFrame:
-    """Adds ``unified_steps`` (the ``xpath_unified`` of an element without an id, without the child) and
-    ``has_text``, from the element's own row."""
+    """Adds ``unified_steps`` (the ``xpath_unified`` of an element without an id, without the child) and, unless
+    the elements have ``kids``, ``has_text``, from the element's own row."""
     n = F.size("anc")
     stop = F.array_max(F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
                                 lambda p: (p < n) & (F.col("anc")[p - 1]["tag"].isin("body", "html")
@@ -447,7 +466,8 @@ def with_xpath_steps(elements: DataFrame) -> DataFrame:
     steps = F.array_join(F.transform(F.sequence(first, n), step), "")
     anchored = F.concat(F.lit('//*[@id="'), F.col("anc")[stop - 1]["id"], F.lit('"]'), steps)
     path = F.when(stop_is_id, anchored).otherwise(F.concat(F.lit("/"), steps))
-    return elements.withColumn("unified_steps", path).withColumn("has_text", _has_text())
+    out = elements.withColumn("unified_steps", path)
+    return out if "kids" in out.columns else out.withColumn("has_text", _has_text())
 
 
 def xpath_unified(elements: DataFrame) -> DataFrame:
@@ -456,10 +476,9 @@ def xpath_unified(elements: DataFrame) -> DataFrame:
     (``//*[@id="a"]/div/a``); an index only when several same-tag
     siblings exist; a hint child step appended to the element's own step.
     Paths without an id anchor start with ``//``. Adds ``xpath_unified``. Elements that
-    have ``unified_steps`` and ``has_text`` need no ``anc`` and no ``text``."""
-    out = [*(c for c in elements.columns if c not in ("unified_steps", "has_text")), "xpath_unified"]
-    el = elements if "unified_steps" in elements.columns else with_xpath_steps(elements)
-    el = el.join(child_hints(el).select("page_id", "idx", "xpath_child", "xpath_hint"), ["page_id", "idx"], "left")
+    have ``unified_steps`` and ``has_text`` (or ``kids``) need no ``anc`` and no ``text``."""
+    out = [*(c for c in elements.columns if c not in ("unified_steps", "has_text", "kids")), "xpath_unified"]
+    el = with_child_hints(elements if "unified_steps" in elements.columns else with_xpath_steps(elements))
     extra = F.when(F.coalesce(F.col("xpath_hint"), F.lit(False)) & F.col("xpath_child").isNotNull(),
                    F.concat(F.lit("/"), F.col("xpath_child"))).otherwise(F.lit(""))
     has_id = F.coalesce(F.col("id"), F.lit("")) != ""

@@ -342,6 +342,20 @@ def _rt_elements(spark, sf_dir, shared: bool = False, columns=None, tags=None, s
     return materialize(el) if shared else el
 
 
+def _by_page(spark, sf_dir, query, columns, facts, steps=None, tags=None, having=None):
+    """``query(elements, own)`` over the rendered pages in two parts. Elements of pages that are alone under their
+    page_id carry ``facts`` that the parse finds inside the page (own=True; only the elements of ``tags`` and ``having``,
+    where given), so nothing is written, joined or counted for them. Pages that share
+    their page_id, or have none, go by the operators' joins over all elements of the id (own=False)."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("c_custkey"))
+    counted = _spread_customers(spark, sf_dir).withColumn("_pages", n)
+    alone = F.col("c_custkey").isNotNull() & (F.col("_pages") == 1)
+    lone, others = fx.customer_pages(counted.filter(alone)), fx.customer_pages(counted.filter(~alone))
+    kept = [c for c in columns if "kids" not in facts or c not in ("parent_idx", "text")]  # kids stand for those
+    first = extract_elements(lone, columns=[*kept, *facts], steps=steps, tags=tags, having=having, spread_out=False)
+    return query(first, True).unionByName(query(extract_elements(others, columns=columns, steps=steps, spread_out=False), False))
+
+
 def _whole_elements(el):
     return el.select("page_id", "idx", "parent_idx", "depth", "tag", "id", "class", F.to_json("attrs").alias("attrs"),
                      "own_text", "text", F.to_json("anc").alias("anc"))
@@ -353,6 +367,7 @@ PATH = ["page_id", "idx", "tag", "id", "class", "anc"]
 SHOWN = ["page_id", "idx", "tag", "class", "attrs", "text"]
 WHOLE = [*SHOWN, "id", "anc"]
 STEP = ("tag", "id", "nth_tag")  # what xpaths and css levels take of an ancestor
+CSS_STEP = ("tag", "id", "class", "nth_child", "n_child", "role", "name", "data")  # what css paths take
 HEADINGS = tuple(f"h{i}" for i in range(1, 7))
 
 
@@ -742,14 +757,18 @@ def q_stream_page_changes(spark, sf_dir):
 
 @query("css_path")
 def q_css_path(spark, sf_dir):
-    el = sl.with_css_steps(_rt_elements(spark, sf_dir, columns=[*PATH, "parent_idx", "text"]))
-    return sl.css_path(materialize(el.drop("anc", "text"))).select("page_id", "idx", "tag", "css_path")
+    def path(el, own):
+        el = sl.with_css_steps(el).drop("anc", "text")
+        return sl.css_path(el if own else materialize(el)).select("page_id", "idx", "tag", "css_path")
+    return _by_page(spark, sf_dir, path, [*PATH, "parent_idx", "text"], ("kids",), steps=CSS_STEP)
 
 
 @query("xpath_unified")
 def q_xpath_unified(spark, sf_dir):
-    el = sl.with_xpath_steps(_rt_elements(spark, sf_dir, columns=[*PATH, "parent_idx", "text"], steps=(*STEP, "n_same")))
-    return sl.xpath_unified(materialize(el.drop("anc", "text"))).select("page_id", "idx", "tag", "xpath_unified")
+    def path(el, own):
+        el = sl.with_xpath_steps(el).drop("anc", "text")
+        return sl.xpath_unified(el if own else materialize(el)).select("page_id", "idx", "tag", "xpath_unified")
+    return _by_page(spark, sf_dir, path, [*PATH, "parent_idx", "text"], ("kids",), steps=(*STEP, "n_same"))
 
 
 @query("element_counts")
