@@ -500,8 +500,10 @@ def q_text_search_best(spark, sf_dir):
 
 @query("css_selector")
 def q_css_selector(spark, sf_dir):
-    el = materialize(sl.with_css_levels(_rt_elements(spark, sf_dir, columns=PATH, steps=STEP)).drop("anc"))
-    return sl.css_selector(el).select("page_id", "tag", "css")
+    def css(el, own):
+        el = sl.with_css_levels(el).drop("anc")
+        return sl.css_selector(el if own else materialize(el)).select("page_id", "tag", "css")
+    return _by_page(spark, sf_dir, css, PATH, ("n_class",), steps=STEP)
 
 
 @query("xpath")
@@ -509,19 +511,18 @@ def q_xpath(spark, sf_dir):
     return sl.add_xpaths(_elements(spark, sf_dir, columns=PATH)).select("page_id", "idx", "tag", "xpath", "xpath_soup", "full_xpath")
 
 
-def _pathed_elements(spark, sf_dir):
-    """The rendered pages' elements with their paths as text in the place of the ancestors, written once."""
-    el = sl.with_css_levels(sl.add_xpaths(_rt_elements(spark, sf_dir, columns=WHOLE, steps=STEP)))
-    return materialize(el.drop("anc", "xpath_soup"))
-
-
-def _element_selectors(spark, sf_dir):
-    return sl.element_selectors(sl.css_selector(_pathed_elements(spark, sf_dir)))
+def _pathed(spark, sf_dir, query, tags=None, having=None):
+    """``query`` over the rendered pages' elements with their paths as text in the place of the ancestors."""
+    def run(el, own):
+        el = sl.with_css_levels(sl.add_xpaths(el)).drop("anc", "xpath_soup")
+        return query(el if own else materialize(el))
+    return _by_page(spark, sf_dir, run, WHOLE, ("n_class",), steps=STEP, tags=tags, having=having)
 
 
 @query("element_selectors")
 def q_element_selectors(spark, sf_dir):
-    return _element_selectors(spark, sf_dir).withColumn("reliable_selectors", F.to_json("reliable_selectors"))
+    out = _pathed(spark, sf_dir, lambda el: sl.element_selectors(sl.css_selector(el)))
+    return out.withColumn("reliable_selectors", F.to_json("reliable_selectors"))
 
 
 @query("reliable_selectors")
@@ -538,8 +539,8 @@ def _best_selector(el):
 
 @query("best_selector")
 def q_best_selector(spark, sf_dir):
-    el = sl.css_selector(_pathed_elements(spark, sf_dir))
-    return _best_selector(el).withColumn("selector_list", F.to_json("selector_list"))
+    out = _pathed(spark, sf_dir, lambda el: _best_selector(sl.css_selector(el)))
+    return out.withColumn("selector_list", F.to_json("selector_list"))
 
 
 @query("element_category")
@@ -566,9 +567,13 @@ def q_category_summary(spark, sf_dir):
     return pe.category_summary(sl.element_category(_rt_elements(spark, sf_dir, columns=PATH)))
 
 
+def _selector_table(spark, sf_dir):
+    return _pathed(spark, sf_dir, sl.selector_table, tags=pe.INTERACTIVE_TAGS, having=pe.INTERACTIVE_ATTRS)
+
+
 @query("selector_table")
 def q_selector_table(spark, sf_dir):
-    return sl.selector_table(_pathed_elements(spark, sf_dir)).select(
+    return _selector_table(spark, sf_dir).select(
         "page_id", "name", "text_value", "id", "class", "css", "xpath", "element_type", "category",
         F.to_json("data").alias("data"))
 
@@ -704,7 +709,7 @@ def q_schema_document(spark, sf_dir):
 def q_selector_export(spark, sf_dir):
     """The CSV written and read back."""
     path = fx.scratch_dir(spark, "selector-export")
-    sk.write_selector_exports(materialize(sl.selector_table(_pathed_elements(spark, sf_dir))), path)
+    sk.write_selector_exports(materialize(_selector_table(spark, sf_dir)), path)
     return sk.read_selector_csv(spark, path)
 
 
