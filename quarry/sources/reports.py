@@ -28,6 +28,7 @@ from quarry.session import materialize, ship_package
 DEFAULT_ENCODING = "cp932"
 TRIAL_ENCODINGS = ("cp932", "euc_jp")
 SAMPLE_LINES = 10
+NOT_ASCII = "[^\\x00-\\x7F]"
 JAVA_CHARSETS = {"cp932": "windows-31j", "euc_jp": "EUC-JP"}
 # The strings pandas reads as missing by default.
 PANDAS_NA = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -136,8 +137,10 @@ def read_report_csv(spark: SparkSession, path, encoding: str | None = "utf-8", h
     of_file = None  # (_file, encoding), where files differ
     if auto and not all_utf8:
         other = facts.groupBy("_file").agg(F.bool_and("utf8").alias("utf8")).filter("not utf8").select("_file")
-        trial = lines.join(other, "_file", "left_semi")
-        of_file = materialize(_whole_encoding(trial.withColumn("line", F.decode(F.col("line").cast("binary"), "ISO-8859-1"))))
+        ship_package(spark)
+        odd = lines.filter(F.col("line").rlike(NOT_ASCII)).join(other, "_file", "left_semi")
+        trials = _trials(odd.select("_file", F.col("line").cast("binary").alias("_b")))
+        of_file = materialize(trials.select("_file", _first_that_decodes().alias("encoding")))
     records = rec.one_line_records(lines, facts, not some_open)
     if some_open:
         open_files = facts.groupBy("_file").agg(F.bool_or("open").alias("open")).filter("open").select("_file")
@@ -218,13 +221,19 @@ def _whole_encoding(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     ship_package(lines.sparkSession)
     raw = F.encode("line", "ISO-8859-1")
     files = lines.groupBy("_file", *keep).agg(F.bool_and(F.is_valid_utf8(raw.cast("string"))).alias("_utf8"))
-    odd = lines.filter(F.col("line").rlike("[^\\x00-\\x7F]")).withColumn("_b", raw)
-    trials = odd.select("_file", *[_decodes(n)("_b").alias(n) for n in TRIAL_ENCODINGS]).groupBy("_file").agg(
+    trials = _trials(lines.filter(F.col("line").rlike(NOT_ASCII)).withColumn("_b", raw))
+    name = F.when(F.coalesce("_utf8", F.lit(True)), F.lit("utf-8")).otherwise(_first_that_decodes())
+    return files.join(trials, "_file", "left").select("_file", *keep, name.alias("encoding"))
+
+
+def _trials(odd: DataFrame) -> DataFrame:
+    """(_file, a column per trial encoding): does it decode all of the file's lines (bytes ``_b``)?"""
+    return odd.select("_file", *[_decodes(n)("_b").alias(n) for n in TRIAL_ENCODINGS]).groupBy("_file").agg(
         *[F.bool_and(n).alias(n) for n in TRIAL_ENCODINGS])
-    name = F.when(F.coalesce("_utf8", F.lit(True)), F.lit("utf-8"))
-    for n in TRIAL_ENCODINGS:
-        name = name.when(F.col(n), F.lit(n))
-    return files.join(trials, "_file", "left").select("_file", *keep, name.otherwise(F.lit(DEFAULT_ENCODING)).alias("encoding"))
+
+
+def _first_that_decodes() -> Column:
+    return F.coalesce(*[F.when(F.col(n), F.lit(n)) for n in TRIAL_ENCODINGS], F.lit(DEFAULT_ENCODING))
 
 
 @F.pandas_udf(T.StringType())

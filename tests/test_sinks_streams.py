@@ -3,6 +3,8 @@
 import json
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from quarry.operators import schema_infer as si
@@ -178,3 +180,50 @@ def test_streaming_landing_is_idempotent(spark, tmp_dir):
     landing.run(f"{tmp_dir}/in", f"{tmp_dir}/ck", max_files=1)
     assert sorted(r.id for r in landing.rows().collect()) == ["1", "2", "3", "4"]
     assert landing.outcome().collect()[0].total == 3
+
+
+def _landing_reads(spark, tmp_dir, monkeypatch, texts):
+    """A landing of files of these texts (oldest first), and the number of files of each read of the reader."""
+    from quarry.plans import flows
+    os.makedirs(f"{tmp_dir}/in")
+    for i, (name, text) in enumerate(texts.items()):
+        with open(f"{tmp_dir}/in/{name}", "wb") as f:
+            f.write(text)
+        os.utime(f"{tmp_dir}/in/{name}", (1_700_000_000 + i,) * 2)
+    reads, reader = [], flows.rpt.read_report_csv
+    monkeypatch.setattr(flows.rpt, "read_report_csv", lambda s, paths, **kw: reads.append(len(paths)) or reader(s, paths, **kw))
+    return flows.StreamLanding(spark, f"{tmp_dir}/out", "2024-01-21", report_date=False), reads
+
+
+def test_streaming_landing_reads_waiting_files_at_once(spark, tmp_dir, monkeypatch):
+    """Batches of one file land one snapshot each, but the reader's jobs run once for all that wait; a
+    file without a row, other headers, blanks and letters in names, and a file that changed before its batch too."""
+    texts = {"a b%20.csv": b"id,x\n1,p\n2,q\n", "b\u8868.csv": "id,y\n3,\u8868\n".encode("cp932"), "c.csv": b"id\n", "d.csv": b"id\n4\n"}
+    landing, reads = _landing_reads(spark, tmp_dir, monkeypatch, texts)
+    land = landing.land
+
+    def change_then_land(files, batch_id):
+        land(files, batch_id)
+        if batch_id == 0:
+            with open(f"{tmp_dir}/in/d.csv", "w") as f:
+                f.write("id\n5\n6\n")
+            os.utime(f"{tmp_dir}/in/d.csv", (1_700_000_003,) * 2)
+    landing.land = change_then_land
+    landing.run(f"{tmp_dir}/in", f"{tmp_dir}/ck", max_files=1)
+    assert reads == [4, 1]
+    got = {(r.id, r.x, r.y) for r in landing.rows().collect()}
+    assert got == {("1", "p", None), ("2", "q", None), ("3", None, "\u8868"), ("5", None, None), ("6", None, None)}
+    assert landing.rows().count() == 5 and landing.rows().select("snapshot_ts").distinct().count() == 3
+    outcome = spark.read.parquet(f"{tmp_dir}/out/outcome").collect()
+    assert {r.path.rsplit("/", 1)[1]: r.n_rows for r in outcome} == {"a b%20.csv": 2, "b\u8868.csv": 1, "c.csv": 0, "d.csv": 2}
+
+
+def test_streaming_landing_bad_file_fails_its_own_batch(spark, tmp_dir, monkeypatch):
+    landing, reads = _landing_reads(spark, tmp_dir, monkeypatch, {"a.csv": b"id\n1\n", "b.csv": b"id\n2,more\n"})
+    with pytest.raises(Exception, match="saw more"):
+        landing.run(f"{tmp_dir}/in", f"{tmp_dir}/ck", max_files=1)
+    assert [r.id for r in landing.rows().collect()] == ["1"] and reads == [2, 1, 1]
+    with open(f"{tmp_dir}/in/b.csv", "w") as f:
+        f.write("id\n2\n")
+    landing.run(f"{tmp_dir}/in", f"{tmp_dir}/ck", max_files=1)
+    assert sorted(r.id for r in landing.rows().collect()) == ["1", "2"]
