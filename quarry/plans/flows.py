@@ -191,12 +191,18 @@ class StreamLanding:
 
     def run(self, folder: str, checkpoint: str, glob: str = "*.csv", max_files: int = 1000) -> None:
         """Land what is there and stop; a later run goes on from there."""
-        self._list_waiting(folder, glob)
-        files = (self.spark.readStream.format("binaryFile")
-                 .schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob).option("recursiveFileLookup", True)
-                 .option("maxFilesPerTrigger", max_files).load(folder).select("path", F.expr(VERSION)))
-        q = (files.writeStream.foreachBatch(self.land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-        q.awaitTermination()
+        conf, listers = self.spark.conf, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+        before = conf.get(listers)
+        conf.set(listers, str(min(int(before), 4 * self.spark.sparkContext.defaultParallelism)))  # else a task for each folder
+        try:
+            self._list_waiting(folder, glob)
+            files = (self.spark.readStream.format("binaryFile")
+                     .schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob)
+                     .option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files).load(folder).select("path", F.expr(VERSION)))
+            q = (files.writeStream.foreachBatch(self.land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+            q.awaitTermination()
+        finally:
+            conf.set(listers, before)
 
     def rows(self) -> DataFrame:
         """All landed rows; batches may have other headers. ``snapshot_ts`` is the batch."""
