@@ -2,18 +2,22 @@
 
 Vectors become integers (floor of 256 x); scores are integer inner products.
 Points go to the cell of their nearest pivot (at most ``PIVOTS`` of them, chosen
-by a hash of the id); a cell is one block of candidates, or several dealt by hash if it
-is larger, queries likewise; each block's points are indexed in a cover tree inside a
-task. A block of queries is first searched in a block of its own cell, which gives each
-query a k-th score to beat. A cell whose centre and covering radius bound its scores
-below that is dropped for the query before any vector moves; the queries left
-travel to the cell's blocks by a join on the block number (they are a stated set).
-In a pair of blocks, node pairs are walked together and pruned when the bound
+by a hash of the id), packed by cell as they are read. A block of candidates is a few
+cells, or a part of one that is larger; a task indexes each of its block's cells in a cover
+tree and reads blocks of queries one after the other. A block of queries is first searched
+in the block of its own cell, which gives each query a k-th score to beat. A cell whose
+centre and covering radius bound its scores below that is dropped for the query before any
+vector moves; the queries left travel to the cells' blocks (they are a stated set), each
+once a block, and no candidate moves with them. With a tree, node pairs are walked together
+and pruned when the bound
 
     <cq, cx> + rq |cx| + rx |cq| + rq rx
 
 over centres and covering radii lies below the worst k-th score of the query
-node's group. The per-block top k meet in one aggregate per query.
+node's group; the leaf pairs left are scored as matrix products. The per-block top k meet
+in one aggregate per query.
+
+The driver gets the pivots, a row per cell and the number of rows, however large the table.
 
 Defined cases: a null vector, one that holds a null, NaN or infinity, and a
 null id take no part; an empty vector scores 0 with all; vectors of different length
@@ -25,294 +29,478 @@ equal scores go to the smaller id; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stage
+from quarry.llm.common import bounded_batches, stage
 from quarry.session import ship_package
 
 K = 5
 SCALE = 256
-#: points of a candidate block and of a query block, about
+#: points of a cell and queries of a block, about
 BLOCK, QUERY_BLOCK = 8192, 1024
+#: points of a leaf, at most twice this
 LEAF = 64
 #: cells, at most
 PIVOTS = 256
+#: blocks of candidates of a table that isn't small, about; components of a block's vectors, about at most
+BLOCKS, BLOCK_COMPONENTS = 64, 1 << 24
+#: points placed at a time, points of a pack, candidates of a matrix product
+PLACED, PACK, TILE = 32768, 1024, 1024
+#: children of a node, at most
+KIDS = 64
 
 
-class Node:
-    """``points``, those at ``lo:hi`` of the tree's order, within ``radius`` of ``center``."""
-    __slots__ = ("lo", "hi", "center", "norm", "radius", "kids")
+def _floats(m: np.ndarray) -> np.ndarray:
+    """Integer vectors for matrix products: single precision where all norms are below 2^12, so
+    that every sum of an inner product is an integer below 2^24 and exact."""
+    wide = m.astype(np.float64)
+    return wide.astype(np.float32) if not len(m) or np.einsum("ij,ij->i", wide, wide).max() < 1 << 24 else wide
 
-    def __init__(self, lo, hi, points, kids):
-        self.lo, self.hi, self.kids = lo, hi, kids
-        self.center = points[0]
-        self.norm = math.sqrt(float(self.center @ self.center))
-        # a hair wider than computed, so that rounding can't prune a tie
-        self.radius = math.sqrt(float(((points - self.center) ** 2).sum(1).max())) * (1 + 1e-9) + 1e-6
+
+def _squares(x: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", x, x, dtype=np.float64)
 
 
 class CoverTree:
     """Each level's centres lie apart by more than the level's cover radius
-    and cover their points within it; the next level halves the radius."""
-
-    def __init__(self, points: np.ndarray):
-        self.points = points
-        self.order = np.arange(len(points))
-        far = math.sqrt(float(((points - points[0]) ** 2).sum(1).max()))
-        self.root = self._build(0, len(points), far / 2)
-
-    def _build(self, lo: int, hi: int, cover: float) -> Node:
-        if hi - lo <= LEAF:
-            return Node(lo, hi, self.points[self.order[lo:hi]], [])
+    and cover their points within it; the next level halves the radius.
+
+    Points are in the tree's order. Node n has those at ``lo[n]:hi[n]``, which lie within
+    ``radius[n]`` of ``center[n]``, their mean cut to integers, and the nodes ``kids[n]`` below it."""
+
+    def __init__(self, points: np.ndarray, ids: np.ndarray):
+        self.order, self._given, self._squares = np.arange(len(points)), points, _squares(points)
+        nodes: list = []
+        self._build(0, len(points), math.inf, nodes)
+        self.points, self.ids = points[self.order], ids[self.order]
+        del self._given, self._squares
+        lo, hi, center, radius, kids = zip(*nodes)
+        self.kids = [np.array(k, np.intp) for k in kids]
+        self.lo, self.hi, self.center, self.radius = np.array(lo), np.array(hi), np.array(center, np.float64), np.array(radius)
+        self.norm = np.sqrt(_squares(self.center))
+        self.is_leaf = np.array([not k for k in kids])
+        leaves = np.flatnonzero(self.is_leaf)
+        self.leaves = leaves[np.argsort(self.lo[leaves], kind="stable")]
+
+    def _build(self, lo: int, hi: int, cover: float, nodes: list) -> int:
         ids = self.order[lo:hi]
-        x = self.points[ids]
-        owner, nearest = np.full(len(ids), -1), np.full(len(ids), np.inf)
-        n, at = 0, 0
-        while True:  # greedy: the farthest point left becomes the next centre
-            d = ((x - x[at]) ** 2).sum(1)
-            closer = d < nearest
-            owner[closer], nearest[closer] = n, d[closer]
-            n += 1
+        x, own = self._given[ids], self._squares[ids]
+
+        def distances(c) -> np.ndarray:
+            """Squared; all terms are integers."""
+            return np.maximum(own - 2.0 * (x @ c).astype(np.float64) + float(_squares(c[None, :])[0]), 0)
+        center = np.trunc(x.sum(0, dtype=np.float64) / max(1, len(x))).astype(x.dtype)
+        # a hair wider than computed, so that rounding can't prune a tie
+        radius = math.sqrt(float(distances(center).max(initial=0))) * (1 + 1e-9) + 1e-7 * math.sqrt(float(own.max(initial=0))) + 1e-6
+        n = len(nodes)
+        nodes.append((lo, hi, center, radius, kids := []))
+        if hi - lo <= 2 * LEAF:
+            return n
+        owner, nearest, kid = np.zeros(len(ids), np.int32), distances(x[0]), 1
+        if not nearest.max():
+            return n
+        while cover * cover >= nearest.max():
+            cover = min(cover, 2 * math.sqrt(float(nearest.max()))) / 2
+        most = max(2, min(KIDS, len(ids) // LEAF + 1))
+        while kid < most:  # greedy: the farthest point left becomes the next centre
             at = int(nearest.argmax())
             if nearest[at] <= cover * cover:
                 break
-            if n >= 2 * math.isqrt(len(ids)) + 2:
-                break  # a level of many far points: the nodes' own radii stay exact
-        if n == 1:
-            if nearest.max() == 0:
-                return Node(lo, hi, self.points[self.order[lo:hi]], [])
-            return self._build(lo, hi, cover / 2)
+            d = distances(x[at])
+            closer = d < nearest
+            owner[closer], nearest[closer] = kid, d[closer]
+            kid += 1  # beyond ``most``, a level of many far points: the nodes' own radii stay exact
         sort = np.argsort(owner, kind="stable")
         self.order[lo:hi] = ids[sort]
-        ends = lo + np.cumsum(np.bincount(owner, minlength=n))
-        kids, a = [], lo
-        for b in ends.tolist():
+        ends = (lo + np.cumsum(np.bincount(owner, minlength=kid))).tolist()
+        del x, own, ids, owner, nearest, sort
+        for a, b in zip([lo, *ends], ends):
             if b > a:
-                kids.append(self._build(a, b, cover / 2))
-            a = b
-        return Node(lo, hi, self.points[self.order[lo:hi]], kids)
+                kids.append(self._build(a, b, cover / 2, nodes))
+        return n
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> slice | np.ndarray:
+    """The numbers of ``lo[n]:hi[n]``, ascending ranges, as a slice where they meet."""
+    if (lo[1:] == hi[:-1]).all():
+        return slice(int(lo[0]), int(hi[-1]))
+    return np.concatenate([np.arange(a, b) for a, b in zip(lo.tolist(), hi.tolist())])
 
 
 class Search:
-    """Top k of one query block in one candidate block; scores below a query's
-    ``floor`` aren't looked for."""
-
-    def __init__(self, q_ids, q, x_ids, x, k: int, floor=None, tree=None):
-        wide = max(q.shape[1], x.shape[1], 1)
-        q, x = (np.pad(v, ((0, 0), (0, wide - v.shape[1]))).astype(np.float64) for v in (q, x))
-        self.qt, self.k = CoverTree(q), k
-        self.xt = tree if tree is not None and tree.points.shape[1] == wide else CoverTree(x)
-        self.q, self.q_ids = q[self.qt.order], q_ids[self.qt.order]
-        self.x, self.x_ids = x[self.xt.order], x_ids[self.xt.order]
+    """Top k of one query block in the candidates ``x``, or in those of ``trees`` one after the other;
+    scores below a query's ``floor`` aren't looked for."""
+
+    def __init__(self, q_ids, q, x_ids, x, k: int, floor=None, trees=None):
+        self.k, self.qt = k, CoverTree(_floats(q), np.asarray(q_ids))
+        self.q, self.q_ids = self.qt.points, self.qt.ids
         self.score = np.full((len(q), k), -np.inf)
         self.best = np.full((len(q), k), np.iinfo(np.int64).max)
         self.floor = np.full(len(q), -np.inf) if floor is None else floor[self.qt.order]
+        self.worst = self.floor.copy()
         self.pairs = self.pruned = 0
-        self.walk(self.qt.root, self.xt.root)
-
-    @staticmethod
-    def bound(a: Node, b: Node) -> float:
-        return float(a.center @ b.center) + a.radius * b.norm + b.radius * a.norm + a.radius * b.radius + 1e-6
-
-    def worst(self, a: Node) -> float:
-        return float(np.maximum(self.score[a.lo:a.hi, -1], self.floor[a.lo:a.hi]).min())
-
-    def walk(self, a: Node, b: Node) -> None:
-        stack = [(self.bound(a, b), a, b)]
-        while stack:
-            top, a, b = stack.pop()
-            self.pairs += 1
-            if top < self.worst(a):
-                self.pruned += 1
-            elif not a.kids and not b.kids:
-                self.compare(a, b)
-            else:
-                pairs = [(i, j) for i in (a.kids or [a]) for j in (b.kids or [b])]
-                stack += sorted(((self.bound(i, j), i, j) for i, j in pairs), key=lambda p: p[0])
-
-    def compare(self, a: Node, b: Node) -> None:
-        """Exact scores of two leaves (integers below 2^53, so exact as doubles)."""
-        rows = slice(a.lo, a.hi)
-        for lo in range(b.lo, b.hi, 4096):
-            part = slice(lo, min(b.hi, lo + 4096))
-            s = self.q[rows] @ self.x[part].T
-            ids = np.broadcast_to(self.x_ids[part], s.shape)
-            s = np.where(ids == self.q_ids[rows, None], -np.inf, s)
-            s, ids = np.hstack([self.score[rows], s]), np.hstack([self.best[rows], ids])
-            order = np.lexsort((ids, -s), axis=1)
-            s, ids = np.take_along_axis(s, order, 1), np.take_along_axis(ids, order, 1)
-            again = np.zeros(s.shape, bool)  # a repeated id keeps its best score
-            for n in range(1, min(s.shape[1], self.k + 1)):
-                again[:, n] = (ids[:, n:n + 1] == ids[:, :n]).any(1)
-            if again.any():
-                order = np.lexsort((ids, np.where(again, np.inf, -s)), axis=1)
-                s = np.take_along_axis(np.where(again, -np.inf, s), order, 1)
-                ids = np.take_along_axis(ids, order, 1)
-                if self._repeats(ids[:, :self.k], s[:, :self.k]):
-                    s, ids = self._distinct(s, ids)
-            self.score[rows], self.best[rows] = s[:, :self.k], ids[:, :self.k]
-
-    def _repeats(self, ids, s) -> bool:
-        x = np.sort(np.where(np.isinf(s), -1 - np.arange(ids.shape[1]), ids), axis=1)
-        return bool((x[:, 1:] == x[:, :-1]).any())
-
-    def _distinct(self, s, ids):
-        """Row by row, for ids that repeat many times."""
-        out_s, out_i = np.full((len(s), self.k), -np.inf), np.full((len(s), self.k), np.iinfo(np.int64).max)
-        for r in range(len(s)):
-            _, first = np.unique(ids[r], return_index=True)
-            keep = np.sort(first[np.isfinite(s[r][first])])
-            order = np.lexsort((ids[r][keep], -s[r][keep]))[:self.k]
-            out_s[r, :len(order)], out_i[r, :len(order)] = s[r][keep][order], ids[r][keep][order]
-        return out_s, out_i
-
-
-def integer_vectors(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(vec_id, v): usable rows, components as floor(256 x)."""
-    x = F.transform(vectors[embedding], lambda c: c.cast("double"))
-    bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    return (vectors.select(vectors[vec_id].cast("long").alias("vec_id"), x.alias("x"), bad.alias("bad"))
-            .where("vec_id is not null and x is not null and not bad")
-            .select("vec_id", F.transform("x", lambda c: F.floor(c * SCALE).cast("long")).alias("v")))
-
-
-def _matrix(vectors: list) -> np.ndarray:
-    """Integer vectors as rows, filled up with zeros."""
-    m = np.zeros((len(vectors), max(map(len, vectors), default=0)), np.int64)
-    for k, v in enumerate(vectors):
-        m[k, :len(v)] = v
-    return m
-
-
-def _wide(*matrices: np.ndarray) -> list[np.ndarray]:
-    width = max(1, *(m.shape[1] for m in matrices))
-    return [np.pad(m, ((0, 0), (0, width - m.shape[1]))).astype(np.float64) for m in matrices]
-
-
-def in_cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """``points`` with the ``cell`` of the nearest pivot and the distance to it, rounded up."""
-    def run(batches):
-        for b in batches:
-            x, p = _wide(_matrix(b.column("v").to_pylist()), pivots)
-            cell = ((p * p).sum(1) - 2 * (x @ p.T)).argmin(1)
-            far = np.sqrt(((x - p[cell]) ** 2).sum(1)) * (1 + 1e-9) + 1e-6
-            yield pa.record_batch([b.column("vec_id"), b.column("v"), pa.array(cell, pa.int32()), pa.array(far)],
-                                  names=["vec_id", "v", "cell", "far"])
-    return points.mapInArrow(run, "vec_id long, v array<long>, cell int, far double")
+        self.room = np.empty(0)
+        if len(q):
+            for tree in [CoverTree(_floats(x), np.asarray(x_ids))] if trees is None else trees:
+                if len(tree.points):
+                    self.walk(tree)
+
+    def bounds(self, t: CoverTree) -> np.ndarray:
+        """Of each node of the queries' tree with each of the candidates'."""
+        a, wide = self.qt, min(self.qt.center.shape[1], t.center.shape[1])
+        top = a.center[:, :wide] @ t.center[:, :wide].T
+        top += np.outer(a.radius, t.norm) + np.outer(a.norm, t.radius) + np.outer(a.radius, t.radius)
+        return top + 1e-9 * np.abs(top) + 1e-6
+
+    def walk(self, t: CoverTree) -> None:
+        a, top = self.qt, self.bounds(t)
+        for n in a.leaves.tolist():  # queries that have nothing to beat yet meet the leaf that may hold the best
+            if np.isinf(self.worst[a.lo[n]:a.hi[n]]).any():
+                m = t.leaves[int(top[n, t.leaves].argmax())]
+                lo = max(0, min(int(t.lo[m]), len(t.points) - LEAF))
+                self.compare(t, slice(int(a.lo[n]), int(a.hi[n])), slice(lo, min(max(int(t.hi[m]), lo + LEAF), lo + TILE)))
+        worst = np.array([self.worst[lo:hi].min() for lo, hi in zip(a.lo, a.hi)])
+        left = np.zeros(top.shape, bool)
+        level = [(0, np.zeros(1, np.intp))]
+        while level:  # a node of the queries with nodes of the candidates
+            below = []
+            for i, js in level:
+                self.pairs += len(js)
+                may = top[i, js] >= worst[i]
+                js = js[may]
+                self.pruned += len(may) - len(js)
+                end = t.is_leaf[js]
+                down = [t.kids[j] for j in js[~end].tolist()]
+                if a.is_leaf[i]:
+                    left[i, js[end]] = True
+                else:
+                    down.append(js[end])
+                down = np.concatenate(down or [js[:0]])
+                if len(down):
+                    below += [(kid, down) for kid in ([i] if a.is_leaf[i] else a.kids[i].tolist())]
+            level = below
+        self.leaf_pairs(t, top, left)
+
+    def leaf_pairs(self, t: CoverTree, top: np.ndarray, left: np.ndarray) -> None:
+        """Scores of the leaf pairs ``left``, neighbouring leaves of candidates together, best bounds first."""
+        a = self.qt
+        lo, hi = a.lo[a.leaves], a.hi[a.leaves]
+        top, left = (m[np.ix_(a.leaves, t.leaves)] for m in (top, left))
+        x_lo, x_hi = t.lo[t.leaves], t.hi[t.leaves]
+        tile = x_lo // TILE
+        starts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
+        parts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(tile)]))
+        best = np.where(left, top, -np.inf)
+        for b, e in sorted(parts, key=lambda p: -best[:, p[0]:p[1]].max()):
+            worst = np.minimum.reduceat(self.worst, lo)
+            use = left[:, b:e] & (top[:, b:e] >= worst[:, None])
+            self.pruned += int(left[:, b:e].sum() - use.sum())
+            rows, cols = use.any(1), use.any(0)
+            if rows.any():
+                asked, found = _ranges(lo[rows], hi[rows]), _ranges(x_lo[b:e][cols], x_hi[b:e][cols])
+                whole = isinstance(found, slice)
+                first, last = (found.start, found.stop) if whole else (0, len(found))
+                for at in range(first, last, 2 * TILE):  # a leaf of equal points may be longer
+                    part = slice(at, min(last, at + 2 * TILE))
+                    self.compare(t, asked, part if whole else found[part])
+
+    def compare(self, t: CoverTree, rows, cols) -> None:
+        """Exact scores of queries and candidates (integers below 2^24 as floats or 2^53 as doubles)."""
+        wide = min(self.q.shape[1], t.points.shape[1])
+        q, x, worst = self.q[rows, :wide], t.points[cols, :wide], self.worst[rows]
+        kind = np.result_type(q, x)
+        if len(q) * len(x) > self.room.size or self.room.dtype != kind:
+            self.room = np.empty(len(q) * len(x), kind)
+        s = np.matmul(q, x.T, out=self.room[:len(q) * len(x)].reshape(len(q), len(x)))
+        hit = np.flatnonzero(s.max(1) >= worst)
+        if not len(hit):
+            return
+        s = s[hit]
+        r, c = np.nonzero(s >= worst[hit, None])
+        row = (np.arange(rows.start, rows.stop) if isinstance(rows, slice) else rows)[hit][r]
+        ids, score = t.ids[cols][c], s[r, c].astype(np.float64)
+        new = (ids != self.q_ids[row]) & ((score > self.worst[row]) | (ids < self.best[row, -1]))
+        self.merge(row[new], ids[new], score[new])
+
+    def merge(self, row, ids, score) -> None:
+        """Takes in what was found; a repeated id keeps its best score."""
+        if not len(row):
+            return
+        some = np.unique(row)
+        r, c = np.nonzero(np.isfinite(self.score[some]))
+        row = np.concatenate([row, some[r]])
+        ids = np.concatenate([ids, self.best[some[r], c]])
+        score = np.concatenate([score, self.score[some[r], c]])
+        order = np.lexsort((-score, ids, row))
+        row, ids, score = row[order], ids[order], score[order]
+        first = np.r_[True, (row[1:] != row[:-1]) | (ids[1:] != ids[:-1])]
+        row, ids, score = row[first], ids[first], score[first]
+        order = np.lexsort((ids, -score, row))
+        row, ids, score = row[order], ids[order], score[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        top = rank < self.k
+        self.score[row[top], rank[top]], self.best[row[top], rank[top]] = score[top], ids[top]
+        self.worst[some] = np.maximum(self.score[some, -1], self.floor[some])
+
+
+def _vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch (vec_id, x, asked): ids, whether asked, and integer vectors as rows filled up with
+    zeros, of the rows that take part."""
+    x = batch.column("x")
+    lengths = np.where(x.is_null().to_numpy(zero_copy_only=False), 0, x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    flat = x.flatten()
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)  # a null is NaN
+    at = np.repeat(np.arange(len(x)), lengths)
+    bad = x.is_null().to_numpy(zero_copy_only=False) | (np.bincount(at[~np.isfinite(values)], minlength=len(x)) > 0)
+    wide = int(lengths[~bad].max(initial=0))
+    with np.errstate(invalid="ignore"):
+        values = np.floor(values * SCALE)
+        whole = np.clip(values, -2.0 ** 63, 2.0 ** 63 - 1024).astype(np.int64)
+    whole[values >= 2.0 ** 63] = np.iinfo(np.int64).max
+    ids = batch.column("vec_id").to_numpy()
+    asked = batch.column("asked").fill_null(False).to_numpy(zero_copy_only=False)
+    if (lengths == wide).all() and not bad.any():
+        return ids, asked, whole.reshape(len(x), wide)
+    m, keep = np.zeros((len(x), wide), np.int64), ~bad
+    in_row = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    use = keep[at]
+    m[at[use], in_row[use]] = whole[use]
+    return ids[keep], asked[keep], m[keep]
+
+
+def _bytes(m: np.ndarray) -> bytes:
+    """Integers in the fewest bytes of 2, 4 and 8 that hold them all."""
+    low, high = int(m.min(initial=0)), int(m.max(initial=0))
+    kind = next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+    return m.astype(kind).tobytes()
+
+
+def _open(n: int, dim: int, points: bytes) -> np.ndarray:
+    return np.frombuffer(points, {2: np.int16, 4: np.int32}.get(len(points) // max(1, n * dim), np.int64)).reshape(n, dim)
+
+
+def _stack(matrices: list[np.ndarray]) -> np.ndarray:
+    """Rows of them all, filled up with zeros."""
+    wide = max(m.shape[1] for m in matrices)
+    return np.concatenate([np.pad(m, ((0, 0), (0, wide - m.shape[1]))) if m.shape[1] < wide else m for m in matrices])
+
+
+PACKED = "kind int, cell int, far double, n int, dim int, ids binary, points binary"
+
+
+def in_cells(rows: DataFrame, pivots: np.ndarray, pack: int) -> DataFrame:
+    """Points packed by the ``cell`` of the nearest pivot, of at most ``pack`` rows, with the largest
+    distance to it, rounded up (``kind`` 0); the queries among them likewise (``kind`` 1)."""
+    names = [c.split()[0] for c in PACKED.split(", ")]
+
+    def packs(ids, asked, m):
+        p = _floats(pivots)
+        x = _floats(m)
+        wide = min(x.shape[1], p.shape[1])
+        d = _squares(p) - 2.0 * (x[:, :wide] @ p[:, :wide].T)
+        cell = d.argmin(1)
+        own = _squares(x)
+        far = np.sqrt(np.maximum(own + d[np.arange(len(x)), cell], 0)) * (1 + 1e-9) + 1e-6 + 1e-7 * np.sqrt(own)
+        del d, x
+        out = []
+        for kind, use in ((0, np.arange(len(ids))), (1, np.flatnonzero(asked))):
+            use = use[np.argsort(cell[use], kind="stable")]
+            cuts = np.flatnonzero(np.diff(cell[use])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(use)]):
+                for lo in range(a, b, pack):
+                    at = use[lo:min(b, lo + pack)]
+                    out.append((kind, int(cell[at[0]]), float(far[at].max()), len(at), m.shape[1], ids[at].tobytes(), _bytes(m[at])))
+        for lo in range(0, len(out), 512):
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out[lo:lo + 512]), TYPES)], names=names)
 
-
-def _blocks(points: DataFrame, first: list[int], name: str) -> DataFrame:
-    """(block, payload rows): points packed as one row per Arrow batch and block; the blocks
-    of cell c are ``first[c]`` to ``first[c + 1] - 1``."""
     def run(batches):
-        held: dict[int, list] = {}
-
-        def pack(block):
-            rows = held.pop(block)
-            return pa.record_batch([pa.array([block], pa.int32()), pa.array([rows[0][2]], pa.int32()),
-                                    pa.array([len(rows)], pa.int32()),
-                                    pa.array([np.array([i for i, _, _ in rows], np.int64).tobytes()]),
-                                    pa.array([_matrix([v for _, v, _ in rows]).tobytes()])],
-                                   names=[name, "cell", "n", "ids", "points"])
+        held, n = [], 0
         for b in batches:
-            for i, v, c, g in zip(*(b.column(c).to_pylist() for c in ("vec_id", "v", "cell", name))):
-                rows = held.setdefault(g, [])
-                rows.append((i, v, c))
-                if len(rows) >= 4 * BLOCK:
-                    yield pack(g)
-        for g in list(held):
-            yield pack(g)
-    low, past = (F.element_at(F.array(*map(F.lit, x)), F.col("cell") + 1) for x in (first[:-1], first[1:]))
-    block = (low + F.pmod(F.xxhash64("vec_id", "v"), past - low)).cast("int")
-    dealt = points.withColumn(name, block).repartition(max(1, first[-1]), name)
-    return dealt.mapInArrow(run, f"{name} int, cell int, n int, ids binary, points binary")
-
-
-def _open(n: int, ids: bytes, points: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(points, np.int64).reshape(n, -1)
-
-
-def searches(batches, k: int):
-    """(row, query ids, queries, Search) of joined rows; the tree of a block serves the rows that follow each other with it."""
-    block, tree = None, None
+            held.append(_vectors(b))
+            n += len(held[-1][0])
+            if n >= PLACED:
+                yield from packs(*map(np.concatenate, zip(*((i, a) for i, a, _ in held))), _stack([m for *_, m in held]))
+                held, n = [], 0
+        if n:
+            yield from packs(*map(np.concatenate, zip(*((i, a) for i, a, _ in held))), _stack([m for *_, m in held]))
+    return rows.mapInArrow(run, PACKED)
+
+
+TYPES = [pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+MET = "block int, kind int, cell int, n int, dim int, ids binary, points binary, floors binary"
+
+
+def searches(batches, k: int, query_block: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, Search]]:
+    """(block, query ids, queries, Search) of rows in order of block, ``kind`` and cell: the block's
+    candidates, then queries; packs of queries of a cell are searched together."""
+    block, packs, trees, waiting, held = None, {}, None, [], 0
+
+    def search():
+        nonlocal trees, packs, waiting, held
+        if trees is None:
+            trees = []
+            for cell in sorted(packs):
+                ids, points = zip(*packs.pop(cell))
+                trees.append(CoverTree(_floats(_stack(points)), np.concatenate(ids)))
+        ids, points, floors = zip(*waiting)
+        ids, q, waiting, held = np.concatenate(ids), _stack(points), [], 0
+        floor = None if floors[0] is None else np.concatenate(floors)
+        for at in range(0, len(ids), query_block):
+            part = slice(at, at + query_block)
+            yield block, ids[part], q[part], Search(ids[part], q[part], None, None, k, None if floor is None else floor[part], trees)
+
+    cell = None
     for b in batches:
-        for r in b.to_pylist():
-            q_ids, q = _open(r["q_n"], r["q_ids"], r["q_points"])
-            floor = np.frombuffer(r["floors"]) if "floors" in r else None
-            same = block == (r["block"], r["ids"])
-            s = Search(q_ids, q, *_open(r["n"], r["ids"], r["points"]), k, floor, tree if same else None)
-            block, tree = (r["block"], r["ids"]), s.xt
-            yield r, q_ids, q, s
+        for n in range(b.num_rows):
+            r = {c: b.column(c)[n].as_py() for c in b.schema.names}
+            if waiting and (r["block"] != block or r["cell"] != cell or held + r["n"] > query_block):
+                yield from search()
+            if r["block"] != block:
+                block, packs, trees = r["block"], {}, None
+            ids, points = np.frombuffer(r["ids"], np.int64), _open(r["n"], r["dim"], r["points"])
+            if r["kind"] == 0:
+                packs.setdefault(r["cell"], []).append((ids, points))
+            else:
+                waiting.append((ids, points, None if r["floors"] is None else np.frombuffer(r["floors"])))
+                cell, held = r["cell"], held + r["n"]
+    if waiting:
+        yield from search()
+
+
+def by_block(rows: DataFrame, blocks: int) -> DataFrame:
+    """A task for each block, candidates before queries."""
+    return rows.repartitionById(max(1, blocks), F.col("block")).sortWithinPartitions("block", "kind", "cell")
 
 
 FOUND = "query_id long, vec_id long, score long"
-ASKED = "cell int, home int, q_n int, q_ids binary, q_points binary, floors binary"
+ASKED = "home int, q_cell int, q_n int, q_dim int, q_ids binary, q_points binary, floors binary, cells array<int>, asks array<int>, blocks array<int>, masks array<binary>"
+
 
+def _findings(s: Search) -> list[np.ndarray]:
+    at, col = np.nonzero(np.isfinite(s.score))
+    return [s.q_ids[at], s.best[at, col], s.score[at, col].astype(np.int64)]
 
-def first_pass(asked: DataFrame, base: DataFrame, first: list[int], pivots: np.ndarray, radius: np.ndarray, k: int) -> DataFrame:
-    """Written once: what each query finds in a block of its own cell, and (``cell`` not
-    null) for each cell the queries that may find better there, with their k-th score so far.
-    A block of several payload rows is met row by row; each asks for the rest."""
-    types = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.binary()] * 3
+
+def first_pass(placed: DataFrame, low: list[int], past: list[int], pivots: np.ndarray, radius: np.ndarray, k: int, query_block: int) -> DataFrame:
+    """Written once: what each query finds in the block of its own cell, and (``home`` not null) the
+    block of queries with their k-th scores so far, the cells where some may find better (``asks`` of
+    them), and for the blocks of these which do."""
     names = [c.split()[0] for c in f"{FOUND}, {ASKED}".split(", ")]
+    types = [pa.int64()] * 3 + [pa.int32()] * 4 + [pa.binary()] * 3 + [pa.list_(pa.int32())] * 3 + [pa.list_(pa.binary())]
 
     def run(batches):
-        for r, q_ids, q, s in searches(batches, k):
-            at, col = np.nonzero(np.isfinite(s.score))
-            cols = [s.q_ids[at], s.best[at, col], s.score[at, col].astype(np.int64)]
-            yield pa.record_batch([*map(pa.array, cols), *(pa.nulls(len(at), t) for t in types[3:])], names=names)
+        for home, q_ids, q, s in searches(batches, k, query_block):
+            cols = _findings(s)
+            yield pa.record_batch([*map(pa.array, cols), *(pa.nulls(len(cols[0]), t) for t in types[3:])], names=names)
             floor = np.empty(len(q))
             floor[s.qt.order] = s.score[:, -1]
-            x, p = _wide(q, pivots)
-            bound = x @ p.T + np.sqrt((x * x).sum(1))[:, None] * radius
+            x, p = q.astype(np.float64), pivots.astype(np.float64)
+            wide = min(x.shape[1], p.shape[1])
+            bound = x[:, :wide] @ p[:, :wide].T + np.sqrt(_squares(x))[:, None] * radius
             may = bound + 1e-9 * np.abs(bound) + 1e-6 >= floor[:, None]
-            for c in np.flatnonzero(may.any(0)).tolist():
-                keep = may[:, c]
-                row = (None, None, None, c, r["block"], int(keep.sum()), q_ids[keep].tobytes(), q[keep].tobytes(),
-                       floor[keep].tobytes())
-                yield pa.record_batch([pa.array([v], t) for v, t in zip(row, types)], names=names)
-    home = F.element_at(F.array(*map(F.lit, first[:-1])), F.col("cell") + 1).alias("block")
-    pairs = asked.select(home, F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("points").alias("q_points"))
-    return stage(pairs.join(base.drop("cell"), "block").mapInArrow(run, f"{FOUND}, {ASKED}"), "first")
-
+            masks: dict[int, np.ndarray] = {}
+            cells = np.flatnonzero(may.any(0) & (np.array(past) > np.array(low))).tolist()
+            for c in cells:
+                for b in range(low[c], past[c]):
+                    if b != home:
+                        masks[b] = masks[b] | may[:, c] if b in masks else may[:, c]
+            row = (None, None, None, home, 0, len(q), q.shape[1], q_ids.tobytes(), _bytes(q), floor.tobytes(), cells,
+                   may[:, cells].sum(0).tolist(), list(masks), [np.packbits(m).tobytes() for m in masks.values()])
+            yield pa.record_batch([pa.array([v], t) for v, t in zip(row, types)], names=names)
+    near = placed.where("kind = 1 or block = low").select(*(c.split()[0] for c in MET.split(", ")))
+    return stage(by_block(near, max(past, default=0)).mapInArrow(run, f"{FOUND}, {ASKED}"), "first")
+
+
+def asking(found: DataFrame) -> DataFrame:
+    """The queries left for each block that they ask, with their k-th scores."""
+    names = [c.split()[0] for c in MET.split(", ")]
+    types = [pa.int32()] * 5 + [pa.binary()] * 3
 
-def second_pass(found: DataFrame, base: DataFrame, first: list[int], k: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for n in range(batch.num_rows):
+                r = {c: batch.column(c)[n].as_py() for c in batch.schema.names}
+                ids, q, floor = np.frombuffer(r["q_ids"], np.int64), _open(r["q_n"], r["q_dim"], r["q_points"]), np.frombuffer(r["floors"])
+                for b, mask in zip(r["blocks"], r["masks"]):
+                    keep = np.unpackbits(np.frombuffer(mask, np.uint8), count=len(ids)).astype(bool)
+                    row = (b, 1, r["home"], int(keep.sum()), r["q_dim"], ids[keep].tobytes(), _bytes(q[keep]), floor[keep].tobytes())
+                    yield pa.record_batch([pa.array([v], t) for v, t in zip(row, types)], names=names)
+    return found.where("home is not null").select("home", "q_n", "q_dim", "q_ids", "q_points", "floors", "blocks", "masks").mapInArrow(run, MET)
+
+
+def second_pass(found: DataFrame, placed: DataFrame, blocks: int, k: int, query_block: int) -> DataFrame:
     """What the queries left find in the cells left, block by block."""
-    low, past = (F.element_at(F.array(*map(F.lit, x)), F.col("cell") + 1) for x in (first[:-1], first[1:]))
-    pairs = (found.where("cell is not null").where(past > low)
-             .select("home", "q_n", "q_ids", "q_points", "floors", F.explode(F.sequence(low, past - 1)).alias("block"))
-             .where("block <> home"))
+    def run(batches):
+        for _, _, _, s in searches(batches, k, query_block):
+            yield pa.record_batch(list(map(pa.array, _findings(s))), names=["query_id", "vec_id", "score"])
+    base = placed.where("kind = 0").select(*(c.split()[0] for c in MET.split(", ")))
+    return by_block(base.union(asking(found)), blocks).mapInArrow(run, FOUND)
+
 
+def _some(points: DataFrame, n: int, count: int) -> np.ndarray:
+    """Integer vectors of the ``n`` usable rows with the smallest hash of the id."""
     def run(batches):
-        for _, _, _, s in searches(batches, k):
-            at, col = np.nonzero(np.isfinite(s.score))
-            yield pa.record_batch([pa.array(s.q_ids[at]), pa.array(s.best[at, col]),
-                                   pa.array(s.score[at, col].astype(np.int64))], names=["query_id", "vec_id", "score"])
-    return pairs.drop("home").join(base.drop("cell"), "block").mapInArrow(run, FOUND)
+        for b in batches:
+            ids, _, m = _vectors(b)
+            yield pa.record_batch([pa.array(ids), pa.array([v.tobytes() for v in m], pa.binary())], names=["vec_id", "v"])
+    low = F.lit(min(2 ** 63 - 1, -2 ** 63 + 2 ** 64 * 16 * n // max(1, count)))
+    for rows in (points.where(F.xxhash64("vec_id") <= low), points):  # all of them, if too few usable ones are as low
+        found = rows.mapInArrow(run, "vec_id long, v binary").orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(n)
+        got = [np.frombuffer(r["v"], np.int64)[None, :] for r in stage(found, "pivots").collect()]  # the tasks' candidates meet on an executor
+        if len(got) >= n:
+            break
+    return _stack(got or [np.zeros((1, 0), np.int64)])
+
+
+def into_blocks(size: np.ndarray, block: int) -> tuple[list[int], list[int]]:
+    """The blocks of each cell, from ``low`` to below ``past``: some cells share one of about ``block`` points, a larger
+    cell has its own."""
+    low, past, blocks, room = [], [], 0, 0
+    for n in map(int, size):
+        parts = -(-n // block)
+        if n > room or parts > 1:
+            blocks, room = blocks + parts, block if parts == 1 else 0
+        low.append(blocks - max(1, parts) if n else 0)
+        past.append(blocks if n else 0)
+        room -= n if parts == 1 else 0
+    return low, past
 
 
 def search_passes(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding",
                   block: int = BLOCK, query_block: int = QUERY_BLOCK) -> tuple[DataFrame, DataFrame, int]:
-    """The two passes' findings (the first with its ``ASKED`` rows) and the number of candidate blocks."""
-    ship_package(vectors.sparkSession)
-    points = stage(integer_vectors(vectors, vec_id, embedding), "vectors")
-    n_pivots = min(PIVOTS, max(1, math.ceil(points.count() / block)))
-    some = points.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(n_pivots).collect()
-    pivots = _matrix([r["v"] for r in some] or [[]])
-    placed = stage(in_cells(points, pivots), "cells")
-    size, asks, radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
-    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.sum(is_query.cast("int")).alias("q"),
-                                        F.max("far").alias("far")).collect():  # a row for each pivot
-        size[r["cell"]], asks[r["cell"]], radius[r["cell"]] = r["n"], r["q"] or 0, r["far"]
-    first, q_first = ([0, *np.cumsum(-(-x // b)).tolist()] for x, b in ((size, block), (asks, query_block)))
-    base = stage(_blocks(placed.drop("far"), first, "block"), "blocks")
-    asked = _blocks(placed.drop("far").where(is_query), q_first, "q_block")
-    found = first_pass(asked, base, first, pivots, radius, k)
-    return found, second_pass(found, base, first, k), first[-1]
+    """The two passes' findings (the first with a row per block of queries and ``cell`` left to them, for ``q_n``) and
+    the number of candidate blocks."""
+    spark = vectors.sparkSession
+    ship_package(spark)
+    bounded_batches(spark)
+    x = vectors[embedding]
+    if dict(vectors.dtypes)[embedding] not in ("array<float>", "array<double>"):
+        x = x.cast("array<double>")
+    points = vectors.select(vectors[vec_id].cast("long").alias("vec_id"), x.alias("x")).where("vec_id is not null")
+    count = points.count()
+    points = points.where("x is not null").withColumn("asked", is_query)
+    pivots = _some(points, min(PIVOTS, max(1, math.ceil(count / block))), count)
+    block = max(block, min(count // BLOCKS, BLOCK_COMPONENTS // max(1, pivots.shape[1])))
+    placed = stage(in_cells(points, pivots, max(1, min(PACK, block // 8))), "cells")
+    size, radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
+    for r in placed.where("kind = 0").groupBy("cell").agg(F.sum("n").alias("n"), F.max("far").alias("far")).collect():  # a row for each pivot
+        size[r["cell"]], radius[r["cell"]] = r["n"], r["far"]
+    low, past = into_blocks(size, block)
+    first, end = (F.element_at(F.array(*map(F.lit, x)), F.col("cell") + 1) for x in (low, past))
+    dealt = F.when(F.col("kind") == 1, first).otherwise(first + F.pmod(F.xxhash64("ids"), end - first)).cast("int")
+    placed = placed.withColumn("low", first).withColumn("block", dealt).withColumn("floors", F.lit(None).cast("binary"))
+    found = first_pass(placed, low, past, pivots, radius, k, query_block)
+    more = second_pass(found, placed, max(past), k, query_block)
+    left = found.where("home is not null").select(F.explode(F.arrays_zip("cells", "asks")).alias("c")).select("c.cells", "c.asks")
+    none = F.lit(None)
+    both = (found.where("home is null").select("query_id", "vec_id", "score", none.cast("int").alias("cell"), none.cast("int").alias("q_n"))
+            .union(left.select(none.cast("long"), none.cast("long"), none.cast("long"), "cells", "asks")))
+    return both, more, max(past)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_id",
